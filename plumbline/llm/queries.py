@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding, simhash
+from . import decontaminate, exact_dedup, mixing, sharding, simhash, url_filter
 
 QUERIES = {
+    "op1_spaced_seed_leaks": decontaminate.op1_spaced_seed_leaks,
+    "op2_markov_url_filter": url_filter.op2_markov_url_filter,
     "op3_lsm_exact_dedup": exact_dedup.op3_lsm_exact_dedup,
     "op4_anchor_simhash": simhash.op4_anchor_simhash,
     "op9_poisson_mix": mixing.op9_poisson_mix,
@@ -12,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_spaced_seed_leaks": decontaminate.ORACLE,
     "op3_lsm_exact_dedup": exact_dedup.ORACLE,
     "op9_poisson_mix": mixing.ORACLE,
 }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -24,6 +23,7 @@ CODE = ((23, 0xC75, 3), (23, 0xC75, 3), (15, 0x13, 1), (3, 0x7, 1))
 HOT_ANCHOR = 20_000
 #: Group sizes up to which all pairs of an anchor are compared; beyond it, neighbours are looked up by their bits.
 PAIRWISE = 2_048
+_BLOCKS: list = []
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -68,10 +68,11 @@ def fingerprint_udf(size: int):
 # ---------------------------------------------------------------- anchors
 
 
-@lru_cache
 def _blocks() -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """(shift, length, syndrome of each bit, coset leader of each syndrome) of each block of the code."""
-    out, shift = [], 0
+    out, shift = _BLOCKS, 0
+    if out:
+        return out
     for n, poly, radius in CODE:
         deg = poly.bit_length() - 1
         rem = []
