@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, sharding, simhash, url_filter
+from . import decontaminate, exact_dedup, html_text, language, mixing, secrets, sharding, simhash, url_filter
 
 QUERIES = {
     "op1_spaced_seed_leaks": decontaminate.op1_spaced_seed_leaks,
     "op2_markov_url_filter": url_filter.op2_markov_url_filter,
     "op3_lsm_exact_dedup": exact_dedup.op3_lsm_exact_dedup,
     "op4_anchor_simhash": simhash.op4_anchor_simhash,
+    "op5_line_block_text": html_text.op5_line_block_text,
+    "op6_hyperdimensional_language": language.op6_hyperdimensional_language,
+    "op7_automaton_secrets": secrets.op7_automaton_secrets,
     "op9_poisson_mix": mixing.op9_poisson_mix,
     "op10_prefix_sum_shards": sharding.op10_prefix_sum_shards,
 }
