@@ -16,6 +16,16 @@ QUERIES = {
     "op10_prefix_sum_shards": sharding.op10_prefix_sum_shards,
 }
 
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+
 ORACLES = {
     "op1_spaced_seed_leaks": decontaminate.ORACLE,
     "op3_lsm_exact_dedup": exact_dedup.ORACLE,

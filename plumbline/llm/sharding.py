@@ -29,7 +29,7 @@ def _search(df: DataFrame, name: str, bounds: list[int], strict: bool) -> DataFr
     Each halving is its own projection, so the whole search stays inside generated code.
     """
     size = 1 << max(1, len(bounds)).bit_length()
-    table = F.array(*[F.lit(b).cast("bigint") for b in bounds]) if bounds else F.array().cast("array<bigint>")
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>") if bounds else F.array().cast("array<bigint>")  # folds to one literal
     df = df.withColumn(name, F.lit(0))
     step = size
     while step:
@@ -40,8 +40,8 @@ def _search(df: DataFrame, name: str, bounds: list[int], strict: bool) -> DataFr
     return df
 
 
-def with_shards(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", text_col: str = "text", n_ranges: int | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
-    """Deal rows, in order of ``id_col``, to ``n_shards`` contiguous shards of nearly equal bytes.
+def with_shards(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", text_col: str = "text", n_ranges: int | None = None, keep: list[str] | None = None, order: Column | None = None) -> DataFrame:
+    """Deal rows, in order of ``id_col`` (or of the bigint ``order``), to ``n_shards`` contiguous shards of nearly equal bytes.
 
     A row's size is the UTF-8 bytes of its text (null: none) plus 16. The global order is id (nulls first), then a
     hash of the text. Rows are dealt to ranges of the order; each range's total gives its offset (the prefix sum over
@@ -55,16 +55,21 @@ def with_shards(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", text_
     * columns of the input are carried in a struct, so their names never clash; ``shard``, ``slot`` and ``size`` of the
       input are replaced by the new columns.
 
-    Returns the input's columns plus ``size``, ``shard`` and ``slot`` (gapless from 0 in each shard). No grouping of
+    ``keep`` names the columns to carry (default: all). Returns them plus ``size``, ``shard`` and ``slot`` (gapless from 0 in each shard). No grouping of
     equal texts is kept: the cuts follow bytes alone.
     """
     spark = docs.sparkSession
     n_ranges = n_ranges or min(8192, max(64, 4 * parts(spark)))
-    bounds = _range_bounds(docs.select(F.col(id_col).cast("bigint").alias("k")), n_ranges)
-    own = [c for c in docs.columns if c not in ("size", "shard", "slot")]
-    text = F.col(f"_row.{text_col}") if text_col in own else F.lit(None)
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col(f"`{id_col}`").cast("bigint").alias("_k"))
-    d = d.select("_row", "_k", (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(OVERHEAD)).cast("bigint").alias("_size"), F.xxhash64(text).alias("_h"))
+    order = F.col(f"`{id_col}`").cast("bigint") if order is None else order
+    bounds = _range_bounds(docs.select(order.alias("k")), n_ranges)
+    own = [c for c in keep or docs.columns if c not in ("size", "shard", "slot")]
+    text = F.col(f"`{text_col}`")
+    d = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"),
+        order.alias("_k"),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(OVERHEAD)).cast("bigint").alias("_size"),
+        F.xxhash64(text).alias("_h"),
+    )
     d = _search(d, "_lo", bounds, strict=True)
     d = _search(d, "_hi", bounds, strict=False)
     d = d.withColumn("_range", (F.col("_lo") + F.pmod(F.col("_h"), (F.col("_hi") - F.col("_lo") + 1).cast("bigint"))).cast("int"))
@@ -94,7 +99,6 @@ def with_shards(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", text_
     d = d.join(F.broadcast(firsts), "_shard")
     return d.select(
         *[F.col(f"_row.`{c}`").alias(c) for c in own],
-        *[c.alias(n) for n, c in (extra or {}).items()],
         F.col("_size").alias("size"),
         F.col("_shard").alias("shard"),
         (F.col("_at") - F.col("_first")).cast("bigint").alias("slot"),
@@ -103,11 +107,12 @@ def with_shards(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", text_
 
 def shard_digest(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     """The contract's digest of :func:`with_shards`: law ``bytes``; nothing depends on a key, so grown_shard is null."""
-    s = with_shards(docs.select("doc_id", "text"), n_shards)
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    s = with_shards(docs.select("doc_id", "text", crc.alias("text_crc32")), n_shards, keep=["doc_id", "text_crc32"])
     return s.select(
         "doc_id",
         "size",
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
         "slot",
