@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, language, mixing, secrets, sharding, simhash, url_filter
+from . import decontaminate, exact_dedup, html_text, language, lm_score, mixing, secrets, sharding, simhash, url_filter
 
 QUERIES = {
     "op1_spaced_seed_leaks": decontaminate.op1_spaced_seed_leaks,
@@ -12,12 +12,12 @@ QUERIES = {
     "op5_line_block_text": html_text.op5_line_block_text,
     "op6_hyperdimensional_language": language.op6_hyperdimensional_language,
     "op7_automaton_secrets": secrets.op7_automaton_secrets,
+    "op8_log_bilinear_score": lm_score.op8_log_bilinear_score,
     "op9_poisson_mix": mixing.op9_poisson_mix,
     "op10_prefix_sum_shards": sharding.op10_prefix_sum_shards,
 }
 
 
-
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -29,5 +29,6 @@ QUERIES["pipeline"] = pipeline
 ORACLES = {
     "op1_spaced_seed_leaks": decontaminate.ORACLE,
     "op3_lsm_exact_dedup": exact_dedup.ORACLE,
+    "op8_log_bilinear_score": lm_score.op8_log_bilinear_score,
     "op9_poisson_mix": mixing.ORACLE,
 }
