@@ -23,21 +23,23 @@ def _range_bounds(keys: DataFrame, n_ranges: int) -> list[int]:
     return [got[len(got) * i // n_ranges] for i in range(1, n_ranges)] if got else []
 
 
-def _search(df: DataFrame, name: str, bounds: list[int], strict: bool) -> DataFrame:
-    """Add ``name``: how many bounds are below ``_k`` (or equal to it, unless ``strict``), by binary search.
+def _below(bounds: list[int], key: Column, strict: bool) -> Column:
+    """How many ascending bounds are below ``key`` (or equal to it, unless ``strict``): a binary search; null keys: 0.
 
-    Each halving is its own projection, so the whole search stays inside generated code.
+    One expression whose length grows with the logarithm of the bounds' number, and never null, so that no null check
+    of it is derived and pushed towards the scan.
     """
-    size = 1 << max(1, len(bounds)).bit_length()
-    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>") if bounds else F.array().cast("array<bigint>")  # folds to one literal
-    df = df.withColumn(name, F.lit(0))
-    step = size
-    while step:
-        at = F.get(table, F.col(name) + F.lit(step - 1))
-        hit = (at < F.col("_k")) if strict else (at <= F.col("_k"))
-        df = df.withColumn(name, F.col(name) + F.when(hit, step).otherwise(0))
-        step //= 2
-    return df
+    if not bounds:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folds to one literal
+    top = len(bounds).bit_length() - 1
+    steps = F.split(F.lit(",".join(str(1 << k) for k in range(top, -1, -1))), ",").cast("array<int>")
+
+    def halve(at: Column, step: Column) -> Column:
+        bound = F.get(table, at + step - 1)
+        return at + F.when((bound < key) if strict else (bound <= key), step).otherwise(0)
+
+    return F.coalesce(F.aggregate(steps, F.lit(0), halve), F.lit(0))
 
 
 def with_shards(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", text_col: str = "text", n_ranges: int | None = None, keep: list[str] | None = None, order: Column | None = None) -> DataFrame:
@@ -70,9 +72,9 @@ def with_shards(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", text_
         (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(OVERHEAD)).cast("bigint").alias("_size"),
         F.xxhash64(text).alias("_h"),
     )
-    d = _search(d, "_lo", bounds, strict=True)
-    d = _search(d, "_hi", bounds, strict=False)
-    d = d.withColumn("_range", (F.col("_lo") + F.pmod(F.col("_h"), (F.col("_hi") - F.col("_lo") + 1).cast("bigint"))).cast("int"))
+    d = d.withColumn("_lo", _below(bounds, F.col("_k"), strict=True)).withColumn("_hi", _below(bounds, F.col("_k"), strict=False))
+    spread = F.pmod(F.coalesce("_h", F.lit(0)), (F.col("_hi") - F.col("_lo") + 1).cast("bigint"))
+    d = d.withColumn("_range", F.coalesce((F.col("_lo") + spread).cast("int"), F.lit(0)))
     totals = d.groupBy("_range").agg(F.sum("_size").alias("bytes"), F.count("*").alias("n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # n_ranges rows at most
     everything = Window.partitionBy(F.lit(1))
