@@ -66,6 +66,12 @@ def ood_metrics(df: DataFrame, score: str = "score", label: str = "label", *, by
         d = d.where(F.col(label) != void_label)
     out = (F.col(label) < 0).cast("bigint")
     steps = d.groupBy(*by, F.col(score).cast("double").alias("_s")).agg(F.sum(out).alias("p"), F.sum(1 - out).alias("n"))
+    return curve_metrics(steps, by, ranges=ranges, on_missing=on_missing)
+
+
+def curve_metrics(steps: DataFrame, by: Sequence[str] = (), *, ranges: int | None = None, on_missing: str = "raise") -> DataFrame:
+    """The metrics from one row a distinct score: ``_s``, ``p`` (outliers) and ``n`` (inliers) at that score."""
+    by = list(by)
     c = running_totals(steps, "_s", ["p", "n"], by=by, ranges=(1 if by else RANGES) if ranges is None else ranges)
     num = lambda x: F.col(x).cast("double")
     p, n, tp, fp, P, N = (num(x) for x in ("p", "n", "cum_p", "cum_n", "all_p", "all_n"))
