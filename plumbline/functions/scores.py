@@ -16,9 +16,11 @@ def _tempered(logits: Vector, t: float) -> Column:
 
 def max_softmax(logits: Vector, t: float = 1.0) -> Column:
     """Minus the largest softmax probability: 1 / sum(exp(l - max))."""
-    x = _tempered(logits, t)
-    m = F.array_max(x)
-    return -F.lit(1.0) / F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - m))
+
+    def score(x: Column) -> Column:
+        return V.let(F.array_max(x), lambda m: -F.lit(1.0) / F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - m)))
+
+    return V.let(_tempered(logits, t), score)
 
 
 def max_logit(logits: Vector) -> Column:
@@ -31,10 +33,12 @@ def energy(logits: Vector, t: float = 1.0) -> Column:
 
 def weighted_energy(logits: Vector, weights) -> Column:
     """``-log sum relu(w_i) exp(l_i)``, shifted by the maximum; null if no weight is positive."""
-    x = V.doubles(logits)
     w = weights if isinstance(weights, Column) else V.literal(weights)
-    m = F.array_max(x)
-    return -(m + F.log(V.total(F.zip_with(x, w, lambda v, k: F.greatest(k, F.lit(0.0)) * F.exp(v - m)))))
+
+    def score(x: Column, m: Column) -> Column:
+        return -(m + F.log(V.total(F.zip_with(x, w, lambda v, k: F.greatest(k, F.lit(0.0)) * F.exp(v - m)))))
+
+    return V.let(V.doubles(logits), lambda x: V.let(F.array_max(x), lambda m: score(x, m)))
 
 
 def entropy(logits: Vector) -> Column:
@@ -49,8 +53,7 @@ def objectosphere(logits: Vector) -> Column:
 
 def class_anchor(distances: Vector) -> Column:
     """``-max(d * (1 - softmin(d)))`` for distances to class anchors."""
-    d = V.doubles(distances)
-    return -F.array_max(F.zip_with(d, V.softmin(d), lambda x, p: x * (F.lit(1.0) - p)))
+    return V.let(V.doubles(distances), lambda d: -F.array_max(F.zip_with(d, V.softmin(d), lambda x, p: x * (F.lit(1.0) - p))))
 
 
 def kl_divergence(p: Vector, q: Vector) -> Column:
@@ -76,43 +79,42 @@ def react(features: Vector, threshold: float = 1.0) -> Column:
     return V.clipped(V.doubles(features), high=threshold)
 
 
-def _kept(features: Column, percentile: float) -> tuple[Column, Column]:
-    """(k, mask): the k largest entries survive, ties by position; k = n - round(n p), half to even."""
-    n = F.size(features)
-    k = (n - F.bround(n * F.lit(float(percentile)), 0)).cast("int")
-    ranked = F.array_sort(F.transform(features, lambda v, i: F.struct((-v).alias("v"), i.alias("i"))))
-    winners = F.transform(F.slice(ranked, 1, F.greatest(k, F.lit(0))), lambda s: s["i"])
-    return k, F.transform(features, lambda v, i: F.array_contains(winners, i))
+def _shaped(features: Vector, percentile: float, value) -> Column:
+    """The k largest entries survive as ``value(v, before, after, k)``, the rest become 0; k = n - round(n p), half to even.
+
+    The k-th largest value decides, and positions decide among entries equal to it. before and after are the sums of
+    all and of the surviving entries; the sorted array gives all of it at once.
+    """
+
+    def shape(x: Column, ranked: Column, k: Column) -> Column:
+        cut, before, after = F.get(ranked, k - 1), V.total(x), V.total(F.slice(ranked, 1, k))
+
+        def keep(cut: Column, before: Column, after: Column) -> Column:
+            ties = F.filter(F.transform(x, lambda v, i: F.when(v == cut, i)), lambda i: i.isNotNull())
+            wanted = k - F.size(F.filter(x, lambda v: v > cut))
+            last = F.element_at(ties, wanted)
+            return V.let(last, lambda at: F.transform(x, lambda v, i: F.when((v > cut) | ((v == cut) & (i <= at)), value(v, before, after, k)).otherwise(0.0)))
+
+        return V.let(cut, lambda c: V.let(before, lambda s1: V.let(after, lambda s2: keep(c, s1, s2))))
 
+    def begin(x: Column) -> Column:
+        k = (F.size(x) - F.bround(F.size(x) * F.lit(float(percentile)), 0)).cast("int")
+        none = F.transform(x, lambda v: F.lit(0.0))
+        return V.let(k, lambda k: F.when(k > 0, V.let(F.sort_array(x, asc=False), lambda r: shape(x, r, k))).otherwise(none))
 
-def _pruned(features: Column, percentile: float) -> tuple[Column, Column]:
-    """The features with all but the k largest set to 0: a threshold decides, positions decide among equal values."""
-    n = F.size(features)
-    k = (n - F.bround(n * F.lit(float(percentile)), 0)).cast("int")
-    cut = F.when(k > 0, F.get(F.sort_array(features, asc=False), k - 1))
-    above = F.size(F.filter(features, lambda v: v > cut))
-    at_cut = F.slice(F.filter(F.transform(features, lambda v, i: F.when(v == cut, i)), lambda i: i.isNotNull()), 1, F.greatest(k - above, F.lit(1)))
-    last = F.array_max(at_cut)
-    keep = F.transform(features, lambda v, i: F.when((v > cut) | ((v == cut) & (i <= last)), v).otherwise(0.0))
-    return k, F.when(k > 0, keep).otherwise(F.transform(features, lambda v: F.lit(0.0)))
+    return V.let(V.doubles(features), begin)
 
 
 def ash_p(features: Vector, percentile: float = 0.65) -> Column:
     """Keep the largest activations, set the rest to 0."""
-    return _pruned(V.doubles(features), percentile)[1]
+    return _shaped(features, percentile, lambda v, before, after, k: v)
 
 
 def ash_b(features: Vector, percentile: float = 0.65) -> Column:
     """Keep the largest activations, each set to the sum of all activations over their number."""
-    x = V.doubles(features)
-    k, mask = _kept(x, percentile)
-    fill = F.try_divide(V.total(x), k.cast("double"))
-    return F.transform(mask, lambda m: F.when(m, fill).otherwise(0.0))
+    return _shaped(features, percentile, lambda v, before, after, k: before / k)
 
 
 def ash_s(features: Vector, percentile: float = 0.65) -> Column:
     """Keep the largest activations and scale them by exp(sum before / sum after)."""
-    x = V.doubles(features)
-    kept = _pruned(x, percentile)[1]
-    factor = F.exp(F.try_divide(V.total(x), V.total(kept)))
-    return F.transform(kept, lambda v: v * factor)
+    return _shaped(features, percentile, lambda v, before, after, k: v * F.exp(F.try_divide(before, after)))

@@ -19,6 +19,11 @@ def doubles(c: Vector) -> Column:
     return col(c).cast("array<double>")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: what a lambda captures is otherwise computed again for each entry."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def literal(values: Sequence[float] | np.ndarray) -> Column:
     """A numeric vector (or a matrix, as an array of rows) as one constant that the optimizer folds."""
     a = np.asarray(values, dtype=np.float64)
@@ -69,19 +74,22 @@ def argmin(a: Vector) -> Column:
 
 
 def scaled(a: Vector, factor: Column | float) -> Column:
-    by = F.lit(float(factor)) if isinstance(factor, int | float) else factor
-    return F.transform(col(a), lambda v: v * by)
+    if isinstance(factor, int | float):
+        return F.transform(col(a), lambda v: v * F.lit(float(factor)))
+    return let(factor, lambda k: F.transform(col(a), lambda v: v * k))
+
+
+def _lse(x: Column) -> Column:
+    return let(F.array_max(x), lambda m: m + F.log(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - m))))
 
 
 def logsumexp(a: Vector) -> Column:
     """Shifted by the maximum, so no finite input overflows."""
-    m = F.array_max(col(a))
-    return m + F.log(F.aggregate(col(a), F.lit(0.0), lambda s, v: s + F.exp(v - m)))
+    return let(col(a), _lse)
 
 
 def log_softmax(a: Vector) -> Column:
-    lse = logsumexp(a)
-    return F.transform(col(a), lambda v: v - lse)
+    return let(col(a), lambda x: let(_lse(x), lambda s: F.transform(x, lambda v: v - s)))
 
 
 def softmax(a: Vector) -> Column:
@@ -96,7 +104,7 @@ def linear(x: Vector, weights: np.ndarray | Column, bias: np.ndarray | Column) -
     """``W x + b`` with one output for each row of W."""
     w = weights if isinstance(weights, Column) else literal(weights)
     b = bias if isinstance(bias, Column) else literal(bias)
-    return F.zip_with(w, b, lambda row, c: dot(row, col(x)) + c)
+    return let(col(x), lambda z: F.zip_with(w, b, lambda row, c: dot(row, z) + c))
 
 
 def channel_means(feature_map: Vector) -> Column:

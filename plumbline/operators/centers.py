@@ -58,12 +58,10 @@ class ClassCenters:
         return self.centers.shape[1]
 
     def squared_distances(self, x: V.Vector) -> Column:
-        z = V.doubles(x)
-        return F.transform(V.literal(self.centers), lambda c: V.sqdist(z, c))
+        return V.let(V.doubles(x), lambda z: F.transform(V.literal(self.centers), lambda c: V.sqdist(z, c)))
 
     def distances(self, x: V.Vector) -> Column:
-        z = V.doubles(x)
-        return F.transform(V.literal(self.centers), lambda c: V.distance(z, c))
+        return V.let(V.doubles(x), lambda z: F.transform(V.literal(self.centers), lambda c: V.distance(z, c)))
 
     def predict(self, x: V.Vector) -> Column:
         """Class probabilities: softmin of the squared distances."""

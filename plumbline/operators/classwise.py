@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import PandasUDFType, pandas_udf
 
 from ..functions import scores as S
 from ..functions import vectors as V
@@ -179,31 +179,34 @@ class OpenMax(Detector):
         self.fitted = True
         return self
 
-    def probabilities_column(self) -> Column:
-        """All probabilities, the unknown class first."""
+    def _revised(self):
         centers, weibulls, top, weight = self.centers, self.weibulls, self.alpha, self.euclid_weight
 
-        @pandas_udf("array<double>")
-        def revised(vectors: pd.Series) -> pd.Series:
+        def revised(vectors: pd.Series) -> np.ndarray:
             x = stacked(vectors)
-            n_classes = x.shape[1] if len(x) else 0
-            alpha = min(n_classes, top)
+            alpha = min(x.shape[1], top)
             order = np.argsort(-x, axis=1, kind="stable")[:, :alpha]
             ranked = np.zeros_like(x)
             np.put_along_axis(ranked, order, ((alpha + 1) - np.arange(1, alpha + 1)) / max(alpha, 1) * np.ones((len(x), 1)), axis=1)
             w = np.ones_like(x)
-            for k in range(n_classes):
+            for k in range(x.shape[1]):
                 if k in weibulls:
                     w[:, k] = weibull_cdf(distances_to(x, centers[k], weight), *weibulls[k])
             keep = 1 - w * ranked
             out = np.concatenate([(x * (1 - keep)).sum(1, keepdims=True), x * keep], axis=1)
             e = np.exp(out - out.max(1, keepdims=True))
-            return pd.Series(list(e / e.sum(1, keepdims=True)))
+            return e / e.sum(1, keepdims=True)
+
+        return revised
 
-        return revised(V.doubles(self.logits))
+    def probabilities_column(self) -> Column:
+        """All probabilities, the unknown class first."""
+        revised = self._revised()
+        return pandas_udf(lambda v: pd.Series(list(revised(v)) if len(v) else [], dtype="object"), "array<double>", PandasUDFType.SCALAR)(V.doubles(self.logits))
 
     def score_column(self) -> Column:
-        return F.element_at(self.probabilities_column(), 1)
+        revised = self._revised()
+        return pandas_udf(lambda v: pd.Series(revised(v)[:, 0] if len(v) else [], dtype="float64"), "double", PandasUDFType.SCALAR)(V.doubles(self.logits))
 
 
 # ---------------------------------------------------------------- nearest neighbour

@@ -157,16 +157,18 @@ class MCD(Detector):
 
         passes = F.transform(F.sequence(F.lit(1), F.lit(self.samples)), one_pass)
         classes = F.sequence(F.lit(0), F.lit(len(np.asarray(self.bias)) - 1))
-        column = lambda c: F.transform(passes, lambda p: F.get(p, c))
-        if self.mode == "mean":
-            return -F.array_max(F.transform(classes, lambda c: V.mean(column(c))))
 
-        def variance(c: Column) -> Column:
-            values = column(c)
+        def variance(values: Column) -> Column:
             m = V.mean(values)
-            return F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)) / F.lit(float(self.samples - 1))
+            return V.let(m, lambda m: F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)) / F.lit(float(self.samples - 1)))
 
-        return V.mean(F.transform(classes, variance))
+        def over_classes(p: Column) -> Column:
+            columns = F.transform(classes, lambda c: F.transform(p, lambda one: F.get(one, c)))
+            if self.mode == "mean":
+                return -F.array_max(F.transform(columns, V.mean))
+            return V.let(F.transform(columns, variance), V.mean)
+
+        return V.let(passes, over_classes)
 
 
 class _Shaped(Detector):
@@ -197,11 +199,6 @@ class ASH(_Shaped):
     def shaped(self) -> Column:
         return self.VARIANTS[self.variant](self.features, self.percentile)
 
-    def predict_features(self, df: DataFrame) -> DataFrame:
-        # one column for the shaped vector, so that it is computed once and not once for each class
-        d = df.withColumn("_shaped", self.shaped()).withColumn("_logits", V.linear("_shaped", self.weights, self.bias))
-        return d.withColumn(self.score, self.detector(F.col("_logits"))).drop("_shaped", "_logits")
-
 
 class ReAct(_Shaped):
     """Activations are clipped from above."""

@@ -102,14 +102,16 @@ def center(distances: Vector, label: Vector, radius: float = 0.0) -> Column:
 def class_anchor(distances: Vector, label: Vector, alpha: float = 1.0, *, exact: bool = False) -> Column:
     """Anchor plus tuplet term; null for unknown rows. The other classes are all but the last, as published; with
     ``exact`` they are all but the row's own."""
-    d = V.doubles(distances)
-    own = _at(d, label)
-    if exact:
-        other = F.filter(F.transform(d, lambda v, i: F.when(i != col(label).cast("int"), v)), lambda v: v.isNotNull())
-    else:
-        other = F.slice(d, 1, F.greatest(F.size(d) - 1, F.lit(0)))
-    tuplet = F.aggregate(other, F.lit(0.0), lambda s, v: s + F.exp(F.least(own - v, F.lit(50.0))))
-    return F.when(_known(label), F.lit(float(alpha)) * own + F.log1p(tuplet))
+
+    def loss(d: Column, own: Column) -> Column:
+        if exact:
+            other = F.filter(F.transform(d, lambda v, i: F.when(i != col(label).cast("int"), v)), lambda v: v.isNotNull())
+        else:
+            other = F.slice(d, 1, F.greatest(F.size(d) - 1, F.lit(0)))
+        tuplet = F.aggregate(other, F.lit(0.0), lambda s, v: s + F.exp(F.least(own - v, F.lit(50.0))))
+        return F.lit(float(alpha)) * own + F.log1p(tuplet)
+
+    return F.when(_known(label), V.let(V.doubles(distances), lambda d: V.let(_at(d, label), lambda own: loss(d, own))))
 
 
 def center_regularisation(distances: Vector, label: Vector, margin: float) -> Column:
@@ -134,7 +136,10 @@ def semi_supervised_svdd(x: Vector, center_vector, label: Vector) -> Column:
 def logistic_energy(logits: Vector, label: Vector, class_weights, weight: tuple[float, float], bias: tuple[float, float]) -> Column:
     """Cross-entropy of a two-logit unit on the weighted energy: known rows are class 1, unknown rows class 0."""
     e = S.weighted_energy(logits, class_weights)
-    pair = F.array(*[F.lit(float(w)) * e + F.lit(float(b)) for w, b in zip(weight, bias)])
+    return V.let(F.array(*[F.lit(float(w)) * e + F.lit(float(b)) for w, b in zip(weight, bias)]), lambda pair: _two_way(pair, label))
+
+
+def _two_way(pair: Column, label: Vector) -> Column:
     return V.logsumexp(pair) - F.when(_known(label), F.get(pair, F.lit(1))).otherwise(F.get(pair, F.lit(0)))
 
 
