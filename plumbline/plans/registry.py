@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import scoring
+from . import scoring, tables
 
-QUERIES = dict(scoring.QUERIES)
-ORACLES = dict(scoring.ORACLES)
+QUERIES = scoring.QUERIES | tables.QUERIES
+ORACLES = scoring.ORACLES | tables.ORACLES
