@@ -29,6 +29,5 @@ QUERIES["pipeline"] = pipeline
 ORACLES = {
     "op1_spaced_seed_leaks": decontaminate.ORACLE,
     "op3_lsm_exact_dedup": exact_dedup.ORACLE,
-    "op8_log_bilinear_score": lm_score.op8_log_bilinear_score,
     "op9_poisson_mix": mixing.ORACLE,
 }
