@@ -84,7 +84,7 @@ def curve_metrics(steps: DataFrame, by: Sequence[str] = (), *, ranges: int | Non
     pr_out = p * (precision(tp, fp) + precision(tp - p, fp - n)) * half
     pr_in = n * (precision(N - fp + n, P - tp + p) + precision(N - fp, P - tp)) * half
     reached = F.when(tp >= F.lit(0.95) * P, fp)
-    got = c.groupBy(*by).agg(F.max("all_p").alias("_P"), F.max("all_n").alias("_N"), F.sum(area).alias("a"), F.sum(pr_in).alias("i"), F.sum(pr_out).alias("o"), F.min(reached).alias("f"))
+    got = c.groupBy(*by).agg(F.max("all_p").alias("_P"), F.max("all_n").alias("_N"), F.sum(area).alias("a"), F.sum(pr_in).alias("i"), F.sum(pr_out).alias("o"), F.min(reached).alias("f")).where("_P IS NOT NULL")
     both = (F.col("_P") > 0) & (F.col("_N") > 0)
     if on_missing == "raise":
         guard = F.when(both, F.lit(True)).otherwise(F.raise_error(F.lit("scores of both known and unknown rows are needed")).cast("boolean"))

@@ -49,7 +49,8 @@ def vector_sums(df: DataFrame, vector: Column | str, key: Column | str) -> DataF
                 for k, s, c in zip(kinds.tolist(), np.add.reduceat(z[order], at), np.bincount(inverse)):
                     total[k] = total.get(k, 0) + s
                     n[k] = n.get(k, 0) + int(c)
-        yield pd.DataFrame({"key": list(n), "n": list(n.values()), "v": [total[k] for k in n]})
+        if n:
+            yield pd.DataFrame({"key": list(n), "n": list(n.values()), "v": [total[k] for k in n]})
 
     key = F.col(key) if isinstance(key, str) else key
     d = df.select(key.cast("bigint").alias("key"), doubles(vector).alias("v")).where("v IS NOT NULL AND key IS NOT NULL")
