@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType, pandas_udf
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import scores as S
 from ..functions import vectors as V
@@ -199,14 +200,26 @@ class OpenMax(Detector):
 
         return revised
 
-    def probabilities_column(self) -> Column:
-        """All probabilities, the unknown class first."""
-        revised = self._revised()
-        return pandas_udf(lambda v: pd.Series(list(revised(v)) if len(v) else [], dtype="object"), "array<double>", PandasUDFType.SCALAR)(V.doubles(self.logits))
+    def _with(self, df: DataFrame, name: str, kind, pick) -> DataFrame:
+        # a step of its own, so that the logits are computed below it and not inside of the function's arguments
+        revised, logits = self._revised(), self.logits
+        d = df.drop(name)
 
-    def score_column(self) -> Column:
-        revised = self._revised()
-        return pandas_udf(lambda v: pd.Series(revised(v)[:, 0] if len(v) else [], dtype="float64"), "double", PandasUDFType.SCALAR)(V.doubles(self.logits))
+        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                if len(f):
+                    yield f.assign(**{name: pick(revised(f[logits]))})
+
+        return d.mapInPandas(work, StructType([*d.schema.fields, StructField(name, kind)]))
+
+    def probabilities(self, df: DataFrame, name: str = "probabilities") -> DataFrame:
+        """All probabilities as an array column, the unknown class first."""
+        self._check_fitted()
+        return self._with(df, name, ArrayType(DoubleType()), list)
+
+    def predict_features(self, df: DataFrame) -> DataFrame:
+        self._check_fitted()
+        return self._with(df, self.score, DoubleType(), lambda p: p[:, 0])
 
 
 # ---------------------------------------------------------------- nearest neighbour
