@@ -245,6 +245,8 @@ def op4_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: make the view's SimHash. At a Jaccard similarity of 0.8 a view of two is unchanged in about 64 % of pairs, so
 #: 1 - 0.36^8 = 99.97 % of such pairs meet in some view. SKETCH smallest hashes of all estimate the similarity.
 VIEWS, VIEW_SIZE, SKETCH = 8, 2, 128
+#: Rows of a block, of which two are compared at a time.
+BLOCK = 1024
 _PROFILE = "fp bigint, views array<bigint>, sketch binary, digest bigint"
 
 
@@ -284,16 +286,125 @@ def _similarity():
     return similarity
 
 
+def _joined_in_block(digest: np.ndarray, label: np.ndarray, first: np.ndarray, sketches: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Links (label, label) between the components of a block's rows: rows marked ``first`` against all the others.
+
+    Rows of components that are joined already aren't compared. The number of common hashes bounds the similarity, so
+    only rows that have enough of them are compared in full.
+    """
+    n = len(digest)
+    sizes = np.array([len(s) // 4 for s in sketches], np.int64)
+    codes = np.full((n, SKETCH), -1, np.int64)
+    codes[np.arange(SKETCH) < sizes[:, None]] = np.unique(np.frombuffer(b"".join(sketches), "<u4"), return_inverse=True)[1]
+    flag = np.zeros(codes.max(initial=-1) + 2, bool)  # the last entry stands for padding and stays unset
+    now, found = label.copy(), []
+    for x in np.flatnonzero(first):
+        other = np.flatnonzero(now != now[x])
+        if not len(other):
+            break
+        own = codes[x, : sizes[x]]
+        flag[own] = True
+        common = flag[codes[other]].sum(1)
+        flag[own] = False
+        whole = np.where((sizes[other] == SKETCH) | (sizes[x] == SKETCH), SKETCH, sizes[other] + sizes[x] - common)
+        for y in other[common >= similarity * whole]:
+            if now[y] != now[x] and sketch_similarity(sketches[x], sketches[y]) >= similarity:
+                found.append((label[x], label[y]))
+                now[now == now[y]] = now[x]
+    return found
+
+
+def _joined(similarity: float):
+    def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by block pair; one that runs over the end of a batch is held back."""
+        kept: pd.DataFrame | None = None
+
+        def linked(frame: pd.DataFrame) -> pd.DataFrame:
+            found: list[tuple[int, int]] = []
+            for _, g in frame.groupby(["view", "print", "sub"], sort=False):
+                if len(g) > 1:
+                    found += _joined_in_block(g["digest"].to_numpy(np.int64), g["label"].to_numpy(np.int64), g["first"].to_numpy(bool), g["sketch"].tolist(), similarity)
+            return pd.DataFrame(found, columns=["src", "dst"]).astype("int64")
+
+        for frame in frames:
+            if kept is not None:
+                frame = pd.concat([kept, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            end = frame.iloc[-1]
+            last = (frame["view"] == end["view"]) & (frame["print"] == end["print"]) & (frame["sub"] == end["sub"])
+            kept = frame[last]
+            yield linked(frame[~last])
+        if kept is not None:
+            yield linked(kept)
+
+    return join
+
+
+def _open_blocks(buckets: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (view, print, sub, first, digest, label, sketch) of the buckets that hold more than one component.
+
+    A bucket's largest component needs no comparison within itself. Its rows and the others are dealt to blocks of
+    about BLOCK rows, and every block of the others meets each later block, so all pairs across components meet.
+    """
+    labelled = buckets.join(small(labels), F.col("digest") == F.col("node"), "left").select("view", "print", "digest", F.coalesce("component", "digest").alias("label"))
+    per = labelled.groupBy("view", "print", "label").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("view", "print").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    blocks = [F.ceil(x / BLOCK).cast("int") for x in (F.col("n") - F.col("top.n"), F.col("top.n"))]
+    mixed = materialize(mixed.select("view", "print", F.col("top.label").alias("main"), blocks[0].alias("rest"), blocks[1].alias("mains")), "mixed")
+    at = F.when(F.col("label") == F.col("main"), F.col("rest") + F.pmod(F.hash("digest"), F.col("mains"))).otherwise(F.pmod(F.hash("digest"), F.col("rest")))
+    met = F.when(F.col("at") < F.col("rest"), F.sequence(F.lit(0), F.col("rest") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") - 1))
+    d = labelled.join(small(mixed), ["view", "print"]).withColumn("at", at).withColumn("with", F.explode(met)).where("at <> with")
+    sub = F.least("at", "with").cast("bigint") * F.lit(1 << 31) + F.greatest("at", "with")
+    d = d.select("view", "print", sub.alias("sub"), (F.col("at") < F.col("with")).alias("first"), "digest", "label")
+    return d.join(nodes.select("digest", "sketch"), "digest")
+
+
+def similar_components(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) over texts (digest, fp, views, sketch) that have a link; components of all candidate pairs.
+
+    Candidates share a bucket: an equal view, or whole-text fingerprints in one component of links within 2 bits. Each
+    bucket's rows are first compared with four of its members, which joins large groups of copies at a cost in
+    proportion to their rows. Then every pair whose members are still in different components is compared, in blocks.
+    """
+    prints = fingerprint_links(nodes.select("fp").distinct(), 2)
+    close = connected_components(prints)
+    whole = nodes.join(small(close), F.col("fp") == F.col("node"), "left").select("digest", F.lit(VIEWS).alias("view"), F.coalesce("component", "fp").alias("print"))
+    buckets = nodes.select("digest", F.posexplode("views").alias("view", "print")).where("print IS NOT NULL").unionByName(whole)
+    key = F.xxhash64("digest", "view")
+    hubs = buckets.groupBy("view", "print").agg(
+        F.array_distinct(F.array(F.min("digest"), F.max("digest"), F.min_by("digest", key), F.max_by("digest", key))).alias("hubs"),
+        F.count("*").alias("n"),
+    )
+    hubs = materialize(hubs.where("n > 1").select("view", "print", "hubs"), "hubs")
+    buckets = materialize(buckets.join(small(hubs), ["view", "print"]), "buckets")
+    met = buckets.select(F.col("digest").alias("a"), F.explode("hubs").alias("b"))
+    pairs = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    left = nodes.select(F.col("digest").alias("a"), F.col("sketch").alias("sketch_a"))
+    right = nodes.select(F.col("digest").alias("b"), F.col("sketch").alias("sketch_b"))
+    alike = pairs.join(left, "a").join(right, "b").where(_similarity()("sketch_a", "sketch_b") >= similarity)
+    labels = connected_components(alike.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+    dealt = _open_blocks(buckets.drop("hubs"), labels, nodes).repartition("view", "print", "sub").sortWithinPartitions("view", "print", "sub")
+    more = connected_components(dealt.mapInPandas(_joined(similarity), "src bigint, dst bigint").distinct())
+    again = small(more.select(F.col("node").alias("was"), F.col("component").alias("now")))
+    moved = labels.join(again, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    alone = more.join(small(labels.select(F.col("node").alias("known"))), F.col("node") == F.col("known"), "left_anti")
+    out = materialize(moved.unionByName(alone), "groups")
+    for used in (close, hubs, buckets, pairs, labels, more):
+        discard(used)
+    return out
+
+
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, the one of the smallest doc_id; columns stay as they are.
 
     Two texts are linked if their sets of word shingles have a Jaccard similarity of ``similarity`` or more (estimated
     from 128 smallest hashes unless both texts have fewer shingles) and they were candidates: whole-text SimHashes
-    within 2 bits of each other, met at anchors, or an equal SimHash in one of the views. Groups are the components.
+    joined by links within 2 bits, met at anchors, or an equal SimHash in one of the views. Groups are the components;
+    no candidate pair of different components is left uncompared (see :func:`similar_components`).
 
-    Texts that are equal but for ASCII case and white space are folded first. Candidates of a bucket are linked with
-    at most four of its members (smallest and largest by id and by hash), not with each other, so a bucket of any size
-    costs in proportion to its rows.
+    Texts that are equal but for ASCII case and white space are folded first.
 
     * null text, empty text or white space only: copies of each other; very long texts are hashed whole;
     * null doc_id sorts last; rows that repeat doc_id and text: one stays; empty table: no rows.
@@ -304,26 +415,7 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))).alias("best")
     nodes = marks.groupBy("digest").agg(best, F.any_value("fp").alias("fp"), F.any_value("views").alias("views"), F.any_value("sketch").alias("sketch"), F.count("*").alias("n"))
     nodes = materialize(nodes, "nodes")
-
-    prints = nodes.groupBy("fp").agg(F.min("digest").alias("low"))
-    links = materialize(fingerprint_links(prints, 2).distinct(), "links")
-    a, b = prints.select(F.col("fp").alias("src"), F.col("low").alias("a")), prints.select(F.col("fp").alias("dst"), F.col("low").alias("b"))
-    near = links.join(a, "src").join(b, "dst").select("a", "b")
-
-    buckets = nodes.select("digest", F.posexplode(F.concat("views", F.array("fp"))).alias("view", "print")).where("print IS NOT NULL")
-    hubs = buckets.groupBy("view", "print").agg(
-        F.array_distinct(F.array(F.min("digest"), F.max("digest"), F.min_by("digest", F.hash("digest")), F.max_by("digest", F.hash("digest")))).alias("hubs"),
-        F.count("*").alias("n"),
-    )
-    hubs = materialize(hubs.where("n > 1").select("view", "print", "hubs"), "hubs")
-    met = buckets.join(small(hubs), ["view", "print"]).select("digest", F.explode("hubs").alias("hub")).where("digest <> hub")
-    pairs = near.unionByName(met.select(F.col("hub").alias("a"), F.col("digest").alias("b")))
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-
-    left = nodes.select(F.col("digest").alias("a"), F.col("sketch").alias("sketch_a"))
-    right = nodes.select(F.col("digest").alias("b"), F.col("sketch").alias("sketch_b"))
-    alike = pairs.join(left, "a").join(right, "b").where(_similarity()("sketch_a", "sketch_b") >= similarity)
-    groups = connected_components(alike.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    groups = similar_components(nodes, similarity)
 
     placed = nodes.select("digest", "best", "n").join(small(groups), F.col("digest") == F.col("node"), "left").where("n > 1 OR node IS NOT NULL")
     placed = materialize(placed.select("digest", "best", F.coalesce("component", "digest").alias("root")), "placed")
@@ -332,7 +424,7 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float
     lost = marks.select("key", "digest").join(small(fate), "digest").where("key <> winner").select(F.col("key").alias("_lost"))
     lost = materialize(lost.distinct(), "lost")
     twice = materialize(marks.groupBy("key").count().where("count > 1").select(F.col("key").alias("_twice")), "twice")
-    for used in (marks, nodes, links, hubs, pairs, placed, fate):
+    for used in (marks, nodes, groups, placed, fate):
         discard(used)
     kept = docs.join(small(lost), key == F.col("_lost"), "left_anti")
     if twice.isEmpty():

@@ -168,6 +168,43 @@ def test_links_within_two_bits_meet_at_anchors(spark, monkeypatch, hot):
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_similar_components_leave_no_candidate_pair(spark, monkeypatch, block):
+    """One passage in many texts makes large buckets of several components; every candidate pair in them counts."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(4000)]
+    passage = list(rng.choice(words, 60))
+    texts = []
+    for base in range(25):
+        body = passage + list(rng.choice(words, 60))
+        for _ in range(12):
+            own = list(body)
+            for at in rng.choice(len(own), rng.integers(0, 5), replace=False):
+                own[at] = str(rng.choice(words))
+            texts.append(" ".join(own))
+    texts = sorted(set(texts))
+    profile = simhash._profiles(5).func
+    import pandas as pd
+
+    p = profile(pd.Series(texts))
+    nodes = spark.createDataFrame([(int(d), int(f), [None if v is None else int(v) for v in vs], bytearray(s)) for f, vs, s, d in p.itertuples(index=False)], "digest bigint, fp bigint, views array<bigint>, sketch binary")
+    near = {}
+    links = [(a, b) for a, b in itertools.combinations(range(len(p)), 2) if (int(p.fp[a]) ^ int(p.fp[b])) & (2**64 - 1) == 0 or ((int(p.fp[a]) ^ int(p.fp[b])) & (2**64 - 1)).bit_count() <= 2]
+    near = components(len(p), links)
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(p)), 2) if near[a] == near[b] or any(x is not None and x == y for x, y in zip(p["views"][a], p["views"][b]))]
+    alike = [(a, b) for a, b in pairs if simhash.sketch_similarity(p.sketch[a], p.sketch[b]) >= 0.8]
+    want = components(len(p), alike)
+    at = {int(d): i for i, d in enumerate(p.digest)}
+    got = list(range(len(p)))
+    for r in simhash.similar_components(nodes, 0.8).collect():
+        got[at[r.node]] = -1 - at[r.component]
+    assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+    assert len(set(want)) > 25 and len(alike) < len(pairs)
+    true = [(a, b) for a, b in itertools.combinations(range(len(p)), 2) if jaccard(texts[a], texts[b]) >= 0.85]
+    assert sum(got[a] == got[b] for a, b in true) >= 0.99 * len(true)
+
+
 # ---------------------------------------------------------------- 5 HTML
 
 
