@@ -230,13 +230,31 @@ def _train(frames: Iterator[pd.DataFrame], vocab: Vocabulary, model: LogBilinear
     return trainer.m, seen
 
 
+def warm_sample(train: DataFrame) -> DataFrame:
+    """At most WARM_DOCS texts, those with the smallest hashes of id and text.
+
+    A threshold on the hash leaves about twice as many in all before any are put in order, so what tasks send doesn't
+    grow with their number.
+    """
+    rows = train.select(F.xxhash64("doc_id", "text").alias("k"), "text")
+    low = min((1 << 64) - 1, (2 * WARM_DOCS << 64) // max(1, rows.count())) - (1 << 63)
+    return rows.where(F.col("k") <= low).orderBy("k").limit(WARM_DOCS)
+
+
 def fit_model(train: DataFrame, vocab: Vocabulary, shared) -> LogBilinear:
     """Warm start on a bounded sample, then every task trains on all of its rows; results are averaged by tokens.
 
-    Parameters travel in pieces of PIECE numbers, each averaged in a group of its own.
+    The warm start runs in one task, since its sample is bounded; only parameters reach the driver. They travel in
+    pieces of PIECE numbers, each averaged in a group of its own.
     """
-    warm = train.select("text").orderBy(F.xxhash64("text")).limit(WARM_DOCS).toPandas()
-    start, _ = _train([warm] * 3, vocab, LogBilinear.start(vocab.noise), 1)
+
+    def warmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = shared.value
+        model, _ = _train(list(frames) * 3, v, LogBilinear.start(v.noise), 1)
+        yield pd.DataFrame({"w": [model.vector().tobytes()]})
+
+    first = warm_sample(train).select("text").mapInPandas(warmed, "w binary").head()
+    start = LogBilinear.of(np.frombuffer(bytes(first.w), np.float32), len(vocab.noise)) if first else LogBilinear.start(vocab.noise)
     n = len(vocab.noise)
     begun = train.sparkSession.sparkContext.broadcast(start.vector())
 
