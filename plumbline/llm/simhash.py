@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -245,6 +247,9 @@ def op4_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: make the view's SimHash. At a Jaccard similarity of 0.8 a view of two is unchanged in about 64 % of pairs, so
 #: 1 - 0.36^8 = 99.97 % of such pairs meet in some view. SKETCH smallest hashes of all estimate the similarity.
 VIEWS, VIEW_SIZE, SKETCH = 8, 2, 128
+#: The sketch alone rejects or accepts a pair only where a pair right at the bar has smaller odds than this to get there;
+#: the pairs between are decided on their whole sets.
+RISK = 1e-6
 #: Rows of a block, of which two are compared at a time.
 BLOCK = 1024
 _PROFILE = "fp bigint, views array<bigint>, sketch binary, digest bigint"
@@ -278,26 +283,69 @@ def sketch_similarity(a: bytes, b: bytes) -> float:
     return float(np.isin(union, np.intersect1d(x, y)).mean()) if len(union) else 1.0
 
 
-def _similarity():
+@cache
+def sketch_bounds(similarity: float) -> tuple[int, int]:
+    """Common hashes of SKETCH below which a pair is surely under the bar, and from which it is surely above (see RISK)."""
+    law = np.cumsum([comb(SKETCH, k) * similarity**k * (1 - similarity) ** (SKETCH - k) for k in range(SKETCH + 1)])
+    tail = np.cumsum([comb(SKETCH, k) * similarity**k * (1 - similarity) ** (SKETCH - k) for k in range(SKETCH, -1, -1)])
+    return int((law <= RISK).sum()), SKETCH + 1 - int((tail <= RISK).sum())
+
+
+def sketch_verdict(a: bytes, b: bytes, similarity: float) -> int:
+    """1: similar, 0: not, -1: too near the bar for sketches to tell. Two whole sketches always tell."""
+    found = sketch_similarity(a, b)
+    if len(a) < 4 * SKETCH and len(b) < 4 * SKETCH:
+        return int(found >= similarity)
+    low, high = sketch_bounds(similarity)
+    common = round(found * SKETCH)
+    return 0 if common < low else 1 if common >= high else -1
+
+
+def whole_similarity(a: bytes, b: bytes) -> float:
+    """Exact Jaccard similarity of two whole sets of shingle hashes (sorted, 8 bytes each)."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common) if len(x) or len(y) else 1.0
+
+
+def _verdict(similarity: float):
+    @pandas_udf("int")
+    def verdict(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([sketch_verdict(x, y, similarity) for x, y in zip(a, b)], dtype="int32")
+
+    return verdict
+
+
+def _whole_similarity():
     @pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([sketch_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+        return pd.Series([whole_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
     return similarity
 
 
-def _joined_in_block(digest: np.ndarray, label: np.ndarray, first: np.ndarray, sketches: list[bytes], similarity: float) -> list[tuple[int, int]]:
+def _whole_set(shingle: int):
+    @pandas_udf("binary")
+    def whole(text: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, shingle)).astype("<u8").tobytes() for t in text])
+
+    return whole
+
+
+def _joined_in_block(label: np.ndarray, first: np.ndarray, sketches: list[bytes], similarity: float, whole: list[bytes] | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links (label, label) between the components of a block's rows: rows marked ``first`` against all the others.
 
     Rows of components that are joined already aren't compared. The number of common hashes bounds the similarity, so
-    only rows that have enough of them are compared in full.
+    only rows that have enough of them are compared in full. Pairs that the sketches can't decide are decided by the
+    ``whole`` sets; without these, the rows of such pairs are marked in the second result.
     """
-    n = len(digest)
+    n = len(label)
     sizes = np.array([len(s) // 4 for s in sketches], np.int64)
     codes = np.full((n, SKETCH), -1, np.int64)
     codes[np.arange(SKETCH) < sizes[:, None]] = np.unique(np.frombuffer(b"".join(sketches), "<u4"), return_inverse=True)[1]
     flag = np.zeros(codes.max(initial=-1) + 2, bool)  # the last entry stands for padding and stays unset
-    now, found = label.copy(), []
+    low = sketch_bounds(similarity)[0]
+    now, found, undecided = label.copy(), [], np.zeros(n, bool)
     for x in np.flatnonzero(first):
         other = np.flatnonzero(now != now[x])
         if not len(other):
@@ -306,25 +354,45 @@ def _joined_in_block(digest: np.ndarray, label: np.ndarray, first: np.ndarray, s
         flag[own] = True
         common = flag[codes[other]].sum(1)
         flag[own] = False
-        whole = np.where((sizes[other] == SKETCH) | (sizes[x] == SKETCH), SKETCH, sizes[other] + sizes[x] - common)
-        for y in other[common >= similarity * whole]:
-            if now[y] != now[x] and sketch_similarity(sketches[x], sketches[y]) >= similarity:
+        need = np.where((sizes[other] == SKETCH) | (sizes[x] == SKETCH), low, similarity * (sizes[other] + sizes[x] - common))
+        for y in other[common >= need]:
+            if now[y] == now[x]:
+                continue
+            verdict = sketch_verdict(sketches[x], sketches[y], similarity)
+            if verdict < 0:
+                if whole is None:
+                    undecided[[x, y]] = True
+                    continue
+                verdict = whole_similarity(whole[x], whole[y]) >= similarity
+            if verdict:
                 found.append((label[x], label[y]))
                 now[now == now[y]] = now[x]
-    return found
+    return found, undecided
+
+
+_JOINED = "src bigint, dst bigint, view int, print bigint, sub bigint, first boolean, digest bigint, label bigint"
 
 
 def _joined(similarity: float):
     def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by block pair; one that runs over the end of a batch is held back."""
+        """Rows come sorted by block pair; one that runs over the end of a batch is held back.
+
+        Returned are links (src, dst) and, where there are no whole sets, the rows that need them, without src and dst.
+        """
         kept: pd.DataFrame | None = None
 
         def linked(frame: pd.DataFrame) -> pd.DataFrame:
             found: list[tuple[int, int]] = []
+            rest = [frame.iloc[:0]]
             for _, g in frame.groupby(["view", "print", "sub"], sort=False):
                 if len(g) > 1:
-                    found += _joined_in_block(g["digest"].to_numpy(np.int64), g["label"].to_numpy(np.int64), g["first"].to_numpy(bool), g["sketch"].tolist(), similarity)
-            return pd.DataFrame(found, columns=["src", "dst"]).astype("int64")
+                    whole = g["whole"].tolist() if "whole" in g else None
+                    links, undecided = _joined_in_block(g["label"].to_numpy(np.int64), g["first"].to_numpy(bool), g["sketch"].tolist(), similarity, whole)
+                    found += links
+                    rest.append(g[undecided])
+            links = pd.DataFrame(found, columns=["src", "dst"]).astype("Int64")
+            rest = pd.concat(rest)[["view", "print", "sub", "first", "digest", "label"]]
+            return pd.DataFrame({c: pd.concat([links[c] if c in links else pd.Series([None] * len(links)), rest[c] if c in rest else pd.Series([None] * len(rest))], ignore_index=True).astype("boolean" if c == "first" else "Int64") for c in ("src", "dst", "view", "print", "sub", "first", "digest", "label")})
 
         for frame in frames:
             if kept is not None:
@@ -341,6 +409,17 @@ def _joined(similarity: float):
     return join
 
 
+def _regrouped(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after ``links`` (src, dst) between components, or nodes that have none."""
+    more = connected_components(links)
+    again = small(more.select(F.col("node").alias("was"), F.col("component").alias("now")))
+    moved = labels.join(again, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    alone = more.join(small(labels.select(F.col("node").alias("known"))), F.col("node") == F.col("known"), "left_anti")
+    out = materialize(moved.unionByName(alone), "groups")
+    discard(more)
+    return out
+
+
 def _open_blocks(buckets: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows (view, print, sub, first, digest, label, sketch) of the buckets that hold more than one component.
 
@@ -360,13 +439,23 @@ def _open_blocks(buckets: DataFrame, labels: DataFrame, nodes: DataFrame) -> Dat
     return d.join(nodes.select("digest", "sketch"), "digest")
 
 
-def similar_components(nodes: DataFrame, similarity: float) -> DataFrame:
+def similar_components(nodes: DataFrame, similarity: float, whole_sets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) over texts (digest, fp, views, sketch) that have a link; components of all candidate pairs.
 
     Candidates share a bucket: an equal view, or whole-text fingerprints in one component of links within 2 bits. Each
     bucket's rows are first compared with four of its members, which joins large groups of copies at a cost in
     proportion to their rows. Then every pair whose members are still in different components is compared, in blocks.
+
+    Pairs that the sketches can't decide are decided on the sets of all their shingle hashes: ``whole_sets`` gets a table
+    of digests and returns (digest, whole). Only rows of such pairs are asked for, once for the copies and once for the
+    blocks. Without it all sketches must be whole, that is of fewer than SKETCH hashes.
     """
+
+    def wholes(digests: DataFrame) -> DataFrame:
+        if whole_sets is None:
+            raise ValueError("some pairs are too near the bar for their sketches, and there are no whole sets")
+        return materialize(whole_sets(digests.distinct()), "wholes")
+
     prints = fingerprint_links(nodes.select("fp").distinct(), 2)
     close = connected_components(prints)
     whole = nodes.join(small(close), F.col("fp") == F.col("node"), "left").select("digest", F.lit(VIEWS).alias("view"), F.coalesce("component", "fp").alias("print"))
@@ -382,26 +471,47 @@ def similar_components(nodes: DataFrame, similarity: float) -> DataFrame:
     pairs = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
     left = nodes.select(F.col("digest").alias("a"), F.col("sketch").alias("sketch_a"))
     right = nodes.select(F.col("digest").alias("b"), F.col("sketch").alias("sketch_b"))
-    alike = pairs.join(left, "a").join(right, "b").where(_similarity()("sketch_a", "sketch_b") >= similarity)
-    labels = connected_components(alike.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-
-    dealt = _open_blocks(buckets.drop("hubs"), labels, nodes).repartition("view", "print", "sub").sortWithinPartitions("view", "print", "sub")
-    more = connected_components(dealt.mapInPandas(_joined(similarity), "src bigint, dst bigint").distinct())
-    again = small(more.select(F.col("node").alias("was"), F.col("component").alias("now")))
-    moved = labels.join(again, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
-    alone = more.join(small(labels.select(F.col("node").alias("known"))), F.col("node") == F.col("known"), "left_anti")
-    out = materialize(moved.unionByName(alone), "groups")
-    for used in (close, hubs, buckets, pairs, labels, more):
+    judged = pairs.join(left, "a").join(right, "b").select("a", "b", _verdict(similarity)("sketch_a", "sketch_b").alias("verdict"))
+    judged = materialize(judged.where("verdict <> 0"), "judged")
+    labels = connected_components(judged.where("verdict = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    near = judged.where("verdict = -1")
+    for end in ("a", "b"):
+        at = small(labels.select(F.col("node").alias(end), F.col("component").alias(f"at_{end}")))
+        near = near.join(at, end, "left").withColumn(f"at_{end}", F.coalesce(f"at_{end}", end))
+    near = materialize(near.where("at_a <> at_b").select("a", "b", "at_a", "at_b"), "near")
+    if not near.isEmpty():
+        sets = wholes(near.select(F.explode(F.array("a", "b")).alias("digest")))
+        for end in ("a", "b"):
+            near = near.join(sets.select(F.col("digest").alias(end), F.col("whole").alias(f"whole_{end}")), end)
+        near = near.where(_whole_similarity()("whole_a", "whole_b") >= similarity)
+        labels = _regrouped(labels, near.select(F.col("at_a").alias("src"), F.col("at_b").alias("dst")))
+        discard(sets)
+
+    deal = ["view", "print", "sub"]
+    dealt = _open_blocks(buckets.drop("hubs"), labels, nodes).repartition(*deal).sortWithinPartitions(*deal)
+    met = materialize(dealt.mapInPandas(_joined(similarity), _JOINED), "met")
+    groups = _regrouped(labels, met.where("src IS NOT NULL").select("src", "dst").distinct())
+    rest = met.where("src IS NULL").select(*deal, "first", "digest", F.col("label").alias("was"))
+    rest = rest.join(small(groups), F.col("digest") == F.col("node"), "left").select(*deal, "first", "digest", F.coalesce("component", "was").alias("label"))
+    mixed = rest.groupBy(*deal).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(*deal)
+    rest = materialize(rest.join(small(mixed), deal), "rest")
+    if not rest.isEmpty():
+        sets = wholes(rest.select("digest"))
+        dealt = rest.join(nodes.select("digest", "sketch"), "digest").join(sets, "digest").repartition(*deal).sortWithinPartitions(*deal)
+        groups = _regrouped(groups, dealt.mapInPandas(_joined(similarity), _JOINED).select("src", "dst").distinct())
+        discard(sets)
+    for used in (close, hubs, buckets, pairs, judged, labels, met, rest):
         discard(used)
-    return out
+    return groups
 
 
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, the one of the smallest doc_id; columns stay as they are.
 
-    Two texts are linked if their sets of word shingles have a Jaccard similarity of ``similarity`` or more (estimated
-    from 128 smallest hashes unless both texts have fewer shingles) and they were candidates: whole-text SimHashes
-    joined by links within 2 bits, met at anchors, or an equal SimHash in one of the views. Groups are the components;
+    Two texts are linked if their sets of word shingles have a Jaccard similarity of ``similarity`` or more and they were
+    candidates: whole-text SimHashes joined by links within 2 bits, met at anchors, or an equal SimHash in one of the
+    views. Sketches of the 128 smallest hashes decide pairs that are far from the bar (see RISK) or have fewer shingles;
+    all others are decided exactly, on both whole sets of shingle hashes. Groups are the components;
     no candidate pair of different components is left uncompared (see :func:`similar_components`).
 
     Texts that are equal but for ASCII case and white space are folded first.
@@ -415,7 +525,13 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))).alias("best")
     nodes = marks.groupBy("digest").agg(best, F.any_value("fp").alias("fp"), F.any_value("views").alias("views"), F.any_value("sketch").alias("sketch"), F.count("*").alias("n"))
     nodes = materialize(nodes, "nodes")
-    groups = similar_components(nodes, similarity)
+
+    def whole_sets(digests: DataFrame) -> DataFrame:
+        wanted = nodes.join(small(digests), "digest").select("digest", F.col("best.key").alias("_key"))
+        texts = docs.select("text", key.alias("_key")).join(small(wanted), "_key").select("digest", "text").dropDuplicates(["digest"])
+        return texts.select("digest", _whole_set(shingle)("text").alias("whole"))
+
+    groups = similar_components(nodes, similarity, whole_sets)
 
     placed = nodes.select("digest", "best", "n").join(small(groups), F.col("digest") == F.col("node"), "left").where("n > 1 OR node IS NOT NULL")
     placed = materialize(placed.select("digest", "best", F.coalesce("component", "digest").alias("root")), "placed")
