@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import fold
+from .common import fold, materialize
 
 #: Length of the vectors, letters of an n-gram, letter classes (0 is whatever parts words; rare letters share classes).
 DIM, GRAM, LETTERS = 1024, 3, 512
 UNKNOWN = "und"
-#: Cosine below which the pipeline's stage rejects a document.
-REJECT_BELOW = 0.01
+#: The pipeline's stage rejects a document whose cosine is under the bar of its length. Lengths are classes of n-grams by
+#: powers of two. A bar is the QUANTILE of the labelled rows' own scores in the class less NOISE, the deviation of the
+#: cosine of unrelated vectors, and never under REJECT_BELOW. A class with fewer labelled rows than LEAST takes the quantile
+#: of the next longer class times the root of 1/2 (few n-grams' cosines grow with the root of their number, more grow
+#: slower), or that of the next shorter one if no longer class has as many.
+REJECT_BELOW, QUANTILE, NOISE, LEAST = 0.01, 0.001, DIM**-0.5, 20
 #: Documents that share one matrix product.
 BLOCK = 64
 #: Languages that a model can hold; the prototypes are DIM numbers each, so this bounds what is sent to executors.
@@ -65,21 +69,22 @@ class Encoder:
             out = out * self.letters[k][codes % LETTERS]
         return out
 
-    def bundles(self, texts: list[str | None]) -> np.ndarray:
-        """(documents, DIM): the sum of all n-gram vectors of each text."""
-        out = np.zeros((len(texts), DIM), np.float32)
+    def bundles(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, DIM): the sum of all n-gram vectors of each text; and each text's number of n-grams."""
+        out, sizes = np.zeros((len(texts), DIM), np.float32), np.zeros(len(texts), np.int64)
         for at in range(0, len(texts), BLOCK):
             per = [np.unique(self.grams(t), return_counts=True) for t in texts[at : at + BLOCK]]
             codes, where = np.unique(np.concatenate([c for c, _ in per]), return_inverse=True)
             rows = np.repeat(np.arange(len(per)), [len(c) for c, _ in per])
             counts = np.concatenate([n for _, n in per])
+            sizes[at : at + len(per)] = [n.sum() for _, n in per]
             for lo in range(0, len(codes), 8192):
                 inside = (where >= lo) & (where < lo + 8192)
                 width = min(8192, len(codes) - lo)
                 dense = np.zeros((len(per), width), np.float32)
                 dense[rows[inside], where[inside] - lo] = counts[inside]
                 out[at : at + len(per)] += dense @ self.vectors(codes[lo : lo + width]).astype(np.float32)
-        return out
+        return out, sizes
 
 
 def _summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,12 +93,13 @@ def _summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: dict[str, dict[str, np.ndarray]] = {}
     for frame in frames:
         for lang, texts in frame.groupby("lang")["text"]:
-            codes, n = np.unique(np.concatenate([enc.grams(t) for t in texts]), return_counts=True)
-            if lang in held:
-                both = np.concatenate([held[lang]["codes"], codes])
-                codes, inverse = np.unique(both, return_inverse=True)
-                n = np.bincount(inverse, np.concatenate([held[lang]["n"], n]))
-            held[lang] = {"codes": codes, "n": n}
+            for at in range(0, len(texts), BLOCK):
+                codes, n = np.unique(np.concatenate([enc.grams(t) for t in texts.iloc[at : at + BLOCK]]), return_counts=True)
+                if lang in held:
+                    both = np.concatenate([held[lang]["codes"], codes])
+                    codes, inverse = np.unique(both, return_inverse=True)
+                    n = np.bincount(inverse, np.concatenate([held[lang]["n"], n]))
+                held[lang] = {"codes": codes, "n": n}
     rows = []
     for lang, h in held.items():
         total = np.zeros(DIM)
@@ -120,18 +126,19 @@ def fit_prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return names, protos.astype(np.float32)
 
 
-def with_language(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataFrame:
+def with_language(docs: DataFrame, names: list[str], prototypes: np.ndarray, sizes: str | None = None) -> DataFrame:
     """``docs`` plus lang_pred (the prototype of the largest cosine; ties: the first name) and score (that cosine, 0 to 1).
 
     * null text, or no letter in it: ``und``, score 0; so has every row if nothing was learned;
     * very long texts are read whole; repeated rows get equal rows; empty table: no rows;
-    * columns of the input named ``lang_pred`` or ``score`` are replaced. No other column is an input.
+    * columns of the input named ``lang_pred`` or ``score`` are replaced. No other column is an input;
+    * ``sizes`` names a further column for the number of n-grams.
     """
 
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         enc = Encoder()
         for texts in batches:
-            b = enc.bundles(list(texts))
+            b, n = enc.bundles(list(texts))
             norm = np.linalg.norm(b, axis=1)
             known = norm > 0 if len(names) else np.zeros(len(b), bool)
             cos = np.zeros((len(b), max(1, len(names))), np.float32)
@@ -140,12 +147,13 @@ def with_language(docs: DataFrame, names: list[str], prototypes: np.ndarray) ->
             best = cos.argmax(1)
             lang = [names[k] if ok else UNKNOWN for k, ok in zip(best, known)]
             score = np.where(known, np.clip(cos[np.arange(len(b)), best], 0, 1), 0.0).astype(np.float64)
-            yield pd.DataFrame({"lang_pred": lang, "score": np.round(score, 6)})
+            yield pd.DataFrame({"lang_pred": lang, "score": np.round(score, 6), "n": n})
 
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    udf = pandas_udf(predicted, "lang_pred string, score double")
+    udf = pandas_udf(predicted, "lang_pred string, score double, n bigint")
     d = docs.select(*[F.col(f"`{c}`") for c in own], udf("text").alias("_said"))
-    return d.select(*[F.col(f"`{c}`") for c in own], F.col("_said.lang_pred").alias("lang_pred"), F.col("_said.score").alias("score"))
+    more = [F.col("_said.n").alias(sizes)] if sizes else []
+    return d.select(*[F.col(f"`{c}`") for c in own], F.col("_said.lang_pred").alias("lang_pred"), F.col("_said.score").alias("score"), *more)
 
 
 def op6_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,10 +163,27 @@ def op6_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return with_language(docs.select("doc_id", held.alias("held_out"), "text"), names, protos).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def fit_bars(scored: DataFrame) -> list[float]:
+    """Bar of each length class 0 to 63, from the score and length class (``size``) of the labelled rows."""
+    rows = scored.groupBy("size").agg(F.percentile_approx("score", QUANTILE, 10_000).alias("low"), F.count("*").alias("n")).collect()
+    low = {r["size"]: r.low for r in rows if r.n >= LEAST}
+    for size in range(max(low, default=0) - 1, -1, -1):
+        low.setdefault(size, low[size + 1] * 0.5**0.5)
+    for size in range(1, 64):
+        low.setdefault(size, low.get(size - 1, 0.0))
+    return [max(REJECT_BELOW, low.get(size, 0.0) - NOISE) for size in range(64)]
+
+
 def keep_known_languages(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: learn from the labelled rows, drop rows without letters or unlike every language."""
+    """The pipeline's stage: learn from the labelled rows, drop rows without letters or unlike every language.
+
+    Unlike is a score under the bar of the row's length (see :func:`fit_bars`). Texts of a few n-grams have scores so
+    near to noise that their bar lets most of anything pass; so it is if hardly any row is labelled.
+    """
     names, protos = fit_prototypes(docs)
     own = docs.columns
-    marked = with_language(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "text"), names, protos)
-    kept = marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= REJECT_BELOW))
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col("lang").isNotNull().alias("labelled"), "text")
+    marked = materialize(with_language(given, names, protos, "n").where(F.col("lang_pred") != UNKNOWN).drop("text").withColumn("size", F.floor(F.log2("n")).cast("int")), "languages")
+    bars = fit_bars(marked.where("labelled"))
+    kept = marked.where(F.col("score") >= F.element_at(F.array(*[F.lit(x) for x in bars]), F.col("size") + 1))
     return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in own])
