@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-#: Lines of a sliding window; characters in a window that make a surge; characters below which a window is a dive.
-WINDOW, SURGE, DIVE = 3, 80, 1
+#: Lines of a sliding window; characters in it that always make a surge; the share of the page's largest window that does.
+WINDOW, SURGE, SHARE = 3, 80, 0.5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -25,23 +26,30 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hr html legend li main menu nav ol option optgroup p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_BOILERPLATE = frozenset("aside button dialog fieldset footer form head header label menu nav".split())
+_BOILERPLATE = frozenset("aside button dialog fieldset footer form header label menu nav".split())
 _MAIN = frozenset(("article", "main"))
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|breadcrumbs?|comments?|disqus|repl(?:y|ies)|respond|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay"
-    r"|newsletter|subscri\w+|sidebar|side-?bar|widget|related|recommend\w*|share|sharing|social|nav\w*|menu|footer|header|masthead|copyright|pagination|pager|login|signup|search)(?:$|[\s_-])",
-    re.I,
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names of parts that are not the article: alone, or with a word before or after that says whose or what kind of part it is.
+_PART = (
+    r"(?:ads?|advert\w*|sponsor\w*|promos?|promotions?|banners?|breadcrumbs?|comments?|discussion|disqus|repl(?:y|ies)|respond|cookies?|consent|gdpr|notices?|notifications?"
+    r"|alerts?|popups?|modals?|overlays?|newsletters?|subscri\w+|sidebars?|side-bars?|widgets?|related|recommend\w*|share|sharing|social|nav|navbar|navigation|menus?"
+    r"|footer|masthead|copyright|pagination|pager|login|signin|signup|register|search)"
 )
+_BEFORE = r"(?:site|page|main|top|bottom|left|right|global|user|reader|post|article|entry|mobile|primary|secondary|sticky|js|c|l|o|m)"
+_AFTER = r"(?:box|bar|block|list|section|area|container|wrapper|wrap|inner|outer|content|items?|links?|buttons?|form|panel|threads?|posts?|unit|slot|top|bottom|left|right|main|\d+)"
+_HINT = re.compile(rf"(?:{_BEFORE}[_-]+)*{_PART}(?:[_-]+(?:{_PART}|{_AFTER}))*", re.I)
+#: A header holds the title inside of an article, and menus elsewhere.
+_HEADER = re.compile(rf"(?:(?:site|page|main|top|global|mobile|sticky|js|c|l)[_-]+)*header(?:[_-]+{_AFTER})*", re.I)
 _ROLE = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|alertdialog|menu|menubar|toolbar)$", re.I)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def _marked(name: str, attrs: str) -> bool:
+def _marked(name: str, attrs: str, main: bool) -> bool:
     """Whether an element's attributes name it as something other than the article."""
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key in ("class", "id") and name not in ("html", "body", "article", "main", "p") and _HINT.search(value):
+        if key in ("class", "id") and name not in ("html", "body", "article", "main", "p") and any(_HINT.fullmatch(w) or (not main and _HEADER.fullmatch(w)) for w in value.split()):
             return True
         if key == "role" and _ROLE.match(value.strip()) and name not in ("html", "body"):
             return True
@@ -50,28 +58,53 @@ def _marked(name: str, attrs: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """The page's lines: (text, inside boilerplate, inside an article or main element), one a block, in page order.
+class Line(NamedTuple):
+    """A stripped line: its text, how many of its characters are inside links, and what the tags around it say."""
+
+    text: str
+    linked: int
+    junk: bool
+    main: bool
+    heading: bool
+
+
+def lines_of(page: str) -> list[Line]:
+    """The page's lines, one a block, in page order.
 
     Every tag is stripped; block tags end a line, inline tags don't and ``br`` is white space. Character references are
-    decoded after the markup is gone.
+    decoded after the markup is gone. A header inside of an article is part of it, since it holds the title.
     """
-    out: list[tuple[str, bool, bool]] = []
+    out: list[Line] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []
-    junk = main = 0
+    junk = main = links = linked = headings = 0
+
+    def add(text: str) -> None:
+        nonlocal linked
+        parts.append(text)
+        linked += len(text.strip()) if links else 0
 
     def end_line() -> None:
+        nonlocal linked
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                out.append((text, junk > 0, main > 0))
+                out.append(Line(text, min(linked, len(text)), junk > 0, main > 0, headings > 0))
+        linked = 0
+
+    def left(entry: tuple[str, bool, bool]) -> None:
+        nonlocal junk, main, links, headings
+        was, j, a = entry
+        junk -= j
+        main -= a
+        links -= was == "a"
+        headings -= was in _HEADING
 
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
@@ -85,71 +118,95 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         if m["close"]:
             if any(s[0] == name for s in stack):
                 while stack:
-                    was, j, a = stack.pop()
-                    junk -= j
-                    main -= a
-                    if was == name:
+                    entry = stack.pop()
+                    left(entry)
+                    if entry[0] == name:
                         break
             continue
         if name in ("body", *_MAIN) and junk and not main:  # an element left open before can't hold the article
-            for k, (was, j, a) in enumerate(stack):
-                stack[k] = (was, False, a)
+            stack = [(was, False, a) for was, _, a in stack]
             junk = 0
+        if name in _BLOCK and links:  # a link left open ends with its block
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == "a":
+                    left(stack.pop(k))
         if name == "p":
             while stack and stack[-1][0] == "p":
-                stack.pop()
-        if name in _BLOCK or m["attrs"]:
-            is_junk = name in _BOILERPLATE or _marked(name, m["attrs"])
+                left(stack.pop())
+        if name in _BLOCK or m["attrs"] or name in _BOILERPLATE or name == "a":
+            is_junk = name in _BOILERPLATE and not (name == "header" and main) or _marked(name, m["attrs"], main > 0)
             is_main = name in _MAIN and not junk
             stack.append((name, is_junk, is_main))
             junk += is_junk
             main += is_main
-        elif name in _BOILERPLATE:
-            stack.append((name, True, False))
-            junk += 1
+            links += name == "a"
+            headings += name in _HEADING
     if at < len(page):
-        parts.append(page[at:])
+        add(page[at:])
     end_line()
     return out
 
 
-def _cut(lengths: list[int], surge: int) -> list[tuple[int, int]]:
-    """Line-block distribution: ranges of lines between a surge and the dive that follows.
+def masses(lines: list[Line]) -> list[int]:
+    """What each line adds to the distribution: tags weigh the length of its text.
 
-    A window's sum covers WINDOW lines from its first. A surge is the first window of at least ``surge`` characters
-    whose own first line has text; the dive is where a window falls below DIVE. Text lines right before a surge belong
-    to it (a short heading), so a range begins after the last empty line before.
+    Text counts with its length and characters inside links count against it, so menus and link lists have none or less.
+    Lines in elements that name themselves something else, or outside of the page's article element where it has one,
+    count as less than nothing. Each line inside an article element gets SURGE on top, however short or linked it is.
     """
-    n = len(lengths)
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
-    ranges, i = [], 0
+    has_main = any(x.main and not x.junk for x in lines)
+    out = []
+    for x in lines:
+        n = len(x.text)
+        if x.junk or (has_main and not x.main):
+            out.append(-n)
+        else:
+            out.append(n + SURGE if x.main else n - 2 * x.linked)
+    return out
+
+
+def ranges_of(m: list[int]) -> list[tuple[int, int]]:
+    """Line-block distribution: ranges of lines from a surge to the dive that follows.
+
+    The rise at a line is the sum of the run of positive masses that begins there, over WINDOW lines at most. A surge is a
+    rise of SURGE or more, or of SHARE of the page's largest rise if that is less, so that a short article surges too. A
+    dive is the first line after it that has no mass of its own and begins a window whose whole sum isn't positive.
+    """
+    n = len(m)
+    rise = [0] * n
+    for i in range(n):
+        for k in range(i, min(i + WINDOW, n)):
+            if m[k] <= 0:
+                break
+            rise[i] += m[k]
+    surge = min(SURGE, SHARE * max(rise, default=0))
+    found, i = [], 0
     while i < n:
-        if sums[i] >= surge and lengths[i]:
-            begin = i
-            while begin and lengths[begin - 1] and (not ranges or begin > ranges[-1][1]):
-                begin -= 1
-            end = i
-            while end < n and sums[end] >= DIVE:
-                end += 1
-            ranges.append((begin, end))
-            i = end
-        i += 1
-    return ranges
+        if m[i] <= 0 or rise[i] < surge:
+            i += 1
+            continue
+        end = i + 1
+        while end < n and (m[end] > 0 or sum(m[end : end + WINDOW]) > 0):
+            end += 1
+        found.append((i, end))
+        i = end
+    return found
 
 
 def main_text(page: str | None) -> str:
     """Article text of one page: blocks joined by newlines, empty if there is none.
 
-    Lines inside boilerplate elements (by tag, role, class or id) have length 0 in the distribution, and so have lines
-    outside of the article where the page marks one; in a marked article any text is a surge. Ranges between surge and
-    dive are kept, without the lines of length 0 in them.
+    The lines between surge and dive points stay (see :func:`ranges_of`). Within a range, lines are left out that are in
+    elements of other parts; at its end, headings outside of an article element go, since they head what the dive leaves.
     """
     lines = lines_of(page or "")
-    marked = any(a and not j for _, j, a in lines)
-    lengths = [0 if j or (marked and not a) else len(t) for t, j, a in lines]
+    m = masses(lines)
+    has_main = any(x.main and not x.junk for x in lines)
     kept = []
-    for begin, end in _cut(lengths, 1 if marked else SURGE):
-        kept += [lines[k][0] for k in range(begin, end) if lengths[k]]
+    for begin, end in ranges_of(m):
+        while end > begin + 1 and (m[end - 1] <= 0 or (lines[end - 1].heading and not lines[end - 1].main)):
+            end -= 1
+        kept += [x.text for x in lines[begin:end] if not x.junk and (x.main or not has_main)]
     return "\n".join(kept)
 
 
@@ -160,7 +217,7 @@ def _main_texts(pages: pd.Series) -> pd.Series:
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` with ``html`` replaced by ``text`` (the main text) and ``n_chars`` (its code points).
 
-    * null or empty html, or a page without any article-like text: empty text, 0;
+    * null or empty html, or a page whose text is all in menus, notices and the like: empty text, 0;
     * very long pages are read whole, in one pass; truncated markup ends with the page;
     * repeated rows get equal rows; empty table: no rows; input columns named ``text`` or ``n_chars`` are replaced.
     """
