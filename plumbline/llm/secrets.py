@@ -17,30 +17,37 @@ from pyspark.sql.functions import pandas_udf
 
 @dataclass(frozen=True)
 class Rule:
-    """``find`` gives the spans (leftmost, non-overlapping, greedy); ``least`` of its ``group`` must be reached, else
-    the match is dropped; ``detect`` matches inside every match that counts and is what the automaton looks for. Its
-    counters are shorter than the rule's, since the automaton needs a state for every combination of open counters."""
+    """Matches are leftmost and don't overlap: ``head``, then the whole run of bytes of the class ``tail`` (if there is one).
+
+    The run needs ``least`` bytes. With ``consumes`` a match whose run is too short is dropped but takes its text, as if
+    the rule were head and one or more of the class; without, it doesn't count as a match. A head must not hold another
+    whole head of the same rule, and a rule without a head begins at its run.
+    """
 
     kind: str
-    find: str
-    detect: str
+    head: str = ""
+    tail: str = ""
+    least: int = 1
     flags: int = 0
-    group: int = 0
-    least: int = 0
+    consumes: bool = False
+
+    @property
+    def detect(self) -> str:
+        """What the automaton looks for: the head and the first byte of the run, or the shortest run if there is no head."""
+        return self.head + self.tail if self.head else f"{self.tail}{{{self.least}}}"
 
 
 _LINK = r"""["']?\x20*[:=]\x20*["']?"""
-_WORDS = r"(password|passwd|secret|token|api_?key)"
 #: The three base kinds, then the kinds that this method adds, in the order of the output.
 BASE = ("assign", "access", "hex")
 RULES = (
-    Rule("assign", _WORDS + _LINK + r"([A-Za-z0-9+/_.=-]+)", _WORDS + _LINK + r"[A-Za-z0-9+/_.=-]{4}", re.I, 2, 12),
-    Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{4}", 0, 0, 18),
-    Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{16}", 0, 0, 16),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{20,}", r"gh[pousr]_[A-Za-z0-9]{4}"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"xox[abprs]-[A-Za-z0-9-]{4}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"eyJ[A-Za-z0-9_-]{4}"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("assign", r"(?:password|passwd|secret|token|api_?key)" + _LINK, r"[A-Za-z0-9+/_.=-]", 12, re.I, True),
+    Rule("access", r"AKIA", r"[A-Z0-9]", 14, 0, True),
+    Rule("hex", "", r"[0-9a-f]", 16, 0, True),
+    Rule("github", r"gh[pousr]_", r"[A-Za-z0-9]", 20),
+    Rule("slack", r"xox[abprs]-", r"[A-Za-z0-9-]", 10),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.", r"[A-Za-z0-9_-]", 8),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 #: Bytes of a segment before the next place where the automaton is surely at its start.
 SEGMENT = 512
@@ -61,6 +68,9 @@ class _Nfa:
         self.step.append(None)
         return len(self.eps) - 1
 
+    def bytes_of(self, parsed, fold: bool) -> frozenset[int]:
+        return self._bytes(*parsed, fold)
+
     def _bytes(self, op, arg, fold: bool) -> frozenset[int]:
         if op is rc.LITERAL:
             found = {arg}
@@ -117,54 +127,49 @@ class _Nfa:
 
 @dataclass
 class Automaton:
-    """``move[state * n_classes + byte_class[byte]]``; ``flags``: bit r of a state is set where rule r has just matched."""
+    """``move[state + byte_class[byte]]`` is the next state; states are multiples of the number of byte classes.
+
+    States from ``first_flag`` on have a rule that has just matched: bit r of ``flags[state // n_classes]``. After a byte of
+    ``resets`` every state is the start, 0. ``back[r]`` reads a match of rule r backwards and flags its possible begins;
+    ``tails[r]`` marks the bytes of the rule's run.
+    """
 
     byte_class: np.ndarray
     n_classes: int
     move: np.ndarray
     flags: np.ndarray
+    first_flag: int
     resets: np.ndarray
+    back: list[tuple[list[list[int]], list[bool]]]
+    tails: list[np.ndarray]
 
     @property
     def n_states(self) -> int:
         return len(self.flags)
 
 
-def compile_rules(rules=RULES) -> Automaton:
-    """Subset construction of all detectors, searched from every position, then minimisation by partition refinement."""
-    nfa = _Nfa()
-    root = nfa.state()
-    final: dict[int, int] = {}
-    for r, rule in enumerate(rules):
-        first = nfa.state()
-        nfa.eps[root].append(first)
-        final[nfa.add(rp.parse(rule.detect, rule.flags), first, bool(rule.flags & re.I))] = r
-    sets = sorted({s[0] for s in nfa.step if s}, key=sorted)
-    signature = [tuple(b in s for s in sets) for b in range(256)]
-    kinds = {k: i for i, k in enumerate(dict.fromkeys(signature))}
-    byte_class = np.array([kinds[k] for k in signature], np.int64)
-    member = {s: [kinds[k] for k in kinds if k[i]] for i, s in enumerate(sets)}
+def _subsets(starts: set[int], eps, steps, final: dict[int, int], kinds, again: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(moves, flags) by subset construction over byte kinds; ``again`` restarts the search at every byte."""
 
     def closure(states) -> frozenset[int]:
         seen, todo = set(states), list(states)
         while todo:
-            for t in nfa.eps[todo.pop()]:
+            for t in eps[todo.pop()]:
                 if t not in seen:
                     seen.add(t)
                     todo.append(t)
-        return frozenset(s for s in seen if nfa.step[s] or s in final)
+        return frozenset(s for s in seen if steps[s] or s in final)
 
-    start = closure([root])
+    start = closure(starts)
     number, queue, rows = {start: 0}, [start], []
     closed: dict[int, frozenset[int]] = {}
     for now in queue:
-        reached: list[set[int]] = [set(start) for _ in kinds]
+        reached: list[set[int]] = [set(start) if again else set() for _ in kinds]
         for s in now:
-            if nfa.step[s]:
-                allowed, to = nfa.step[s]
+            for allowed, to in steps[s]:
                 if to not in closed:
                     closed[to] = closure([to])
-                for c in member[allowed]:
+                for c in allowed:
                     reached[c] |= closed[to]
         row = []
         for states in map(frozenset, reached):
@@ -173,36 +178,80 @@ def compile_rules(rules=RULES) -> Automaton:
                 queue.append(states)
             row.append(number[states])
         rows.append(row)
-    move = np.array(rows)
-    flags = np.array([sum({1 << final[s] for s in q if s in final}) for q in queue])
+    flags = np.array([sum({1 << final[s] for s in q if s in final}) for q in queue], np.int64)
+    return np.array(rows, np.int64), flags
+
+
+def _minimised(move: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Moore's partition refinement; the start stays state 0 and states with flags come last."""
     block = np.unique(flags, return_inverse=True)[1]
-    while True:  # Moore's refinement
+    while True:
         new = np.unique(np.column_stack([block, block[move]]), axis=0, return_inverse=True)[1].ravel()
         if new.max() == block.max():
             break
         block = new
     first = np.unique(block, return_index=True)[1]
-    order = np.argsort(np.where(np.arange(len(first)) == block[0], -1, np.arange(len(first))), kind="stable")
+    kind = np.where(flags[first] > 0, 1, 0)
+    kind[block[0]] = -1  # no rule matches the empty text, so the start has no flag
+    order = np.argsort(kind, kind="stable")
     rank = np.empty(len(first), np.int64)
     rank[order] = np.arange(len(first))
-    move, flags = rank[block[move[first[order]]]], flags[first[order]]
+    return rank[block[move[first[order]]]], flags[first[order]]
+
+
+def compile_rules(rules=RULES) -> Automaton:
+    """One automaton that finds every rule's head, and small ones that read a found match backwards to its begin."""
+    nfa = _Nfa()
+    root = nfa.state()
+    ends, firsts = [], []
+    for rule in rules:
+        first = nfa.state()
+        nfa.eps[root].append(first)
+        firsts.append(first)
+        ends.append(nfa.add(rp.parse(rule.detect, rule.flags), first, bool(rule.flags & re.I)))
+    tails = []
+    for rule in rules:
+        table = np.zeros(256, bool)
+        if rule.tail:
+            table[sorted(nfa.bytes_of(rp.parse(rule.tail, rule.flags)[0], bool(rule.flags & re.I)))] = True
+        tails.append(table)
+    sets = sorted({s[0] for s in nfa.step if s}, key=sorted)
+    signature = [tuple(b in s for s in sets) for b in range(256)]
+    kinds = {k: i for i, k in enumerate(dict.fromkeys(signature))}
+    byte_class = np.array([kinds[k] for k in signature], np.int64)
+    member = {s: [kinds[k] for k in kinds if k[i]] for i, s in enumerate(sets)}
+
+    steps = [[(member[s[0]], s[1])] if s else [] for s in nfa.step]
+    move, flags = _minimised(*_subsets({root}, nfa.eps, steps, {e: r for r, e in enumerate(ends)}, kinds, True))
+    n = len(kinds)
     home = (move == 0).all(0)
-    return Automaton(byte_class.astype(np.uint8), len(kinds), move.ravel().astype(np.int64), flags.astype(np.int64), np.flatnonzero(home[byte_class]).astype(np.uint8))
+
+    turned = [[] for _ in nfa.step]
+    eps = [[] for _ in nfa.eps]
+    for at, s in enumerate(nfa.step):
+        if s:
+            turned[s[1]].append((member[s[0]], at))
+        for to in nfa.eps[at]:
+            eps[to].append(at)
+    back = []
+    for first, end in zip(firsts, ends):
+        m, f = _minimised(*_subsets({end}, eps, turned, {first: 0}, kinds, False))
+        back.append((m[:, byte_class].tolist(), (f > 0).tolist()))
+    plain = int((flags == 0).sum())
+    return Automaton(byte_class, n, (move * n).ravel(), flags, plain * n, np.flatnonzero(home[byte_class]).astype(np.uint8), back, tails)
 
 
 # ---------------------------------------------------------------- scanning
 
 
-def flagged_segments(auto: Automaton, docs: list[bytes]) -> list[tuple[int, int, int, int]]:
-    """(document, start, stop, rules) of the segments in which a detector matched, in one pass over all bytes.
+def hits_of(auto: Automaton, data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, rules as bits), ascending: the bytes at which a rule's head and first byte of its run end.
 
-    Segments begin at a document's start or after a byte that brings every state back to the start, so no match
-    crosses their borders. All segments of a batch step through the automaton together.
+    One pass over all bytes. Segments begin at a document's start or after a byte that brings every state back to the
+    start, so no head crosses their borders. All segments of a batch step through the automaton together.
     """
-    data = np.frombuffer(b"".join(docs), np.uint8)
     if not len(data):
-        return []
-    lens = np.array([len(d) for d in docs])
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     begins = np.cumsum(lens) - lens
     is_reset = np.zeros(256, bool)
     is_reset[auto.resets] = True
@@ -214,38 +263,74 @@ def flagged_segments(auto: Automaton, docs: list[bytes]) -> list[tuple[int, int,
     order = np.argsort(starts - stops, kind="stable")  # longest first
     at, size = starts[order], (stops - starts)[order]
     classes = auto.byte_class[data]
-    state, hits = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    state = np.zeros(len(at), np.int64)
     active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # how many are longer than t
+    where, what = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for t in range(int(size[0])):
         n = int(active[t])
-        state[:n] = auto.move[state[:n] * auto.n_classes + classes[at[:n] + t]]
-        hits[:n] |= auto.flags[state[:n]]
-    out = []
-    for k in np.flatnonzero(hits):
-        doc = int(np.searchsorted(begins, at[k], side="right")) - 1
-        while lens[doc] == 0:
-            doc -= 1
-        a = int(at[k] - begins[doc])
-        out.append((doc, a, a + int(size[k]), int(hits[k])))
-    return sorted(out)
+        now = state[:n] = auto.move[state[:n] + classes[at[:n] + t]]
+        hit = np.flatnonzero(now >= auto.first_flag)
+        if len(hit):
+            where.append(at[hit] + t)
+            what.append(auto.flags[now[hit] // auto.n_classes])
+    position, bits = np.concatenate(where), np.concatenate(what)
+    order = np.argsort(position)
+    return position[order], bits[order]
+
+
+def _begin(back: tuple[list[list[int]], list[bool]], doc: bytes, at: int, floor: int) -> int:
+    """The leftmost begin, not before ``floor``, of a match whose head ends at ``at``; -1 if there is none."""
+    move, accept = back
+    state, found = 0, -1
+    while at >= floor:
+        state = move[state][doc[at]]
+        if accept[state]:
+            found = at
+        elif move[state] == [state] * 256:  # nothing longer can match
+            break
+        at -= 1
+    return found
+
+
+def _run_end(table: np.ndarray, doc: np.ndarray, at: int) -> int:
+    """The first position from ``at`` on whose byte is not in the class."""
+    step = 64
+    while at < len(doc):
+        out = np.flatnonzero(~table[doc[at : at + step]])
+        if len(out):
+            return at + int(out[0])
+        at, step = min(at + step, len(doc)), step * 4
+    return at
 
 
 def spans_of(auto: Automaton, texts: list[str | None], rules=RULES) -> list[list[tuple[int, int, int]]]:
     """For each text its (start, rule, end) in code points, ends exclusive, sorted by start and rule."""
     docs = [(t or "").encode("utf-8", "replace") for t in texts]
+    data = np.frombuffer(b"".join(docs), np.uint8)
+    lens = np.array([len(d) for d in docs], np.int64)
     found: list[list[tuple[int, int, int]]] = [[] for _ in docs]
-    exact = [re.compile(r.find.encode(), r.flags) for r in rules]
-    for doc, a, b, bits in flagged_segments(auto, docs):
-        for k, rule in enumerate(rules):
-            if bits >> k & 1:
-                for m in exact[k].finditer(docs[doc][a:b]):
-                    if len(m[rule.group]) >= rule.least:
-                        found[doc].append((a + m.start(), k, a + m.end()))
-    for doc, spans in enumerate(found):
+    position, bits = hits_of(auto, data, lens)
+    begins = np.cumsum(lens) - lens
+    owner = np.searchsorted(begins + lens, position, side="right")
+    floor: dict[tuple[int, int], int] = {}
+    for at, bit, k in zip((position - begins[owner]).tolist() if len(owner) else [], bits.tolist(), owner.tolist()):
+        for r, rule in enumerate(rules):
+            if not bit >> r & 1 or at < (low := floor.get((k, r), 0)):
+                continue
+            begin = _begin(auto.back[r], docs[k], at, low)
+            if begin < 0:
+                continue
+            end = _run_end(auto.tails[r], data[begins[k] : begins[k] + lens[k]], at + 1)
+            whole = end - (at if rule.head else begin) >= rule.least or not rule.tail
+            if whole:
+                found[k].append((begin, r, end))
+            if whole or rule.consumes:
+                floor[k, r] = end
+    for k, spans in enumerate(found):
         if spans:
-            lead = np.cumsum((np.frombuffer(docs[doc], np.uint8) & 0xC0) != 0x80)
-            point = lambda at: int(lead[at - 1]) if at else 0
-            found[doc] = sorted((point(a), k, point(b)) for a, k, b in spans)
+            lead = np.cumsum((np.frombuffer(docs[k], np.uint8) & 0xC0) != 0x80)
+            point = lambda at, lead=lead: int(lead[at - 1]) if at else 0
+            found[k] = sorted((point(a), r, point(b)) for a, r, b in spans)
     return found
 
 
