@@ -1,9 +1,8 @@
-"""Language-model scores from a log-bilinear model trained with noise-contrastive estimation."""
+"""Language-model scores from a class-factored log-bilinear model trained with noise-contrastive estimation."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,16 +14,24 @@ from pyspark.sql import functions as F
 
 from .common import fold, materialize
 
-#: Classes of the neural model: begin (context only), rare words, end, and the most frequent words.
-BEGIN, RARE, END, CLASSES = 0, 1, 2, 1024
-#: Vector length, noise samples of a batch, tokens of a batch, step size.
-DIM, NOISE, BATCH, STEP = 32, 32, 8192, 0.08
-#: Bound of the table of frequent words that is sent to executors (12 bytes each).
+#: Codes of the model: begin (context only), all words without a code of their own, end; then words by falling count.
+BEGIN, RARE, END, FIRST = 0, 1, 2, 3
+#: Words with a code and vectors of their own: all that occur, up to what 16 bits can number.
+WORDS = (1 << 16) - FIRST
+#: Classes that the words are dealt to; a token's probability is its class's times its own within the class.
+CLASSES = 256
+#: Vector length; noise classes of a batch; noise words of a token; tokens of a batch; step size.
+DIM, NOISE, INNER, BATCH, STEP = 16, 32, 2, 8192, 0.1
+#: Bound of the table of frequent words that is sent to executors (16 bytes each).
 HEAD_WORDS = 500_000
-#: Bound of the sample that gives all tasks a common start.
+#: Bound of the sample that gives all shards a common start.
 WARM_DOCS = 2_000
-#: Numbers of a block when trained parameters are averaged.
-PIECE = 2048
+#: Training tokens of a shard, about; tokens that are shuffled together in it.
+SHARD_TOKENS, CHUNK = 1 << 22, 1 << 18
+#: Numbers of a block when trained parameters are averaged; models that one task averages.
+PIECE, FAN = 1 << 14, 16
+#: Tokens that are scored in one matrix product.
+SCORED = 1 << 14
 END_HASH = int(np.uint64(xxhash.xxh64_intdigest(b"\n")).view(np.int64))
 
 
@@ -69,100 +76,213 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"h": hashes, "n": counts})
 
 
-# ---------------------------------------------------------------- the model
+# ---------------------------------------------------------------- vocabulary
 
+#: A vocabulary is a plain dict, so that a broadcast of it needs nothing but numpy on the executors: tokens and types (of the
+#: training texts), hashes (sorted), counts and codes of the frequent words, starts (first code of each class, then the
+#: number of codes), mass (training tokens of each code), rare_mass (what a word without a code is a share of).
+Vocabulary = dict
 
-@dataclass
-class LogBilinear:
-    """P(w | u, v): softmax over w of (r_u c1 + r_v c2) . q_w + b_w, u two tokens and v one token before."""
 
-    r: np.ndarray
-    q: np.ndarray
-    c: np.ndarray
-    b: np.ndarray
+def look_up(vocab: Vocabulary, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(count, code) of hashes; count -1 for words that are not among the frequent ones."""
+    if not len(vocab["hashes"]):
+        return np.full(len(hashes), -1, np.int64), np.where(hashes == END_HASH, END, RARE)
+    at = np.minimum(np.searchsorted(vocab["hashes"], hashes), len(vocab["hashes"]) - 1)
+    hit = vocab["hashes"][at] == hashes
+    return np.where(hit, vocab["counts"][at], -1), np.where(hashes == END_HASH, END, np.where(hit, vocab["codes"][at], RARE))
 
-    @classmethod
-    def start(cls, noise: np.ndarray) -> LogBilinear:
-        rng = np.random.default_rng(5)
-        n = len(noise)
-        return cls(rng.normal(0, 0.1, (n, DIM)).astype(np.float32), rng.normal(0, 0.1, (n, DIM)).astype(np.float32), np.array([[0.5], [1.0]], np.float32) * np.ones((1, DIM), np.float32), np.log(noise).astype(np.float32))
 
-    def vector(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.q, self.c, self.b)])
+def class_starts(counts: np.ndarray) -> np.ndarray:
+    """First code of each class and the number of codes: RARE and END alone, then words in runs of equal root counts."""
+    total = np.cumsum(np.sqrt(counts))
+    n = min(CLASSES - 2, len(counts))
+    if not n:
+        return np.array([RARE, END, FIRST])
+    group = np.minimum((total - np.sqrt(counts)) / total[-1] * n, n - 1).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    return np.r_[RARE, END, FIRST + first, FIRST + len(counts)]
+
+
+def fit_vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
+    """From (h, c) of all training tokens; also the count from which a word is frequent.
+
+    A histogram of the counts finds the lowest count at which HEAD_WORDS words at most are frequent.
+    """
+    level = F.floor(F.log2("c") * 64).cast("int")
+    bars = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum("c").alias("tokens"), F.min("c").alias("low")).collect()
+    tokens, types = sum(b.tokens for b in bars), sum(b.words for b in bars)
+    taken, cut = 0, 1 << 62
+    for b in sorted(bars, key=lambda b: -b.level):
+        if taken + b.words > HEAD_WORDS:
+            break
+        taken, cut = taken + b.words, b.low
+    head = counts.where(F.col("c") >= cut).select("h", "c").toArrow()
+    h, c = head["h"].to_numpy(), head["c"].to_numpy()
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    words = np.flatnonzero(h != END_HASH)
+    ranked = words[np.lexsort((h[words], -c[words]))][:WORDS]
+    codes = np.full(len(h), RARE, np.int32)
+    codes[ranked] = np.arange(FIRST, FIRST + len(ranked))
+    ends = int(c[h == END_HASH].sum())
+    mass = np.zeros(FIRST + len(ranked))
+    mass[FIRST:] = c[ranked]
+    rare_tokens, rare_types = tokens - int(c[ranked].sum()) - ends, types - len(ranked) - bool(ends)
+    mass[RARE], mass[END] = rare_tokens, ends
+    vocab = {"tokens": tokens, "types": types, "hashes": h, "counts": c, "codes": codes, "starts": class_starts(c[ranked]), "mass": mass, "rare_mass": float(rare_tokens + rare_types + 1)}
+    return vocab, cut
+
+
+# ---------------------------------------------------------------- the model
 
-    @classmethod
-    def of(cls, flat: np.ndarray, n: int) -> LogBilinear:
-        a, z = n * DIM, 2 * n * DIM
-        flat = flat.astype(np.float32)
-        return cls(flat[:a].reshape(n, DIM), flat[a:z].reshape(n, DIM), flat[z : z + 2 * DIM].reshape(2, DIM), flat[z + 2 * DIM :])
 
-    def copy(self) -> LogBilinear:
-        return LogBilinear(self.r.copy(), self.q.copy(), self.c.copy(), self.b.copy())
+def shapes(vocab: Vocabulary) -> list[tuple[int, ...]]:
+    n, k = len(vocab["mass"]), len(vocab["starts"]) - 1
+    return [(n, DIM), (2, DIM), (k, DIM), (k,), (k + 1, DIM), (n, DIM), (n,)]
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first, second, norm): log P(w | u, v) = first[u, w] + second[v, w] - norm[u, v].
 
-        The normaliser of a pair is the sum over w of exp(first) exp(second), so one matrix product has all of them.
-        """
-        first = (self.r * self.c[0]) @ self.q.T
-        second = (self.r * self.c[1]) @ self.q.T + self.b
-        top1, top2 = first[:, 1:].max(1, keepdims=True), second[:, 1:].max(1, keepdims=True)
-        z = np.exp(first[:, 1:] - top1) @ np.exp(second[:, 1:] - top2).T  # BEGIN is never predicted
-        return first, second, np.log(np.maximum(z, 1e-37)) + top1 + top2.T
+class LogBilinear:
+    """P(w | u, v) = P(class of w | u, v) P(w | its class, class of v), u two tokens and v one token before.
+
+    Classes k: softmax of (r_u c_1 + r_v c_2) . a_k + d_k. Words of a class: softmax of s_(class of v) . q_w + b_w.
+    """
 
+    def __init__(self, vocab: Vocabulary, flat: np.ndarray) -> None:
+        self.starts, at, parts = vocab["starts"], 0, []
+        for shape in shapes(vocab):
+            size = int(np.prod(shape))
+            parts.append(flat[at : at + size].reshape(shape).astype(np.float32))
+            at += size
+        self.r, self.c, self.a, self.d, self.s, self.q, self.b = self.parts = parts
+        sizes = np.diff(self.starts)
+        self.class_of = np.r_[len(sizes), np.repeat(np.arange(len(sizes)), sizes)]  # BEGIN has a class as a context only
+        self.several = sizes[self.class_of[1:]] > 1  # whether the class of code i + 1 has other words
+
+    @classmethod
+    def start(cls, vocab: Vocabulary) -> LogBilinear:
+        rng = np.random.default_rng(5)
+        m = cls(vocab, np.concatenate([rng.normal(0, 0.1, int(np.prod(s))).astype(np.float32) for s in shapes(vocab)]))
+        m.c[:] = [[0.5], [1.0]]
+        m.d[:] = np.log(class_noise(vocab))
+        m.b[:] = np.log(word_noise(vocab))
+        return m
 
-def _added(into: np.ndarray, rows: np.ndarray, grads: np.ndarray) -> None:
+    def vector(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.parts])
+
+    def inner_norms(self) -> np.ndarray:
+        """Log of the normaliser of each class's words, for each class of the token before."""
+        cuts, sizes = self.starts[:-1] - 1, np.diff(self.starts)
+        out = np.empty((len(self.s), len(sizes)), np.float32)
+        for at in range(0, len(self.s), 16):
+            x = self.s[at : at + 16] @ self.q[1:].T + self.b[1:]
+            top = np.maximum.reduceat(x, cuts, axis=1)
+            x -= np.repeat(top, sizes, axis=1)
+            out[at : at + 16] = np.log(np.add.reduceat(np.exp(x, out=x), cuts, axis=1)) + top
+        return out
+
+    def log_probs(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """Natural logarithms of P(w | u, v), normalised, with ``norms`` from :meth:`inner_norms`."""
+        out = np.empty(len(w), np.float64)
+        for at in range(0, len(w), SCORED):
+            x, y, z = (t[at : at + SCORED] for t in (u, v, w))
+            k = self.class_of[z]
+            logits = (self.r[x] * self.c[0] + self.r[y] * self.c[1]) @ self.a.T + self.d
+            own = logits[np.arange(len(z)), k]
+            top = logits.max(1)
+            logits -= top[:, None]
+            outer = own - top - np.log(np.exp(logits, out=logits).sum(1))
+            before = self.class_of[y]
+            out[at : at + len(z)] = outer + np.einsum("ij,ij->i", self.s[before], self.q[z]) + self.b[z] - norms[before, k]
+        return out
+
+
+def class_noise(vocab: Vocabulary) -> np.ndarray:
+    """Smoothed share of each class among the training tokens."""
+    p = np.add.reduceat(vocab["mass"][1:], vocab["starts"][:-1] - 1) + 1
+    return p / p.sum()
+
+
+def word_noise(vocab: Vocabulary) -> np.ndarray:
+    """Share of each code within its class, smoothed; 1 for BEGIN, which is never drawn."""
+    cuts, sizes = vocab["starts"][:-1] - 1, np.diff(vocab["starts"])
+    m = vocab["mass"][1:] + 1
+    return np.r_[1.0, m / np.repeat(np.add.reduceat(m, cuts), sizes)]
+
+
+def _descend(x: np.ndarray, square: np.ndarray, rows: np.ndarray, grads: np.ndarray) -> None:
+    """One AdaGrad step on the given rows; gradients of a row that occurs more than once are summed."""
     order = np.argsort(rows, kind="stable")
     ids = rows[order]
     at = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    into[ids[at]] += np.add.reduceat(grads[order], at)
+    ids, g = ids[at], np.add.reduceat(grads[order], at)
+    square[ids] += g * g
+    x[ids] -= STEP * g / np.sqrt(square[ids])
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return (1 / (1 + np.exp(-np.clip(x, -30, 30)))).astype(np.float32)
 
 
 class Trainer:
-    """Noise-contrastive estimation with AdaGrad; the noise of a batch is shared by its tokens."""
+    """Noise-contrastive estimation with AdaGrad. The noise classes of a batch are shared by its tokens; noise words are
+    drawn for each token from its class."""
 
-    def __init__(self, model: LogBilinear, noise: np.ndarray, seed: int) -> None:
-        self.m, self.noise = model.copy(), noise
+    def __init__(self, vocab: Vocabulary, flat: np.ndarray, seed: int) -> None:
+        self.m = LogBilinear(vocab, flat.copy())
         self.rng = np.random.default_rng(seed)
-        self.square = [np.full(x.shape, 1e-3, np.float32) for x in (self.m.r, self.m.q, self.m.c, self.m.b)]
-        self.log_kq = np.log(NOISE * noise).astype(np.float32)
-        self.cum = np.cumsum(noise)
+        self.squares = [np.ones(x.shape, np.float32) for x in self.m.parts]
+        outer, inner = class_noise(vocab), word_noise(vocab)
+        self.outer_kq, self.inner_kq = np.log(NOISE * outer).astype(np.float32), np.log(INNER * inner).astype(np.float32)
+        self.outer_sum = np.cumsum(outer)
+        self.inner_sum = np.cumsum(inner)  # grows by 1 from the first word of a class to that of the next
+        self.starts = vocab["starts"]
 
     def batch(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
-        m, n = self.m, len(w)
-        drawn = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE) * self.cum[-1]), len(self.cum) - 1)
-        ru, rv, qw, qn = m.r[u], m.r[v], m.q[w], m.q[drawn]
+        m, (sr, sc, sa, sd, ss, sq, sb) = self.m, self.squares
+        k = m.class_of[w]
+        drawn = np.minimum(np.searchsorted(self.outer_sum, self.rng.random(NOISE) * self.outer_sum[-1]), len(self.outer_sum) - 1)
+        ru, rv = m.r[u], m.r[v]
         made = ru * m.c[0] + rv * m.c[1]
-        real = (made * qw).sum(1) + m.b[w] - self.log_kq[w]
-        fake = made @ qn.T + (m.b[drawn] - self.log_kq[drawn])
-        g = (-1 / (1 + np.exp(np.clip(real, -30, 30)))).astype(np.float32)
-        gn = (1 / (1 + np.exp(-np.clip(fake, -30, 30)))).astype(np.float32)
-        d_made = g[:, None] * qw + gn @ qn
-        d_r, d_q, d_b = np.zeros_like(m.r), np.zeros_like(m.q), np.zeros_like(m.b)
-        _added(d_r, np.concatenate([u, v]), np.concatenate([d_made * m.c[0], d_made * m.c[1]]))
-        _added(d_q, w, g[:, None] * made)
-        _added(d_q, drawn, gn.T @ made)
-        d_b += np.bincount(w, g, len(d_b)).astype(np.float32) + np.bincount(drawn, gn.sum(0), len(d_b)).astype(np.float32)
-        d_c = np.stack([(d_made * ru).sum(0), (d_made * rv).sum(0)])
-        for x, d, s in zip((m.r, m.q, m.c, m.b), (d_r, d_q, d_c, d_b), self.square):
-            d /= n
-            s += d * d
-            x -= STEP * d / np.sqrt(s)
-
-    def texts(self, classes: np.ndarray, ends: np.ndarray) -> int:
-        u, v = contexts_of(classes, ends)
-        order = self.rng.permutation(len(classes))
+        ak, an = m.a[k], m.a[drawn]
+        g = _sigmoid(np.einsum("ij,ij->i", made, ak) + m.d[k] - self.outer_kq[k]) - 1
+        gn = _sigmoid(made @ an.T + (m.d[drawn] - self.outer_kq[drawn]))
+        d_made = g[:, None] * ak + gn @ an
+        _descend(m.a, sa, np.r_[k, drawn], np.concatenate([g[:, None] * made, gn.T @ made]))
+        _descend(m.d, sd, np.r_[k, drawn], np.r_[g, gn.sum(0)])
+        _descend(m.r, sr, np.r_[u, v], np.concatenate([d_made * m.c[0], d_made * m.c[1]]))
+        _descend(m.c, sc, np.arange(2), np.stack([(d_made * ru).sum(0), (d_made * rv).sum(0)]))
+
+        some = np.flatnonzero(m.several[w - 1])
+        if len(some):
+            w, before, k = w[some], m.class_of[v[some]], k[some]
+            sv, qw = m.s[before], m.q[w]
+            low = self.inner_sum[self.starts[k] - 1]
+            noise = np.searchsorted(self.inner_sum, low[:, None] + self.rng.random((len(w), INNER)), side="right")
+            noise = np.minimum(np.maximum(noise, self.starts[k][:, None]), self.starts[k + 1][:, None] - 1)
+            qn = m.q[noise]
+            g = _sigmoid(np.einsum("ij,ij->i", sv, qw) + m.b[w] - self.inner_kq[w]) - 1
+            gn = _sigmoid(np.einsum("ij,ikj->ik", sv, qn) + m.b[noise] - self.inner_kq[noise])
+            d_sv = g[:, None] * qw + np.einsum("ik,ikj->ij", gn, qn)
+            rows = np.r_[w, noise.ravel()]
+            _descend(m.q, sq, rows, np.concatenate([g[:, None] * sv, (gn[:, :, None] * sv[:, None, :]).reshape(-1, DIM)]))
+            _descend(m.b, sb, rows, np.r_[g, gn.ravel()])
+            _descend(m.s, ss, before, d_sv)
+
+    def texts(self, codes: np.ndarray, ends: np.ndarray) -> None:
+        u, v = contexts_of(codes, ends)
+        order = self.rng.permutation(len(codes))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
-            self.batch(u[some], v[some], classes[some])
-        return len(classes)
+            self.batch(u[some], v[some], codes[some])
 
 
-def contexts_of(classes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes two and one before each token; BEGIN before a text's first."""
+def contexts_of(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes two and one before each token; BEGIN before a text's first."""
     starts = np.r_[0, ends[:-1]]
-    v = np.r_[BEGIN, classes[:-1]]
-    u = np.r_[BEGIN, BEGIN, classes[:-2]][: len(classes)]
+    v = np.r_[BEGIN, codes[:-1]]
+    u = np.r_[BEGIN, BEGIN, codes[:-2]][: len(codes)]
     v[starts] = BEGIN
     u[starts] = BEGIN
     second = starts + 1
@@ -170,128 +290,110 @@ def contexts_of(classes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
     return u, v
 
 
-@dataclass
-class Vocabulary:
-    """Corpus counts that every task needs: totals, and the frequent words' sorted hashes, counts and classes."""
-
-    tokens: int
-    types: int
-    hashes: np.ndarray
-    counts: np.ndarray
-    classes: np.ndarray
-    noise: np.ndarray
-    rare_mass: float
+def _joined(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of several texts one after the other, and where each ends."""
+    parts = [np.frombuffer(r, "<u2") for r in rows]
+    return np.concatenate(parts).astype(np.int64), np.cumsum([len(p) for p in parts])
 
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, class) of hashes; count -1 for words that are not among the frequent ones."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1, np.int64), np.where(hashes == END_HASH, END, RARE)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        hit = self.hashes[at] == hashes
-        return np.where(hit, self.counts[at], -1), np.where(hashes == END_HASH, END, np.where(hit, self.classes[at], RARE))
 
-
-def fit_vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
-    """From (h, c) of all training tokens; also the count from which a word is frequent.
-
-    A histogram of the counts finds the lowest count at which HEAD_WORDS words at most are frequent.
-    """
-    level = F.floor(F.log2("c") * 64).cast("int")
-    bars = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum("c").alias("tokens"), F.min("c").alias("low")).collect()
-    tokens, types = sum(b.tokens for b in bars), sum(b.words for b in bars)
-    taken, cut = 0, 1 << 62
-    for b in sorted(bars, key=lambda b: -b.level):
-        if taken + b.words > HEAD_WORDS:
-            break
-        taken, cut = taken + b.words, b.low
-    head = counts.where(F.col("c") >= cut).select("h", "c").toArrow()
-    h, c = head["h"].to_numpy(), head["c"].to_numpy()
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    words = h != END_HASH
-    ranked = np.flatnonzero(words)[np.lexsort((h[words], -c[words]))][: CLASSES - 3]
-    classes = np.full(len(h), RARE, np.int64)
-    classes[ranked] = np.arange(3, 3 + len(ranked))
-    ends = int(c[~words].sum())
-    mass = np.zeros(3 + len(ranked))
-    mass[3:] = c[ranked]
-    rare_tokens, rare_types = tokens - int(c[ranked].sum()) - ends, types - len(ranked) - bool(ends)
-    mass[RARE], mass[END] = rare_tokens, ends
-    noise = (mass + 1) / (mass + 1).sum()
-    return Vocabulary(tokens, types, h, c, classes, noise, float(rare_tokens + rare_types + 1)), cut
-
-
-def _train(frames: Iterator[pd.DataFrame], vocab: Vocabulary, model: LogBilinear, seed: int) -> tuple[LogBilinear, int]:
-    trainer, seen = Trainer(model, vocab.noise, seed), 0
-    for frame in frames:
-        if len(frame):
-            h, index, ends = tokenised(frame["text"])
-            seen += trainer.texts(vocab.look_up(h)[1][index], ends)
-    return trainer.m, seen
+# ---------------------------------------------------------------- training
 
 
 def warm_sample(train: DataFrame) -> DataFrame:
-    """At most WARM_DOCS texts, those with the smallest hashes of id and text.
+    """At most WARM_DOCS rows, those with the smallest ``key``.
 
-    A threshold on the hash leaves about twice as many in all before any are put in order, so what tasks send doesn't
+    A threshold on the key leaves about twice as many in all before any are put in order, so what tasks send doesn't
     grow with their number.
     """
-    rows = train.select(F.xxhash64("doc_id", "text").alias("k"), "text")
-    low = min((1 << 64) - 1, (2 * WARM_DOCS << 64) // max(1, rows.count())) - (1 << 63)
-    return rows.where(F.col("k") <= low).orderBy("k").limit(WARM_DOCS)
+    low = min((1 << 64) - 1, (2 * WARM_DOCS << 64) // max(1, train.count())) - (1 << 63)
+    return train.where(F.col("key") <= low).orderBy("key").limit(WARM_DOCS)
 
 
-def fit_model(train: DataFrame, vocab: Vocabulary, shared) -> LogBilinear:
-    """Warm start on a bounded sample, then every task trains on all of its rows; results are averaged by tokens.
+def fit_model(train: DataFrame, vocab: Vocabulary, shared) -> np.ndarray:
+    """Parameters from training rows (key, codes): a warm start on a bounded sample, then every shard trains on all of its
+    rows, and the shards' parameters are averaged by tokens.
 
-    The warm start runs in one task, since its sample is bounded; only parameters reach the driver. They travel in
-    pieces of PIECE numbers, each averaged in a group of its own.
+    Rows are dealt to shards by their key and read in its order, and the number of shards follows from the number of
+    tokens alone, so nothing depends on how the table is partitioned. The warm start runs in one task, since its sample is
+    bounded; only parameters reach the driver. They travel in pieces of PIECE numbers, which are averaged in a tree: no
+    task holds more than FAN of one piece, however many shards there are.
     """
+    spark = train.sparkSession
 
     def warmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = shared.value
-        model, _ = _train(list(frames) * 3, v, LogBilinear.start(v.noise), 1)
-        yield pd.DataFrame({"w": [model.vector().tobytes()]})
-
-    first = warm_sample(train).select("text").mapInPandas(warmed, "w binary").head()
-    start = LogBilinear.of(np.frombuffer(bytes(first.w), np.float32), len(vocab.noise)) if first else LogBilinear.start(vocab.noise)
-    n = len(vocab.noise)
-    begun = train.sparkSession.sparkContext.broadcast(start.vector())
-
-    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, seen = _train(frames, shared.value, LogBilinear.of(begun.value, n), 2)
-        if seen:
-            flat = model.vector()
+        rows = [bytes(c) for f in frames for c in f["codes"]]
+        trainer = Trainer(v, LogBilinear.start(v).vector(), 1)
+        for _ in range(3 if rows else 0):
+            trainer.texts(*_joined(rows))
+        yield pd.DataFrame({"w": [trainer.m.vector().tobytes()]})
+
+    first = warm_sample(train).select("codes").mapInPandas(warmed, "w binary").head()
+    start = np.frombuffer(bytes(first.w), np.float32) if first else LogBilinear.start(vocab).vector()
+    begun = spark.sparkContext.broadcast(start)
+
+    def trained(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, trainer, held, size, seen = None, None, [], 0, 0
+
+        def done() -> pd.DataFrame:
+            if held:
+                trainer.texts(*_joined(held))
+            flat = trainer.m.vector()
             cuts = range(0, len(flat), PIECE)
-            yield pd.DataFrame({"piece": [c // PIECE for c in cuts], "tokens": float(seen), "w": [flat[c : c + PIECE].tobytes() for c in cuts]})
+            return pd.DataFrame({"shard": now, "piece": [c // PIECE for c in cuts], "tokens": float(seen), "w": [flat[c : c + PIECE].tobytes() for c in cuts]})
+
+        for f in frames:
+            for shard, codes in zip(f["shard"], f["codes"]):
+                if shard != now:
+                    if now is not None:
+                        yield done()
+                    now, trainer, held, size, seen = int(shard), Trainer(shared.value, begun.value, 2 + int(shard)), [], 0, 0
+                held.append(bytes(codes))
+                size += len(codes) // 2
+                seen += len(codes) // 2
+                if size >= CHUNK:
+                    trainer.texts(*_joined(held))
+                    held, size = [], 0
+        if now is not None:
+            yield done()
 
     def averaged(pieces: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(w, np.float32).astype(np.float64) * t for w, t in zip(pieces["w"], pieces["tokens"]))
-        return pd.DataFrame({"piece": pieces["piece"].iloc[:1], "w": [(total / pieces["tokens"].sum()).astype(np.float32).tobytes()]})
+        p = pieces.sort_values("shard")
+        tokens = p["tokens"].sum()
+        total = sum(np.frombuffer(w, np.float32).astype(np.float64) * t for w, t in zip(p["w"], p["tokens"]))
+        return pd.DataFrame({"shard": [p["shard"].iloc[0] // FAN], "piece": [p["piece"].iloc[0]], "tokens": [tokens], "w": [(total / tokens).astype(np.float32).tobytes()]})
+
+    schema = "shard bigint, piece int, tokens double, w binary"
+    n = max(1, -(-vocab["tokens"] // SHARD_TOKENS))
+    dealt = train.select(F.pmod("key", F.lit(n)).alias("shard"), "key", "codes")
+    dealt = dealt.repartition(n, "shard").sortWithinPartitions("shard", "key").select("shard", "codes")
+    parts = materialize(dealt.mapInPandas(trained, schema), "shards")
+    while True:
+        parts = parts.groupBy("piece", F.floor(F.col("shard") / FAN).alias("group")).applyInPandas(averaged, schema)
+        n = -(-n // FAN)
+        if n == 1:
+            break
+    got = sorted((r.piece, bytes(r.w)) for r in parts.select("piece", "w").collect())
+    return np.frombuffer(b"".join(w for _, w in got), np.float32) if got else start
 
-    parts = train.select("text").mapInPandas(local, "piece int, tokens double, w binary").groupBy("piece").applyInPandas(averaged, "piece int, w binary")
-    got = sorted((r.piece, bytes(r.w)) for r in parts.collect())
-    return LogBilinear.of(np.frombuffer(b"".join(w for _, w in got), np.float32), n) if got else start
 
+# ---------------------------------------------------------------- documents
 
-_SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, head double, rare double, n_rare bigint, model double, tail array<bigint>"
+_ENCODED = "doc_id bigint, held_out boolean, key bigint, n_tokens bigint, known bigint, head double, rare double, n_rare bigint, codes binary, tail array<bigint>"
+_SCORED = "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, head double, rare double, n_rare bigint, model double"
 
 
-def _scorer(vocab, model):
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = vocab.value
-        first, second, norm = LogBilinear.of(model.value, len(v.noise)).tables()
+def _encoder(shared):
+    def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = shared.value
         for frame in frames:
             for at in range(0, len(frame), 1000):
                 some = frame.iloc[at : at + 1000]
                 h, index, ends = tokenised(some["text"])
-                count, kind = v.look_up(h)
+                count, code = look_up(v, h)
                 owner = np.repeat(np.arange(len(some)), np.diff(np.r_[0, ends]))
-                k = kind[index]
-                a, b = contexts_of(k, ends)
-                logp = (first[a, k] + second[b, k] - norm[a, b]).astype(np.float64) / np.log(10)
-                c = count[index]
-                head, is_rare = c >= 0, k == RARE
+                codes, c = code[index], count[index]
+                head, is_rare = c >= 0, codes == RARE
                 seen = np.where(head, np.log10(np.maximum(c, 0) + 1.0), 0.0)
 
                 def total(x, owner=owner, n=len(some)):
@@ -299,59 +401,85 @@ def _scorer(vocab, model):
 
                 tail = h[index[~head]]
                 cuts = np.cumsum(total(~head).astype(np.int64))
+                raw, stops = codes.astype("<u2").tobytes(), ends.tolist()
                 yield pd.DataFrame(
                     {
                         "doc_id": some["doc_id"].to_numpy(),
                         "held_out": some["held_out"].to_numpy(),
+                        "key": some["key"].to_numpy(),
                         "n_tokens": np.diff(np.r_[0, ends]),
                         "known": total(head & (c > 0)).astype(np.int64),
                         "head": total(seen),
                         "rare": total(seen * is_rare),
                         "n_rare": total(is_rare).astype(np.int64),
-                        "model": total(logp),
+                        "codes": [raw[2 * a : 2 * b] for a, b in zip([0, *stops[:-1]], stops)],
                         "tail": np.split(tail, cuts[:-1]),
                     }
                 )
 
+    return encoded
+
+
+def _scorer(shared, model):
+    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = LogBilinear(shared.value, model.value)
+        norms = m.inner_norms()
+        for frame in frames:
+            group = (frame["n_tokens"].cumsum() // (1 << 18)).to_numpy()
+            for k in np.unique(group):
+                some = frame[group == k]
+                codes, ends = _joined([bytes(c) for c in some["codes"]])
+                logp = m.log_probs(*contexts_of(codes, ends), codes, norms) / np.log(10)
+                owner = np.repeat(np.arange(len(some)), np.diff(np.r_[0, ends]))
+                yield some.drop(columns="codes").assign(model=np.bincount(owner, logp, len(some)))
+
     return scored
 
 
+def fit(docs: DataFrame):
+    """(encoded, counts, cut, vocabulary, parameters) from the training documents of ``docs``; see :func:`score_documents`."""
+    sc = docs.sparkSession.sparkContext
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.pmod(fold(F.col("doc_id")), F.lit(7)) == 2).alias("held_out"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    train = d.where(~F.col("held_out"))
+    counts = materialize(train.select("text").mapInPandas(_counted, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
+    vocab, cut = fit_vocabulary(counts)
+    shared = sc.broadcast(vocab)
+    rows = d.mapInPandas(_encoder(shared), _ENCODED).withColumn("uid", F.monotonically_increasing_id())
+    rows = materialize(rows, "encoded")
+    return rows, counts, cut, vocab, fit_model(rows.where(~F.col("held_out")).select("key", "codes"), vocab, shared)
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Training documents are those whose crc32(doc_id) mod 7 is not 2; held_out marks the rest. ``base_score`` is the
-    add-one unigram score. ``score`` is the log10 probability under the log-bilinear model over classes (the most
-    frequent words, the end, and one class of rare words), times the add-one share of each rare word in its class,
-    where all unseen words together count as one further word. Both are proper distributions over the same events.
+    add-one unigram score. ``score`` is the log10 probability under the log-bilinear model over codes (one for each of the
+    WORDS most frequent words, the end, and one for all others), times the add-one share of each word without a code among
+    these, where all unseen words together count as one further word. Both are proper distributions over the same events.
 
     Counts of all training tokens are gathered by hash (64 bits). The most frequent HEAD_WORDS go to the executors;
     each document's other tokens are joined with the rest of the counts, none of which is frequent, so no key is hot.
+    Rows that repeat doc_id and text share a training shard, which reads its rows as a stream.
 
     * null or empty text: the end token alone; very long texts are scored whole; empty table: no rows;
     * null doc_id: its fold is that of the empty string; repeated rows get equal rows;
-    * no training documents: train_tokens 0 and base_score 0.
+    * no training documents: train_tokens 0 and base_score 0; other columns of the input are not read.
     """
-    spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.pmod(fold(F.col("doc_id")), F.lit(7)) == 2).alias("held_out"), "text")
-    train = d.where(~F.col("held_out"))
-    counts = materialize(train.select("text").mapInPandas(_counted, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
-    vocab, cut = fit_vocabulary(counts)
-    shared = spark.sparkContext.broadcast(vocab)
-    model = spark.sparkContext.broadcast(fit_model(train, vocab, shared).vector())
-    rows = d.mapInPandas(_scorer(shared, model), _SCORED).withColumn("uid", F.monotonically_increasing_id())
-    rows = materialize(rows, "scored")
+    rows, counts, cut, vocab, model = fit(docs)
+    sc = docs.sparkSession.sparkContext
     rest = rows.select("uid", F.explode("tail").alias("h")).join(counts.where(F.col("c") < cut), "h", "left")
     rest = rest.groupBy("uid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("t"), F.count("c").alias("t_known"))
-    out = rows.drop("tail").join(rest, "uid", "left")
+    scored = rows.select("uid", "doc_id", "held_out", "n_tokens", "known", "head", "rare", "n_rare", "codes")
+    out = scored.mapInPandas(_scorer(sc.broadcast(vocab), sc.broadcast(model)), _SCORED).join(rest, "uid", "left")
     t = F.coalesce("t", F.lit(0.0))
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("t_known", F.lit(0))).cast("bigint").alias("n_known"),
-        F.lit(vocab.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("head") + t - F.col("n_tokens") * float(np.log10(vocab.tokens + vocab.types + 1))).alias("base_score"),
-        (F.col("model") + F.col("rare") + t - F.col("n_rare") * float(np.log10(vocab.rare_mass))).alias("score"),
+        F.lit(vocab["tokens"]).cast("bigint").alias("train_tokens"),
+        (F.col("head") + t - F.col("n_tokens") * float(np.log10(vocab["tokens"] + vocab["types"] + 1))).alias("base_score"),
+        (F.col("model") + F.col("rare") + t - F.col("n_rare") * float(np.log10(vocab["rare_mass"]))).alias("score"),
     )
 
 

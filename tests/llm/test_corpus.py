@@ -279,25 +279,6 @@ def test_language_model_scores(spark, docs, rows, empty):
     assert lm_score.score_documents(empty).count() == 0
 
 
-def test_log_bilinear_model_is_normalised_and_learns():
-    rng = np.random.default_rng(3)
-    w = np.tile(np.array([3, 4, 5, 2]), 4000)
-    ends = np.arange(4, len(w) + 1, 4)
-    noise = np.full(6, 1 / 6)
-    start = lm_score.LogBilinear.start(noise)
-    trainer = lm_score.Trainer(start, noise, 1)
-    for _ in range(20):
-        trainer.texts(w, ends)
-    u, v = lm_score.contexts_of(w, ends)
-    likelihood = []
-    for m in (start, trainer.m):
-        first, second, norm = m.tables()
-        p = np.exp(first[:, None, 1:] + second[None, :, 1:] - norm[:, :, None]).sum(2)
-        assert np.allclose(p, 1, atol=1e-4)
-        likelihood.append((first[u, w] + second[v, w] - norm[u, v]).mean())
-    assert likelihood[1] > likelihood[0] + 0.5 and rng is not None
-
-
 # ---------------------------------------------------------------- 9 mixing
 
 
