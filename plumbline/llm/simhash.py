@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pandas as pd
@@ -250,9 +250,17 @@ VIEWS, VIEW_SIZE, SKETCH = 8, 2, 128
 #: The sketch alone rejects or accepts a pair only where a pair right at the bar has smaller odds than this to get there;
 #: the pairs between are decided on their whole sets.
 RISK = 1e-6
-#: Rows of a block, of which two are compared at a time.
-BLOCK = 1024
-_PROFILE = "fp bigint, views array<bigint>, sketch binary, digest bigint"
+#: Rows of a block, of which two are compared at a time. Buckets of more rows are split by the sketches' rarest hashes.
+BLOCK = 256
+#: Shares of the undecided pairs that are decided in one go; the last one is all that are still in different components.
+ROUNDS = (1 / 64, 1 / 8, 1.0)
+_PROFILE = "fp bigint, views array<bigint>, sketch binary, digest bigint, other bigint"
+
+
+def text_digests(text: str | None) -> tuple[int, int]:
+    """Two independent 64-bit digests of a text's words, as signed numbers."""
+    joined = b" ".join(words_of(text))
+    return tuple(int(np.uint64(xxhash.xxh64_intdigest(joined, seed)).view(np.int64)) for seed in (7, 11))
 
 
 def _profiles(shingle: int):
@@ -268,8 +276,8 @@ def _profiles(shingle: int):
                 own = distinct[kind == v][:VIEW_SIZE]
                 views.append(majority(own) if len(own) else None)
             sketch = (distinct[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()
-            rows.append((majority(hashes), views, sketch, int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words_of(t)), 7)).view(np.int64))))
-        return pd.DataFrame(rows, columns=["fp", "views", "sketch", "digest"])
+            rows.append((majority(hashes), views, sketch, *text_digests(t)))
+        return pd.DataFrame(rows, columns=["fp", "views", "sketch", "digest", "other"])
 
     return profile
 
@@ -301,13 +309,6 @@ def sketch_verdict(a: bytes, b: bytes, similarity: float) -> int:
     return 0 if common < low else 1 if common >= high else -1
 
 
-def whole_similarity(a: bytes, b: bytes) -> float:
-    """Exact Jaccard similarity of two whole sets of shingle hashes (sorted, 8 bytes each)."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    return common / (len(x) + len(y) - common) if len(x) or len(y) else 1.0
-
-
 def _verdict(similarity: float):
     @pandas_udf("int")
     def verdict(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -316,28 +317,41 @@ def _verdict(similarity: float):
     return verdict
 
 
-def _whole_similarity():
-    @pandas_udf("double")
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([whole_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
-
-    return similarity
-
-
 def _whole_set(shingle: int):
-    @pandas_udf("binary")
+    @pandas_udf("array<bigint>")
     def whole(text: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, shingle)).astype("<u8").tobytes() for t in text])
+        return pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in text])
 
     return whole
 
 
-def _joined_in_block(label: np.ndarray, first: np.ndarray, sketches: list[bytes], similarity: float, whole: list[bytes] | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+def prefix_size(size: int, similarity: float) -> int:
+    """How many of a sketch's ``size`` hashes, in any one order for all, hold at least one that a similar text's have too.
+
+    Similar sketches have at least ``similarity`` of a whole one's hashes in common, or the lower bound of
+    :func:`sketch_bounds` if one of the two isn't whole; all but one less than that may be left out.
+    """
+    common = sketch_bounds(similarity)[0] if size == SKETCH else min(ceil(similarity * size), max(1, sketch_bounds(similarity)[0]))
+    return size - min(size, common) + 1 if size else 0
+
+
+def _sketch_hashes(similarity: float):
+    def hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            parts = [np.frombuffer(x, "<u4").astype(np.int64) for x in f["sketch"]]
+            sizes = np.array([len(p) for p in parts], np.int64)
+            take = np.array([prefix_size(int(n), similarity) for n in sizes], np.int64)
+            yield pd.DataFrame({"digest": np.repeat(f["digest"].to_numpy(), sizes), "hash": np.concatenate([*parts, np.zeros(0, np.int64)]), "take": np.repeat(take, sizes)})
+
+    return hashes
+
+
+def _joined_in_block(label: np.ndarray, first: np.ndarray, sketches: list[bytes], similarity: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Links (label, label) between the components of a block's rows: rows marked ``first`` against all the others.
 
     Rows of components that are joined already aren't compared. The number of common hashes bounds the similarity, so
-    only rows that have enough of them are compared in full. Pairs that the sketches can't decide are decided by the
-    ``whole`` sets; without these, the rows of such pairs are marked in the second result.
+    only rows that have enough of them are compared in full. The second result are the pairs (row, row) that the sketches
+    can't decide, but for those whose components they join in the end.
     """
     n = len(label)
     sizes = np.array([len(s) // 4 for s in sketches], np.int64)
@@ -345,7 +359,7 @@ def _joined_in_block(label: np.ndarray, first: np.ndarray, sketches: list[bytes]
     codes[np.arange(SKETCH) < sizes[:, None]] = np.unique(np.frombuffer(b"".join(sketches), "<u4"), return_inverse=True)[1]
     flag = np.zeros(codes.max(initial=-1) + 2, bool)  # the last entry stands for padding and stays unset
     low = sketch_bounds(similarity)[0]
-    now, found, undecided = label.copy(), [], np.zeros(n, bool)
+    now, found, undecided = label.copy(), [], []
     for x in np.flatnonzero(first):
         other = np.flatnonzero(now != now[x])
         if not len(other):
@@ -360,47 +374,49 @@ def _joined_in_block(label: np.ndarray, first: np.ndarray, sketches: list[bytes]
                 continue
             verdict = sketch_verdict(sketches[x], sketches[y], similarity)
             if verdict < 0:
-                if whole is None:
-                    undecided[[x, y]] = True
-                    continue
-                verdict = whole_similarity(whole[x], whole[y]) >= similarity
-            if verdict:
+                undecided.append((x, y))
+            elif verdict:
                 found.append((label[x], label[y]))
                 now[now == now[y]] = now[x]
-    return found, undecided
+    return found, [(x, y) for x, y in undecided if now[x] != now[y]]
 
 
-_JOINED = "src bigint, dst bigint, view int, print bigint, sub bigint, first boolean, digest bigint, label bigint"
+_DEAL = ["view", "print", "sub"]
+_JOINED = "src bigint, dst bigint, a bigint, b bigint"
 
 
 def _joined(similarity: float):
     def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by block pair; one that runs over the end of a batch is held back.
 
-        Returned are links (src, dst) and, where there are no whole sets, the rows that need them, without src and dst.
+        Returned are links (src, dst) between components, and pairs (a, b) of texts, with their components, that need
+        their whole sets.
         """
         kept: pd.DataFrame | None = None
 
         def linked(frame: pd.DataFrame) -> pd.DataFrame:
-            found: list[tuple[int, int]] = []
-            rest = [frame.iloc[:0]]
-            for _, g in frame.groupby(["view", "print", "sub"], sort=False):
-                if len(g) > 1:
-                    whole = g["whole"].tolist() if "whole" in g else None
-                    links, undecided = _joined_in_block(g["label"].to_numpy(np.int64), g["first"].to_numpy(bool), g["sketch"].tolist(), similarity, whole)
-                    found += links
-                    rest.append(g[undecided])
-            links = pd.DataFrame(found, columns=["src", "dst"]).astype("Int64")
-            rest = pd.concat(rest)[["view", "print", "sub", "first", "digest", "label"]]
-            return pd.DataFrame({c: pd.concat([links[c] if c in links else pd.Series([None] * len(links)), rest[c] if c in rest else pd.Series([None] * len(rest))], ignore_index=True).astype("boolean" if c == "first" else "Int64") for c in ("src", "dst", "view", "print", "sub", "first", "digest", "label")})
+            keys = frame[_DEAL].to_numpy(np.int64)
+            at = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.zeros(0, np.int64)
+            label, first, digest = (frame[c].to_numpy() for c in ("label", "first", "digest"))
+            sketch = frame["sketch"].tolist()
+            links: set[tuple[int, int]] = set()
+            pairs: dict[tuple[int, int], tuple[int, int]] = {}
+            for i, j in zip(at, np.r_[at[1:], len(keys)]):
+                if j - i > 1 and (label[i:j] != label[i]).any():
+                    found, undecided = _joined_in_block(label[i:j], first[i:j], sketch[i:j], similarity)
+                    links |= {(min(x, y), max(x, y)) for x, y in found}
+                    for x, y in undecided:
+                        x, y = (x, y) if digest[i + x] < digest[i + y] else (y, x)
+                        pairs[digest[i + x], digest[i + y]] = (label[i + x], label[i + y])
+            rows = [(x, y, None, None) for x, y in links] + [(*pairs[p], *p) for p in pairs]
+            return pd.DataFrame(rows, columns=["src", "dst", "a", "b"]).astype("Int64")
 
         for frame in frames:
             if kept is not None:
                 frame = pd.concat([kept, frame], ignore_index=True)
             if not len(frame):
                 continue
-            end = frame.iloc[-1]
-            last = (frame["view"] == end["view"]) & (frame["print"] == end["print"]) & (frame["sub"] == end["sub"])
+            last = (frame[_DEAL] == frame[_DEAL].iloc[-1]).all(axis=1)
             kept = frame[last]
             yield linked(frame[~last])
         if kept is not None:
@@ -420,23 +436,79 @@ def _regrouped(labels: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def _open_blocks(buckets: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows (view, print, sub, first, digest, label, sketch) of the buckets that hold more than one component.
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(view, print, main, n, top): buckets of several components, their largest one, and the sizes of both."""
+    per = rows.groupBy("view", "print", "label").agg(F.count("*").alias("n"))
+    got = per.groupBy("view", "print").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    return materialize(got.select("view", "print", F.col("top.label").alias("main"), "n", F.col("top.n").alias("top")), "mixed")
+
+
+def _dealt(rows: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Rows (view, print, sub, first, digest, label) such that all pairs of a bucket across its components meet.
 
     A bucket's largest component needs no comparison within itself. Its rows and the others are dealt to blocks of
-    about BLOCK rows, and every block of the others meets each later block, so all pairs across components meet.
+    about BLOCK rows, and every block of the others meets each later block.
     """
-    labelled = buckets.join(small(labels), F.col("digest") == F.col("node"), "left").select("view", "print", "digest", F.coalesce("component", "digest").alias("label"))
-    per = labelled.groupBy("view", "print", "label").agg(F.count("*").alias("n"))
-    mixed = per.groupBy("view", "print").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
-    blocks = [F.ceil(x / BLOCK).cast("int") for x in (F.col("n") - F.col("top.n"), F.col("top.n"))]
-    mixed = materialize(mixed.select("view", "print", F.col("top.label").alias("main"), blocks[0].alias("rest"), blocks[1].alias("mains")), "mixed")
+    counts = mixed.select("view", "print", "main", F.ceil((F.col("n") - F.col("top")) / BLOCK).cast("int").alias("rest"), F.ceil(F.col("top") / BLOCK).cast("int").alias("mains"))
     at = F.when(F.col("label") == F.col("main"), F.col("rest") + F.pmod(F.hash("digest"), F.col("mains"))).otherwise(F.pmod(F.hash("digest"), F.col("rest")))
     met = F.when(F.col("at") < F.col("rest"), F.sequence(F.lit(0), F.col("rest") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") - 1))
-    d = labelled.join(small(mixed), ["view", "print"]).withColumn("at", at).withColumn("with", F.explode(met)).where("at <> with")
+    d = rows.join(small(counts), ["view", "print"]).withColumn("at", at).withColumn("with", F.explode(met)).where("at <> with")
     sub = F.least("at", "with").cast("bigint") * F.lit(1 << 31) + F.greatest("at", "with")
-    d = d.select("view", "print", sub.alias("sub"), (F.col("at") < F.col("with")).alias("first"), "digest", "label")
-    return d.join(nodes.select("digest", "sketch"), "digest")
+    return d.select("view", "print", sub.alias("sub"), (F.col("at") < F.col("with")).alias("first"), "digest", "label")
+
+
+def _open_blocks(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Rows (view, print, sub, first, digest, label, sketch) in which all similar candidates of different components meet.
+
+    Buckets of up to BLOCK rows are compared as they are. Texts of larger ones share something that many have, a passage
+    for instance, so they meet by their rarest hashes instead: each is dealt to the hashes of its prefix (see
+    :func:`prefix_size`), in an order by how many of these texts have a hash. Similar texts share one of those, while
+    texts that have but a passage in common don't, since its hashes are the frequent ones. Nothing is left out by that.
+    """
+    labelled = buckets.join(small(labels), F.col("digest") == F.col("node"), "left").select("view", "print", "digest", F.coalesce("component", "digest").alias("label"))
+    mixed = _mixed(labelled)
+    direct = _dealt(labelled, mixed.where(F.col("n") <= BLOCK))
+    large = mixed.where(F.col("n") > BLOCK).select("view", "print")
+    if not large.isEmpty():
+        wide = materialize(labelled.join(small(large), ["view", "print"], "left_semi").select("digest", "label").distinct(), "wide")
+        each = wide.select("digest").join(nodes.select("digest", "sketch"), "digest").mapInPandas(_sketch_hashes(similarity), "digest bigint, hash bigint, take int")
+        each = materialize(each, "hashes")
+        times = each.groupBy("hash").agg(F.count("*").alias("times"))
+        ranked = each.join(times, "hash").groupBy("digest").agg(F.max("take").alias("take"), F.sort_array(F.collect_list(F.struct("times", "hash"))).alias("all"))
+        rare = ranked.select("digest", F.explode(F.slice("all", F.lit(1), F.col("take"))).alias("e")).select("digest", F.lit(-1).alias("view"), F.col("e.hash").alias("print"))
+        rare = materialize(rare.join(wide, "digest").select("view", "print", "digest", "label"), "rare")
+        direct = direct.unionByName(_dealt(rare, _mixed(rare)))
+    return direct.join(nodes.select("digest", "sketch"), "digest")
+
+
+def _decided(groups: DataFrame, pairs: DataFrame, whole_sets: Callable[[DataFrame], DataFrame] | None, similarity: float) -> DataFrame:
+    """``groups`` (node, component) after the pairs (a, b), distinct, whose whole sets are similar enough.
+
+    Jaccard similarities are exact, on both whole sets of shingle hashes. Pairs are decided in ROUNDS, each over a share of
+    those that are still in different components, so that components which any pair joins cost few comparisons.
+    """
+    if pairs.isEmpty():
+        return groups
+    if whole_sets is None:
+        raise ValueError("some pairs are too near the bar for their sketches, and there are no whole sets")
+    sets = materialize(whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()), "wholes")
+    for share in ROUNDS:
+        for end in ("a", "b"):
+            at = small(groups.select(F.col("node").alias(end), F.col("component").alias(f"at_{end}")))
+            pairs = pairs.join(at, end, "left").withColumn(f"at_{end}", F.coalesce(f"at_{end}", end))
+        pairs = materialize(pairs.where("at_a <> at_b"), "near")
+        part = F.pmod(F.xxhash64("a", "b"), F.lit(1 << 20)) < int(share * (1 << 20))
+        near = pairs.where(part)
+        for end in ("a", "b"):
+            near = near.join(sets.select(F.col("digest").alias(end), F.col("whole").alias(f"whole_{end}")), end)
+        common = F.size(F.array_intersect("whole_a", "whole_b"))
+        near = near.withColumn("common", common).where(F.col("common") >= F.lit(similarity) * (F.size("whole_a") + F.size("whole_b") - F.col("common")))
+        groups = _regrouped(groups, near.select(F.col("at_a").alias("src"), F.col("at_b").alias("dst")).distinct())
+        pairs = pairs.where(~part).select("a", "b")
+        if pairs.isEmpty():
+            break
+    discard(sets)
+    return groups
 
 
 def similar_components(nodes: DataFrame, similarity: float, whole_sets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -447,15 +519,9 @@ def similar_components(nodes: DataFrame, similarity: float, whole_sets: Callable
     proportion to their rows. Then every pair whose members are still in different components is compared, in blocks.
 
     Pairs that the sketches can't decide are decided on the sets of all their shingle hashes: ``whole_sets`` gets a table
-    of digests and returns (digest, whole). Only rows of such pairs are asked for, once for the copies and once for the
-    blocks. Without it all sketches must be whole, that is of fewer than SKETCH hashes.
+    of digests and returns (digest, whole: array of hashes). Only texts of such pairs are asked for, once for the copies and
+    once for the blocks. Without it all sketches must be whole, that is of fewer than SKETCH hashes.
     """
-
-    def wholes(digests: DataFrame) -> DataFrame:
-        if whole_sets is None:
-            raise ValueError("some pairs are too near the bar for their sketches, and there are no whole sets")
-        return materialize(whole_sets(digests.distinct()), "wholes")
-
     prints = fingerprint_links(nodes.select("fp").distinct(), 2)
     close = connected_components(prints)
     whole = nodes.join(small(close), F.col("fp") == F.col("node"), "left").select("digest", F.lit(VIEWS).alias("view"), F.coalesce("component", "fp").alias("print"))
@@ -474,33 +540,13 @@ def similar_components(nodes: DataFrame, similarity: float, whole_sets: Callable
     judged = pairs.join(left, "a").join(right, "b").select("a", "b", _verdict(similarity)("sketch_a", "sketch_b").alias("verdict"))
     judged = materialize(judged.where("verdict <> 0"), "judged")
     labels = connected_components(judged.where("verdict = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    near = judged.where("verdict = -1")
-    for end in ("a", "b"):
-        at = small(labels.select(F.col("node").alias(end), F.col("component").alias(f"at_{end}")))
-        near = near.join(at, end, "left").withColumn(f"at_{end}", F.coalesce(f"at_{end}", end))
-    near = materialize(near.where("at_a <> at_b").select("a", "b", "at_a", "at_b"), "near")
-    if not near.isEmpty():
-        sets = wholes(near.select(F.explode(F.array("a", "b")).alias("digest")))
-        for end in ("a", "b"):
-            near = near.join(sets.select(F.col("digest").alias(end), F.col("whole").alias(f"whole_{end}")), end)
-        near = near.where(_whole_similarity()("whole_a", "whole_b") >= similarity)
-        labels = _regrouped(labels, near.select(F.col("at_a").alias("src"), F.col("at_b").alias("dst")))
-        discard(sets)
+    labels = _decided(labels, judged.where("verdict = -1").select("a", "b"), whole_sets, similarity)
 
-    deal = ["view", "print", "sub"]
-    dealt = _open_blocks(buckets.drop("hubs"), labels, nodes).repartition(*deal).sortWithinPartitions(*deal)
+    dealt = _open_blocks(buckets.drop("hubs"), labels, nodes, similarity).repartition(*_DEAL).sortWithinPartitions(*_DEAL)
     met = materialize(dealt.mapInPandas(_joined(similarity), _JOINED), "met")
-    groups = _regrouped(labels, met.where("src IS NOT NULL").select("src", "dst").distinct())
-    rest = met.where("src IS NULL").select(*deal, "first", "digest", F.col("label").alias("was"))
-    rest = rest.join(small(groups), F.col("digest") == F.col("node"), "left").select(*deal, "first", "digest", F.coalesce("component", "was").alias("label"))
-    mixed = rest.groupBy(*deal).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(*deal)
-    rest = materialize(rest.join(small(mixed), deal), "rest")
-    if not rest.isEmpty():
-        sets = wholes(rest.select("digest"))
-        dealt = rest.join(nodes.select("digest", "sketch"), "digest").join(sets, "digest").repartition(*deal).sortWithinPartitions(*deal)
-        groups = _regrouped(groups, dealt.mapInPandas(_joined(similarity), _JOINED).select("src", "dst").distinct())
-        discard(sets)
-    for used in (close, hubs, buckets, pairs, judged, labels, met, rest):
+    groups = _regrouped(labels, met.where("a IS NULL").select("src", "dst").distinct())
+    groups = _decided(groups, met.where("a IS NOT NULL").select("a", "b").distinct(), whole_sets, similarity)
+    for used in (close, hubs, buckets, pairs, judged, labels, met):
         discard(used)
     return groups
 
@@ -514,21 +560,27 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float
     all others are decided exactly, on both whole sets of shingle hashes. Groups are the components;
     no candidate pair of different components is left uncompared (see :func:`similar_components`).
 
-    Texts that are equal but for ASCII case and white space are folded first.
+    Texts that are equal but for ASCII case and white space are folded first, by two 64-bit digests of their words.
 
     * null text, empty text or white space only: copies of each other; very long texts are hashed whole;
-    * null doc_id sorts last; rows that repeat doc_id and text: one stays; empty table: no rows.
+    * null doc_id sorts last; rows that repeat doc_id and text: one stays; empty table: no rows;
+    * columns of the input are carried in a struct, so their names never clash.
     """
-    key = F.xxhash64("doc_id", "text")
-    marks = docs.select("doc_id", key.alias("key"), _profiles(shingle)("text").alias("p")).select("doc_id", "key", "p.*")
+    own = docs.columns
+    key, second = F.xxhash64("doc_id", "text"), F.hash("text", "doc_id")
+    marks = docs.select("doc_id", key.alias("key"), second.alias("key2"), _profiles(shingle)("text").alias("p")).select("doc_id", "key", "key2", "p.*")
     marks = materialize(marks, "profiles")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))).alias("best")
+    clash = materialize(marks.groupBy("digest").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").select("digest"), "clash")
+    if not clash.isEmpty():  # texts that share one digest by chance get another
+        apart = F.xxhash64("digest", "other")
+        marks = materialize(marks.join(small(clash.withColumn("twin", F.lit(True))), "digest", "left").withColumn("digest", F.when(F.col("twin"), apart).otherwise(F.col("digest"))).drop("twin"), "profiles")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"), F.col("key2").alias("key2"))).alias("best")
     nodes = marks.groupBy("digest").agg(best, F.any_value("fp").alias("fp"), F.any_value("views").alias("views"), F.any_value("sketch").alias("sketch"), F.count("*").alias("n"))
     nodes = materialize(nodes, "nodes")
 
     def whole_sets(digests: DataFrame) -> DataFrame:
-        wanted = nodes.join(small(digests), "digest").select("digest", F.col("best.key").alias("_key"))
-        texts = docs.select("text", key.alias("_key")).join(small(wanted), "_key").select("digest", "text").dropDuplicates(["digest"])
+        wanted = nodes.join(small(digests), "digest").select("digest", F.col("best.key").alias("k"), F.col("best.key2").alias("k2"))
+        texts = docs.select("text", key.alias("key"), second.alias("key2")).join(small(wanted), (F.col("key") == F.col("k")) & (F.col("key2") == F.col("k2"))).select("digest", "text").dropDuplicates(["digest"])
         return texts.select("digest", _whole_set(shingle)("text").alias("whole"))
 
     groups = similar_components(nodes, similarity, whole_sets)
@@ -536,15 +588,18 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float
     placed = nodes.select("digest", "best", "n").join(small(groups), F.col("digest") == F.col("node"), "left").where("n > 1 OR node IS NOT NULL")
     placed = materialize(placed.select("digest", "best", F.coalesce("component", "digest").alias("root")), "placed")
     winners = placed.groupBy("root").agg(F.min("best").alias("winner"))
-    fate = materialize(placed.join(small(winners), "root").select("digest", F.col("winner.key").alias("winner")), "fate")
-    lost = marks.select("key", "digest").join(small(fate), "digest").where("key <> winner").select(F.col("key").alias("_lost"))
+    fate = materialize(placed.join(small(winners), "root").select("digest", F.col("winner.key").alias("win"), F.col("winner.key2").alias("win2")), "fate")
+    lost = marks.select("key", "key2", "digest").join(small(fate), "digest").where("key <> win OR key2 <> win2").select(F.col("key").alias("k"), F.col("key2").alias("k2"))
     lost = materialize(lost.distinct(), "lost")
-    twice = materialize(marks.groupBy("key").count().where("count > 1").select(F.col("key").alias("_twice")), "twice")
-    for used in (marks, nodes, groups, placed, fate):
+    twice = materialize(marks.groupBy("key", "key2").count().where("count > 1").select(F.col("key").alias("k"), F.col("key2").alias("k2")), "twice")
+    for used in (marks, nodes, groups, placed, fate, clash):
         discard(used)
-    kept = docs.join(small(lost), key == F.col("_lost"), "left_anti")
-    if twice.isEmpty():
-        return kept
-    twice = small(twice)
-    once = kept.join(twice, key == F.col("_twice"), "left_anti")
-    return once.unionByName(kept.join(twice, key == F.col("_twice"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    same = (F.col("key") == F.col("k")) & (F.col("key2") == F.col("k2"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), key.alias("key"), second.alias("key2"))
+    kept = rows.join(small(lost), same, "left_anti")
+    if not twice.isEmpty():
+        twice = small(twice)
+        once = kept.join(twice, same, "left_anti").select("row")
+        again = kept.join(twice, same, "left_semi").groupBy(F.col("row.doc_id").alias("id"), F.col("row.text").alias("text")).agg(F.first("row").alias("row")).select("row")
+        kept = once.unionByName(again)
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in own])

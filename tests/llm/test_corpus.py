@@ -188,7 +188,7 @@ def test_similar_components_leave_no_candidate_pair(spark, monkeypatch, block):
     import pandas as pd
 
     p = profile(pd.Series(texts))
-    nodes = spark.createDataFrame([(int(d), int(f), [None if v is None else int(v) for v in vs], bytearray(s)) for f, vs, s, d in p.itertuples(index=False)], "digest bigint, fp bigint, views array<bigint>, sketch binary")
+    nodes = spark.createDataFrame([(int(d), int(f), [None if v is None else int(v) for v in vs], bytearray(s)) for f, vs, s, d, _ in p.itertuples(index=False)], "digest bigint, fp bigint, views array<bigint>, sketch binary")
     near = {}
     links = [(a, b) for a, b in itertools.combinations(range(len(p)), 2) if (int(p.fp[a]) ^ int(p.fp[b])) & (2**64 - 1) == 0 or ((int(p.fp[a]) ^ int(p.fp[b])) & (2**64 - 1)).bit_count() <= 2]
     near = components(len(p), links)

@@ -23,26 +23,98 @@ def test_pairs_at_the_bar_are_decided_exactly(spark, changed, linked):
     assert kept == list(range(0, 80, 2 if linked else 1))
 
 
-def test_blocks_decide_exactly_too(spark, monkeypatch):
-    """No hubs that help: one bucket holds all texts, and each has its pair at the bar in it."""
-    monkeypatch.setattr(simhash, "VIEWS", 1)
-    monkeypatch.setattr(simhash, "BLOCK", 16)
-    monkeypatch.setattr(simhash, "majority", lambda hashes: 7)
-    kinds = [66] * 30 + [67] * 30
-    texts = dict(pairs_of(kinds))
-    p = simhash._profiles(5).func(pd.Series([texts[i] for i in sorted(texts)]))
-    nodes = spark.createDataFrame([(int(g), 7, [7], bytearray(s)) for _, _, s, g in p.itertuples(index=False)], "digest bigint, fp bigint, views array<bigint>, sketch binary")
-    whole = {int(g): np.unique(simhash.shingle_hashes(texts[i], 5)).tobytes() for i, g in enumerate(p.digest)}
-    sets = spark.createDataFrame([(g, bytearray(w)) for g, w in whole.items()], "digest bigint, whole binary")
-    at = {int(g): i for i, g in enumerate(p.digest)}
+def nodes_of(spark, texts, fp=None, views=None):
+    p = simhash._profiles(5).func(pd.Series(texts))
+    rows = [(int(d), int(f) if fp is None else fp, [None if v is None else int(v) for v in vs] if views is None else views, bytearray(s)) for f, vs, s, d, _ in p.itertuples(index=False)]
+    whole = [(int(d), [int(x) for x in np.unique(simhash.shingle_hashes(t, 5)).view(np.int64)]) for d, t in zip(p.digest, texts)]
+    sets = spark.createDataFrame(whole, "digest bigint, whole array<bigint>")
+    nodes = spark.createDataFrame(rows, "digest bigint, fp bigint, views array<bigint>, sketch binary")
+    return nodes, lambda digests: sets.join(digests, "digest"), {int(g): i for i, g in enumerate(p.digest)}
+
+
+def groups_of(found, at):
     groups = {}
-    for r in simhash.similar_components(nodes, 0.8, lambda digests: sets.join(digests, "digest")).collect():
+    for r in found.collect():
         groups.setdefault(r.component, []).append(at[r.node])
-    assert sorted(sorted(g) for g in groups.values()) == [[2 * i, 2 * i + 1] for i in range(30)]
+    return sorted(sorted(g) for g in groups.values())
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_blocks_decide_exactly_too(spark, monkeypatch, block):
+    """No hubs that help: one bucket holds all texts, and each has its pair at the bar in it."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    texts = dict(pairs_of([66] * 30 + [67] * 30))
+    nodes, wholes, at = nodes_of(spark, [texts[i] for i in sorted(texts)], 7, [7])
+    assert groups_of(simhash.similar_components(nodes, 0.8, wholes), at) == [[2 * i, 2 * i + 1] for i in range(30)]
     with pytest.raises(ValueError):
         simhash.similar_components(nodes, 0.8)
 
 
+def test_a_shared_passage_makes_no_block_of_all(spark, monkeypatch):
+    """Texts that share a passage are in one bucket, but only similar ones share a rare hash."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    passage = [f"s{j}" for j in range(150)]
+    texts = []
+    for i in range(60):
+        own = [f"t{i}w{j}" for j in range(250)]
+        texts += [" ".join(passage + own), " ".join(passage + own[:-3] + ["x", "y", "z"])]
+    nodes, wholes, at = nodes_of(spark, texts, 7, [7])
+    labels = spark.createDataFrame([], "node bigint, component bigint")
+    buckets = nodes.selectExpr("digest", "0 AS view", "CAST(7 AS BIGINT) AS print")
+    blocks = simhash._open_blocks(buckets, labels, nodes, 0.8)
+    met = blocks.alias("x").join(blocks.alias("y"), ["view", "print", "sub"]).where("x.digest < y.digest").selectExpr("x.digest a", "y.digest b").distinct().count()
+    assert 60 <= met < 400  # of 7140 pairs
+    assert groups_of(simhash.similar_components(nodes, 0.8, wholes), at) == [[2 * i, 2 * i + 1] for i in range(60)]
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.8, 0.9])
+def test_prefixes_share_a_hash_of_similar_sketches(similarity):
+    rng = np.random.default_rng(1)
+    for _ in range(2000):
+        size = int(rng.integers(1, 160))
+        x = rng.choice(10**6, size, replace=False)
+        y = np.unique(np.r_[rng.choice(x, max(1, int(size * rng.uniform(similarity, 1))), replace=False), rng.choice(10**6, rng.integers(0, 30))])
+        a, b = (np.sort(v)[: simhash.SKETCH].astype("<u4").tobytes() for v in (x, y))
+        if simhash.sketch_verdict(a, b, similarity):
+            order = rng.permutation(10**6)
+            heads = []
+            for v in (a, b):
+                v = np.frombuffer(v, "<u4")
+                heads.append(set(v[np.argsort(order[v])][: simhash.prefix_size(len(v), similarity)]))
+            assert heads[0] & heads[1]
+
+
+def test_colliding_digests_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "text_digests", lambda t: (5, hash(tuple(simhash.words_of(t))) & (2**62 - 1)))
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(["one text", "two texts", "One  TEXT", "three", None, " "])], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(d).collect()) == [0, 1, 3, 4]
+
+
+def test_recall_on_a_whole_table(spark):
+    """Every pair of sf0.01 with a Jaccard similarity of 0.8 or more, found by brute force over an inverted index."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()}
+    sets = {r.doc_id: set(simhash.shingle_hashes(r.text, 5).tolist()) for r in docs.collect()}
+    lists = {}
+    for i, x in sets.items():
+        for h in x:
+            lists.setdefault(h, []).append(i)
+    common = {}
+    for ids in lists.values():
+        for a in range(len(ids)):
+            for b in range(a):
+                common[ids[b], ids[a]] = common.get((ids[b], ids[a]), 0) + 1
+    true = [(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    lost = [(a, b) for a, b in true if a in kept and b in kept]
+    assert len(true) > 50 and len(lost) <= 0.01 * len(true), lost
+    partners = {}
+    for a, b in true:
+        partners.setdefault(a, []).append(b)
+        partners.setdefault(b, []).append(a)
+    empty = [i for i, x in sets.items() if not x]
+    assert all(i in partners or i in empty for i in sets if i not in kept)
+
+
 def test_sketches_reject_and_accept_only_far_from_the_bar():
     low, high = simhash.sketch_bounds(0.8)
     assert low < 0.65 * simhash.SKETCH and high > 0.94 * simhash.SKETCH
