@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,13 +15,13 @@ from .common import lower_ascii
 
 #: (verdict, rule): a rule fits its host and all subdomains if the path starts with the rule's path; the longest wins.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Weak labels for the models: a host that holds one of these terms counts as rejected, any other as accepted.
-REJECTED_TERMS = ("adult", "ads-", "bets", "casino", "pills", "spam")
-#: Bound of the labelled sample, a side; one URL in five of it calibrates the threshold.
-SAMPLE_ROWS = 20_000
+#: Weak labels for the models: a host that holds one of these terms counts as rejected, any other as accepted. The models
+#: never see a term, neither when they learn nor when they score (see :func:`model_text`), so what they learn is what else
+#: such URLs have in common.
+REJECTED_TERMS = ("adult", "ads", "bets", "casino", "pills", "spam")
+#: Bound of the labelled sample, a side; one URL in five of it is held out and calibrates the threshold.
+SAMPLE_ROWS, HELD = 20_000, 5
 ORDER = 5
-#: Share of accepted calibration URLs that the threshold may reject.
-FALSE_REJECTS = 0.005
 _BEGIN, _END = 2, 3
 
 
@@ -100,11 +101,14 @@ def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarr
 
 @dataclass
 class UrlModel:
-    """Accepted and rejected models and the threshold on their log-likelihood difference a symbol."""
+    """Accepted and rejected models, the threshold on their log-likelihood difference a symbol, and the shares of held-out
+    accepted URLs below it and of held-out rejected URLs not below it."""
 
     accepted: MarkovModel
     rejected: MarkovModel
-    threshold: float
+    threshold: float = 0.0
+    false_rejects: float = 0.0
+    false_accepts: float = 0.0
 
     def score(self, urls: pd.Series) -> np.ndarray:
         out = np.zeros(len(urls))
@@ -116,32 +120,51 @@ class UrlModel:
         return out
 
 
-def _model_text(url: Column) -> Column:
-    """What the models read: the URL from the host on; URLs without a host give an empty text."""
-    return F.coalesce(F.concat(host_of(url), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(.*)$", 1)), F.lit(""))
+def named(host: Column, terms=REJECTED_TERMS) -> Column:
+    """Whether a host holds one of the terms that label URLs as rejected."""
+    return host.rlike("|".join(map(re.escape, terms))) if terms else F.lit(False)
 
 
-def fit_url_model(urls: DataFrame, rejected: Column, *, sample_rows: int = SAMPLE_ROWS) -> UrlModel | None:
+def model_text(url: Column, terms=REJECTED_TERMS) -> Column:
+    """What the models read: the URL from the host on, without the terms; URLs without a host give an empty text."""
+    text = F.coalesce(F.concat(host_of(url), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(.*)$", 1)), F.lit(""))
+    return F.regexp_replace(text, "(?i)" + "|".join(map(re.escape, terms)), "") if terms else text
+
+
+def calibrated(good: np.ndarray, bad: np.ndarray) -> tuple[float, float, float]:
+    """(threshold, false rejects, false accepts) with the smallest sum of both error shares; in the middle of a tie."""
+    cuts = np.unique(np.concatenate([good, bad]))
+    cuts = np.r_[cuts, np.inf] if len(cuts) else np.zeros(1)
+    rejects = np.searchsorted(np.sort(good), cuts) / max(1, len(good))
+    accepts = 1 - np.searchsorted(np.sort(bad), cuts) / max(1, len(bad))
+    at = np.flatnonzero(np.isclose(rejects + accepts, (rejects + accepts).min()))
+    k = at[len(at) // 2]
+    below = cuts[k - 1] if k else cuts[k]
+    threshold = below if np.isinf(cuts[k]) else (below + cuts[k]) / 2
+    return float(np.nextafter(threshold, np.inf) if np.isinf(cuts[k]) else threshold), float(rejects[k]), float(accepts[k])
+
+
+def fit_url_model(urls: DataFrame, rejected: Column, *, terms=REJECTED_TERMS, sample_rows: int = SAMPLE_ROWS) -> UrlModel | None:
     """Fit on ``sample_rows`` URLs a side at most, those with the smallest hashes; None if a side has none.
 
-    The threshold is the highest at which no more than FALSE_REJECTS of the held-out accepted URLs score below it.
+    One in HELD of each side is not learned from; the threshold is the one of the smallest sum of both sides' error
+    shares on these (on all of a side that has fewer than HELD). ``rejected`` labels the rows of ``urls`` (column url).
     """
-    rows = urls.select(_model_text(F.col("url")).alias("u"), F.coalesce(rejected, F.lit(False)).alias("bad")).where("u <> ''").distinct()
+    rows = urls.select(model_text(F.col("url"), terms).alias("u"), F.coalesce(rejected, F.lit(False)).alias("bad")).where("u <> ''").distinct()
     sides = []
     for bad in (False, True):
         got = rows.where(F.col("bad") == bad).orderBy(F.xxhash64("u"), "u").limit(sample_rows).collect()
         sides.append([r.u for r in got])
     if not all(sides):
         return None
-    good, bad = sides
-    held = good[::5]
-    model = UrlModel(MarkovModel.fit([u.encode() for i, u in enumerate(good) if i % 5] or [u.encode() for u in good]), MarkovModel.fit([u.encode() for u in bad]), 0.0)
-    scores = np.sort(model.score(pd.Series(held)))
-    model.threshold = float(min(0.0, scores[int(FALSE_REJECTS * len(scores))]))
+    learned = [[u.encode() for i, u in enumerate(s) if i % HELD or len(s) < HELD] for s in sides]
+    model = UrlModel(*[MarkovModel.fit(s) for s in learned])
+    held = [model.score(pd.Series(s[::HELD] if len(s) >= HELD else s)) for s in sides]
+    model.threshold, model.false_rejects, model.false_accepts = calibrated(*held)
     return model
 
 
-def judge_urls(pages: DataFrame, model: UrlModel | None, rules=RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, model: UrlModel | None, rules=RULES, *, terms=REJECTED_TERMS) -> DataFrame:
     """``pages`` plus host, path, rule, score (log-likelihood difference a symbol, accepted minus rejected), verdict.
 
     The verdict is the longest fitting rule's, else the models': block if the score is below the threshold.
@@ -149,10 +172,10 @@ def judge_urls(pages: DataFrame, model: UrlModel | None, rules=RULES) -> DataFra
     * null url or one without ``://``: empty host and path, no rule, score 0, allow (there is no evidence against it);
     * very long URLs are scored whole; repeated rows get equal rows; empty table: no rows;
     * without a model (no labelled examples of one side) every score is 0 and only rules block;
-    * columns of the input with the names of the new ones are replaced.
+    * columns of the input with the names of the new ones are replaced, all others are carried in a struct.
     """
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")]
-    d = pages.select(*[F.col(f"`{c}`") for c in own], host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), _model_text(F.col("url")).alias("_text"))
+    d = pages.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), model_text(F.col("url"), terms).alias("text"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     if model is None:
         score, threshold = F.lit(0.0), 0.0
@@ -163,16 +186,13 @@ def judge_urls(pages: DataFrame, model: UrlModel | None, rules=RULES) -> DataFra
         def scored(u: pd.Series) -> pd.Series:
             return pd.Series(np.where(u == "", 0.0, model.score(u)))
 
-        score = scored("_text")
-    d = d.withColumn("rule", rule).withColumn("_ruled", verdict).withColumn("score", score)
-    learned = F.when(F.col("score") < threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return d.select(*[F.col(f"`{c}`") for c in own], "host", "path", "rule", "score", F.coalesce("_ruled", learned).alias("verdict"))
+        score = scored("text")
+    d = d.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("score", score)
+    learned = F.when((F.col("text") != "") & (F.col("score") < threshold), F.lit("block")).otherwise(F.lit("allow"))
+    return d.select(*[F.col(f"row.`{c}`").alias(c) for c in own], "host", "path", "rule", "score", F.coalesce("ruled", learned).alias("verdict"))
 
 
 def op2_markov_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    host = host_of(F.col("url"))
-    bad = F.lit(False)
-    for term in REJECTED_TERMS:
-        bad = bad | host.contains(term)
-    return judge_urls(pages, fit_url_model(pages, bad)).select("page_id", "host", "path", "rule", "verdict", "score")
+    model = fit_url_model(pages, named(host_of(F.col("url"))))
+    return judge_urls(pages, model).select("page_id", "host", "path", "rule", "verdict", "score")
