@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS
+from .common import BROADCAST_ROWS, parts
 
 #: Production weights: the hot source is held to two parts, every other source gets one.
 TARGET_WEIGHTS = {"src0": 2.0}
@@ -45,9 +45,8 @@ def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: flo
 
     The target size is ``total`` times the size of the input. A weight of 0 (or a source of size 0) gives rate 0.
     """
-    named = F.lit(None).cast("double")
-    for name, w in weights.items():
-        named = F.when(F.col("source") == name, F.lit(float(w))).otherwise(named)
+    table = F.create_map(*[x for name, w in weights.items() for x in (F.lit(name), F.lit(float(w)))]) if weights else None
+    named = F.lit(None).cast("double") if table is None else F.try_element_at(table, F.col("source"))
     sizes = docs.groupBy("source").agg(F.sum(size).cast("bigint").alias("source_size"))
     sizes = sizes.withColumn("weight", F.coalesce(named, F.lit(float(default_weight))))
     both = sizes.agg(F.sum("source_size").alias("s"), F.sum("weight").alias("w")).first()
@@ -61,7 +60,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight
 
     Each document's count is the inverse of the Poisson distribution with its source's mean rate, at a point hashed
     from the seed and doc_id, so it doesn't depend on partitions or retries. Rows are exploded by their count and
-    sorted by a hash of seed, doc_id and copy.
+    sorted by a hash of seed, doc_id and copy. Hashes are even, so equal ranges of them are balanced partitions, in
+    order, without a sample pass over the rows.
 
     * null source: a source of its own; null or empty text: one byte, so that it has a size;
     * null doc_id: the hash of the text takes its place; rows that repeat an id share its count;
@@ -87,7 +87,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight
     d = d.withColumn("_n", F.when(F.col("_rate") > 0, F.element_at("_cdf", 1)["k"] + F.size(below)).otherwise(0).cast("int"))
     d = d.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     d = d.withColumn("_key", _digits(F.concat(F.lit(seed + ":"), F.col("_id"), F.lit(":"), F.col("copy").cast("string"))))
-    return d.orderBy("_key").select(
+    n = parts(docs.sparkSession)
+    place = F.floor(F.col("_key") / F.lit(float(2**52)) * n).cast("int")
+    return d.repartitionById(n, place).sortWithinPartitions("_key").select(
         *[F.col(f"_row.`{c}`").alias(c) for c in own],
         "copy",
         F.col("_n").alias("copies"),
