@@ -27,14 +27,18 @@ BLOCK = 64
 MAX_LANGUAGES = 1000
 
 
+def letter_class(point: int) -> int:
+    """0 for a code point that is no letter, a class of its own for a to z in either case, a shared one for other letters."""
+    c = chr(point)
+    if not c.isalpha():
+        return 0
+    low = ord(c.lower()[0])
+    return low - 95 if 97 <= low <= 122 else 28 + low % (LETTERS - 28)
+
+
 def _tables(seed: int = 20) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Class of each code point (two-byte ones; the rest share class 1), and the letter vectors rotated by 2, 1 and 0."""
-    classes = np.zeros(1 << 16, np.int64)
-    for cp in range(1 << 16):
-        c = chr(cp)
-        if c.isalpha():
-            low = ord(c.lower()[0])
-            classes[cp] = low - 95 if 97 <= low <= 122 else 28 + low % (LETTERS - 28)
+    """Class of each code point of two bytes, and the letter vectors rotated by 2, 1 and 0."""
+    classes = np.array([letter_class(cp) for cp in range(1 << 16)], np.int64)
     rng = np.random.default_rng(seed)
     letters = rng.choice(np.array([-1, 1], np.int8), size=(LETTERS, DIM))
     return classes, [np.roll(letters, GRAM - 1 - k, axis=1) for k in range(GRAM)]
@@ -51,7 +55,11 @@ class Encoder:
         if not text:
             return np.zeros(0, np.int64)
         points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        c = np.where(points < 1 << 16, self.classes[np.minimum(points, (1 << 16) - 1)], 1)
+        c = self.classes[np.minimum(points, (1 << 16) - 1)]
+        rare = np.flatnonzero(points >= 1 << 16)
+        if len(rare):
+            kinds, at = np.unique(points[rare], return_inverse=True)
+            c[rare] = np.array([letter_class(int(p)) for p in kinds])[at]
         if not c.any():
             return np.zeros(0, np.int64)
         c = np.concatenate([[0], c, [0]])
@@ -131,8 +139,8 @@ def with_language(docs: DataFrame, names: list[str], prototypes: np.ndarray, siz
 
     * null text, or no letter in it: ``und``, score 0; so has every row if nothing was learned;
     * very long texts are read whole; repeated rows get equal rows; empty table: no rows;
-    * columns of the input named ``lang_pred`` or ``score`` are replaced. No other column is an input;
-    * ``sizes`` names a further column for the number of n-grams.
+    * columns of the input named ``lang_pred`` or ``score`` are replaced, others are carried in a struct. None but ``text``
+      is an input; ``sizes`` names a further column for the number of n-grams.
     """
 
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -149,11 +157,11 @@ def with_language(docs: DataFrame, names: list[str], prototypes: np.ndarray, siz
             score = np.where(known, np.clip(cos[np.arange(len(b)), best], 0, 1), 0.0).astype(np.float64)
             yield pd.DataFrame({"lang_pred": lang, "score": np.round(score, 6), "n": n})
 
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    own = [c for c in docs.columns if c not in ("lang_pred", "score", sizes)]
     udf = pandas_udf(predicted, "lang_pred string, score double, n bigint")
-    d = docs.select(*[F.col(f"`{c}`") for c in own], udf("text").alias("_said"))
-    more = [F.col("_said.n").alias(sizes)] if sizes else []
-    return d.select(*[F.col(f"`{c}`") for c in own], F.col("_said.lang_pred").alias("lang_pred"), F.col("_said.score").alias("score"), *more)
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), udf("text").alias("said"))
+    more = [F.col("said.n").alias(sizes)] if sizes else []
+    return d.select(*[F.col(f"row.`{c}`").alias(c) for c in own], F.col("said.lang_pred").alias("lang_pred"), F.col("said.score").alias("score"), *more)
 
 
 def op6_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,6 +187,11 @@ def keep_known_languages(docs: DataFrame) -> DataFrame:
 
     Unlike is a score under the bar of the row's length (see :func:`fit_bars`). Texts of a few n-grams have scores so
     near to noise that their bar lets most of anything pass; so it is if hardly any row is labelled.
+
+    * null or empty text, or no letter in it: dropped; so is every row if no row is labelled;
+    * a label never saves a row: labelled ones that are unlike every language go too (one in a thousand, see QUANTILE);
+    * very long texts are read whole; repeated rows share their fate; empty table: no rows;
+    * columns are carried in a struct, so their names never clash, and stay as they are.
     """
     names, protos = fit_prototypes(docs)
     own = docs.columns
