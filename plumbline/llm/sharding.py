@@ -50,10 +50,12 @@ def with_shards(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", text_
     the totals), a window inside each range gives the rest. The shard is where the middle of the row's bytes falls
     among ``n_shards`` equal targets, so shards are contiguous and differ from the target by one row at most.
 
-    * null or empty text: size 16; null id: at the front; empty table: no rows;
+    * null or empty text: size 16; empty table: no rows; null ids are at the front, in ranges of their own;
     * a very long text may by itself exceed a target; shards without any middle stay empty, none is ever split;
-    * rows repeated in full are neighbours in any order among themselves; an id shared by very many rows is spread over
-      the ranges that its value spans by the hash of its text;
+    * rows repeated in full are neighbours in any order among themselves. An id shared by very many rows is spread over
+      the ranges that its value spans, and null ids over all of theirs, by the hash of the text and by the partition that
+      a row is read in; within a range, rows with equal id and text are numbered a partition at a time. So ``docs`` should
+      be a table or a scan, whose rows stay in their partitions when it is read again;
     * columns of the input are carried in a struct, so their names never clash; ``shard``, ``slot`` and ``size`` of the
       input are replaced by the new columns.
 
@@ -71,12 +73,13 @@ def with_shards(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", text_
         order.alias("_k"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(OVERHEAD)).cast("bigint").alias("_size"),
         F.xxhash64(text).alias("_h"),
+        F.spark_partition_id().alias("_p"),
     )
     d = d.withColumn("_lo", _below(bounds, F.col("_k"), strict=True)).withColumn("_hi", _below(bounds, F.col("_k"), strict=False))
-    spread = F.pmod(F.coalesce("_h", F.lit(0)), (F.col("_hi") - F.col("_lo") + 1).cast("bigint"))
-    d = d.withColumn("_range", F.coalesce((F.col("_lo") + spread).cast("int"), F.lit(0)))
+    mixed = F.pmod(F.xxhash64("_h", "_p"), F.when(F.col("_k").isNull(), F.lit(n_ranges)).otherwise(F.col("_hi") - F.col("_lo") + 1).cast("bigint"))
+    d = d.withColumn("_range", F.when(F.col("_k").isNull(), -1 - mixed).otherwise(F.col("_lo") + mixed).cast("int"))
     totals = d.groupBy("_range").agg(F.sum("_size").alias("bytes"), F.count("*").alias("n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # n_ranges rows at most
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # 2 n_ranges rows at most
     everything = Window.partitionBy(F.lit(1))
     offsets = totals.select(
         "_range",
@@ -84,7 +87,7 @@ def with_shards(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", text_
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_row0"),
         F.sum("bytes").over(everything).alias("_total"),
     )
-    inside = Window.partitionBy("_range").orderBy(F.col("_k").asc_nulls_first(), "_h")
+    inside = Window.partitionBy("_range").orderBy(F.col("_k").asc_nulls_first(), "_h", "_p")
     d = (
         d.withColumn("_end", F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_rank", F.row_number().over(inside))

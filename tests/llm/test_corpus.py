@@ -65,6 +65,13 @@ def test_leaks_match_the_sql_and_planted_substitutions(spark, empty):
     assert decontaminate.contaminated(d, bench.limit(0)).count() == 0
 
 
+def test_seeds_joined_by_shuffle_give_the_same_leaks(spark, monkeypatch):
+    tables = [spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark")]
+    want = sorted(map(str, decontaminate.contaminated(*tables).collect()))
+    monkeypatch.setattr(decontaminate, "SEED_ROWS", 5)
+    assert want and sorted(map(str, decontaminate.contaminated(*tables).collect())) == want
+
+
 # ---------------------------------------------------------------- 2 URLs
 
 
@@ -311,6 +318,22 @@ def test_shards_are_contiguous_and_balanced(docs, rows, empty):
     assert sorted(r.slot for r in sharding.with_shards(same, 1).collect()) == list(range(len(rows)))
 
 
+@pytest.mark.parametrize("value", [None, 7])
+def test_hot_ids_are_spread_over_ranges(spark, value):
+    """Half of the rows have no id or one id, most of them the same text too: no range holds most of them."""
+    d = spark.range(4000).repartition(16).select(F.when(F.col("id") % 2 == 0, F.lit(value)).otherwise(F.col("id") + 10).cast("bigint").alias("doc_id"), F.when(F.col("id") % 8 == 0, F.col("id").cast("string")).otherwise(F.lit("same")).alias("text"))
+    got = sharding.with_shards(d, 5, n_ranges=32)
+    plan = got._jdf.queryExecution().toString()
+    assert "spark_partition_id" in plan.lower()
+    rows = got.collect()
+    for k in range(5):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
+    shards = [sum(r.size for r in rows if r.shard == k) for k in range(5)]
+    assert max(shards) - min(shards) <= 2 * max(r.size for r in rows)
+    order = [(-1 if r.doc_id is None else r.doc_id) for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(order)
+
+
 # ---------------------------------------------------------------- registry and pipeline
 
 
