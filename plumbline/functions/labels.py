@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .vectors import Vector, col
@@ -61,13 +61,27 @@ class TargetMapping:
         return self.table.items()
 
 
+#: Sampled values from which ranges are cut, and the number of ranges; they only decide the balance.
+SAMPLED, RANGES = 4096, 64
+
+
 def dense_labels(df: DataFrame, by: str, label: str = "label") -> DataFrame:
     """Number the distinct values of ``by`` from 0 in ascending order; nulls stay null.
 
-    The distinct values are numbered and joined back, so the window sees one row a value, never one a row.
+    The distinct values are cut into ranges; each range's count gives its offset and a window numbers the values inside,
+    so no task orders all values. Columns of ``df`` are carried in a struct.
     """
-    from pyspark.sql import Window
-
-    named = df.select(F.col(by).alias("_value")).where(F.col("_value").isNotNull()).distinct()
-    named = named.withColumn(label, (F.row_number().over(Window.orderBy("_value")) - 1).cast("int"))
-    return df.drop(label).join(named, F.col(by) == F.col("_value"), "left").drop("_value")
+    own = [c for c in df.columns if c != label]
+    value = F.col(f"`{by}`")
+    named = df.select(value.alias("value")).where(F.col("value").isNotNull()).distinct()
+    some = sorted(r.value for r in named.orderBy(F.xxhash64("value")).limit(SAMPLED).collect())
+    cuts = [some[len(some) * i // RANGES] for i in range(1, RANGES)] if len(some) == SAMPLED else []
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("value"))) if cuts else F.lit(0)
+    ranged = named.withColumn("place", place)
+    before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    offsets = ranged.groupBy("place").agg(F.count("*").alias("n")).select("place", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    at = F.row_number().over(Window.partitionBy("place").orderBy("value")) - 1
+    named = ranged.withColumn("at", at).join(F.broadcast(offsets), "place").select("value", (F.col("at") + F.col("offset")).cast("int").alias("number"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
+    joined = rows.join(named, F.col(f"row.`{by}`") == F.col("value"), "left")
+    return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in own], F.col("number").alias(label))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 Vector = Column | str
 
@@ -32,6 +34,16 @@ def literal(values: Sequence[float] | np.ndarray) -> Column:
     return F.array(*[F.lit(float(v)) for v in a]) if len(a) else F.array().cast("array<double>")
 
 
+def rank_among(cuts: Sequence[float], key: Column) -> Column:
+    """How many of the ascending ``cuts`` are below ``key``, by halving: its cost grows with the logarithm of their number."""
+    if not len(cuts):
+        return F.lit(0)
+    table = literal(cuts)
+    steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
+    halve = lambda at, step: at + F.when(F.get(table, at + step - 1) < key, step).otherwise(0)
+    return F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), halve)
+
+
 def total(c: Vector) -> Column:
     return F.aggregate(col(c), F.lit(0.0), lambda s, v: s + v)
 
@@ -100,8 +112,26 @@ def softmin(a: Vector) -> Column:
     return softmax(scaled(a, -1.0))
 
 
+#: Numbers of a weight matrix up to which it is part of the plan, as constants; larger ones multiply Arrow batches.
+MAX_LITERALS = 20_000
+
+
+def _product(weights: np.ndarray, bias: np.ndarray):
+    @pandas_udf("array<double>")
+    def product(vectors: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(vectors), dtype="object")
+        ok = vectors.notna().to_numpy()
+        if ok.any():
+            out[ok] = list(np.stack(vectors[ok].to_numpy()).astype(np.float64) @ weights.T + bias)
+        return out
+
+    return product
+
+
 def linear(x: Vector, weights: np.ndarray | Column, bias: np.ndarray | Column) -> Column:
     """``W x + b`` with one output for each row of W."""
+    if not isinstance(weights, Column) and not isinstance(bias, Column) and np.size(weights) > MAX_LITERALS:
+        return _product(np.asarray(weights, np.float64), np.asarray(bias, np.float64))(doubles(x))
     w = weights if isinstance(weights, Column) else literal(weights)
     b = bias if isinstance(bias, Column) else literal(bias)
     return let(col(x), lambda z: F.zip_with(w, b, lambda row, c: dot(row, z) + c))

@@ -12,6 +12,8 @@ Model = Callable[[DataFrame], DataFrame]
 
 #: Rows of a parameter table (a class mean's entry, a weight) that the driver takes; beyond it the fit raises.
 PARAMETER_ROWS = 20_000_000
+#: Classes whose labels the driver takes.
+CLASSES = 1_000_000
 
 
 class RequiresFittingException(Exception):
@@ -80,3 +82,11 @@ def parameter_rows(df: DataFrame, limit: int = PARAMETER_ROWS) -> dict[str, np.n
     if table.num_rows > limit:
         raise ValueError(f"more than {limit} parameters")
     return {name: table[name].to_numpy() for name in table.column_names}
+
+
+def known_classes(df: DataFrame, label: str, limit: int = CLASSES) -> list[int]:
+    """The distinct labels of ``df``; raises beyond ``limit`` of them."""
+    found = [r[0] for r in df.select(label).distinct().limit(limit + 1).collect()]
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} classes")
+    return found

@@ -13,12 +13,12 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import scores as S
 from ..functions import vectors as V
-from .base import Detector
+from .base import Detector, known_classes, parameter_rows
 from .moments import class_means, stacked
 
-#: Numbers of a bank of vectors up to which it is sent to every executor whole; larger banks are compared in blocks.
+#: Numbers of a bank of vectors up to which it is sent to every executor whole; larger banks are dealt to cells and blocks.
 BANK_NUMBERS = 16_000_000
-BLOCK = 4096
+BLOCK, PIVOTS = 4096, 256
 
 
 def _by_class(table: dict[int, np.ndarray], key: Column, missing: str) -> Column:
@@ -76,7 +76,7 @@ class SHE(Detector):
         d = self._known(df)
         right = d.where(self._predicted() == F.col(self.label))
         stats = class_means(right, self.features, self.label)
-        lost = [r[0] for r in d.select(self.label).distinct().limit(100_000).collect() if r[0] not in stats]
+        lost = [k for k in known_classes(d, self.label) if k not in stats]
         if lost or not stats:
             raise ValueError(f"classes without a correctly classified row: {sorted(lost)}")
         self.table, self.fitted = {k: m for k, (_, m) in stats.items()}, True
@@ -124,6 +124,16 @@ def weibull_cdf(distance: np.ndarray, shape: float, scale: float, low: float, sh
         return -np.expm1(-np.exp(np.minimum(shape * (np.log(x) - np.log(scale)), 700.0)))
 
 
+def with_weibull(df: DataFrame, distance: str, name: str, shape: float, scale: float, low: float, shift: float = 10000.0) -> DataFrame:
+    """``df`` plus ``name``: the Weibull probability of each distance."""
+
+    @pandas_udf("double")
+    def cdf(x: pd.Series) -> pd.Series:
+        return pd.Series(weibull_cdf(x.to_numpy(np.float64), shape, scale, low, shift))
+
+    return df.withColumn(name, cdf(F.col(distance).cast("double")))
+
+
 def distances_to(z: np.ndarray, center: np.ndarray, euclid_weight: float) -> np.ndarray:
     out = np.zeros(len(z))
     if euclid_weight:
@@ -175,8 +185,10 @@ class OpenMax(Detector):
             raise ValueError("no rows with known labels")
         self.centers = {k: m for k, (_, m) in stats.items()}
         tails = class_tails(d, self.logits, self.label, self.centers, self.tailsize, self.euclid_weight)
-        got = tails.groupBy("label").agg(F.collect_list("distance").alias("d")).limit(100_000).collect()
-        self.weibulls = {int(r.label): weibull_fit(np.array(r.d)) for r in got}
+        got = parameter_rows(tails)
+        order = np.argsort(got["label"], kind="stable")
+        kinds, at = np.unique(got["label"][order], return_index=True)
+        self.weibulls = {int(k): weibull_fit(d) for k, d in zip(kinds, np.split(got["distance"][order], at[1:]))}
         self.fitted = True
         return self
 
@@ -225,20 +237,6 @@ class OpenMax(Detector):
 # ---------------------------------------------------------------- nearest neighbour
 
 
-def _packed(with_id: bool):
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for at in range(0, len(f), BLOCK):
-                some = f.iloc[at : at + BLOCK]
-                z = stacked(some["v"])
-                row = {"dim": [z.shape[1]], "m": [z.tobytes()]}
-                if with_id:
-                    row["ids"] = [some["id"].to_numpy()]
-                yield pd.DataFrame(row)
-
-    return pack
-
-
 def nearest(z: np.ndarray, bank: np.ndarray) -> np.ndarray:
     """Exact distance to the nearest row of ``bank``: products find it, a direct difference gives the value."""
     best, at = np.full(len(z), np.inf), np.zeros(len(z), np.int64)
@@ -251,11 +249,33 @@ def nearest(z: np.ndarray, bank: np.ndarray) -> np.ndarray:
     return np.linalg.norm(z - bank[at], axis=1)
 
 
+def _to_pivots(z: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """All distances of rows to pivots, by direct differences, so that they are exact to rounding."""
+    return np.stack([np.linalg.norm(z - p, axis=1) for p in pivots], axis=1)
+
+
+def _compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by block, bank rows (side 0) first: holds one block of the bank, queries stream past it."""
+    block, parts, bank = None, [], None
+    for f in frames:
+        for key, g in f.groupby(["cell", "sub"], sort=False):
+            if key != block:
+                block, parts, bank = key, [], None
+            mine, asked = g[g["side"] == 0], g[g["side"] == 1]
+            if len(mine):
+                parts.append(stacked(mine["v"]))
+            if len(asked) and parts:
+                bank = np.concatenate(parts) if bank is None else bank
+                yield pd.DataFrame({"asker": asked["asker"], "d": nearest(stacked(asked["v"]), bank)})
+
+
 class KNN(Detector):
     """Distance to the nearest known training row, exact.
 
-    A bank up to BANK_NUMBERS numbers goes to every executor; a larger one stays a table: queries and bank are packed in
-    blocks, each pair of blocks is one matrix product, and the smallest distance of each query remains.
+    A bank up to BANK_NUMBERS numbers goes to every executor. A larger one is dealt to the cells of PIVOTS of its rows, and
+    large cells to blocks of about BLOCK rows. A query is first compared with the cell of its nearest pivot; then with each
+    other cell that can hold a nearer row, by the cell's radius and by the plane between both pivots. Rows of ``df`` must
+    have ids of their own in ``row_id``.
     """
 
     needs_fit = True
@@ -266,15 +286,59 @@ class KNN(Detector):
 
     def fit_features(self, df: DataFrame) -> KNN:
         self.bank = self._known(df).select(V.doubles(self.features).alias("v")).where("v IS NOT NULL")
-        size = self.bank.agg(F.sum(F.size("v")).alias("n")).first().n
-        if not size:
+        size = self.bank.agg(F.sum(F.size("v")).alias("n"), F.count("*").alias("rows")).first()
+        if not size.n:
             raise ValueError("no rows with known labels")
         self.matrix = None
-        if size <= BANK_NUMBERS:
+        if size.n <= BANK_NUMBERS:
             self.matrix = np.stack([np.asarray(v) for v in self.bank.toArrow()["v"].to_numpy(zero_copy_only=False)])
+        else:
+            n = min(PIVOTS, max(1, size.rows // BLOCK))
+            chosen = self.bank.distinct().orderBy(F.xxhash64("v")).limit(n).toArrow()["v"].to_numpy(zero_copy_only=False)
+            self.pivots = np.stack([np.asarray(v) for v in chosen])
+            cells = self.bank.select(self._cell()("v").alias("at")).select("at.*").groupBy("cell").agg(F.max("r").alias("r"), F.count("*").alias("n")).collect()
+            self.cells = {c.cell: (c.r, -(-c.n // BLOCK)) for c in cells}
         self.fitted = True
         return self
 
+    def _cell(self):
+        pivots = self.pivots
+
+        @pandas_udf("cell int, r double")
+        def cell(vectors: pd.Series) -> pd.DataFrame:
+            d = _to_pivots(stacked(vectors), pivots) if len(vectors) else np.zeros((0, 1))
+            k = d.argmin(1)
+            return pd.DataFrame({"cell": k.astype(np.int32), "r": d[np.arange(len(d)), k]})
+
+        return cell
+
+    def _others(self):
+        pivots, cells = self.pivots, self.cells
+
+        @pandas_udf("array<int>")
+        def others(vectors: pd.Series, cell: pd.Series, near: pd.Series) -> pd.Series:
+            d = _to_pivots(stacked(vectors), pivots) if len(vectors) else np.zeros((0, len(pivots)))
+            own, best = cell.to_numpy(), near.to_numpy() * (1 + 1e-9)
+            home = d[np.arange(len(d)), own]
+            open_ = np.zeros(d.shape, bool)
+            for k, (r, _) in cells.items():
+                open_[:, k] = (d[:, k] - r <= best) & ((d[:, k] - home) / 2 <= best)
+            open_[np.arange(len(d)), own] = False
+            return pd.Series([np.flatnonzero(x).astype(np.int32) for x in open_])
+
+        return others
+
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        """(asker, d): the smallest distance of each query (asker, v, cell) to the rows of its cells."""
+        subs = F.create_map(*[F.lit(x) for k, (_, n) in sorted(self.cells.items()) for x in (int(k), int(n))])
+        of = lambda c: F.try_element_at(subs, c)
+        cell = F.col("at.cell")
+        bank = self.bank.select("v", self._cell()("v").alias("at"))
+        bank = bank.select(F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("asker"), "v", cell.alias("cell"), F.pmod(F.xxhash64("v"), of(cell)).cast("int").alias("sub"))
+        spread = queries.withColumn("sub", F.explode(F.sequence(F.lit(0), of(F.col("cell")) - 1)))
+        both = bank.unionByName(spread.select(F.lit(1).alias("side"), "asker", "v", "cell", "sub")).repartition("cell", "sub").sortWithinPartitions("cell", "sub", "side")
+        return both.mapInPandas(_compared, "asker bigint, d double").groupBy("asker").agg(F.min("d").alias("d"))
+
     def predict_features(self, df: DataFrame) -> DataFrame:
         self._check_fitted()
         if self.matrix is not None:
@@ -285,16 +349,12 @@ class KNN(Detector):
                 return pd.Series(nearest(stacked(vectors), bank)) if len(vectors) else pd.Series([], dtype="float64")
 
             return df.withColumn(self.score, scored(V.doubles(self.features)))
-        blocks = self.bank.mapInPandas(_packed(False), "dim int, m binary").select("dim", F.col("m").alias("bank"))
-        queries = df.select(F.col(self.row_id).cast("bigint").alias("id"), V.doubles(self.features).alias("v"))
-        queries = queries.mapInPandas(_packed(True), "dim int, m binary, ids array<bigint>")
-
-        def paired(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                for dim, m, ids, bank in zip(f["dim"], f["m"], f["ids"], f["bank"]):
-                    z, b = np.frombuffer(m).reshape(-1, dim), np.frombuffer(bank).reshape(-1, dim)
-                    yield pd.DataFrame({"_id": ids, "_d": nearest(z, b)})
-
-        pairs = queries.join(blocks, "dim").mapInPandas(paired, "_id bigint, _d double")
-        low = pairs.groupBy("_id").agg(F.min("_d").alias(self.score))
-        return df.join(low, F.col(self.row_id) == F.col("_id"), "left").drop("_id")
+        own = [c for c in df.columns if c != self.score]
+        asked = df.select(F.col(f"`{self.row_id}`").cast("bigint").alias("asker"), V.doubles(self.features).alias("v")).where("v IS NOT NULL")
+        first = asked.withColumn("at", self._cell()("v")).select("asker", "v", F.col("at.cell").alias("cell"))
+        near = first.join(self._asked(first), "asker")
+        more = near.select("asker", "v", F.explode(self._others()("v", "cell", "d")).alias("cell"))
+        low = near.select("asker", "d").unionByName(self._asked(more)).groupBy("asker").agg(F.min("d").alias("d"))
+        rows = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
+        joined = rows.join(low, F.col(f"row.`{self.row_id}`").cast("bigint") == F.col("asker"), "left")
+        return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in own], F.col("d").alias(self.score))

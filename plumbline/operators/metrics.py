@@ -11,25 +11,30 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 
 METRICS = ("AUROC", "AUPR-IN", "AUPR-OUT", "FPR95TPR")
-#: Ranges that a global order is cut into, so that no single task orders all rows.
-RANGES = 64
+#: Least and largest number of ranges that a global order is cut into, so that no single task orders all rows; between
+#: them it follows from the number of shuffle partitions.
+RANGES, MOST_RANGES = 64, 1024
 #: Rows up to which a table of range totals is broadcast.
 BROADCAST_ROWS = 100_000
 
 
-def running_totals(df: DataFrame, order: str, sums: Sequence[str], *, by: Sequence[str] = (), ranges: int = RANGES, descending: bool = True, ties: Sequence[str] = ()) -> DataFrame:
+def running_totals(df: DataFrame, order: str, sums: Sequence[str], *, by: Sequence[str] = (), ranges: int | None = None, descending: bool = True, ties: Sequence[str] = ()) -> DataFrame:
     """Add ``cum_<c>`` (running sum in the order, own row included) and ``all_<c>`` (sum of the group) for each column.
 
     Two phases: rows are cut into ranges of ``order`` (at percentiles of a summary, so the cuts only decide the balance),
-    each range's totals give its offset, and a window inside each range gives the rest.
+    each range's totals give its offset, and a window inside each range gives the rest. Groups of ``by`` are cut at the same
+    places, so a task has no more rows than a range, however large a group is. Equal values of the order stay together:
+    count them before.
     """
     by, key = list(by), F.col(order)
+    if ranges is None:
+        ranges = min(MOST_RANGES, max(RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     rank = F.lit(0)
     if ranges > 1:
         at = [i / ranges for i in range(1, ranges)]
-        cuts = df.agg(F.percentile_approx(key, at, 1000).alias("c")).first().c
+        cuts = df.agg(F.percentile_approx(key, at, 4 * ranges).alias("c")).first().c
         cuts = sorted({float(c) for c in cuts or []})
-        rank = F.size(F.filter(V.literal(cuts), lambda b: b < key)) if cuts else rank
+        rank = V.rank_among(cuts, key)
     d = df.withColumn("_range", rank)
     totals = d.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -42,7 +47,7 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], *, by: Sequen
         *[F.sum(f"_t_{c}").over(whole).alias(f"all_{c}") for c in sums],
     )
     if not by:
-        offsets = F.broadcast(offsets)  # RANGES rows at most
+        offsets = F.broadcast(offsets)  # MOST_RANGES rows at most
     match = F.col("_range") == F.col("_range2")
     for b in by:
         match = match & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
@@ -72,7 +77,7 @@ def ood_metrics(df: DataFrame, score: str = "score", label: str = "label", *, by
 def curve_metrics(steps: DataFrame, by: Sequence[str] = (), *, ranges: int | None = None, on_missing: str = "raise") -> DataFrame:
     """The metrics from one row a distinct score: ``_s``, ``p`` (outliers) and ``n`` (inliers) at that score."""
     by = list(by)
-    c = running_totals(steps, "_s", ["p", "n"], by=by, ranges=(1 if by else RANGES) if ranges is None else ranges)
+    c = running_totals(steps, "_s", ["p", "n"], by=by, ranges=ranges)
     num = lambda x: F.col(x).cast("double")
     p, n, tp, fp, P, N = (num(x) for x in ("p", "n", "cum_p", "cum_n", "all_p", "all_n"))
     one, half = F.lit(1.0), F.lit(0.5)
@@ -134,21 +139,33 @@ class OODMetrics:
 # ---------------------------------------------------------------- calibration
 
 
-def calibration_error(df: DataFrame, confidence: str = "confidence", correct: str = "correct", *, p: str = "2", beta: int = 100, tie: str | None = None) -> DataFrame:
+def _counted(df: DataFrame, confidence: str, correct: str, descending: bool) -> DataFrame:
+    """Distinct (c, ok), wrong before right among equal confidences, with their number of rows, k, and running sums.
+
+    Rows of equal confidence are counted first, so a value that very many rows have is one row here.
+    """
+    d = df.select(F.col(confidence).cast("double").alias("c"), F.col(correct).cast("double").alias("ok"))
+    pairs = d.groupBy("c", "ok").agg(F.count("*").alias("k")).withColumn("right", F.col("k") * F.col("ok"))
+    return running_totals(pairs, "c", ["k", "right"], descending=descending, ties=["ok"])
+
+
+def calibration_error(df: DataFrame, confidence: str = "confidence", correct: str = "correct", *, p: str = "2", beta: int = 100) -> DataFrame:
     """Binned calibration error (column calibration_error): equal-count bins of ``beta`` rows by confidence.
 
     The last bin takes the remainder and is not evaluated, as in the published implementation. Fewer than ``beta`` rows
-    raise. Ranks come from range totals, never from one ordered task; ``tie`` orders rows of equal confidence.
+    raise. Among rows of equal confidence the wrong ones come first. Ranks come from counts of equal rows and range totals,
+    never from one ordered task; a run of equal rows adds to each bin that it reaches into.
     """
     if p not in ("1", "2", "infty", "infinity", "max"):
         raise ValueError("p must be '1', '2' or 'infty'")
-    ties = [tie] if tie else []
-    d = df.select(F.col(confidence).cast("double").alias("_c"), F.col(correct).cast("double").alias("_ok"), *ties, F.lit(1).cast("bigint").alias("one"))
-    r = running_totals(d, "_c", ["one"], descending=False, ties=ties)
-    last = F.floor(F.col("all_one") / beta) - 1
-    slot = F.floor((F.col("cum_one") - 1) / beta)
-    few = F.when(last < 0, F.raise_error(F.lit(f"fewer than {beta} rows")).cast("bigint")).otherwise(slot)
-    bins = r.withColumn("_bin", few).where(F.col("_bin") < last).groupBy("_bin").agg(F.avg("_c").alias("c"), F.avg("_ok").alias("a"), F.count("*").alias("k"), F.max("all_one").alias("n"))
+    r = _counted(df, confidence, correct, False)
+    last = F.floor(F.col("all_k") / beta) - 1
+    few = F.when(last < 0, F.raise_error(F.lit(f"fewer than {beta} rows")).cast("bigint")).otherwise(last)
+    begin, end = F.col("cum_k") - F.col("k"), F.col("cum_k")
+    r = r.select("c", "ok", begin.alias("begin"), end.alias("end"), F.col("all_k").alias("n"), few.alias("last"))
+    r = r.withColumn("bin", F.explode(F.sequence(F.floor(F.col("begin") / beta), F.floor((F.col("end") - 1) / beta)))).where(F.col("bin") < F.col("last"))
+    k = F.least("end", (F.col("bin") + 1) * beta) - F.greatest("begin", F.col("bin") * beta)
+    bins = r.withColumn("k", k).groupBy("bin").agg((F.sum(F.col("c") * F.col("k")) / F.sum("k")).alias("c"), (F.sum(F.col("ok") * F.col("k")) / F.sum("k")).alias("a"), F.sum("k").alias("k"), F.max("n").alias("n"))
     gap = F.abs(F.col("c") - F.col("a"))
     share = F.col("k").cast("double") / F.col("n").cast("double")
     if p == "1":
@@ -160,12 +177,26 @@ def calibration_error(df: DataFrame, confidence: str = "confidence", correct: st
     return bins.agg(F.coalesce(value, F.lit(0.0)).alias("calibration_error"))
 
 
-def aurra(df: DataFrame, confidence: str = "confidence", correct: str = "correct", *, tie: str | None = None) -> DataFrame:
-    """Area under the response rate accuracy curve (column aurra): mean running accuracy, most confident first."""
-    ties = [tie] if tie else []
-    d = df.select(F.col(confidence).cast("double").alias("_c"), F.col(correct).cast("double").alias("ok"), *ties, F.lit(1).cast("bigint").alias("one"))
-    r = running_totals(d, "_c", ["ok", "one"], ties=ties)
-    return r.agg(F.avg(F.col("cum_ok") / F.col("cum_one").cast("double")).alias("aurra"))
+def _harmonic(k: Column, n: Column) -> Column:
+    """1 / (k + 1) + ... + 1 / (k + n): term by term up to 64 of them or from small k, else by its series."""
+    x, y = k.cast("double"), (k + n).cast("double")
+    terms = F.aggregate(F.sequence(F.lit(1).cast("bigint"), n), F.lit(0.0), lambda s, j: s + F.lit(1.0) / (x + j))
+    tail = lambda v: F.lit(1.0) / (v * 2) - F.lit(1.0) / (v * v * 12) + F.lit(1.0) / (v * v * v * v * 120)
+    series = lambda v: F.log1p((y - v) / v) + tail(y) - tail(v)
+    first = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.lit(64) - k), F.lit(0.0), lambda s, j: s + F.lit(1.0) / (x + j))
+    return F.when(n <= 64, terms).when(k >= 64, series(x)).otherwise(first + series(F.lit(64.0)))
+
+
+def aurra(df: DataFrame, confidence: str = "confidence", correct: str = "correct") -> DataFrame:
+    """Area under the response rate accuracy curve (column aurra): mean running accuracy, most confident first.
+
+    Among rows of equal confidence the wrong ones come first. A run of n equal rows after k rows, s of them right, adds s
+    or, if its rows are right, s - k times 1 / (k + 1) + ... + 1 / (k + n), and then n more.
+    """
+    r = _counted(df, confidence, correct, True)
+    n, k, s = F.col("k"), F.col("cum_k") - F.col("k"), F.col("cum_right") - F.col("right")
+    part = F.when(F.col("ok") > 0, n + (s - k) * _harmonic(k, n)).otherwise(s * _harmonic(k, n))
+    return r.agg((F.sum(part) / F.sum("k")).alias("aurra"))
 
 
 def openness(n_train: Column | int, n_test: Column | int, n_target: Column | int) -> Column:

@@ -35,7 +35,7 @@ def _register(name: str, query: Query, oracle: str | None = None) -> None:
 def _expression(name: str, score: Callable[[Setup], Column], sql: str, ctes: str = "", source: str = "lg") -> None:
     _register(
         name,
-        lambda spark, d: _scores((s := setup(spark, d)).test, score(s)),
+        lambda spark, d: _scores((s := setup(spark, d)).e, score(s)),
         f"{SQL}{ctes}\nSELECT id AS vec_id, y, round({sql}, 6) AS score FROM {source}",
     )
 
@@ -46,7 +46,7 @@ def _detector(name: str, make: Callable[[Setup], detectors.Detector], oracle: st
         det = make(s)
         if det.needs_fit:
             det.fit_features(s.train)
-        return _scores(det.predict_features(s.test))
+        return _scores(det.predict_features(s.e))
 
     _register(name, query, oracle)
 
@@ -88,7 +88,7 @@ UNION ALL SELECT 8, CAST(i - 1 AS INTEGER), 0::DOUBLE FROM (SELECT unnest(range(
 def _per_class(name: str, column: Callable[[Setup], Column], sql: str) -> None:
     _register(
         name,
-        lambda spark, d: (s := setup(spark, d)).test.select(F.col("id").alias("vec_id"), F.posexplode(column(s)).alias("k", "v")).select("vec_id", "k", F.round("v", 6).alias("v")),
+        lambda spark, d: (s := setup(spark, d)).e.select(F.col("id").alias("vec_id"), F.posexplode(column(s)).alias("k", "v")).select("vec_id", "k", F.round("v", 6).alias("v")),
         f"{SQL}\nSELECT id AS vec_id, CAST(k - 1 AS INTEGER) AS k, round({sql}, 6) AS v FROM lg, (SELECT unnest(range(1, 9)) AS k)",
     )
 
@@ -140,7 +140,7 @@ for _v, _sql in (("ash-p", "CASE WHEN r <= 22 THEN v ELSE 0 END"), ("ash-b", "CA
 # the scaling of ash-s needs a positive sum, so its query shifts the features first
 _register(
     "ash_s",
-    lambda spark, d: _scores((s := setup(spark, d)).test.select("id", "y", F.transform("z", lambda v: v + F.lit(1.0)).alias("z")), S.energy(V.linear(S.ash_s("z"), s.w, s.b))),
+    lambda spark, d: _scores((s := setup(spark, d)).e.select("id", "y", F.transform("z", lambda v: v + F.lit(1.0)).alias("z")), S.energy(V.linear(S.ash_s("z"), s.w, s.b))),
     _shaped(_ASH.format("CASE WHEN r <= 22 THEN v * exp(s1 / s2) ELSE 0 END").replace("z[i] AS v", "z[i] + 1 AS v"), _EN2),
 )
 _detector(
@@ -178,7 +178,7 @@ _detector("mcd_var", _mcd("var"), f"{_MCD}\nSELECT id AS vec_id, y, round(avg(s)
 def _kl(spark, d):
     s = setup(spark, d)
     det = classwise.KLMatching(lambda df: df, **COLUMNS).fit(s.train)
-    return _scores(det.predict(s.test))
+    return _scores(det.predict(s.e))
 
 
 _register("kl_matching", _kl, f"""{SQL},
@@ -193,16 +193,23 @@ _detector("knn", lambda s: classwise.KNN(**COLUMNS), f"""{SQL}
 SELECT g.id AS vec_id, g.y, round(sqrt(min(list_sum([(g.z[i] - t.z[i]) * (g.z[i] - t.z[i]) for i in range(1, 65)]))), 6) AS score FROM lg g, lt t GROUP BY 1, 2""")
 
 
-def _plane(cls, layers: str):
+def _plane(cls):
     def query(spark, d):
         s = setup(spark, d)
-        cut = lambda df: df.select("id", "y", F.slice("z", 1, 2).alias("a"), F.slice("z", 3, 2).alias("b"))
-        det = cls(layers=["a", "b"], alpha=[1.0, 0.5], label="y") if layers == "ab" else cls(features="a", label="y")
-        return _scores(det.fit_features(cut(s.train)).predict_features(cut(s.test)))
+        cut = lambda df: df.select("id", "y", F.slice("z", 1, 2).alias("a"))
+        return _scores(cls(features="a", label="y").fit_features(cut(s.train)).predict_features(cut(s.e)))
 
     return query
 
 
+def _layers(spark, d):
+    """Two layers, the first and the second half of the features."""
+    s = setup(spark, d)
+    cut = lambda df: df.select("id", "y", F.slice("z", 1, 32).alias("a"), F.slice("z", 33, 32).alias("b"))
+    det = gaussian.MultiMahalanobis(layers=["a", "b"], alpha=[1.0, 0.5], label="y")
+    return _scores(det.fit_features(cut(s.train)).predict_features(cut(s.e)))
+
+
 def _gauss(name: str, i: int) -> str:
     x, y = f"z[{i}]", f"z[{i + 1}]"
     return f""",
@@ -213,15 +220,14 @@ def _gauss(name: str, i: int) -> str:
        FROM lg, {name}m, {name}c GROUP BY id, y)"""
 
 
-_register("mahalanobis_2d", _plane(gaussian.Mahalanobis, "a"), f"{SQL}{_gauss('g', 1)}\nSELECT id AS vec_id, y, round(d2 / 2, 6) AS score FROM gd")
-_register("rmd_2d", _plane(gaussian.RMD, "a"), f"""{SQL}{_gauss('g', 1)},
+_register("mahalanobis_2d", _plane(gaussian.Mahalanobis), f"{SQL}{_gauss('g', 1)}\nSELECT id AS vec_id, y, round(d2 / 2, 6) AS score FROM gd")
+_register("rmd_2d", _plane(gaussian.RMD), f"""{SQL}{_gauss('g', 1)},
 bm AS (SELECT avg(z[1]) AS mx, avg(z[2]) AS my FROM lt),
 bc AS (SELECT any_value(mx) AS mx, any_value(my) AS my, sum((z[1] - mx) * (z[1] - mx)) + 1e-6::DOUBLE AS a, sum((z[2] - my) * (z[2] - my)) + 1e-6::DOUBLE AS b,
        sum((z[1] - mx) * (z[2] - my)) AS c FROM lt, bm)
 SELECT id AS vec_id, lg.y, round(d2 - ((z[1] - mx) * (z[1] - mx) * b + (z[2] - my) * (z[2] - my) * a - 2 * (z[1] - mx) * (z[2] - my) * c) / (a * b - c * c), 6) AS score
 FROM lg JOIN gd USING (id), bc""")
-_register("multi_mahalanobis_2d", _plane(gaussian.MultiMahalanobis, "ab"), f"""{SQL}{_gauss('g', 1)}{_gauss('f', 3)}
-SELECT id AS vec_id, gd.y, round(gd.d2 / 2 + 0.25::DOUBLE * fd.d2, 6) AS score FROM gd JOIN fd USING (id)""")
+_register("multi_mahalanobis", _layers)
 _detector("mahalanobis", lambda s: gaussian.Mahalanobis(**COLUMNS))
 _detector("rmd", lambda s: gaussian.RMD(**COLUMNS))
 _detector("vim", lambda s: gaussian.ViM(d=16, weights=s.w, bias=s.b, **COLUMNS))
@@ -247,7 +253,7 @@ SELECT label, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (
 
 def _scored(spark, d):
     s = setup(spark, d)
-    return s.test.select("id", "y", F.round(C.ClassCenters(s.w).nearest("z"), 9).alias("score"), (F.col("id") % 5).alias("image_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("Dataset"))
+    return s.e.select("id", "y", F.round(C.ClassCenters(s.w).nearest("z"), 9).alias("score"), (F.col("id") % 5).alias("image_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("Dataset"))
 
 
 def _rounded(df: DataFrame, *keys: str) -> DataFrame:
@@ -286,19 +292,19 @@ def _confidence(spark, d):
 
 
 _CONF = f"{SQL},\ncf AS (SELECT id, round(exp(m - lse), 9) AS confidence, CAST(yhat = y AS INTEGER) AS correct FROM la WHERE y >= 0),\n"
-_BINS = """rk AS (SELECT *, row_number() OVER (ORDER BY confidence, id) AS r, count(*) OVER () AS n FROM cf),
+_BINS = """rk AS (SELECT *, row_number() OVER (ORDER BY confidence, correct, id) AS r, count(*) OVER () AS n FROM cf),
 bn AS (SELECT (r - 1) // 20 AS bin, abs(avg(confidence) - avg(correct)) AS gap, count(*)::DOUBLE / max(n) AS share FROM rk WHERE (r - 1) // 20 < n // 20 - 1 GROUP BY 1)
 """
 for _p, _sql in (("1", "sum(share * gap)"), ("2", "sqrt(sum(share * gap * gap))"), ("infty", "max(gap)")):
     _register(
         f"calibration_error_{_p}",
-        lambda spark, d, p=_p: metrics.calibration_error(_confidence(spark, d), p=p, beta=20, tie="id").select(F.round("calibration_error", 6).alias("calibration_error")),
+        lambda spark, d, p=_p: metrics.calibration_error(_confidence(spark, d), p=p, beta=20).select(F.round("calibration_error", 6).alias("calibration_error")),
         f"{_CONF}{_BINS}SELECT round({_sql}, 6) AS calibration_error FROM bn",
     )
 _register(
     "aurra",
-    lambda spark, d: metrics.aurra(_confidence(spark, d), tie="id").select(F.round("aurra", 6).alias("aurra")),
-    f"""{_CONF}rk AS (SELECT sum(correct) OVER (ORDER BY confidence DESC, id ROWS UNBOUNDED PRECEDING)::DOUBLE / row_number() OVER (ORDER BY confidence DESC, id) AS a FROM cf)
+    lambda spark, d: metrics.aurra(_confidence(spark, d)).select(F.round("aurra", 6).alias("aurra")),
+    f"""{_CONF}rk AS (SELECT sum(correct) OVER (ORDER BY confidence DESC, correct, id ROWS UNBOUNDED PRECEDING)::DOUBLE / row_number() OVER (ORDER BY confidence DESC, correct, id) AS a FROM cf)
 SELECT round(avg(a), 6) AS aurra FROM rk""",
 )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.labels import dense_labels
 from ..operators import centers as C
-from ..operators import detectors, metrics, splits
+from ..operators import classwise, detectors, metrics, splits
 from ..sources import augment, files, text
 from ..sources.fixed_values import STOP_WORDS
 from .scoring import COLUMNS, _metric_sql, _rounded
@@ -35,12 +35,14 @@ _register(
 
 
 def _prefix(s, d):
-    lines = table(s, d, "documents").where("source IS NOT NULL").select(F.concat_ws(" ", "source", "lang", F.substring("doc_id", 1, 20)).alias("value"))
-    return text.labelled_lines(lines, classes=["src1.", "src2.", "src3."]).groupBy("label").agg(F.count("*").alias("n"))
+    """Documents as lines that begin with two words of a class, the text without stop words after them."""
+    lines = table(s, d, "documents").where("source IS NOT NULL AND lang IS NOT NULL").select(F.concat_ws(" ", "source", "lang", "doc_id", "text").alias("value"))
+    return text.labelled_lines(lines, classes=["src1.", "src2.", "src3."])
 
 
-_register("text_prefix_labels", _prefix, """SELECT CAST(CASE source WHEN 'src1' THEN 0 WHEN 'src2' THEN 1 ELSE 2 END AS INTEGER) AS label, count(*) AS n
-FROM documents WHERE source IN ('src1', 'src2', 'src3') AND lang IS NOT NULL GROUP BY 1""")
+_register("text_prefix_labels", _prefix, f"""SELECT source || '.' || lang AS name, CAST(CASE source WHEN 'src1' THEN 0 WHEN 'src2' THEN 1 ELSE 2 END AS INTEGER) AS label,
+array_to_string([w for w in {_WORDS.replace("(text,", "(doc_id || ' ' || coalesce(text, ''),")} if NOT list_contains({_STOPS}, w)], ' ') AS text
+FROM documents WHERE source IN ('src1', 'src2', 'src3') AND lang IS NOT NULL""")
 _register(
     "text_digit_labels",
     lambda s, d: text.digit_lines(table(s, d, "conversations").select(F.concat(F.pmod("conv_id", F.lit(8)).cast("string"), F.lit("!  "), F.col("turn").cast("string"), F.lit("--the-"), "role").alias("value"))),
@@ -61,9 +63,9 @@ CASE WHEN l_quantity <> 7 THEN -1 ELSE 0 END AS overlay FROM lineitem GROUP BY l
 )
 _register(
     "run_length_masks",
-    lambda s, d: table(s, d, "events").where("event_id % 10 = 0").select("event_id", F.posexplode(augment.run_length_mask(F.array(F.pmod("event_id", F.lit(7)), F.lit(3), 12 - F.pmod("event_id", F.lit(7)) - 3), 3, 4)).alias("px", "v")),
+    lambda s, d: table(s, d, "events").select("event_id", F.posexplode(augment.run_length_mask(F.array(F.pmod("event_id", F.lit(7)), F.lit(3), 12 - F.pmod("event_id", F.lit(7)) - 3), 3, 4)).alias("px", "v")),
     """SELECT event_id, CAST(px AS INTEGER) AS px, CASE WHEN (px % 4) * 3 + px // 4 >= event_id % 7 AND (px % 4) * 3 + px // 4 < event_id % 7 + 3 THEN 1 ELSE 0 END AS v
-FROM events, (SELECT unnest(range(0, 12)) AS px) WHERE event_id % 10 = 0""",
+FROM events, (SELECT unnest(range(0, 12)) AS px)""",
 )
 _register("noise_uniform", lambda s, d: files.uniform_noise(s, 20, 64).select("id", F.posexplode("pixels").alias("px", "v"), "label"))
 _register("noise_gaussian", lambda s, d: files.gaussian_noise(s, 20, 64).select("id", F.posexplode("pixels").alias("px", "v"), "label"))
@@ -97,7 +99,7 @@ SELECT vec_id, label, CASE WHEN label < 2 THEN 'kuc' WHEN label < 5 THEN 'uuc' E
 
 def _benchmark(s, d, score=None) -> DataFrame:
     ctx = setup(s, d)
-    rows = ctx.test
+    rows = ctx.e
     bench = splits.Benchmark(rows.where("y >= 0"), {f"part{k}": rows.where(f"y < 0 AND id % 3 = {k}") for k in range(3)}, ctx.train, label="y")
     return bench.evaluate(lambda df: df.withColumn("score", F.round(C.ClassCenters(ctx.w).nearest("z") if score is None else score, 9)))
 
@@ -146,8 +148,8 @@ _register("vos_synthesis", _virtual)
 
 
 def _weibull(s, d):
-    x = (F.col("value") + 1) / F.lit(40.0)
-    return table(s, d, "events").select("event_id", F.round(F.lit(1.0) - F.exp(-F.pow(x, F.lit(1.7))), 6).alias("p"))
+    d = table(s, d, "events").select("event_id", F.col("value").alias("distance"))
+    return classwise.with_weibull(d, "distance", "p", 1.7, 40.0, 0.0, shift=1.0).select("event_id", F.round("p", 6).alias("p"))
 
 
 _register("weibull_cdf", _weibull, "SELECT event_id, round(1 - exp(-power((value + 1) / 40::DOUBLE, 1.7::DOUBLE)), 6) AS p FROM events")

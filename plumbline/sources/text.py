@@ -17,8 +17,8 @@ def words(line: Column | str) -> Column:
 
 
 def without_stop_words(tokens: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
-    stops = F.array(*[F.lit(w) for w in stop_words])
-    return F.array_join(F.filter(tokens, lambda w: ~F.array_contains(stops, w)), " ")
+    stops = list(stop_words)  # a hashed set in the plan
+    return F.array_join(F.filter(tokens, lambda w: ~w.isin(stops)) if stops else tokens, " ")
 
 
 def collapsed(line: Column | str) -> Column:
