@@ -19,7 +19,7 @@ BEGIN, RARE, END, FIRST = 0, 1, 2, 3
 #: Words with a code and vectors of their own: all that occur, up to what 16 bits can number.
 WORDS = (1 << 16) - FIRST
 #: Classes that the words are dealt to; a token's probability is its class's times its own within the class.
-CLASSES = 256
+CLASSES = 128
 #: Vector length; noise classes of a batch; noise words of a token; tokens of a batch; step size.
 DIM, NOISE, INNER, BATCH, STEP = 16, 32, 2, 8192, 0.1
 #: Bound of the table of frequent words that is sent to executors (16 bytes each).
@@ -211,14 +211,17 @@ def word_noise(vocab: Vocabulary) -> np.ndarray:
     return np.r_[1.0, m / np.repeat(np.add.reduceat(m, cuts), sizes)]
 
 
-def _descend(x: np.ndarray, square: np.ndarray, rows: np.ndarray, grads: np.ndarray) -> None:
-    """One AdaGrad step on the given rows; gradients of a row that occurs more than once are summed."""
-    order = np.argsort(rows, kind="stable")
+def _descend(rows: np.ndarray, *steps: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+    """One AdaGrad step on the given rows of each (parameters, squares, gradients); gradients of a repeated row are summed."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort
     ids = rows[order]
     at = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    ids, g = ids[at], np.add.reduceat(grads[order], at)
-    square[ids] += g * g
-    x[ids] -= STEP * g / np.sqrt(square[ids])
+    ids = ids[at]
+    for x, square, grads in steps:
+        g = np.add.reduceat(grads[order], at)
+        total = square[ids] + g * g
+        square[ids] = total
+        x[ids] -= STEP * g / np.sqrt(total)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -249,10 +252,9 @@ class Trainer:
         g = _sigmoid(np.einsum("ij,ij->i", made, ak) + m.d[k] - self.outer_kq[k]) - 1
         gn = _sigmoid(made @ an.T + (m.d[drawn] - self.outer_kq[drawn]))
         d_made = g[:, None] * ak + gn @ an
-        _descend(m.a, sa, np.r_[k, drawn], np.concatenate([g[:, None] * made, gn.T @ made]))
-        _descend(m.d, sd, np.r_[k, drawn], np.r_[g, gn.sum(0)])
-        _descend(m.r, sr, np.r_[u, v], np.concatenate([d_made * m.c[0], d_made * m.c[1]]))
-        _descend(m.c, sc, np.arange(2), np.stack([(d_made * ru).sum(0), (d_made * rv).sum(0)]))
+        _descend(np.r_[k, drawn], (m.a, sa, np.concatenate([g[:, None] * made, gn.T @ made])), (m.d, sd, np.r_[g, gn.sum(0)]))
+        _descend(np.r_[u, v], (m.r, sr, np.concatenate([d_made * m.c[0], d_made * m.c[1]])))
+        _descend(np.arange(2), (m.c, sc, np.stack([(d_made * ru).sum(0), (d_made * rv).sum(0)])))
 
         some = np.flatnonzero(m.several[w - 1])
         if len(some):
@@ -266,9 +268,9 @@ class Trainer:
             gn = _sigmoid(np.einsum("ij,ikj->ik", sv, qn) + m.b[noise] - self.inner_kq[noise])
             d_sv = g[:, None] * qw + np.einsum("ik,ikj->ij", gn, qn)
             rows = np.r_[w, noise.ravel()]
-            _descend(m.q, sq, rows, np.concatenate([g[:, None] * sv, (gn[:, :, None] * sv[:, None, :]).reshape(-1, DIM)]))
-            _descend(m.b, sb, rows, np.r_[g, gn.ravel()])
-            _descend(m.s, ss, before, d_sv)
+            d_q = np.concatenate([g[:, None] * sv, (gn[:, :, None] * sv[:, None, :]).reshape(-1, DIM)])
+            _descend(rows, (m.q, sq, d_q), (m.b, sb, np.r_[g, gn.ravel()]))
+            _descend(before, (m.s, ss, d_sv))
 
     def texts(self, codes: np.ndarray, ends: np.ndarray) -> None:
         u, v = contexts_of(codes, ends)
@@ -366,7 +368,7 @@ def fit_model(train: DataFrame, vocab: Vocabulary, shared) -> np.ndarray:
     schema = "shard bigint, piece int, tokens double, w binary"
     n = max(1, -(-vocab["tokens"] // SHARD_TOKENS))
     dealt = train.select(F.pmod("key", F.lit(n)).alias("shard"), "key", "codes")
-    dealt = dealt.repartition(n, "shard").sortWithinPartitions("shard", "key").select("shard", "codes")
+    dealt = dealt.repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions("shard", "key").select("shard", "codes")
     parts = materialize(dealt.mapInPandas(trained, schema), "shards")
     while True:
         parts = parts.groupBy("piece", F.floor(F.col("shard") / FAN).alias("group")).applyInPandas(averaged, schema)
