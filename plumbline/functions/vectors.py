@@ -119,11 +119,13 @@ MAX_LITERALS = 20_000
 def _product(weights: np.ndarray, bias: np.ndarray):
     @pandas_udf("array<double>")
     def product(vectors: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(vectors), dtype="object")
-        ok = vectors.notna().to_numpy()
-        if ok.any():
-            out[ok] = list(np.stack(vectors[ok].to_numpy()).astype(np.float64) @ weights.T + bias)
-        return out
+        out = np.full(len(vectors), None, object)
+        at = np.flatnonzero(vectors.notna().to_numpy())
+        if len(at):
+            made = np.stack(vectors.to_numpy()[at]).astype(np.float64) @ weights.T + bias
+            for k, row in zip(at, made):
+                out[k] = row
+        return pd.Series(out)
 
     return product
 
@@ -152,6 +154,21 @@ def normalised(pixels: Vector, means: Sequence[float], stds: Sequence[float]) ->
     return F.zip_with(col(pixels), stats, lambda ch, st: F.transform(ch, lambda v: (v - st["m"]) / st["s"]))
 
 
+#: Channel means and deviations, of 255, that published models of each training set expect.
+NORMALISATION = {
+    "cifar10": ((125.3, 123.0, 113.9), (63.0, 62.1, 66.7)),
+    "cifar100": ((125.3, 123.0, 113.9), (63.0, 62.1, 66.7)),
+    "imagenet32": ((127.5, 127.5, 127.5), (127.5, 127.5, 127.5)),
+}
+
+
+def normalisation_of(training_set: str) -> tuple[list[float], list[float]]:
+    """(means, deviations) by channel, for values from 0 to 1."""
+    if training_set not in NORMALISATION:
+        raise ValueError(f"training set must be one of {tuple(NORMALISATION)}")
+    return tuple([v / 255 for v in part] for part in NORMALISATION[training_set])
+
+
 def clipped(a: Vector, low: float | None = None, high: float | None = None) -> Column:
     def one(v: Column) -> Column:
         v = v if low is None else F.greatest(v, F.lit(float(low)))

@@ -7,6 +7,9 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
+from ..functions import vectors as V
 
 Model = Callable[[DataFrame], DataFrame]
 
@@ -76,6 +79,20 @@ class Detector:
         return df.withColumn(self.score, self.score_column())
 
 
+def extracted_features(df: DataFrame, model: Model, *, features: str = "features", label: str = "label", average: bool = False) -> DataFrame:
+    """(embedding, label) of the known rows: ``model``'s feature maps flattened, or their mean a channel with ``average``.
+
+    ``features`` is an array of numbers, which stays as it is, or an array of channels.
+    """
+    d = model(df.where(F.col(label) >= 0))
+    kind = d.schema[features].dataType
+    nested = isinstance(kind, ArrayType) and isinstance(kind.elementType, ArrayType)
+    if average and not nested:
+        raise ValueError("means need an array of channels")
+    shaped = V.channel_means(features) if average else V.flattened(features) if nested else F.col(features)
+    return d.select(shaped.cast("array<double>").alias("embedding"), F.col(label).alias("label"))
+
+
 def parameter_rows(df: DataFrame, limit: int = PARAMETER_ROWS) -> dict[str, np.ndarray]:
     """A small table of fitted parameters as numpy columns; raises beyond ``limit`` rows instead of filling the driver."""
     table = df.limit(limit + 1).toArrow()

@@ -207,62 +207,59 @@ def mchad_loss(df: DataFrame, distances: str, label: str, *, radius: float = 0.0
 
 
 @dataclass
-class EnergyMarginLoss:
-    """Augmented Lagrangian of mean sigmoid energies and cross-entropy; its multipliers live on the driver.
+class Constraint:
+    """``level <= limit`` in an augmented Lagrangian with multiplier m and penalty b.
 
-    ``weight`` and ``bias`` are the logistic unit on the log-sum-exp of the logits.
+    With g = level - limit its term is (max(0, m + b g)^2 - m^2) / 2b. A step moves the multiplier towards max(0, m + b g)
+    at ``rate`` / b, and makes the penalty ``growth`` times larger while g is beyond ``slack``.
     """
 
-    full_train_loss: float
-    eta: float = 1.0
-    false_alarm_cutoff: float = 0.05
-    in_constraint_weight: float = 1.0
-    ce_tol: float = 2.0
-    ce_constraint_weight: float = 1.0
-    out_constraint_weight: float = 1.0
-    lr_lam: float = 1.0
-    penalty_mult: float = 1.5
-    constraint_tol: float = 0.0
-    lam: float = 0.0
-    lam2: float = 0.0
-
-    def terms(self, df: DataFrame, logits: str, label: str, weight: float, bias: float) -> DataFrame:
-        """One row: energy_in, energy_out and ce, each a mean over its side."""
-        lse = V.logsumexp(V.doubles(logits))
-
-        def unit(x: Column, sign: float) -> Column:
-            return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-sign) * (F.lit(float(weight)) * x + F.lit(float(bias)))))
+    limit: float
+    multiplier: float = 0.0
+    penalty: float = 1.0
+
+    def term(self, level: Column) -> Column:
+        m, b = F.lit(self.multiplier), F.lit(self.penalty)
+        reach = _relu(m + b * (level - F.lit(self.limit)))
+        return (reach * reach - m * m) / (b * 2)
+
+    def step(self, level: float, *, rate: float = 1.0, growth: float = 1.5, slack: float = 0.0) -> None:
+        g, b = level - self.limit, self.penalty
+        self.multiplier += rate * (max(0.0, self.multiplier + b * g) - self.multiplier) / b
+        if g > slack:
+            self.penalty = b * growth
+
+
+class EnergyMarginLoss:
+    """Mean sigmoid energy of unknown rows, under two constraints on the known ones: their mean sigmoid energy stays below
+    the false-alarm cutoff, and their cross-entropy below ``tolerance`` times what training reached.
 
+    The constraints' multipliers and penalties live on the driver; they are two numbers each.
+    """
+
+    def __init__(self, full_train_loss: float, *, eta: float = 1.0, false_alarm_cutoff: float = 0.05, tolerance: float = 2.0, weight_out: float = 1.0, alarms: Constraint | None = None, fit: Constraint | None = None) -> None:
+        self.eta, self.weight_out = eta, weight_out
+        self.alarms = alarms or Constraint(false_alarm_cutoff)
+        self.fit = fit or Constraint(tolerance * full_train_loss)
+
+    def levels(self, df: DataFrame, logits: str, label: str, weight: float, bias: float) -> DataFrame:
+        """One row of means: alarms and fit over known rows, outside over unknown ones; ``weight`` and ``bias`` are the
+        logistic unit on the log-sum-exp of the logits."""
+        lse, known = V.logsumexp(V.doubles(logits)), _known(label)
+        unit = lambda x: F.lit(float(weight)) * x + F.lit(float(bias))
+        sigmoid = lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
         return df.agg(
-            F.avg(F.when(_known(label), unit(lse, 1.0))).alias("energy_in"),
-            F.avg(F.when(~_known(label), unit(lse - F.lit(float(self.eta)), -1.0))).alias("energy_out"),
-            F.avg(F.when(_known(label), _nll(V.doubles(logits), label))).alias("ce"),
+            F.avg(F.when(known, sigmoid(unit(lse)))).alias("alarms"),
+            F.avg(F.when(known, _nll(V.doubles(logits), label))).alias("fit"),
+            F.avg(F.when(~known, sigmoid(-unit(lse - F.lit(float(self.eta)))))).alias("outside"),
         )
 
-    @staticmethod
-    def _penalty(excess: Column, multiplier: float, weight: float) -> Column:
-        active = F.lit(weight) * excess + F.lit(multiplier) >= 0
-        return F.when(active, excess * F.lit(multiplier) + F.lit(weight / 2) * excess * excess).otherwise(F.lit(-(multiplier**2) * 0.5 / weight))
-
     def loss(self, df: DataFrame, logits: str = "logits", label: str = "label", *, weight: float, bias: float) -> DataFrame:
-        t = self.terms(df, logits, label, weight, bias)
-        inside = self._penalty(F.col("energy_in") - F.lit(self.false_alarm_cutoff), self.lam, self.in_constraint_weight)
-        ce = self._penalty(F.col("ce") - F.lit(self.ce_tol * self.full_train_loss), self.lam2, self.ce_constraint_weight)
-        return t.select((ce + F.lit(self.out_constraint_weight) * F.col("energy_out") + inside).alias("loss"))
-
-    def update_hyperparameters(self, df: DataFrame, logits: str = "logits", label: str = "label", *, weight: float, bias: float) -> None:
-        """Once an epoch, from one aggregate over the known training rows."""
-        row = self.terms(df, logits, label, weight, bias).first()
-        inside, ce = row.energy_in - self.false_alarm_cutoff, row.ce - self.ce_tol * self.full_train_loss
-        if inside * self.in_constraint_weight + self.lam >= 0:
-            self.lam += self.lr_lam * inside
-        else:
-            self.lam -= self.lr_lam * self.lam / self.in_constraint_weight
-        if ce * self.ce_constraint_weight + self.lam2 >= 0:
-            self.lam2 += self.lr_lam * ce
-        else:
-            self.lam2 -= self.lr_lam * self.lam2 / self.ce_constraint_weight
-        if inside > self.constraint_tol:
-            self.in_constraint_weight *= self.penalty_mult
-        if ce > self.constraint_tol:
-            self.ce_constraint_weight *= self.penalty_mult
+        value = self.alarms.term(F.col("alarms")) + self.fit.term(F.col("fit")) + F.lit(self.weight_out) * F.col("outside")
+        return self.levels(df, logits, label, weight, bias).select(value.alias("loss"))
+
+    def step(self, df: DataFrame, logits: str = "logits", label: str = "label", *, weight: float, bias: float, **how) -> None:
+        """Once an epoch, from one aggregate over the known training rows; ``how`` goes to :meth:`Constraint.step`."""
+        row = self.levels(df, logits, label, weight, bias).first()
+        self.alarms.step(row.alarms, **how)
+        self.fit.step(row.fit, **how)

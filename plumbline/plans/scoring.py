@@ -389,7 +389,7 @@ _loss(
 )
 _loss(
     "energy_margin",
-    lambda s: losses.EnergyMarginLoss(full_train_loss=0.4, eta=1.5, lam=0.3, lam2=0.2).loss(s.e, "l", "y", weight=0.7, bias=-0.2),
+    lambda s: losses.EnergyMarginLoss(0.4, eta=1.5, alarms=losses.Constraint(0.05, 0.3), fit=losses.Constraint(0.8, 0.2)).loss(s.e, "l", "y", weight=0.7, bias=-0.2),
     """, em AS (SELECT avg(CASE WHEN y >= 0 THEN 1 / (1 + exp(-(0.7::DOUBLE * lse - 0.2::DOUBLE))) END) - 0.05::DOUBLE AS a,
     avg(CASE WHEN y < 0 THEN 1 / (1 + exp(0.7::DOUBLE * (lse - 1.5::DOUBLE) - 0.2::DOUBLE)) END) AS b, avg(CASE WHEN y >= 0 THEN lse - l[y + 1] END) - 0.8::DOUBLE AS c FROM la)
 SELECT round(CASE WHEN c + 0.2::DOUBLE >= 0 THEN c * 0.2::DOUBLE + c * c / 2 ELSE -0.02::DOUBLE END + b

@@ -78,13 +78,28 @@ def polygon_mask(points: np.ndarray, height: int, width: int) -> np.ndarray:
     return inside.astype(np.uint8)
 
 
-def paste_objects(df: DataFrame, objects: Sequence[tuple[np.ndarray, np.ndarray]], *, row_id: str = "id", probability: float = 0.2, n: int = 1, seed: int = 0) -> DataFrame:
+#: Numbers of a bank of pictures that goes to every task with the function that uses it; larger ones raise.
+BANK_NUMBERS = 16_000_000
+
+
+def _bank(df: DataFrame, *columns: str) -> list[tuple[np.ndarray, ...]]:
+    """The rows of a small table of arrays, in an order of their own values; raises if it has more than BANK_NUMBERS."""
+    numbers = sum((F.coalesce(F.size(c), F.lit(0)) for c in columns), F.lit(0))
+    if (df.agg(F.sum(numbers.cast("bigint")).alias("n")).first().n or 0) > BANK_NUMBERS:
+        raise ValueError(f"a bank of pictures has more than {BANK_NUMBERS} numbers")
+    rows = df.select(*columns).orderBy(F.xxhash64(*columns)).collect()
+    return [tuple(np.asarray(r[c]) for c in columns) for r in rows]
+
+
+def paste_objects(df: DataFrame, objects: DataFrame, *, object_size: tuple[int, int], row_id: str = "id", probability: float = 0.2, n: int = 1, seed: int = 0) -> DataFrame:
     """Paste ``n`` cut-outs into a share of the images and mark their pixels -1.
 
-    ``df`` has height, width, pixels (array of 3*h*w, channel by channel) and mask (array of h*w). ``objects`` are
-    (picture 3 x a x b, mask a x b), a small bank that travels with the task. Position, scale (0.28 to 0.70 of the
-    image) and flip come from the row's id. Every pasted object is marked, not only the last.
+    ``df`` has height, width, pixels (array of 3*h*w, channel by channel) and mask (array of h*w). ``objects`` is a small
+    table (its size is checked) of cut-outs of ``object_size`` (rows, columns), with the columns pixels and mask alike.
+    Position, scale (0.28 to 0.70 of the image) and flip come from the row's id. Every pasted object is marked, not only
+    the last.
     """
+    bank = [(p.reshape(3, *object_size), m.reshape(object_size)) for p, m in _bank(objects, "pixels", "mask")]
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -92,9 +107,9 @@ def paste_objects(df: DataFrame, objects: Sequence[tuple[np.ndarray, np.ndarray]
             for key, h, w, p, m in zip(f[row_id], f["height"], f["width"], f["pixels"], f["mask"]):
                 rng = np.random.default_rng([seed, int(key)])
                 p, m = np.array(p).reshape(3, h, w), np.array(m).reshape(h, w)
-                if rng.random() <= probability:
+                if bank and rng.random() <= probability:
                     for _ in range(n):
-                        picture, cut = objects[rng.integers(len(objects))]
+                        picture, cut = bank[rng.integers(len(bank))]
                         if rng.random() < 0.5:
                             picture, cut = picture[:, :, ::-1], cut[:, ::-1]
                         scale = rng.uniform(0.28, 0.70)
@@ -112,42 +127,91 @@ def paste_objects(df: DataFrame, objects: Sequence[tuple[np.ndarray, np.ndarray]
 
 
 # ---------------------------------------------------------------- picture mixing
+#
+# Mixing follows the paper's two formulas for pictures p and q with values from 0 to 1 and coefficients s and t: the sum
+# s p' + t q' of both on a scale from -1 to 1, and the product p''^s q''^t of both on a scale from 0 to 2.
+
+#: Smallest value of a picture that is raised to a power, which may be negative.
+FLOOR = np.finfo(np.float32).tiny
+
+
+def additive(p: np.ndarray, q: np.ndarray, s: float, t: float) -> np.ndarray:
+    return 0.5 + s * (p - 0.5) + t * (q - 0.5)
+
+
+def multiplicative(p: np.ndarray, q: np.ndarray, s: float, t: float) -> np.ndarray:
+    """Half of p''^s q''^t, by logarithms."""
+    return np.exp(s * np.log(np.maximum(2 * p, FLOOR)) + t * np.log(np.maximum(2 * q, FLOOR))) / 2
+
+
+def coefficients(rng: np.random.Generator, beta: float) -> tuple[float, float]:
+    """Half of the time both from 0 to 1, s near 1 and t near 0; else s beyond 1 and t below 0 by as little."""
+    inside = rng.random() < 0.5
+    near_one, near_zero = 1 - rng.beta(1, beta), rng.beta(1, beta)
+    return (near_one, near_zero) if inside else (2 - near_one, -near_zero)
+
+
+def equalised(x: np.ndarray) -> np.ndarray:
+    """Bytes whose cumulative histogram is as even as their ties allow."""
+    counts = np.bincount(x.ravel(), minlength=256)
+    used = counts[counts > 0]
+    step = (used.sum() - used[-1]) // 255
+    if not step:
+        return x
+    return np.minimum((step // 2 + np.cumsum(counts) - counts) // step, 255)[x]
 
 
-def mixed_geometric(a: np.ndarray, b: np.ndarray, wa: float, wb: float) -> np.ndarray:
-    return (2 * a) ** wa * np.clip(2 * b, 1e-37, None) ** wb / 2
+def stretched(x: np.ndarray) -> np.ndarray:
+    """Bytes stretched so that the least is 0 and the largest 255."""
+    low, high = int(x.min()), int(x.max())
+    return x if high <= low else ((x - low) * 255 / (high - low)).astype(np.int64)
 
 
-def mixed_arithmetic(a: np.ndarray, b: np.ndarray, wa: float, wb: float) -> np.ndarray:
-    return (wa * (2 * a - 1) + wb * (2 * b - 1) + 1) / 2
+def turned(x: np.ndarray, degrees: float) -> np.ndarray:
+    """Channels turned about their centre, nearest pixel, what comes in from outside is 0."""
+    h, w = x.shape[1:]
+    angle = np.deg2rad(degrees)
+    dy, dx = np.mgrid[:h, :w] - np.array([(h - 1) / 2, (w - 1) / 2])[:, None, None]
+    row = np.rint((h - 1) / 2 + np.cos(angle) * dy + np.sin(angle) * dx).astype(int)
+    col = np.rint((w - 1) / 2 - np.sin(angle) * dy + np.cos(angle) * dx).astype(int)
+    inside = (row >= 0) & (row < h) & (col >= 0) & (col < w)
+    return np.where(inside, x[:, row.clip(0, h - 1), col.clip(0, w - 1)], 0)
 
 
-def mixing_weights(rng: np.random.Generator, beta: float) -> tuple[float, float]:
-    """An interpolating pair or an extrapolating one, each half of the time."""
-    if rng.random() < 0.5:
-        return rng.beta(beta, 1), rng.beta(1, beta)
-    return 1 + rng.beta(1, beta), -rng.beta(1, beta)
+AUGMENTATIONS = ("equalise", "stretch", "posterise", "turn", "solarise")
 
 
-def _augmented(rng: np.random.Generator, x: np.ndarray) -> np.ndarray:
-    """One of five: contrast, brightness, mirror, posterise, solarise."""
-    kind, level = rng.integers(5), rng.uniform(0.5, 1.5)
-    if kind == 0:
-        return np.clip((x - x.mean()) * level + x.mean(), 0, 1)
-    if kind == 1:
-        return np.clip(x * level, 0, 1)
-    if kind == 2:
-        return x[:, :, ::-1]
-    if kind == 3:
-        return np.floor(x * 8) / 8
-    return np.where(x > 0.5, 1 - x, x)
+def augmented(x: np.ndarray, kind: str, severity: int) -> np.ndarray:
+    """One augmentation of a picture (channels first, values 0 to 1), in bytes. Severity is what the published form makes of
+    it: bits that stay (posterise), degrees (turn), the value from which bytes are inverted (solarise)."""
+    b = np.rint(np.clip(x, 0, 1) * 255).astype(np.int64)
+    if kind == "equalise":
+        b = np.stack([equalised(c) for c in b])
+    elif kind == "stretch":
+        b = np.stack([stretched(c) for c in b])
+    elif kind == "posterise":
+        b = b & (256 - (1 << (8 - severity)))
+    elif kind == "turn":
+        b = turned(b, severity)
+    elif kind == "solarise":
+        b = np.where(b >= severity, 255 - b, b)
+    else:
+        raise ValueError(f"augmentation must be one of {AUGMENTATIONS}")
+    return b / 255
 
 
-def pixmix(df: DataFrame, mixing: Sequence[np.ndarray], *, shape: tuple[int, int, int], row_id: str = "id", k: int = 4, beta: float = 3.0, seed: int = 0) -> DataFrame:
-    """Mix each picture (``pixels``, values 0 to 1) with up to ``k`` pictures of a small mixing bank or with copies of itself.
+def pixmix(df: DataFrame, mixing: DataFrame, *, shape: tuple[int, int, int], row_id: str = "id", k: int = 4, beta: float = 3.0, severity: int = 3, mean: Sequence[float] | None = None, std: Sequence[float] | None = None, seed: int = 0) -> DataFrame:
+    """Mix each picture (``pixels``, values 0 to 1) up to ``k`` times with its picture of ``mixing`` or a copy of itself.
 
-    All choices of a row come from its id, so the result is the same on every partitioning.
+    ``mixing`` is a small table with a column ``pixels``; its size is checked. The picture, and each copy, is augmented
+    half of the time. With ``mean`` and ``std`` the result is normalised by channel. All choices of a row come from its
+    id, so the result is the same on every partitioning.
     """
+    bank = [p.reshape(shape) for (p,) in _bank(mixing, "pixels")]
+    if not bank:
+        raise ValueError("no pictures to mix with")
+    middle = np.zeros(shape[0]) if mean is None else np.asarray(mean, np.float64)
+    spread = np.ones(shape[0]) if std is None else np.asarray(std, np.float64)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -155,12 +219,14 @@ def pixmix(df: DataFrame, mixing: Sequence[np.ndarray], *, shape: tuple[int, int
             for key, p in zip(f[row_id], f["pixels"]):
                 rng = np.random.default_rng([seed, int(key)])
                 x = np.asarray(p, np.float64).reshape(shape)
-                mixed = _augmented(rng, x) if rng.random() < 0.5 else x
+                partner = bank[rng.integers(len(bank))]
+                either = lambda other, x=x, rng=rng: augmented(x, rng.choice(AUGMENTATIONS), severity) if rng.random() < 0.5 else other
+                mixed = either(x)
                 for _ in range(rng.integers(k + 1)):
-                    other = _augmented(rng, x) if rng.random() < 0.5 else mixing[rng.integers(len(mixing))]
-                    blend = mixed_arithmetic if rng.random() < 0.5 else mixed_geometric
-                    mixed = np.clip(blend(mixed, other, *mixing_weights(rng, beta)), 0, 1)
-                out.append(mixed.ravel())
+                    other = either(partner)
+                    blend = additive if rng.random() < 0.5 else multiplicative
+                    mixed = np.clip(blend(mixed, other, *coefficients(rng, beta)), 0, 1)
+                out.append(((mixed - middle[:, None, None]) / spread[:, None, None]).ravel())
             yield f.assign(pixels=out)
 
     return df.mapInPandas(work, df.schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -152,6 +153,39 @@ def mnist_c(spark: SparkSession, root: str, subset: str, split: str = "test") ->
     return files("images").select("pos", "values").join(labels, "pos").withColumn("subset", F.lit(subset))
 
 
+def cifar_records(spark: SparkSession, root: str, train: bool = True, *, classes: int = 10) -> DataFrame:
+    """(path, pos, content, label): pictures of 3 x 32 x 32 bytes in the binary form of the two sets (10 or 100 classes).
+
+    A record is its labels (one byte, or a coarse and a fine one) and the picture.
+    """
+    if classes not in (10, 100):
+        raise ValueError("classes must be 10 or 100")
+    names = "{data_batch_*,train}.bin" if train else "{test_batch,test}.bin"
+    return _records(spark, root, names, 0, (1 if classes == 10 else 2) + 3072, 3072)
+
+
+def idx_images(spark: SparkSession, root: str, train: bool = True) -> DataFrame:
+    """(path, pos, content, label): the idx files of 28 x 28 pictures and of their labels, paired by position."""
+    part = "train" if train else "t10k"
+    images = _records(spark, root, f"{part}-images*", 16, 784, 784).drop("label")
+    labels = _records(spark, root, f"{part}-labels*", 8, 1, 0)
+    return images.join(labels.select("pos", "label"), "pos").select("path", "pos", "content", "label")
+
+
+def _records(spark: SparkSession, root: str, pattern: str, header: int, size: int, picture: int) -> DataFrame:
+    """Records of ``size`` bytes after a header: the last ``picture`` bytes are content, the byte before them the label."""
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path, raw in zip(f["path"], f["content"]):
+                for at in range(header, len(raw) - size + 1, size * 1000):
+                    rows = [raw[k : k + size] for k in range(at, min(at + size * 1000, len(raw) - size + 1), size)]
+                    first = (at - header) // size
+                    yield pd.DataFrame({"path": path, "pos": range(first, first + len(rows)), "content": [r[size - picture :] for r in rows], "label": [r[size - picture - 1] if size > picture else -1 for r in rows]})
+
+    return file_tree(spark, root, pattern).select("path", "content").mapInPandas(parse, "path string, pos bigint, content binary, label int")
+
+
 def fixed_records(spark: SparkSession, path: str, size: int = 3072) -> DataFrame:
     """(pos, content): files of fixed-size records, split at record borders; the position is the record's number."""
     rows = spark.sparkContext.binaryRecords(path, size).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
@@ -207,6 +241,75 @@ def with_masks(images: DataFrame, masks: DataFrame, key: str) -> DataFrame:
     return images.join(masks.select(key, F.col("content").alias("mask")), key, "left")
 
 
+def _below(path: Column, root: str) -> Column:
+    """What a path has after the folder that ``root`` ends with."""
+    return F.element_at(F.split(path, re.escape(root.rstrip("/").rsplit("/", 1)[-1] + "/"), 2), -1)
+
+
+def fishyscapes(spark: SparkSession, root: str, originals: str) -> DataFrame:
+    """(path, content, mask, original): overlays ``*_rgb.npz`` with their void labels and street images.
+
+    Files are paired by name, in joins: ``*_labels.png`` beside an overlay, and the original that its name tells, below
+    ``originals``. See :func:`overlay_mask` and :func:`blended` for what to do with the pixels.
+    """
+    over = file_tree(spark, root, "*_rgb.npz").drop("label").withColumn("key", F.regexp_replace(base_name(), r"_rgb\.npz$", ""))
+    void = file_tree(spark, root, "*_labels.png").select(F.regexp_replace(base_name(), r"_labels\.png$", "").alias("key"), F.col("content").alias("mask"))
+    real = file_tree(spark, originals, "*.png").select(base_name().alias("name"), F.col("content").alias("original"))
+    named = over.withColumn("name", F.element_at(F.split(fishyscapes_original(base_name()), "/"), -1))
+    return named.join(void, "key").join(real, "name").select("path", "content", "mask", "original")
+
+
+def lost_and_found(spark: SparkSession, root: str, originals: str) -> DataFrame:
+    """(path, content, mask): street images with their outlier labels; see :func:`lost_and_found_label`."""
+    masks = file_tree(spark, root, "*_labels.png").select(lost_and_found_original(base_name()).alias("key"), F.col("content").alias("mask"))
+    images = file_tree(spark, originals, "*_leftImg8bit.png").select("path", "content", F.concat_ws("/", parent_name(), base_name()).alias("key"))
+    return images.join(masks, "key").select("path", "content", "mask")
+
+
+STREET_HAZARDS = {"test": "test/images", "train": "train/images/training", "validation": "train/images/validation"}
+
+
+def street_hazards(spark: SparkSession, root: str, split: str) -> DataFrame:
+    """(path, content, mask): images with the annotation of the same place below ``annotations``."""
+    if split not in STREET_HAZARDS:
+        raise ValueError(f"split must be one of {tuple(STREET_HAZARDS)}")
+    folder = f"{root.rstrip('/')}/{STREET_HAZARDS[split]}"
+    images = file_tree(spark, folder, "*.png").select("path", "content", _below(street_hazards_annotation("path"), root).alias("key"))
+    masks = file_tree(spark, street_hazards_folder(folder, root), "*.png").select(_below(F.col("path"), root).alias("key"), F.col("content").alias("mask"))
+    return images.join(masks, "key").select("path", "content", "mask")
+
+
+def street_hazards_folder(folder: str, root: str) -> str:
+    top = root.rstrip("/")
+    return top + folder[len(top) :].replace("images", "annotations")
+
+
+def inspection(spark: SparkSession, root: str, split: str, subset: str | None = None) -> DataFrame:
+    """(path, content, mask, subset, defect): industrial inspection images, with null masks where nothing is wrong.
+
+    Images are ``<subset>/<split>/<defect>/<n>.png`` and masks ``<subset>/ground_truth/<defect>/<n>_mask.png``.
+    """
+    if split not in ("train", "test"):
+        raise ValueError("split must be train or test")
+    key = [parent_name(up=3).alias("subset"), parent_name().alias("defect")]
+    d = file_tree(spark, root, "*.png").select("path", "content", *key, parent_name(up=2).alias("part"), F.regexp_replace(base_name(), r"(_mask)?\.png$", "").alias("number"))
+    d = d if subset is None else d.where(F.col("subset") == subset)
+    masks = d.where("part = 'ground_truth'").select("subset", "defect", "number", F.col("content").alias("mask"))
+    return d.where(F.col("part") == split).join(masks, ["subset", "defect", "number"], "left").select("path", "content", "mask", "subset", "defect")
+
+
+def summed_digits(spark: SparkSession, root: str, split: str = "train", *, member: str = "arr_0") -> DataFrame:
+    """(pos, values, target): pictures of four digits with :func:`sum_digits` of their boxes and digits."""
+    if split not in ("train", "test"):
+        raise ValueError("split must be train or test")
+    rows = lambda kind: npy_rows(spark.read.format("binaryFile").load(f"{root}/{kind}-{split}.npz"), member)
+    quads = F.transform(F.sequence(F.lit(0), (F.size("values") / 4).cast("int") - 1), lambda k: F.slice("values", k * 4 + 1, 4))
+    boxes = rows("b").select("pos", quads.alias("boxes"))
+    digits = rows("y").select("pos", F.col("values").alias("digits"))
+    d = rows("x").select("pos", "values").join(boxes, "pos").join(digits, "pos")
+    return d.select("pos", "values", sum_digits(F.col("boxes"), F.col("digits")).alias("target"))
+
+
 def sum_digits(boxes: Column, digits: Column) -> Column:
     """Detection targets of summed digits: boxes (x0, x1, y0, y1) to (x0, y0, x1, y1), areas, -1 if the sum is not 20."""
     box = F.transform(boxes, lambda b: F.array(b[0], b[2], b[1], b[3]))

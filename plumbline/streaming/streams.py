@@ -22,18 +22,28 @@ def score_stream(stream: DataFrame, detector: Detector, path: str, checkpoint: s
 
 
 def metrics_of_stream(stream: DataFrame, sink: Callable[[DataFrame], None], checkpoint: str, *, score: str = "score", label: str = "label", table: str, **trigger) -> StreamingQuery:
-    """Append scores to a table; after each batch hand the metrics of all rows so far to ``sink``.
+    """Count scores; after each batch hand the metrics of all rows so far to ``sink``.
 
-    Counts of equal scores are what is stored: a batch adds one row a distinct score, under its batch number, and a batch
-    that runs again replaces its own part.
+    What is stored are running counts of equal scores, one version a batch: a batch reads the last version before it and
+    writes the merged one, so its work follows the number of distinct scores and not that of earlier batches. A batch that
+    runs again makes its version anew. Only the last two versions stay.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
-        counts = batch.groupBy(F.col(score).alias("score"), (F.col(label) < 0).alias("out")).count()
-        counts.write.mode("overwrite").parquet(f"{table}/batch={number}")
-        rows = batch.sparkSession.read.parquet(table)
-        steps = rows.groupBy("score").agg(F.sum(F.when(F.col("out"), F.col("count")).otherwise(0)).alias("p"), F.sum(F.when(F.col("out"), 0).otherwise(F.col("count"))).alias("n"))
-        sink(curve_metrics(steps.withColumnRenamed("score", "_s"), on_missing="null"))
+        spark = batch.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(table)
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in store.listStatus(folder)] if store.exists(folder) else []
+        versions = sorted(int(n[1:]) for n in names if n[:1] == "v" and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{n}/_SUCCESS")))
+        far = F.col(label) < 0
+        counts = batch.groupBy(F.col(score).cast("double").alias("_s")).agg(F.sum(far.cast("bigint")).alias("p"), F.sum((~far).cast("bigint")).alias("n"))
+        before = [v for v in versions if v < number]
+        if before:
+            counts = counts.unionByName(spark.read.parquet(f"{table}/v{before[-1]}")).groupBy("_s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+        counts.write.mode("overwrite").parquet(f"{table}/v{number}")
+        for old in before[:-1]:
+            store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v{old}"), True)
+        sink(curve_metrics(spark.read.parquet(f"{table}/v{number}"), on_missing="null"))
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
