@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a narrow table (a few numbers a row) may be broadcast: about 10 MB.
 BROADCAST_ROWS = 200_000
+#: Rows of an Arrow batch of whole texts: a few MB with ordinary texts, whatever default the session has.
+TEXT_ROWS = 1_000
 _LOCAL: dict[str, str] = {}
 
 
@@ -26,11 +30,27 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, keeps column pruning."""
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """Jobs that start in here send at most ``rows`` rows at a time to Python, for rows that hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialize(df: DataFrame, label: str, *, texts: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, keeps column pruning.
+
+    With ``texts``, Python functions in it get batches of few rows (see :func:`text_batches`).
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/plumbline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with text_batches(spark) if texts else nullcontext():
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._plumbline_path = path
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import fold, materialize
+from .common import fold, materialize, text_batches
 
 #: Length of the vectors, letters of an n-gram, letter classes (0 is whatever parts words; rare letters share classes).
 DIM, GRAM, LETTERS = 1024, 3, 512
@@ -23,6 +23,8 @@ UNKNOWN = "und"
 REJECT_BELOW, QUANTILE, NOISE, LEAST = 0.01, 0.001, DIM**-0.5, 20
 #: Documents that share one matrix product.
 BLOCK = 64
+#: N-gram codes whose vectors are made at a time.
+CODES = 2048
 #: Languages that a model can hold; the prototypes are DIM numbers each, so this bounds what is sent to executors.
 MAX_LANGUAGES = 1000
 
@@ -86,9 +88,9 @@ class Encoder:
             rows = np.repeat(np.arange(len(per)), [len(c) for c, _ in per])
             counts = np.concatenate([n for _, n in per])
             sizes[at : at + len(per)] = [n.sum() for _, n in per]
-            for lo in range(0, len(codes), 8192):
-                inside = (where >= lo) & (where < lo + 8192)
-                width = min(8192, len(codes) - lo)
+            for lo in range(0, len(codes), CODES):
+                inside = (where >= lo) & (where < lo + CODES)
+                width = min(CODES, len(codes) - lo)
                 dense = np.zeros((len(per), width), np.float32)
                 dense[rows[inside], where[inside] - lo] = counts[inside]
                 out[at : at + len(per)] += dense @ self.vectors(codes[lo : lo + width]).astype(np.float32)
@@ -111,8 +113,8 @@ def _summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows = []
     for lang, h in held.items():
         total = np.zeros(DIM)
-        for lo in range(0, len(h["codes"]), 8192):
-            total += h["n"][lo : lo + 8192].astype(np.float64) @ enc.vectors(h["codes"][lo : lo + 8192])
+        for lo in range(0, len(h["codes"]), CODES):
+            total += h["n"][lo : lo + CODES].astype(np.float64) @ enc.vectors(h["codes"][lo : lo + CODES])
         rows.append((lang, total.tolist()))
     yield pd.DataFrame(rows, columns=["lang", "bundle"])
 
@@ -124,7 +126,8 @@ def fit_prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """
     parts = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInPandas(_summed, "lang string, bundle array<double>")
     summed = parts.select("lang", F.posexplode("bundle").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
-    rows = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v")).limit(MAX_LANGUAGES + 1).collect()
+    with text_batches(docs.sparkSession):
+        rows = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v")).limit(MAX_LANGUAGES + 1).collect()
     if len(rows) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     found = {r.lang: np.array([e.x for e in r.v]) for r in rows}
@@ -196,7 +199,7 @@ def keep_known_languages(docs: DataFrame) -> DataFrame:
     names, protos = fit_prototypes(docs)
     own = docs.columns
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col("lang").isNotNull().alias("labelled"), "text")
-    marked = materialize(with_language(given, names, protos, "n").where(F.col("lang_pred") != UNKNOWN).drop("text").withColumn("size", F.floor(F.log2("n")).cast("int")), "languages")
+    marked = materialize(with_language(given, names, protos, "n").where(F.col("lang_pred") != UNKNOWN).drop("text").withColumn("size", F.floor(F.log2("n")).cast("int")), "languages", texts=True)
     bars = fit_bars(marked.where("labelled"))
     kept = marked.where(F.col("score") >= F.element_at(F.array(*[F.lit(x) for x in bars]), F.col("size") + 1))
     return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in own])

@@ -226,7 +226,7 @@ def simhash_components(docs: DataFrame, *, shingle: int = 3, threshold: int = 2)
     * null doc_id: linked like others but never a component_id, unless a component has no other (then null);
     * empty table: no rows; other columns of the input are not read.
     """
-    marked = materialize(docs.select("doc_id", fingerprint_udf(shingle)("text").alias("fp")), "fingerprints")
+    marked = materialize(docs.select("doc_id", fingerprint_udf(shingle)("text").alias("fp")), "fingerprints", texts=True)
     prints = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "distinct")
     links = fingerprint_links(prints, threshold)
     groups = connected_components(links)
@@ -346,42 +346,78 @@ def _sketch_hashes(similarity: float):
     return hashes
 
 
-def _joined_in_block(label: np.ndarray, first: np.ndarray, sketches: list[bytes], similarity: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+def _coded(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, codes, sizes): distinct hashes, and each sketch as a row of positions among them, padded with -1."""
+    sizes = np.array([len(s) // 4 for s in sketches], np.int64)
+    values, inverse = np.unique(np.frombuffer(b"".join(sketches), "<u4"), return_inverse=True)
+    codes = np.full((len(sketches), max(1, sizes.max(initial=0))), -1, np.int64)
+    codes[np.arange(codes.shape[1]) < sizes[:, None]] = inverse
+    return values, codes, sizes
+
+
+def _verdicts(x: int, other: np.ndarray, codes: np.ndarray, sizes: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
+    """:func:`sketch_verdict` of row x with each of the others; ``place`` is being used for x and left as it was.
+
+    A hash that both have, at positions i and j, is the (i + j - r)th of the union, if it is the r-th that both have.
+    """
+    own = codes[x, : sizes[x]]
+    place[own] = np.arange(1, sizes[x] + 1)
+    i = place[codes[other]]
+    place[own] = 0
+    both = i > 0
+    common = both.sum(1)
+    union = sizes[x] + sizes[other] - common
+    cut = (sizes[other] == SKETCH) | (sizes[x] == SKETCH)
+    seen = np.where(cut, np.minimum(SKETCH, union), union)
+    low, high = sketch_bounds(similarity)
+    out = np.zeros(len(other), np.int64)
+    near = np.flatnonzero(common >= np.where(cut, low, similarity * union))
+    i, both, seen = i[near], both[near], seen[near]
+    rank = i + np.arange(1, i.shape[1] + 1) - np.cumsum(both, axis=1)
+    found = (both & (rank <= seen[:, None])).sum(1) / np.maximum(seen, 1)
+    found = np.where(seen == 0, 1.0, found)
+    rough = np.rint(found * SKETCH)
+    out[near] = np.where(~cut[near], found >= similarity, np.where(rough < low, 0, np.where(rough >= high, 1, -1)))
+    return out
+
+
+def _joined_in_block(label: np.ndarray, first: np.ndarray, sketches: list[bytes], similarity: float, prefixes: list[bytes] | None = None, shared: int = 0) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Links (label, label) between the components of a block's rows: rows marked ``first`` against all the others.
 
-    Rows of components that are joined already aren't compared. The number of common hashes bounds the similarity, so
-    only rows that have enough of them are compared in full. The second result are the pairs (row, row) that the sketches
-    can't decide, but for those whose components they join in the end.
+    Rows of components that are joined already aren't compared. Rows that met by the hash ``shared`` of their ``prefixes``
+    are compared only if it is the first that both have, so each pair is compared once, wherever else it meets. The second
+    result are the pairs (row, row) that the sketches can't decide, but for those whose components are joined in the end.
     """
-    n = len(label)
-    sizes = np.array([len(s) // 4 for s in sketches], np.int64)
-    codes = np.full((n, SKETCH), -1, np.int64)
-    codes[np.arange(SKETCH) < sizes[:, None]] = np.unique(np.frombuffer(b"".join(sketches), "<u4"), return_inverse=True)[1]
-    flag = np.zeros(codes.max(initial=-1) + 2, bool)  # the last entry stands for padding and stays unset
-    low = sketch_bounds(similarity)[0]
+    values, codes, sizes = _coded(sketches)
+    place = np.zeros(len(values) + 1, np.int64)  # the last entry stands for padding and stays 0
+    if prefixes is not None:
+        lengths = np.array([len(p) // 4 for p in prefixes])
+        heads = np.full((len(prefixes), max(1, lengths.max(initial=0))), -1, np.int64)
+        heads[np.arange(heads.shape[1]) < lengths[:, None]] = np.searchsorted(values, np.frombuffer(b"".join(prefixes), "<u4"))
+        mark, wanted = np.zeros(len(values) + 1, bool), np.searchsorted(values, shared)
     now, found, undecided = label.copy(), [], []
     for x in np.flatnonzero(first):
         other = np.flatnonzero(now != now[x])
+        if prefixes is not None and len(other):
+            own = heads[x, : lengths[x]]
+            mark[own] = True
+            meets = mark[heads[other]]
+            mark[own] = False
+            other = other[heads[other, meets.argmax(1)] == wanted]
         if not len(other):
-            break
-        own = codes[x, : sizes[x]]
-        flag[own] = True
-        common = flag[codes[other]].sum(1)
-        flag[own] = False
-        need = np.where((sizes[other] == SKETCH) | (sizes[x] == SKETCH), low, similarity * (sizes[other] + sizes[x] - common))
-        for y in other[common >= need]:
-            if now[y] == now[x]:
-                continue
-            verdict = sketch_verdict(sketches[x], sketches[y], similarity)
-            if verdict < 0:
-                undecided.append((x, y))
-            elif verdict:
+            continue
+        verdict = _verdicts(x, other, codes, sizes, place, similarity)
+        for y in other[verdict == 1]:
+            if now[y] != now[x]:
                 found.append((label[x], label[y]))
                 now[now == now[y]] = now[x]
+        undecided += [(x, y) for y in other[verdict == -1]]
     return found, [(x, y) for x, y in undecided if now[x] != now[y]]
 
 
 _DEAL = ["view", "print", "sub"]
+#: View of the buckets in which rows meet by a hash of their prefixes.
+MEET = -1
 _JOINED = "src bigint, dst bigint, a bigint, b bigint"
 
 
@@ -398,12 +434,13 @@ def _joined(similarity: float):
             keys = frame[_DEAL].to_numpy(np.int64)
             at = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.zeros(0, np.int64)
             label, first, digest = (frame[c].to_numpy() for c in ("label", "first", "digest"))
-            sketch = frame["sketch"].tolist()
+            sketch, prefix = frame["sketch"].tolist(), frame["prefix"].tolist()
             links: set[tuple[int, int]] = set()
             pairs: dict[tuple[int, int], tuple[int, int]] = {}
             for i, j in zip(at, np.r_[at[1:], len(keys)]):
                 if j - i > 1 and (label[i:j] != label[i]).any():
-                    found, undecided = _joined_in_block(label[i:j], first[i:j], sketch[i:j], similarity)
+                    met = prefix[i:j] if keys[i, 0] == MEET else None
+                    found, undecided = _joined_in_block(label[i:j], first[i:j], sketch[i:j], similarity, met, keys[i, 1])
                     links |= {(min(x, y), max(x, y)) for x, y in found}
                     for x, y in undecided:
                         x, y = (x, y) if digest[i + x] < digest[i + y] else (y, x)
@@ -475,28 +512,105 @@ def _open_blocks(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, simila
         each = materialize(each, "hashes")
         times = each.groupBy("hash").agg(F.count("*").alias("times"))
         ranked = each.join(times, "hash").groupBy("digest").agg(F.max("take").alias("take"), F.sort_array(F.collect_list(F.struct("times", "hash"))).alias("all"))
-        rare = ranked.select("digest", F.explode(F.slice("all", F.lit(1), F.col("take"))).alias("e")).select("digest", F.lit(-1).alias("view"), F.col("e.hash").alias("print"))
-        rare = materialize(rare.join(wide, "digest").select("view", "print", "digest", "label"), "rare")
-        direct = direct.unionByName(_dealt(rare, _mixed(rare)))
+        ranked = materialize(ranked.select("digest", F.transform(F.slice("all", F.lit(1), F.col("take")), lambda e: e["hash"]).alias("heads")), "heads")
+        rare = ranked.select("digest", F.explode("heads").alias("print")).join(wide, "digest").select(F.lit(MEET).alias("view"), "print", "digest", "label")
+        rare = materialize(rare, "rare")
+        met = _dealt(rare, _mixed(rare)).join(ranked.select("digest", _packed()("heads").alias("prefix")), "digest")
+        direct = direct.withColumn("prefix", F.lit(None).cast("binary")).unionByName(met)
+    else:
+        direct = direct.withColumn("prefix", F.lit(None).cast("binary"))
     return direct.join(nodes.select("digest", "sketch"), "digest")
 
 
+def _packed():
+    @pandas_udf("binary")
+    def packed(hashes: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(h, "<u4").tobytes() for h in hashes])
+
+    return packed
+
+
+def _labelled(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are in different components, with these (at_a, at_b); written."""
+    for end in ("a", "b"):
+        at = small(groups.select(F.col("node").alias(end), F.col("component").alias(f"at_{end}")))
+        pairs = pairs.join(at, end, "left").withColumn(f"at_{end}", F.coalesce(f"at_{end}", end))
+    return materialize(pairs.where("at_a <> at_b"), "near")
+
+
+def _dense(pairs: DataFrame) -> DataFrame | None:
+    """(digest, cluster, label) of the clusters of undecided pairs that are cheaper to compare in blocks than one by one.
+
+    A cluster of n texts sends n (n / BLOCK + 1) sets in blocks, and two for each of its pairs otherwise.
+    """
+    clusters = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("digest"), F.col("at_a").alias("label")), F.struct(F.col("b").alias("digest"), F.col("at_b").alias("label")))).alias("e")).select("e.*")
+    texts = ends.groupBy("digest", "label").agg(F.count("*").alias("pairs")).join(small(clusters), F.col("digest") == F.col("node"))
+    size = texts.groupBy("component").agg(F.count("*").alias("n"), F.sum("pairs").alias("sent")).where(F.col("n") * (F.col("n") / BLOCK + 1) < F.col("sent"))
+    out = materialize(texts.join(small(size.select("component")), "component").select("digest", F.col("component").alias("cluster"), "label"), "dense")
+    return None if out.isEmpty() else out
+
+
+def _exact_in_blocks(similarity: float):
+    def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by block pair, with their whole sets; returned are links (src, dst) between components."""
+        key, held = None, []
+
+        def linked() -> pd.DataFrame:
+            label, first = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+            sets = [h[2] for h in held]
+            sizes = np.array([len(x) for x in sets])
+            values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            begins, flag, now, found = np.cumsum(sizes) - sizes, np.zeros(len(values), np.int32), label.copy(), []
+            for x in np.flatnonzero(first):
+                own = flat[begins[x] : begins[x] + sizes[x]]
+                flag[own] = 1
+                common = np.add.reduceat(flag[flat], begins)
+                flag[own] = 0
+                alike = (common >= similarity * (sizes[x] + sizes - common)) & (now != now[x])
+                for y in np.flatnonzero(alike):
+                    if now[y] != now[x]:
+                        found.append((label[x], label[y]))
+                        now[now == now[y]] = now[x]
+            return pd.DataFrame(found, columns=["src", "dst"]).astype("int64")
+
+        for f in frames:
+            for *k, label, first, whole in f[[*_DEAL, "label", "first", "whole"]].itertuples(index=False):
+                if k != key:
+                    if len(held) > 1:
+                        yield linked()
+                    key, held = k, []
+                held.append((label, first, np.asarray(whole)))
+        if len(held) > 1:
+            yield linked()
+
+    return exact
+
+
 def _decided(groups: DataFrame, pairs: DataFrame, whole_sets: Callable[[DataFrame], DataFrame] | None, similarity: float) -> DataFrame:
     """``groups`` (node, component) after the pairs (a, b), distinct, whose whole sets are similar enough.
 
-    Jaccard similarities are exact, on both whole sets of shingle hashes. Pairs are decided in ROUNDS, each over a share of
-    those that are still in different components, so that components which any pair joins cost few comparisons.
+    Jaccard similarities are exact, on both whole sets of shingle hashes. Pairs of clusters in which many texts are near
+    the bar are decided in blocks; the others one by one, in ROUNDS, each over a share of those that are still in different
+    components, so that components which any pair joins cost few comparisons.
     """
+    pairs = _labelled(pairs, groups)
     if pairs.isEmpty():
         return groups
     if whole_sets is None:
         raise ValueError("some pairs are too near the bar for their sketches, and there are no whole sets")
-    sets = materialize(whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()), "wholes")
+    sets = materialize(whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()), "wholes", texts=True)
+    dense = _dense(pairs)
+    if dense is not None:
+        rows = dense.select(F.lit(0).alias("view"), F.col("cluster").alias("print"), "digest", "label")
+        dealt = _dealt(rows, _mixed(rows)).join(sets, "digest").drop("digest").repartition(*_DEAL).sortWithinPartitions(*_DEAL)
+        links = materialize(dealt.mapInPandas(_exact_in_blocks(similarity), "src bigint, dst bigint").distinct(), "links", texts=True)
+        groups = _regrouped(groups, links)
+        inside = small(dense.select(F.col("digest").alias("a")))
+        pairs = _labelled(pairs.join(inside, "a", "left_anti").select("a", "b"), groups)
     for share in ROUNDS:
-        for end in ("a", "b"):
-            at = small(groups.select(F.col("node").alias(end), F.col("component").alias(f"at_{end}")))
-            pairs = pairs.join(at, end, "left").withColumn(f"at_{end}", F.coalesce(f"at_{end}", end))
-        pairs = materialize(pairs.where("at_a <> at_b"), "near")
+        if pairs.isEmpty():
+            break
         part = F.pmod(F.xxhash64("a", "b"), F.lit(1 << 20)) < int(share * (1 << 20))
         near = pairs.where(part)
         for end in ("a", "b"):
@@ -504,9 +618,7 @@ def _decided(groups: DataFrame, pairs: DataFrame, whole_sets: Callable[[DataFram
         common = F.size(F.array_intersect("whole_a", "whole_b"))
         near = near.withColumn("common", common).where(F.col("common") >= F.lit(similarity) * (F.size("whole_a") + F.size("whole_b") - F.col("common")))
         groups = _regrouped(groups, near.select(F.col("at_a").alias("src"), F.col("at_b").alias("dst")).distinct())
-        pairs = pairs.where(~part).select("a", "b")
-        if pairs.isEmpty():
-            break
+        pairs = _labelled(pairs.where(~part).select("a", "b"), groups)
     discard(sets)
     return groups
 
@@ -569,7 +681,7 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float
     own = docs.columns
     key, second = F.xxhash64("doc_id", "text"), F.hash("text", "doc_id")
     marks = docs.select("doc_id", key.alias("key"), second.alias("key2"), _profiles(shingle)("text").alias("p")).select("doc_id", "key", "key2", "p.*")
-    marks = materialize(marks, "profiles")
+    marks = materialize(marks, "profiles", texts=True)
     clash = materialize(marks.groupBy("digest").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").select("digest"), "clash")
     if not clash.isEmpty():  # texts that share one digest by chance get another
         apart = F.xxhash64("digest", "other")
