@@ -363,10 +363,10 @@ def test_pipeline_stages(spark, docs, rows, empty):
     assert kept == [0, 2, 4, 5]
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
     texts = [r.text for r in kept]
-    assert not any(jaccard(a, b) >= 0.85 for a, b in itertools.combinations(texts, 2))
+    assert not any(jaccard(a, b) >= 0.8 for a, b in itertools.combinations(texts, 2))
     gone = {r.doc_id for r in rows} - {r.doc_id for r in kept}
     by_id = {r.doc_id: r.text for r in rows}
-    assert all(any(jaccard(by_id[g], r.text) >= 0.6 for r in rows if r.doc_id != g) for g in gone)
+    assert all(any(jaccard(by_id[g], r.text) > 0.7999 for r in rows if r.doc_id != g) for g in gone)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
     out = corpus_pipeline.run(spark, SF)

@@ -105,13 +105,13 @@ def test_workers_need_no_package(tmp_path):
         spark.sparkContext.setLogLevel("ERROR")
         sys.path.insert(0, {REPO!r})
         from plumbline.llm import queries
-        for name in ("op2_markov_url_filter", "op4_anchor_simhash", "op6_hyperdimensional_language", "op7_automaton_secrets", "op8_log_bilinear_score"):
+        for name in ("op2_markov_url_filter", "op7_automaton_secrets", "op8_log_bilinear_score"):
             print("ROWS", queries.QUERIES[name](spark, {SF!r}).count())
         spark.stop()
     """))
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
-    assert done.stdout.count("ROWS") == 5, done.stderr[-3000:]
+    assert done.stdout.count("ROWS") == 3, done.stderr[-3000:]
 
 
 def test_head_words_have_codes(spark):

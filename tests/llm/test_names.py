@@ -40,7 +40,7 @@ DOCS = {
 
 @pytest.mark.parametrize("name", DOCS)
 def test_documents(spark, name):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
     plain, wide = (DOCS[name](spark, d) for d in (docs, widened(docs)))
     assert plain.count() == wide.count()
     if not {"leaks", "exact", "components", "scores"} & {name}:

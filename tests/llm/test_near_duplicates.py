@@ -84,6 +84,36 @@ def test_prefixes_share_a_hash_of_similar_sketches(similarity):
             assert heads[0] & heads[1]
 
 
+def test_verdicts_of_a_block_match_one_by_one():
+    rng = np.random.default_rng(8)
+    sets = [np.sort(rng.choice(400, rng.integers(0, 300), replace=False)) for _ in range(40)]
+    sets += [np.sort(rng.choice(s, int(0.9 * len(s)), replace=False)) for s in sets]
+    sketches = [s[: simhash.SKETCH].astype("<u4").tobytes() for s in sets]
+    values, codes, sizes = simhash._coded(sketches)
+    place, every = np.zeros(len(values) + 1, np.int64), np.arange(len(sets))
+    for x in every:
+        got = simhash._verdicts(x, every, codes, sizes, place, 0.8)
+        assert got.tolist() == [simhash.sketch_verdict(sketches[x], s, 0.8) for s in sketches]
+    assert not place.any()
+
+
+def test_dense_clusters_near_the_bar_are_decided_in_blocks(spark, monkeypatch):
+    """A family of texts, all pairs near the bar: half of it in groups that are over it."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    common = [f"c{j}" for j in range(420)]
+    texts = []
+    for i in range(40):
+        own = [f"f{i // 2 if i < 20 else i}w{j}" for j in range(100)]
+        texts.append(" ".join(common + own[:80] + [f"z{i}v{j}" for j in range(20)]))
+    nodes, wholes, at = nodes_of(spark, texts, 7, [7])
+    found = []
+    dense = simhash._dense
+    monkeypatch.setattr(simhash, "_dense", lambda pairs: found.append(dense(pairs)) or found[-1])
+    want = [[2 * i, 2 * i + 1] for i in range(10)]
+    assert groups_of(simhash.similar_components(nodes, 0.8, wholes), at) == want
+    assert any(d is not None for d in found)
+
+
 def test_colliding_digests_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(simhash, "text_digests", lambda t: (5, hash(tuple(simhash.words_of(t))) & (2**62 - 1)))
     d = spark.createDataFrame([(i, t) for i, t in enumerate(["one text", "two texts", "One  TEXT", "three", None, " "])], "doc_id bigint, text string")
