@@ -21,7 +21,7 @@ WORDS = (1 << 16) - FIRST
 #: Classes that the words are dealt to; a token's probability is its class's times its own within the class.
 CLASSES = 128
 #: Vector length; noise classes of a batch; noise words of a token; tokens of a batch; step size.
-DIM, NOISE, INNER, BATCH, STEP = 16, 32, 2, 8192, 0.1
+DIM, NOISE, INNER, BATCH, STEP = 16, 32, 1, 16384, 0.1
 #: Bound of the table of frequent words that is sent to executors (16 bytes each).
 HEAD_WORDS = 500_000
 #: Bound of the sample that gives all shards a common start.
