@@ -253,7 +253,7 @@ RISK = 1e-6
 #: Rows of a block, of which two are compared at a time. Buckets of more rows are split by the sketches' rarest hashes.
 BLOCK = 256
 #: Shares of the undecided pairs that are decided in one go; the last one is all that are still in different components.
-ROUNDS = (1 / 64, 1 / 8, 1.0)
+ROUNDS = (1 / 16, 1.0)
 _PROFILE = "fp bigint, views array<bigint>, sketch binary, digest bigint, other bigint"
 
 
@@ -464,6 +464,9 @@ def _joined(similarity: float):
 
 def _regrouped(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (node, component) after ``links`` (src, dst) between components, or nodes that have none."""
+    links = materialize(links, "links")
+    if links.isEmpty():
+        return labels
     more = connected_components(links)
     again = small(more.select(F.col("node").alias("was"), F.col("component").alias("now")))
     moved = labels.join(again, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
@@ -509,7 +512,7 @@ def _open_blocks(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, simila
     if not large.isEmpty():
         wide = materialize(labelled.join(small(large), ["view", "print"], "left_semi").select("digest", "label").distinct(), "wide")
         each = wide.select("digest").join(nodes.select("digest", "sketch"), "digest").mapInPandas(_sketch_hashes(similarity), "digest bigint, hash bigint, take int")
-        each = materialize(each, "hashes")
+        each = materialize(each, "hashes", texts=True)
         times = each.groupBy("hash").agg(F.count("*").alias("times"))
         ranked = each.join(times, "hash").groupBy("digest").agg(F.max("take").alias("take"), F.sort_array(F.collect_list(F.struct("times", "hash"))).alias("all"))
         ranked = materialize(ranked.select("digest", F.transform(F.slice("all", F.lit(1), F.col("take")), lambda e: e["hash"]).alias("heads")), "heads")
@@ -604,8 +607,8 @@ def _decided(groups: DataFrame, pairs: DataFrame, whole_sets: Callable[[DataFram
     if dense is not None:
         rows = dense.select(F.lit(0).alias("view"), F.col("cluster").alias("print"), "digest", "label")
         dealt = _dealt(rows, _mixed(rows)).join(sets, "digest").drop("digest").repartition(*_DEAL).sortWithinPartitions(*_DEAL)
-        links = materialize(dealt.mapInPandas(_exact_in_blocks(similarity), "src bigint, dst bigint").distinct(), "links", texts=True)
-        groups = _regrouped(groups, links)
+        links = dealt.mapInPandas(_exact_in_blocks(similarity), "src bigint, dst bigint")
+        groups = _regrouped(groups, materialize(links, "links", texts=True).distinct())
         inside = small(dense.select(F.col("digest").alias("a")))
         pairs = _labelled(pairs.join(inside, "a", "left_anti").select("a", "b"), groups)
     for share in ROUNDS:
@@ -650,16 +653,17 @@ def similar_components(nodes: DataFrame, similarity: float, whole_sets: Callable
     left = nodes.select(F.col("digest").alias("a"), F.col("sketch").alias("sketch_a"))
     right = nodes.select(F.col("digest").alias("b"), F.col("sketch").alias("sketch_b"))
     judged = pairs.join(left, "a").join(right, "b").select("a", "b", _verdict(similarity)("sketch_a", "sketch_b").alias("verdict"))
-    judged = materialize(judged.where("verdict <> 0"), "judged")
+    judged = materialize(judged.where("verdict <> 0"), "judged", texts=True)
     labels = connected_components(judged.where("verdict = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     labels = _decided(labels, judged.where("verdict = -1").select("a", "b"), whole_sets, similarity)
 
     dealt = _open_blocks(buckets.drop("hubs"), labels, nodes, similarity).repartition(*_DEAL).sortWithinPartitions(*_DEAL)
-    met = materialize(dealt.mapInPandas(_joined(similarity), _JOINED), "met")
+    met = materialize(dealt.mapInPandas(_joined(similarity), _JOINED), "met", texts=True)
     groups = _regrouped(labels, met.where("a IS NULL").select("src", "dst").distinct())
     groups = _decided(groups, met.where("a IS NOT NULL").select("a", "b").distinct(), whole_sets, similarity)
     for used in (close, hubs, buckets, pairs, judged, labels, met):
-        discard(used)
+        if used is not groups:
+            discard(used)
     return groups
 
 
