@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, language, lm_score, mixing, secrets, sharding, simhash, url_filter
+from . import collocation, decontaminate, exact_dedup, html_text, language, line_dedup, lm_score, mixing, secrets, sharding, simhash, spelling, url_filter
 
 QUERIES = {
     "op1_spaced_seed_leaks": decontaminate.op1_spaced_seed_leaks,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_log_bilinear_score": lm_score.op8_log_bilinear_score,
     "op9_poisson_mix": mixing.op9_poisson_mix,
     "op10_prefix_sum_shards": sharding.op10_prefix_sum_shards,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_line_bitmaps": line_dedup.op12_line_bitmaps,
+    "op13_phrase_growth": collocation.op13_phrase_growth,
 }
 
 
@@ -30,4 +33,6 @@ ORACLES = {
     "op1_spaced_seed_leaks": decontaminate.ORACLE,
     "op3_lsm_exact_dedup": exact_dedup.ORACLE,
     "op9_poisson_mix": mixing.ORACLE,
+    "op12_line_bitmaps": line_dedup.ORACLE,
+    "op13_phrase_growth": collocation.ORACLE,
 }
