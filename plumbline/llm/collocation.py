@@ -251,7 +251,7 @@ WITH pieces AS (SELECT lang, row_number() OVER () AS piece, string_split(replace
                 FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split(translate(coalesce(text, ''),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?' || chr(11) || chr(12) || chr(13),
                       'abcdefghijklmnopqrstuvwxyz' || repeat(chr(10), 9)), chr(10))) AS p FROM documents)),
-     clean AS (SELECT lang, list_filter(ws, x -> x <> '') AS ws FROM pieces),
+     clean AS (SELECT lang, list_filter(ws, lambda x: x <> '') AS ws FROM pieces),
      sized AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM clean),
      grams AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase
                FROM sized, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(ws)),

@@ -124,13 +124,13 @@ def op12_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH lines AS (SELECT doc_id, line, at, translate(trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)),
+WITH lines AS (SELECT doc_id, line, pos, translate(trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-               FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS at
+               FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos
                      FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
      firsts AS (SELECT key, min(doc_id) AS first FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
-     judged AS (SELECT l.doc_id, l.line, l.at, f.first IS NOT NULL AND l.doc_id > f.first AS gone FROM lines l LEFT JOIN firsts f USING (key))
+     judged AS (SELECT l.doc_id, l.line, l.pos, f.first IS NOT NULL AND l.doc_id > f.first AS gone FROM lines l LEFT JOIN firsts f USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """

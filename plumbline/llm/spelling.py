@@ -239,3 +239,32 @@ def spelling_variants(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: crc32 by a table of 256 entries, which the first two queries make; two words are near if they are equal after the loss of
+#: one letter of either, or of a letter at the same place of both.
+ORACLE = r"""
+WITH RECURSIVE bits AS (SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS step FROM range(256) t(i)
+     UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM bits WHERE step < 8),
+     crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE step = 8),
+     runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+     counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+     bytes AS (SELECT run, n, list_transform(string_split(doc_id || ':' || run, ''), lambda x: unicode(x)::BIGINT) AS b FROM counted),
+     utf AS (SELECT run, n, flatten(list_transform(b, lambda x: CASE WHEN x < 128 THEN [x] ELSE [192 + (x >> 6), 128 + (x & 63)] END)) AS b FROM bytes),
+     hashed AS (SELECT run, n, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM utf, crc),
+     noisy AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+     w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM noisy WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+     cut AS (SELECT word, n, pos, substr(word, 1, pos - 1) || substr(word, pos + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS pos FROM w)),
+     near AS (SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.pos = b.pos AND a.word <> b.word
+              UNION SELECT a.word, b.word, b.n FROM w a JOIN cut b ON a.word = b.rest
+              UNION SELECT a.word, b.word, b.n FROM cut a JOIN w b ON a.rest = b.word),
+     best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM near GROUP BY word),
+     picked AS (SELECT b.word, b.n_near, b.top, min(near.other) AS form FROM best b JOIN near ON near.word = b.word AND near.n = b.top GROUP BY ALL),
+     formed AS (SELECT w.word, w.n, coalesce(p.n_near, 0) AS n_near, CASE WHEN p.top >= 2 * w.n THEN p.form END AS form,
+                       CASE WHEN p.top >= 2 * w.n THEN p.top END AS form_n FROM w LEFT JOIN picked p ON p.word = w.word),
+     chains AS (SELECT word, word AS root, 0 AS k FROM formed
+                UNION ALL SELECT c.word, f.form, k + 1 FROM chains c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL),
+     ends AS (SELECT word, arg_max(root, k) AS root FROM chains GROUP BY word)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM formed f JOIN ends e ON e.word = f.word
+"""
