@@ -113,7 +113,7 @@ def softmin(a: Vector) -> Column:
 
 
 #: Numbers of a weight matrix up to which it is part of the plan, as constants; larger ones multiply Arrow batches.
-MAX_LITERALS = 20_000
+MAX_LITERALS = 4_096
 
 
 def _product(weights: np.ndarray, bias: np.ndarray):

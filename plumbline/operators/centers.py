@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import heads as H
 from ..functions import vectors as V
 from .moments import class_means, scatter, stacked, vector_sums
 
@@ -57,10 +58,21 @@ class ClassCenters:
     def n_features(self) -> int:
         return self.centers.shape[1]
 
+    @property
+    def _large(self) -> bool:
+        """Whether the centres are more numbers than a plan should hold; ``x`` must then be a column and not a higher-order expression."""
+        return self.centers.size > V.MAX_LITERALS
+
     def squared_distances(self, x: V.Vector) -> Column:
+        if self._large:
+            centers = self.centers
+            return H.batched("array<double>", lambda z: H.center_distances(z, centers))(V.doubles(x))
         return V.let(V.doubles(x), lambda z: F.transform(V.literal(self.centers), lambda c: V.sqdist(z, c)))
 
     def distances(self, x: V.Vector) -> Column:
+        if self._large:
+            centers = self.centers
+            return H.batched("array<double>", lambda z: np.sqrt(H.center_distances(z, centers)))(V.doubles(x))
         return V.let(V.doubles(x), lambda z: F.transform(V.literal(self.centers), lambda c: V.distance(z, c)))
 
     def predict(self, x: V.Vector) -> Column:

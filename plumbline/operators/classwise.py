@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from ..functions import heads as H
 from ..functions import scores as S
 from ..functions import vectors as V
 from .base import Detector, known_classes, parameter_rows
@@ -28,6 +29,11 @@ def _by_class(table: dict[int, np.ndarray], key: Column, missing: str) -> Column
     return F.when(got.isNotNull(), got).otherwise(F.raise_error(F.concat(F.lit(missing), key.cast("string"))).cast("array<double>"))
 
 
+def _large(table: dict[int, np.ndarray]) -> bool:
+    """Whether a fitted table has more numbers than a plan should hold; then rows look it up in Arrow batches."""
+    return sum(map(np.size, table.values())) > V.MAX_LITERALS
+
+
 class KLMatching(Detector):
     """KL divergence of a row's class probabilities from the mean probabilities of its predicted class.
 
@@ -50,13 +56,22 @@ class KLMatching(Detector):
 
     def predict(self, df: DataFrame) -> DataFrame:
         self._check_fitted()
-        d = self._modelled(df).withColumn(self.probabilities, V.softmax(V.doubles(self.logits)))
+        soft = H.batched("array<double>", H.softmax) if _large(self.table) else V.softmax
+        d = self._modelled(df).withColumn(self.probabilities, soft(V.doubles(self.logits)))
         return self.predict_features(d)
 
     __call__ = predict
 
     def score_column(self) -> Column:
-        p = V.doubles(self.probabilities)
+        p, table = V.doubles(self.probabilities), self.table
+        if _large(table):
+
+            def divergence(p: np.ndarray) -> np.ndarray:
+                q = H.class_rows(table, p.argmax(axis=1), "no fitted rows of class ")
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    return np.where(p > 0, p * (np.log(p) - np.log(np.maximum(q, 1e-300))), 0.0).sum(axis=1)
+
+            return H.batched("double", divergence)(p)
         return S.kl_divergence(p, _by_class(self.table, V.argmax(p), "no fitted rows of class "))
 
 
@@ -83,7 +98,10 @@ class SHE(Detector):
         return self
 
     def score_column(self) -> Column:
-        z = V.doubles(self.features)
+        z, table = V.doubles(self.features), self.table
+        if _large(table) or np.size(self.weights) > V.MAX_LITERALS:
+            head = H.linear_head(self.weights, self.bias)
+            return H.batched("double", lambda z: -(z * H.class_rows(table, head.forward(z).argmax(axis=1), "no stored pattern of class ")).sum(axis=1))(z)
         return -V.dot(z, _by_class(self.table, self._predicted(), "no stored pattern of class "))
 
 
@@ -169,7 +187,8 @@ def class_tails(df: DataFrame, vector: str, label: str, centers: dict[int, np.nd
 class OpenMax(Detector):
     """Probability of the unknown class after logits are revised by Weibull models of the distances to class means.
 
-    Distances to all of the ``alpha`` top classes count, whichever rows share a batch.
+    Distances to all of the ``alpha`` top classes count, whichever rows share a batch. Rows with null logits aren't learned from and
+    have a null score.
     """
 
     needs_fit = True
@@ -179,7 +198,7 @@ class OpenMax(Detector):
         self.tailsize, self.alpha, self.euclid_weight = tailsize, alpha, euclid_weight
 
     def fit_features(self, df: DataFrame) -> OpenMax:
-        d = self._known(df)
+        d = self._known(df).where(F.col(self.logits).isNotNull())
         stats = class_means(d, self.logits, self.label)
         if not stats:
             raise ValueError("no rows with known labels")
@@ -220,7 +239,11 @@ class OpenMax(Detector):
         def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 if len(f):
-                    yield f.assign(**{name: pick(revised(f[logits]))})
+                    made, ok = np.full(len(f), None, object), np.flatnonzero(f[logits].notna().to_numpy())
+                    if len(ok):
+                        for k, value in zip(ok, pick(revised(f[logits].iloc[ok]))):
+                            made[k] = value
+                    yield f.assign(**{name: made})
 
         return d.mapInPandas(work, StructType([*d.schema.fields, StructField(name, kind)]))
 
@@ -343,12 +366,7 @@ class KNN(Detector):
         self._check_fitted()
         if self.matrix is not None:
             bank = self.matrix
-
-            @pandas_udf("double")
-            def scored(vectors: pd.Series) -> pd.Series:
-                return pd.Series(nearest(stacked(vectors), bank)) if len(vectors) else pd.Series([], dtype="float64")
-
-            return df.withColumn(self.score, scored(V.doubles(self.features)))
+            return df.withColumn(self.score, H.batched("double", lambda z: nearest(z, bank))(V.doubles(self.features)))
         own = [c for c in df.columns if c != self.score]
         asked = df.select(F.col(f"`{self.row_id}`").cast("bigint").alias("asker"), V.doubles(self.features).alias("v")).where("v IS NOT NULL")
         first = asked.withColumn("at", self._cell()("v")).select("asker", "v", F.col("at.cell").alias("cell"))

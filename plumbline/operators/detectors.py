@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import heads as H
 from ..functions import scores as S
 from ..functions import vectors as V
 from .base import Detector
@@ -95,16 +96,40 @@ class TemperatureScaling(MaxSoftmax):
 class ODIN(Detector):
     """A step on the input against the loss of the predicted class, then MaxSoftmax of the new logits at temperature 1.
 
-    With a linear head the gradient of the loss (the negative tempered logit of the winner) is known in closed form, so
-    the whole detector is an expression. Any other model takes ``gradient``, a DataFrame function that adds the column
-    ``gradient`` to the inputs, and ``model``, which turns inputs into logits.
+    With a small linear head the gradient of the loss (the negative tempered logit of the winner) is known in closed form,
+    so the whole detector is an expression. A larger head, or a ``head`` of several layers, goes forward and back in Arrow
+    batches. Any other model takes ``gradient``, a DataFrame function that adds the column ``gradient`` to the inputs, and
+    ``model``, which turns inputs into logits.
+
+    ``target`` names a column of class numbers whose logit is raised in place of the winner's; with ``temperature`` the loss is
+    the cross entropy at that temperature instead of the plain negative logit. Both need a head.
     """
 
-    def __init__(self, model=None, *, weights=None, bias=None, gradient: Callable[[DataFrame], DataFrame] | None = None, eps: float = 0.05, norm_std=None, **columns) -> None:
+    def __init__(self, model=None, *, weights=None, bias=None, head: H.Head | None = None, gradient: Callable[[DataFrame], DataFrame] | None = None, eps: float = 0.05, norm_std=None, target: str | None = None, temperature: float | None = None, **columns) -> None:
         super().__init__(model, **columns)
         self.weights, self.bias, self.gradient, self.eps, self.norm_std = weights, bias, gradient, eps, norm_std
+        self.head, self.target, self.temperature = head, target, temperature
+        if head is None and weights is not None and (np.size(weights) > V.MAX_LITERALS or target or temperature):
+            self.head = H.linear_head(weights, bias)
+        if (target or temperature) and self.head is None:
+            raise ValueError("target and temperature need a head")
+
+    def _moved(self) -> Column:
+        head, eps, std, t = self.head, self.eps, self.norm_std, self.temperature
+
+        def move(z: np.ndarray, *label: np.ndarray) -> np.ndarray:
+            if t is not None:
+                return H.stepped(z, head.likelihood_gradient(z, label[0] if label else head.forward(z).argmax(1), t), eps, std)
+            if not label:
+                return H.stepped(z, -head.winner_gradient(z), eps, std)
+            classes = len(head.forward(z[:1])[0])
+            return H.stepped(z, head.gradient(z, lambda _: -np.eye(classes)[label[0].astype(np.int64)]), eps, std)
+
+        return H.batched("array<double>", move)(V.doubles(self.features), *([F.col(self.target)] if self.target else []))
 
     def perturbed(self, df: DataFrame) -> DataFrame:
+        if self.head is not None:
+            return df.withColumn(self.features, self._moved())
         if self.gradient is None:
             return df.withColumn(self.features, S.odin_linear(self.features, self.weights, self.bias, eps=self.eps, norm_std=self.norm_std))
         std = F.lit(1.0) if self.norm_std is None else V.literal(self.norm_std)
@@ -123,6 +148,8 @@ class ODIN(Detector):
         moved = self.perturbed(df)
         if self.model is not None:
             return self.model(moved).withColumn(self.score, S.max_softmax(self.logits))
+        if self.head is not None:
+            return moved.withColumn(self.score, S.max_softmax(H.batched("array<double>", self.head.forward)(F.col(self.features))))
         return moved.withColumn(self.score, S.max_softmax(V.linear(self.features, self.weights, self.bias)))
 
 
@@ -130,10 +157,12 @@ class MCD(Detector):
     """Monte-Carlo dropout in front of a linear head: ``mode`` "var" (mean over classes of the variance over passes) or "mean".
 
     Dropout masks are a function of row id, pass and dimension, so passes are the same on every partitioning. All passes
-    of a row are computed in its own projection: nothing is exploded or shuffled.
+    of a row are computed in its own projection: nothing is exploded or shuffled. A head of more than ``V.MAX_LITERALS``
+    weights, or a ``head`` of several layers with its own dropout layers (batch normalisation stays in evaluation mode), runs in
+    Arrow batches with the same masks; only running moments are kept, so memory doesn't grow with the passes.
     """
 
-    def __init__(self, *, weights, bias, samples: int = 30, mode: str = "var", dropout: float = 0.5, row_id: str = "id", drop: Callable[[Column, Column, Column], Column] | None = None, **columns) -> None:
+    def __init__(self, *, weights=None, bias=None, head: H.Head | None = None, samples: int = 30, mode: str = "var", dropout: float = 0.5, row_id: str = "id", drop: Callable[[Column, Column, Column], Column] | None = None, **columns) -> None:
         super().__init__(None, **columns)
         if mode not in ("var", "mean"):
             raise ValueError("mode must be var or mean")
@@ -141,13 +170,37 @@ class MCD(Detector):
             raise ValueError("the variance needs two samples at least")
         self.weights, self.bias, self.samples, self.mode, self.dropout, self.row_id = weights, bias, samples, mode, dropout, row_id
         self.drop = drop or (lambda row, n, d: V.unit_hash(row, n, d) < F.lit(float(dropout)))
+        self.head = head
+        if head is None and np.size(weights) > V.MAX_LITERALS:
+            if drop is not None:
+                raise ValueError(f"masks of your own need a head of {V.MAX_LITERALS} weights at most")
+            self.head = H.Head([H.Dropout(dropout), *H.linear_head(weights, bias).layers])
 
     def predict(self, df: DataFrame) -> DataFrame:
         return self.predict_features(df)
 
     __call__ = predict
 
+    def mean_probabilities(self) -> Column:
+        """The mean softmax output over all passes, as an array."""
+        head, samples = self._layered(), self.samples
+        return H.batched("array<double>", lambda z, rows: head.passes(z, rows, samples)[0])(V.doubles(self.features), H.row_hash(self.row_id))
+
+    def _layered(self) -> H.Head:
+        return self.head or H.Head([H.Dropout(self.dropout), *H.linear_head(self.weights, self.bias).layers])
+
+    def _in_batches(self) -> Column:
+        head, samples, mode = self._layered(), self.samples, self.mode
+
+        def score(z: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            mean, spread = head.passes(z, rows, samples)
+            return -mean.max(axis=1) if mode == "mean" else (spread / (samples - 1)).mean(axis=1)
+
+        return H.batched("double", score)(V.doubles(self.features), H.row_hash(self.row_id))
+
     def score_column(self) -> Column:
+        if self.head is not None:
+            return self._in_batches()
         keep = 1.0 / (1.0 - self.dropout)
         z, row = V.doubles(self.features), F.col(self.row_id)
 
@@ -181,8 +234,27 @@ class _Shaped(Detector):
     def shaped(self) -> Column:
         raise NotImplementedError
 
+    def shaped_rows(self) -> Callable[[np.ndarray], np.ndarray]:
+        """The same as :meth:`shaped` for the rows of a matrix."""
+        raise NotImplementedError
+
+    def head_weights(self) -> np.ndarray:
+        return self.weights
+
+    def logit_column(self) -> Column:
+        """Logits of the shaped activations: an expression, or a step on Arrow batches if the head is large."""
+        if np.size(self.weights) <= V.MAX_LITERALS:
+            return V.linear(self.shaped(), self.head_weights(), self.bias)
+        shape, head = self.shaped_rows(), H.linear_head(self.head_weights(), self.bias)
+
+        def logits(z: np.ndarray) -> list:
+            out = head.forward(shape(z))
+            return [None if bad else row for row, bad in zip(out, np.isnan(out).any(axis=1))]
+
+        return H.batched("array<double>", logits)(V.doubles(self.features))
+
     def score_column(self) -> Column:
-        return self.detector(V.linear(self.shaped(), self.weights, self.bias))
+        return self.detector(self.logit_column())
 
 
 class ASH(_Shaped):
@@ -199,6 +271,10 @@ class ASH(_Shaped):
     def shaped(self) -> Column:
         return self.VARIANTS[self.variant](self.features, self.percentile)
 
+    def shaped_rows(self) -> Callable[[np.ndarray], np.ndarray]:
+        percentile, variant = self.percentile, self.variant
+        return lambda z: H.shaped(z, percentile, variant)
+
 
 class ReAct(_Shaped):
     """Activations are clipped from above."""
@@ -210,6 +286,10 @@ class ReAct(_Shaped):
     def shaped(self) -> Column:
         return S.react(self.features, self.threshold)
 
+    def shaped_rows(self) -> Callable[[np.ndarray], np.ndarray]:
+        threshold = self.threshold
+        return lambda z: np.minimum(z, threshold)
+
 
 class DICE(_Shaped):
     """Only the weights with the largest mean contribution stay; ``p`` is a percentile on 0..100."""
@@ -227,5 +307,11 @@ class DICE(_Shaped):
         self.masked, self.fitted = np.where(contribution > self.threshold, self.weights, 0.0), True
         return self
 
-    def score_column(self) -> Column:
-        return self.detector(V.linear(V.doubles(self.features), self.masked, self.bias))
+    def shaped(self) -> Column:
+        return V.doubles(self.features)
+
+    def shaped_rows(self) -> Callable[[np.ndarray], np.ndarray]:
+        return lambda z: z
+
+    def head_weights(self) -> np.ndarray:
+        return self.masked

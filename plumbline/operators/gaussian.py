@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..functions import heads as H
 from ..functions import vectors as V
 from .base import Detector, RequiresFittingException
 from .moments import class_means, scatter, stacked, vector_mean
@@ -58,17 +59,23 @@ def gaussian_fit(df: DataFrame, features: str, label: str) -> tuple[list[int], n
 class Mahalanobis(Detector):
     """Half the squared distance to the nearest class mean under the pooled covariance.
 
-    ``eps`` above 0 first moves the features one signed step along the gradient of that distance.
+    ``eps`` above 0 first moves the features one signed step along the gradient of that distance. With a ``head`` the feature
+    column holds inputs: their embeddings, the head's outputs, are what is fitted and scored, and the step is on the inputs,
+    along the gradient that goes back through the layers.
     """
 
     needs_fit = True
 
-    def __init__(self, model=None, *, eps: float = 0.0, norm_std=None, **columns) -> None:
+    def __init__(self, model=None, *, eps: float = 0.0, norm_std=None, head: H.Head | None = None, **columns) -> None:
         super().__init__(model, **columns)
-        self.eps, self.norm_std = eps, norm_std
+        self.eps, self.norm_std, self.head = eps, norm_std, head or H.Head([])
+
+    def _embedded(self, df: DataFrame) -> DataFrame:
+        d = self._known(df)
+        return d.withColumn(self.features, H.batched("array<double>", self.head.forward)(V.doubles(self.features))) if self.head.layers else d
 
     def fit_features(self, df: DataFrame) -> Mahalanobis:
-        self.classes, self.means, self.precision = gaussian_fit(self._known(df), self.features, self.label)
+        self.classes, self.means, self.precision = gaussian_fit(self._embedded(df), self.features, self.label)
         self.fitted = True
         return self
 
@@ -78,14 +85,16 @@ class Mahalanobis(Detector):
         return len(self.means)
 
     def score_column(self) -> Column:
-        eps, std = self.eps, self.norm_std
+        eps, std, head = self.eps, self.norm_std, self.head
+
+        def outwards(e, means, precision):
+            d = np.stack([np.einsum("ij,ij->i", (e - m) @ precision, e - m) for m in means], axis=1)
+            return (e - means[d.argmin(1)]) @ precision
 
         def score(z, means, precision):
             if eps > 0:
-                d = np.stack([np.einsum("ij,ij->i", (z - m) @ precision, z - m) for m in means], axis=1)
-                step = np.sign((z - means[d.argmin(1)]) @ precision)
-                z = z - eps * (step if std is None else step / np.asarray(std))
-            return nearest_mahalanobis(z, means, precision) / 2
+                z = H.stepped(z, head.gradient(z, lambda e: outwards(e, means, precision)), eps, std)
+            return nearest_mahalanobis(head.forward(z), means, precision) / 2
 
         return _rowwise(score, self.means, self.precision)(V.doubles(self.features))
 
@@ -97,7 +106,7 @@ class RMD(Mahalanobis):
     """
 
     def fit_features(self, df: DataFrame) -> RMD:
-        d = self._known(df)
+        d = self._embedded(df)
         stats = class_means(d, self.features, self.label)
         if not stats:
             raise ValueError("no rows with known labels")
@@ -114,7 +123,10 @@ class RMD(Mahalanobis):
         return self
 
     def score_column(self) -> Column:
+        head = self.head
+
         def score(z, means, precision, m0, p0):
+            z = head.forward(z)
             d = z - m0
             return nearest_mahalanobis(z, means, precision) - np.einsum("ij,ij->i", d @ p0, d)
 
