@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a narrow table (a few numbers a row) may be broadcast: about 10 MB.
 BROADCAST_ROWS = 200_000
-#: Rows of an Arrow batch of whole texts: a few MB with ordinary texts, whatever default the session has.
-TEXT_ROWS = 1_000
+#: Rows and bytes of an Arrow batch of whole texts, whatever default the session has; a longer text is a batch of its own.
+TEXT_ROWS, TEXT_BYTES = 1_000, 4 << 20
 _LOCAL: dict[str, str] = {}
 
 
@@ -31,15 +31,18 @@ def shared_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
-    """Jobs that start in here send at most ``rows`` rows at a time to Python, for rows that hold whole texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS, size: int = TEXT_BYTES) -> Iterator[None]:
+    """Jobs that start in here send at most ``rows`` rows and about ``size`` bytes at a time to Python, for rows that hold whole texts."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in bounds}
+    for name, most in bounds.items():
+        now = int(before[name]) if before[name].lstrip("-").isdigit() else 0
+        spark.conf.set(name, str(min(most, now) if now > 0 else most))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def materialize(df: DataFrame, label: str, *, texts: bool = False) -> DataFrame:

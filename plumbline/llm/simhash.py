@@ -252,6 +252,8 @@ VIEWS, VIEW_SIZE, SKETCH = 8, 2, 128
 RISK = 1e-6
 #: Rows of a block, of which two are compared at a time. Buckets of more rows are split by the sketches' rarest hashes.
 BLOCK = 256
+#: Bytes of whole sets that count as one row of a block, so that a block of whole sets has about 4 MB.
+SET_BYTES = 16 << 10
 #: Shares of the undecided pairs that are decided in one go; the last one is all that are still in different components.
 ROUNDS = (1 / 16, 1.0)
 _PROFILE = "fp bigint, views array<bigint>, sketch binary, digest bigint, other bigint"
@@ -318,9 +320,9 @@ def _verdict(similarity: float):
 
 
 def _whole_set(shingle: int):
-    @pandas_udf("array<bigint>")
+    @pandas_udf("binary")
     def whole(text: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in text])
+        return pd.Series([np.unique(shingle_hashes(t, shingle)).tobytes() for t in text])
 
     return whole
 
@@ -478,7 +480,7 @@ def _regrouped(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def _mixed(rows: DataFrame) -> DataFrame:
     """(view, print, main, n, top): buckets of several components, their largest one, and the sizes of both."""
-    per = rows.groupBy("view", "print", "label").agg(F.count("*").alias("n"))
+    per = rows.groupBy("view", "print", "label").agg(F.sum("weight").alias("n") if "weight" in rows.columns else F.count("*").alias("n"))
     got = per.groupBy("view", "print").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
     return materialize(got.select("view", "print", F.col("top.label").alias("main"), "n", F.col("top.n").alias("top")), "mixed")
 
@@ -554,38 +556,92 @@ def _dense(pairs: DataFrame) -> DataFrame | None:
     return None if out.isEmpty() else out
 
 
+def _alike(similarity: float):
+    """Whether two whole sets, as bytes of ascending hashes, are similar enough."""
+
+    @pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = np.concatenate([x, y])
+            both.sort(kind="stable")  # two ascending runs: a merge
+            common = int((both[1:] == both[:-1]).sum())
+            out.append(common >= similarity * (len(x) + len(y) - common))
+        return pd.Series(out, dtype=bool)
+
+    return alike
+
+
+class _Held:
+    """The first side of a block pair, with its whole sets coded; sets of the other side stream past it."""
+
+    def __init__(self, labels: list[int], sets: list[bytes]) -> None:
+        parts = [np.frombuffer(s, np.uint64) for s in sets]
+        self.now, self.labels, self.sizes = np.array(labels), np.array(labels), np.array([len(p) for p in parts])
+        self.values, self.flat = np.unique(np.concatenate(parts), return_inverse=True)
+        self.flat = self.flat.astype(np.int32)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.flag = np.zeros(len(self.values), np.int8)
+        self.joined: dict[int, int] = {}
+
+    def codes(self, whole: bytes) -> tuple[np.ndarray, int]:
+        own = np.frombuffer(whole, np.uint64)
+        at = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
+        return at[self.values[at] == own], len(own)
+
+    def links(self, label: int, codes: np.ndarray, size: int, similarity: float) -> list[tuple[int, int]]:
+        """Links of a set's component with those of similar held sets; joined ones count as one from then on."""
+        while label in self.joined:
+            label = self.joined[label]
+        if not (self.now != label).any():
+            return []
+        self.flag[codes] = 1
+        common = np.add.reduceat(self.flag[self.flat], self.begins, dtype=np.int64)
+        self.flag[codes] = 0
+        found = []
+        for y in np.flatnonzero((common >= similarity * (self.sizes + size - common)) & (self.now != label)):
+            if self.now[y] != label:
+                found.append((int(self.labels[y]), label))
+                self.joined[int(self.now[y])] = label
+                self.now[self.now == self.now[y]] = label
+        return found
+
+
 def _exact_in_blocks(similarity: float):
     def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by block pair, with their whole sets; returned are links (src, dst) between components."""
-        key, held = None, []
-
-        def linked() -> pd.DataFrame:
-            label, first = np.array([h[0] for h in held]), np.array([h[1] for h in held])
-            sets = [h[2] for h in held]
-            sizes = np.array([len(x) for x in sets])
-            values, flat = np.unique(np.concatenate(sets), return_inverse=True)
-            begins, flag, now, found = np.cumsum(sizes) - sizes, np.zeros(len(values), np.int32), label.copy(), []
-            for x in np.flatnonzero(first):
-                own = flat[begins[x] : begins[x] + sizes[x]]
-                flag[own] = 1
-                common = np.add.reduceat(flag[flat], begins)
-                flag[own] = 0
-                alike = (common >= similarity * (sizes[x] + sizes - common)) & (now != now[x])
-                for y in np.flatnonzero(alike):
-                    if now[y] != now[x]:
-                        found.append((label[x], label[y]))
-                        now[now == now[y]] = now[x]
-            return pd.DataFrame(found, columns=["src", "dst"]).astype("int64")
+        """Rows come sorted by block pair, the first side in front, with their whole sets; returned are links (src, dst).
+
+        One side is held, about BLOCK * SET_BYTES of it, and the other streams past.
+        """
+        key, held, labels, sets = None, None, [], []
+
+        def begun() -> list[tuple[int, int]]:
+            """The held side is complete: compare it with itself, in the pair with the next block only."""
+            nonlocal held
+            held, found = _Held(labels, sets), []
+            if key[2] % (1 << 31) == (key[2] >> 31) + 1:
+                for k in range(1, len(sets)):
+                    found += held.links(int(held.now[k]), *held.codes(sets[k]), similarity)
+            return found
 
         for f in frames:
+            found = []
             for *k, label, first, whole in f[[*_DEAL, "label", "first", "whole"]].itertuples(index=False):
                 if k != key:
-                    if len(held) > 1:
-                        yield linked()
-                    key, held = k, []
-                held.append((label, first, np.asarray(whole)))
-        if len(held) > 1:
-            yield linked()
+                    if held is None and len(sets) > 1:
+                        found += begun()
+                    key, held, labels, sets = k, None, [], []
+                if first:
+                    labels.append(label)
+                    sets.append(whole)
+                elif sets:
+                    if held is None:
+                        found += begun()
+                    found += held.links(label, *held.codes(whole), similarity)
+            yield pd.DataFrame(found, columns=["src", "dst"]).astype("int64")
+        if held is None and len(sets) > 1:
+            yield pd.DataFrame(begun(), columns=["src", "dst"]).astype("int64")
 
     return exact
 
@@ -605,8 +661,9 @@ def _decided(groups: DataFrame, pairs: DataFrame, whole_sets: Callable[[DataFram
     sets = materialize(whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()), "wholes", texts=True)
     dense = _dense(pairs)
     if dense is not None:
-        rows = dense.select(F.lit(0).alias("view"), F.col("cluster").alias("print"), "digest", "label")
-        dealt = _dealt(rows, _mixed(rows)).join(sets, "digest").drop("digest").repartition(*_DEAL).sortWithinPartitions(*_DEAL)
+        weight = F.ceil(F.greatest(F.lit(1), F.length("whole")) / SET_BYTES).alias("weight")
+        rows = materialize(dense.join(sets, "digest").select(F.lit(0).alias("view"), F.col("cluster").alias("print"), "digest", "label", weight), "weighed")
+        dealt = _dealt(rows, _mixed(rows)).join(sets, "digest").drop("digest").repartition(*_DEAL).sortWithinPartitions(*_DEAL, F.desc("first"))
         links = dealt.mapInPandas(_exact_in_blocks(similarity), "src bigint, dst bigint")
         groups = _regrouped(groups, materialize(links, "links", texts=True).distinct())
         inside = small(dense.select(F.col("digest").alias("a")))
@@ -618,9 +675,8 @@ def _decided(groups: DataFrame, pairs: DataFrame, whole_sets: Callable[[DataFram
         near = pairs.where(part)
         for end in ("a", "b"):
             near = near.join(sets.select(F.col("digest").alias(end), F.col("whole").alias(f"whole_{end}")), end)
-        common = F.size(F.array_intersect("whole_a", "whole_b"))
-        near = near.withColumn("common", common).where(F.col("common") >= F.lit(similarity) * (F.size("whole_a") + F.size("whole_b") - F.col("common")))
-        groups = _regrouped(groups, near.select(F.col("at_a").alias("src"), F.col("at_b").alias("dst")).distinct())
+        near = near.where(_alike(similarity)("whole_a", "whole_b")).select(F.col("at_a").alias("src"), F.col("at_b").alias("dst"))
+        groups = _regrouped(groups, materialize(near, "near", texts=True).distinct())
         pairs = _labelled(pairs.where(~part).select("a", "b"), groups)
     discard(sets)
     return groups
@@ -634,7 +690,7 @@ def similar_components(nodes: DataFrame, similarity: float, whole_sets: Callable
     proportion to their rows. Then every pair whose members are still in different components is compared, in blocks.
 
     Pairs that the sketches can't decide are decided on the sets of all their shingle hashes: ``whole_sets`` gets a table
-    of digests and returns (digest, whole: array of hashes). Only texts of such pairs are asked for, once for the copies and
+    of digests and returns (digest, whole: the ascending hashes as bytes). Only texts of such pairs are asked for, once for the copies and
     once for the blocks. Without it all sketches must be whole, that is of fewer than SKETCH hashes.
     """
     prints = fingerprint_links(nodes.select("fp").distinct(), 2)

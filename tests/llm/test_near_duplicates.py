@@ -26,8 +26,8 @@ def test_pairs_at_the_bar_are_decided_exactly(spark):
 def nodes_of(spark, texts, fp=None, views=None):
     p = simhash._profiles(5).func(pd.Series(texts))
     rows = [(int(d), int(f) if fp is None else fp, [None if v is None else int(v) for v in vs] if views is None else views, bytearray(s)) for f, vs, s, d, _ in p.itertuples(index=False)]
-    whole = [(int(d), [int(x) for x in np.unique(simhash.shingle_hashes(t, 5)).view(np.int64)]) for d, t in zip(p.digest, texts)]
-    sets = spark.createDataFrame(whole, "digest bigint, whole array<bigint>")
+    whole = [(int(d), bytearray(np.unique(simhash.shingle_hashes(t, 5)).tobytes())) for d, t in zip(p.digest, texts)]
+    sets = spark.createDataFrame(whole, "digest bigint, whole binary")
     nodes = spark.createDataFrame(rows, "digest bigint, fp bigint, views array<bigint>, sketch binary")
     return nodes, lambda digests: sets.join(digests, "digest"), {int(g): i for i, g in enumerate(p.digest)}
 
@@ -113,6 +113,33 @@ def test_dense_clusters_near_the_bar_are_decided_in_blocks(spark, monkeypatch):
     assert any(d is not None for d in found)
 
 
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+def test_streamed_sides_of_a_block_pair(batch):
+    """Held sets against streamed ones and, once, against each other; links give the components of all similar pairs."""
+    rng = np.random.default_rng(batch)
+    base = [np.sort(rng.choice(10**6, 50, replace=False)).astype(np.uint64) for _ in range(6)]
+    sets = [np.sort(np.r_[b[: 50 - k], rng.choice(10**6, k, replace=False).astype(np.uint64) + np.uint64(10**6)]) for b in base for k in (0, 2, 4)]
+    place = rng.integers(0, 3, len(sets))
+    rows = []
+    for low in range(3):
+        for high in range(low + 1, 3):
+            rows += [(0, 7, low * (1 << 31) + high, i, bool(place[i] == low), s.tobytes()) for i, s in enumerate(sets) if place[i] in (low, high)]
+    f = pd.DataFrame(rows, columns=["view", "print", "sub", "label", "first", "whole"]).sort_values(["view", "print", "sub", "first"], ascending=[True, True, True, False], kind="stable")
+    links = pd.concat(simhash._exact_in_blocks(0.8)(iter([f[k : k + batch] for k in range(0, len(f), batch)])))
+    group = list(range(len(sets)))
+    for a, b in zip(links.src, links.dst):
+        group = [group[a] if g == group[b] else g for g in group]
+    in_pair = lambda i, j: place[i] != place[j] or place[i] < 2  # noqa: E731  the last block is never held
+    want = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            n = len(np.intersect1d(sets[i], sets[j]))
+            if n >= 0.8 * (100 - n) and in_pair(i, j):
+                want = [want[i] if g == want[j] else g for g in want]
+    same = lambda x: [[p == q for p in x] for q in x]
+    assert same(group) == same(want) and len(set(group)) < len(sets)
+
+
 def test_colliding_digests_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(simhash, "text_digests", lambda t: (5, hash(tuple(simhash.words_of(t))) & (2**62 - 1)))
     d = spark.createDataFrame([(i, t) for i, t in enumerate(["one text", "two texts", "One  TEXT", "three", None, " "])], "doc_id bigint, text string")
