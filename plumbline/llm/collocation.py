@@ -14,9 +14,11 @@ from .common import discard, materialize, parts, small, text_batches
 
 #: Fewest occurrences of a candidate, most words, phrases a language, share of a longer phrase in percent.
 FEWEST, LONGEST, FIRST, CONTAINED, SCALE = 30, 4, 2000, 80, 2_000_000
-#: Counters for pairs of words, and those of one shuffled block. They bound what is broadcast (2 MB of bits): with more pairs
-#: than that fewer contexts are cut short, and the result is the same.
-SLOTS, SLOT_BLOCK = 1 << 24, 1 << 14
+#: Counters for the phrases of one length: a power of two for a few words each, MOST_BITS at most. Which of them reach the bar
+#: is broadcast as bits, 64 MB at most; with more phrases than counters fewer contexts are cut short, and the result is the same.
+LEAST_BITS, MOST_BITS, BLOCK_BITS = 16, 29, 16
+#: Distinct words, and distinct counters, that a task gathers before it hands them on.
+HELD_WORDS, HELD_COUNTERS = 400_000, 4_000_000
 #: Characters of text that a task splits at a time, unless one text has more.
 BYTES = 4_000_000
 #: A-Z are lower-cased, piece borders become line feeds, tabs become spaces.
@@ -50,80 +52,159 @@ def _mixed(lang: str, words: np.ndarray) -> np.ndarray:
     return pd.util.hash_array(words) ^ np.uint64(zlib.crc32(lang.encode("utf-8", "surrogatepass")))
 
 
-def _slot(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    h = first * np.uint64(0x9E3779B97F4A7C15) + second
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(40)).astype(np.int64) % SLOTS
+class _Phrases:
+    """Hashes of the phrases that begin at each place of a text, and which of them may be frequent."""
+
+    def __init__(self, lang: str, texts: list[str], bits: int) -> None:
+        self.codes, self.words, self.border = _tokens(texts)
+        self.each, self.inside, self.shift = _mixed(lang, self.words)[self.codes], self.codes != self.border, np.uint64(64 - bits)
+        self.hash, self.may = [self.each], [self.inside]
+
+    def longer(self, frequent: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(places, counters) of the phrases of one word more whose both shorter parts may be frequent.
+
+        With ``frequent``, the bits of these counters, only those whose counter reaches the bar stay for the next length.
+        """
+        n = len(self.hash)
+        size = len(self.codes) - n
+        ok = self.may[-1][:size] & self.may[-1][1 : size + 1]
+        h = self.hash[-1][:size] * np.uint64(0x9E3779B97F4A7C15) + self.each[n : n + size]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h = h ^ (h >> np.uint64(29))
+        at = np.flatnonzero(ok)
+        slots = (h[at] >> self.shift).astype(np.int64)
+        if frequent is not None:
+            keep = (frequent[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 == 1
+            ok = np.zeros(size, bool)
+            ok[at[keep]] = True
+        self.hash.append(h)
+        self.may.append(ok)
+        return at, slots
+
+
+class _Tally:
+    """Counters of one length that a task has raised: gathered, then given out by blocks, saturated at the bar.
+
+    Saturated parts keep every sum at or above the bar there.
+    """
+
+    def __init__(self, size: int, fewest: int) -> None:
+        self.size, self.fewest, self.parts, self.held = size, min(fewest, 255), [], 0
+
+    def add(self, slots: np.ndarray) -> None:
+        self.parts.append(np.unique(slots, return_counts=True))
+        self.held += len(self.parts[-1][0])
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        if not self.held:
+            return
+        slots, counts = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
+        order = np.argsort(slots, kind="stable")
+        slots, counts = slots[order], counts[order]
+        first = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
+        slots, counts = slots[first], np.minimum(np.add.reduceat(counts, first), self.fewest).astype(np.uint8)
+        block = slots >> BLOCK_BITS
+        begins = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        packed = []
+        for lo, hi in zip(begins, np.r_[begins[1:], len(block)]):
+            place = (slots[lo:hi] & ((1 << BLOCK_BITS) - 1)).astype(np.uint16)
+            packed.append(zlib.compress(np.diff(place, prepend=np.uint16(0)).tobytes() + counts[lo:hi].tobytes(), 1))
+        self.parts, self.held = [], 0
+        yield pd.DataFrame({"lang": None, "word": None, "n": 0, "size": self.size, "block": block[begins], "bits": packed})
+
+
+_COUNTED = "lang string, word string, n long, size int, block int, bits binary"
 
 
-def _counted(fewest: int):
-    """A task's words with their counts, and its pair counters: saturated at ``fewest``, which keeps sums at or above it exact."""
+def _word_rows(words: dict[str, dict[str, int]]) -> Iterator[pd.DataFrame]:
+    for lang, n in words.items():
+        yield pd.DataFrame({"lang": lang, "word": pd.Series(list(n), dtype=object), "n": list(n.values()), "size": 1, "block": -1, "bits": None})
+    words.clear()
+
+
+def _counted(bits: int, sizes: tuple[int, ...], known, fewest: int):
+    """Tallies of the phrases of ``sizes`` words, whose shorter ones are in ``known``; with pairs also all words and their counts."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counters = np.zeros(SLOTS, np.uint8)
+        tallies = {n: _Tally(n, fewest) for n in sizes}
+        words: dict[str, dict[str, int]] = {}
         for lang, texts in _by_language(frames):
-            codes, words, border = _tokens(texts)
-            n = np.bincount(codes, minlength=len(words))
-            n[border] = 0
-            has = np.flatnonzero(n)
-            yield pd.DataFrame({"lang": lang, "word": words[has], "n": n[has], "block": -1, "bits": None})
-            pair = (codes[:-1] != border) & (codes[1:] != border)
-            mixed = _mixed(lang, words)
-            slots, c = np.unique(_slot(mixed[codes[:-1][pair]], mixed[codes[1:][pair]]), return_counts=True)
-            counters[slots] = np.minimum(counters[slots] + c, fewest)
-        blocks = np.flatnonzero(counters.reshape(-1, SLOT_BLOCK).any(axis=1))
-        for k in blocks:
-            packed = zlib.compress(counters[k * SLOT_BLOCK : (k + 1) * SLOT_BLOCK].tobytes(), 1)
-            yield pd.DataFrame({"lang": [None], "word": [None], "n": [0], "block": [k], "bits": [packed]})
+            p = _Phrases(lang, texts, bits)
+            if 2 in sizes:
+                own, n = words.setdefault(lang, {}), np.bincount(p.codes, minlength=len(p.words))
+                n[p.border] = 0
+                for word, c in zip(p.words[n > 0].tolist(), n[n > 0].tolist()):
+                    own[word] = own.get(word, 0) + c
+                if sum(map(len, words.values())) > HELD_WORDS:
+                    yield from _word_rows(words)
+            for size in range(2, max(sizes) + 1):
+                slots = p.longer(np.frombuffer(known.value[size], np.uint8) if size < min(sizes) else None)[1]
+                if size in tallies:
+                    tallies[size].add(slots)
+            if sum(t.held for t in tallies.values()) > HELD_COUNTERS:
+                for t in tallies.values():
+                    yield from t.rows()
+        yield from _word_rows(words)
+        for t in tallies.values():
+            yield from t.rows()
 
     return work
 
 
-def _frequent_slots(fewest: int):
-    """Adds up the counters of a block as they stream by, sorted by block: bits of the slots that reach ``fewest``."""
+def _frequent(fewest: int):
+    """Adds up the counters of a block as they stream by, sorted by length and block: bits of those that reach the bar."""
 
-    def done(block: int, total: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"block": [block], "bits": [np.packbits(total >= fewest).tobytes()]})
+    def done(key: tuple[int, int], total: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"size": [key[0]], "block": [key[1]], "bits": [np.packbits(total >= min(fewest, 255)).tobytes()]})
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, total = None, None
+        key, total = None, None
         for f in frames:
-            for k, bits in zip(f["block"], f["bits"]):
-                if k != block:
-                    if block is not None:
-                        yield done(block, total)
-                    block, total = k, np.zeros(SLOT_BLOCK, np.int64)
-                total += np.frombuffer(zlib.decompress(bits), np.uint8)
-        if block is not None:
-            yield done(block, total)
+            for size, block, bits in zip(f["size"], f["block"], f["bits"]):
+                if (size, block) != key:
+                    if key is not None:
+                        yield done(key, total)
+                    key, total = (size, block), np.zeros(1 << BLOCK_BITS, np.int64)
+                raw = zlib.decompress(bits)
+                n = len(raw) // 3
+                total[np.cumsum(np.frombuffer(raw, np.uint16, n), dtype=np.uint16)] += np.frombuffer(raw, np.uint8, n, 2 * n)
+        if key is not None:
+            yield done(key, total)
 
     return work
 
 
-def _contexts(bits, longest: int):
-    """(lang, w1 .. wk, c): what stands at and after each word whose pair with the next one may be frequent, cut where that ends."""
+def _reached(counted: DataFrame, bits: int, sizes: tuple[int, ...], fewest: int) -> dict[int, bytes]:
+    """The bits of each length's counters, 2^MOST_BITS of them at most."""
+    blocks = counted.where("block >= 0").select("size", "block", "bits").repartition("size", "block").sortWithinPartitions("size", "block")
+    out = {n: np.zeros(1 << (bits - 3), np.uint8) for n in sizes}
+    wide = 1 << (BLOCK_BITS - 3)
+    for r in blocks.mapInPandas(_frequent(fewest), "size int, block int, bits binary").toLocalIterator():
+        out[r["size"]][r.block * wide : (r.block + 1) * wide] = np.frombuffer(r.bits, np.uint8)
+    return {n: b.tobytes() for n, b in out.items()}
+
+
+def _contexts(bits: int, known, longest: int):
+    """(lang, w1 .. wk, c): each word with those after it, as far as the phrase that they make may be frequent."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frequent = np.frombuffer(bits.value, np.uint8)
         for lang, texts in _by_language(frames):
-            codes, words, border = _tokens(texts)
-            mixed = _mixed(lang, words)
-            a, b = codes[:-1], codes[1:]
-            s = _slot(mixed[a], mixed[b])
-            linked = (a != border) & (b != border) & ((frequent[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1).astype(bool)
-            at = np.flatnonzero(linked)
+            p = _Phrases(lang, texts, bits)
+            for size in range(2, longest + 1):
+                p.longer(np.frombuffer(known.value[size], np.uint8))
+            at = np.flatnonzero(p.may[1])
             if not len(at):
                 continue
-            table = np.full((len(at), longest), border, np.int64)
-            table[:, 0], go = codes[at], np.ones(len(at), bool)
-            linked = np.r_[linked, np.zeros(longest, bool)]
-            for k in range(1, longest):
-                go &= linked[at + k - 1]
-                table[go, k] = codes[at[go] + k]
-            rows, c = np.unique(table, axis=0, return_counts=True)
-            names = words.astype(object)
-            names[border] = None
-            yield pd.DataFrame({"lang": lang} | {f"w{k + 1}": names[rows[:, k]] for k in range(longest)} | {"c": c})
+            many, group, table = len(p.words), np.zeros(len(at), np.int64), []
+            for k in range(longest):  # equal contexts get one number, a word more at a time
+                has = p.may[k][np.minimum(at, len(p.may[k]) - 1)] & (at < len(p.may[k]))
+                word = np.where(has, p.codes[np.minimum(at + k, len(p.codes) - 1)], p.border)
+                table.append(word)
+                group = np.unique(group * many + word, return_inverse=True)[1]
+            _, first, c = np.unique(group, return_index=True, return_counts=True)
+            names = p.words.astype(object)
+            names[p.border] = None
+            yield pd.DataFrame({"lang": lang} | {f"w{k + 1}": names[word[first]] for k, word in enumerate(table)} | {"c": c})
 
     return work
 
@@ -169,29 +250,33 @@ def grown(frames: Iterator[pd.DataFrame], fewest: int, longest: int) -> Iterator
 def phrase_counts(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", fewest: int = FEWEST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(words, phrases): (lang, phrase, f) of all words, and (lang, phrase, words, f) of all phrases with f >= ``fewest``, exact.
 
-    A first pass counts words, and pairs in a bounded table of counters; a pair below ``fewest`` there is rarer than that, and
-    so is any phrase with it. The second pass projects each word to the right contexts that are left; equal contexts are
-    added up before they are dealt to ranges, so that a prefix of any share of the rows is spread by what follows it.
+    A first pass counts words, and pairs in a bounded table of counters; a second one longer phrases in the same way. A phrase
+    whose counter stays below ``fewest`` is rarer than that, and so is any phrase with it inside. The third pass projects each
+    word to the right contexts that are left; equal contexts are added up before they are dealt to ranges, so that a prefix of
+    any share of the rows is spread by what follows it.
     """
     spark = docs.sparkSession
     d = docs.select(F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).where(F.length("text") > 0)
-    first = materialize(d.mapInPandas(_counted(fewest), "lang string, word string, n long, block int, bits binary"), "words", texts=True)
-    words = first.where("block < 0").groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("f"))
-    blocks = first.where("block >= 0").select("block", "bits").repartition("block").sortWithinPartitions("block")
-    bits = np.zeros(SLOTS // 8, np.uint8)
-    for r in blocks.mapInPandas(_frequent_slots(fewest), "block int, bits binary").toLocalIterator():  # SLOTS bits in all
-        bits[r.block * SLOT_BLOCK // 8 : (r.block + 1) * SLOT_BLOCK // 8] = np.frombuffer(r.bits, np.uint8)
+    size = d.agg(F.sum(F.octet_length("text").cast("bigint")).alias("n")).first().n or 0
+    bits = max(LEAST_BITS, min(MOST_BITS, (size // 16).bit_length()))
+    first = materialize(d.mapInPandas(_counted(bits, (2,), None, fewest), _COUNTED), "words", texts=True)
+    words = materialize(first.where("size = 1").groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("f")), "words")
+    reached = _reached(first, bits, (2,), fewest)
+    discard(first)
+    if longest > 2:
+        pairs, more = spark.sparkContext.broadcast(dict(reached)), tuple(range(3, longest + 1))
+        second = materialize(d.mapInPandas(_counted(bits, more, pairs, fewest), _COUNTED), "longer", texts=True)
+        reached |= _reached(second, bits, more, fewest)
+        discard(second)
+        pairs.unpersist()
     names = [f"w{k + 1}" for k in range(longest)]
-    shared = spark.sparkContext.broadcast(bits.tobytes())
-    cut = d.mapInPandas(_contexts(shared, longest), "lang string, " + ", ".join(f"{x} string" for x in names) + ", c long")
+    cut = d.mapInPandas(_contexts(bits, spark.sparkContext.broadcast(reached), longest), "lang string, " + ", ".join(f"{x} string" for x in names) + ", c long")
     with text_batches(spark):
         contexts = materialize(cut.groupBy("lang", *names).agg(F.sum("c").alias("c")), "contexts")
     dealt = contexts.repartitionByRange(parts(spark), "lang", *names).sortWithinPartitions("lang", *names)
     runs = dealt.mapInPandas(lambda frames: grown(frames, fewest, longest), "lang string, phrase string, words int, f long")
     phrases = materialize(runs.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= fewest), "phrases")
-    words = materialize(words, "words")
     discard(contexts)
-    discard(first)
     return words, phrases
 
 

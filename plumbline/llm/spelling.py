@@ -105,7 +105,7 @@ class Automaton:
         return pairs[0], pairs[1]
 
 
-def _answers(rows: pd.DataFrame) -> pd.DataFrame:
+def _answers(rows: pd.DataFrame) -> list[pd.DataFrame]:
     """The asked words of one chunk (a single direction) that have near words in it: how many, and the best of them."""
     back = bool(rows["back"].iloc[0])
     stored = rows[rows["stored"]].drop_duplicates("word").sort_values("word")
@@ -127,8 +127,9 @@ def _answers(rows: pd.DataFrame) -> pd.DataFrame:
             order = np.lexsort((rank[number], -counts[number], q))
             q, number = q[order], number[order]
             at = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-            found.append(pd.DataFrame({"word": [texts[k][::-1] if back else texts[k] for k in q[at]], "near": np.diff(np.r_[at, len(q)]), "best_n": counts[number[at]], "best": forward[number[at]]}))
-    return pd.concat(found) if found else pd.DataFrame({"word": [], "near": [], "best_n": [], "best": []})
+            own = pd.Series([texts[k][::-1] if back else texts[k] for k in q[at]], dtype=object)
+            found.append(pd.DataFrame({"word": own, "near": np.diff(np.r_[at, len(q)]), "best_n": counts[number[at]], "best": forward[number[at]]}))
+    return found
 
 
 def _matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,17 +146,17 @@ def _matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             turn = np.flatnonzero(held["back"].ne(held["back"].shift()).to_numpy())
             cut = int(turn[1]) if len(turn) > 1 else int(border[-1])
             if cut:
-                yield _answers(held[:cut])
+                yield from _answers(held[:cut])
                 held = held[cut:].reset_index(drop=True)
             elif not held["stored"].iloc[-1]:
-                yield _answers(held)
+                yield from _answers(held)
                 held = held[held["stored"]].assign(asked=False)
                 break
             else:
                 break
     if held is not None and len(held):
         for _, rows in held.groupby("back", sort=False):
-            yield _answers(rows)
+            yield from _answers(rows)
 
 
 def _halves(direction: int, text: Column, length: Column) -> Column:
