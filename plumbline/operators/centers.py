@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import heads as H
 from ..functions import vectors as V
+from .base import parameter_rows
 from .moments import class_means, scatter, stacked, vector_sums
 
 RIDGE = 1e-4
@@ -149,7 +150,11 @@ def virtual_outliers(df: DataFrame, features: str = "features", label: str = "la
         raise ValueError("virtual outliers need known rows only")
     stats = class_means(df, features, label)
     n, s = scatter(df, features, {"pooled": {k: m for k, (_, m) in stats.items()}}, label)["pooled"]
-    root = np.linalg.cholesky(s / n + RIDGE * np.eye(len(s)))
+    return _low_densities(df.sparkSession, {k: m for k, (_, m) in stats.items()}, s / n, sample_from, select, seed)
+
+
+def _low_densities(spark: SparkSession, means: dict[int, np.ndarray], covariance: np.ndarray, sample_from: int, select: int, seed: int) -> DataFrame:
+    root = np.linalg.cholesky(covariance + RIDGE * np.eye(len(covariance)))
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -157,10 +162,49 @@ def virtual_outliers(df: DataFrame, features: str = "features", label: str = "la
                 rng = np.random.default_rng([seed, int(k)])
                 e = rng.standard_normal((sample_from, len(root)))
                 far = np.argsort(-(e * e).sum(1), kind="stable")[:select]
-                yield pd.DataFrame({"label": k, "rank": range(1, len(far) + 1), "features": list(stats[int(k)][1] + e[far] @ root.T)})
+                yield pd.DataFrame({"label": k, "rank": range(1, len(far) + 1), "features": list(means[int(k)] + e[far] @ root.T)})
+
+    classes = spark.createDataFrame([(int(k),) for k in sorted(means)], "label int")
+    return classes.repartition(min(len(means), 200), "label").mapInPandas(draw, "label int, rank int, features array<double>")
+
+
+#: Sums of queued rows: kind 0 has the sum of each class about an origin, 1 the products of all rows about it, 2 the origin.
+SUMS = "kind int, key bigint, pos int, n bigint, x double"
+
+
+def queue_sums(rows: DataFrame, origin: np.ndarray, sign: int) -> DataFrame:
+    """SUMS of rows (label, z), kinds 0 and 1: one partial a task and class, with the sign of rows that enter (1) or leave (-1)."""
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        product, many, total, count = 0.0, 0, {}, {}
+        for f in frames:
+            if len(f):
+                z, y = stacked(f["z"]) - origin, f["label"].to_numpy()
+                product, many = product + z.T @ z, many + len(z)
+                for k in np.unique(y).tolist():
+                    total[k] = total.get(k, 0) + z[y == k].sum(axis=0)
+                    count[k] = count.get(k, 0) + int((y == k).sum())
+        if many:
+            yield pd.DataFrame({"kind": [0] * len(total) + [1], "key": [*total, 0], "n": [sign * c for c in count.values()] + [sign * many], "v": [sign * t for t in total.values()] + [sign * product.ravel()]})
+
+    d = rows.select("label", "z").mapInPandas(partial, "kind int, key bigint, n bigint, v array<double>")
+    return d.select("kind", "key", "n", F.posexplode("v").alias("pos", "x")).select("kind", "key", "pos", "n", "x")
+
+
+def outliers_from_sums(sums: DataFrame, *, sample_from: int = 10_000, select: int = 1, seed: int = 0) -> DataFrame:
+    """:func:`virtual_outliers` from SUMS in place of rows; classes whose rows all left are gone."""
+    got = parameter_rows(sums.where("n > 0 OR kind = 2"))
+
+    def of(kind: int) -> dict[int, tuple[int, np.ndarray]]:
+        at = np.flatnonzero(got["kind"] == kind)
+        at = at[np.lexsort((got["pos"][at], got["key"][at]))]
+        return {int(k): (int(got["n"][i[0]]), got["x"][i]) for k, i in ((k, at[got["key"][at] == k]) for k in np.unique(got["key"][at]))}
 
-    classes = df.sparkSession.createDataFrame([(int(k),) for k in sorted(stats)], "label int")
-    return classes.repartition(min(len(stats), 200), "label").mapInPandas(draw, "label int, rank int, features array<double>")
+    origin = of(2)[0][1]
+    about = {k: (n, x / n) for k, (n, x) in of(0).items()}
+    n, products = of(1)[0]
+    within = products.reshape(len(origin), -1) - sum(c * np.outer(m, m) for c, m in about.values())
+    return _low_densities(sums.sparkSession, {k: origin + m for k, (_, m) in about.items()}, within / n, sample_from, select, seed)
 
 
-__all__ = ["ClassCenters", "RunningCenters", "class_center_table", "last_rows", "running_means", "stacked", "virtual_outliers"]
+__all__ = ["ClassCenters", "RunningCenters", "class_center_table", "last_rows", "outliers_from_sums", "queue_sums", "running_means", "stacked", "virtual_outliers"]

@@ -17,7 +17,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions import heads as H
 from ..functions import vectors as V
 from .base import Detector, RequiresFittingException
-from .moments import class_means, scatter, stacked, vector_mean
+from .moments import class_means, layered_moments, scatter, stacked, vector_mean
 
 RIDGE = 1e-6
 
@@ -36,6 +36,24 @@ def _rowwise(score, *matrices):
     return scored
 
 
+def _layered(means: np.ndarray, precision: np.ndarray):
+    """Scores of one layer, from vectors or feature maps."""
+
+    @pandas_udf("double")
+    def scored(layer: pd.Series) -> pd.Series:
+        out, ok = np.full(len(layer), np.nan), layer.notna().to_numpy()
+        if ok.any():
+            first = layer[ok].iloc[0]
+            if len(first) and isinstance(first[0], np.ndarray):
+                z = np.stack([np.array([c.mean(dtype=np.float64) for c in row]) if len({len(c) for c in row}) > 1 else np.concatenate(row).reshape(len(row), -1).mean(axis=1, dtype=np.float64) for row in layer[ok]])
+            else:
+                z = stacked(layer[ok])
+            out[ok] = nearest_mahalanobis(z.astype(np.float64), means, precision) / 2
+        return pd.Series(out).where(pd.Series(ok), None)
+
+    return scored
+
+
 def nearest_mahalanobis(z: np.ndarray, means: np.ndarray, precision: np.ndarray) -> np.ndarray:
     """Smallest squared Mahalanobis distance to a mean: one product for the rows, one for each mean."""
     best = np.full(len(z), np.inf)
@@ -136,7 +154,8 @@ class RMD(Mahalanobis):
 class MultiMahalanobis(Detector):
     """One Gaussian detector a layer; the score is the weighted sum of the layers' Mahalanobis scores.
 
-    ``layers`` names the feature columns, one a layer.
+    ``layers`` names the feature columns, one a layer: vectors, or feature maps (arrays of channels of positions), of which each
+    channel's mean counts. All layers are fitted in the same two passes. A row with a null layer has a null score.
     """
 
     needs_fit = True
@@ -150,7 +169,7 @@ class MultiMahalanobis(Detector):
 
     def fit_features(self, df: DataFrame) -> MultiMahalanobis:
         d = self._known(df)
-        self.fits = [gaussian_fit(d, layer, self.label) for layer in self.layers]
+        self.fits = [(classes, means, np.linalg.inv(s / (n - 1) + RIDGE * np.eye(len(s)))) for classes, means, n, s in layered_moments(d, self.layers, self.label)]
         self.fitted = True
         return self
 
@@ -160,7 +179,7 @@ class MultiMahalanobis(Detector):
         return len(self.fits[0][0])
 
     def layer_scores(self) -> list[Column]:
-        return [_rowwise(lambda z, m, p: nearest_mahalanobis(z, m, p) / 2, m, p)(V.doubles(layer)) for layer, (_, m, p) in zip(self.layers, self.fits)]
+        return [_layered(m, p)(F.col(layer)) for layer, (_, m, p) in zip(self.layers, self.fits)]
 
     def score_column(self) -> Column:
         total = F.lit(0.0)

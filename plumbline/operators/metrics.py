@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..scratch import written
 
 METRICS = ("AUROC", "AUPR-IN", "AUPR-OUT", "FPR95TPR")
 #: Least and largest number of ranges that a global order is cut into, so that no single task orders all rows; between
@@ -18,18 +19,23 @@ RANGES, MOST_RANGES = 64, 1024
 BROADCAST_ROWS = 100_000
 
 
-def running_totals(df: DataFrame, order: str, sums: Sequence[str], *, by: Sequence[str] = (), ranges: int | None = None, descending: bool = True, ties: Sequence[str] = ()) -> DataFrame:
+def running_totals(df: DataFrame, order: str, sums: Sequence[str], *, by: Sequence[str] = (), ranges: int | None = None, descending: bool = True, ties: Sequence[str] = (), once: bool = True) -> DataFrame:
     """Add ``cum_<c>`` (running sum in the order, own row included) and ``all_<c>`` (sum of the group) for each column.
 
     Two phases: rows are cut into ranges of ``order`` (at percentiles of a summary, so the cuts only decide the balance),
     each range's totals give its offset, and a window inside each range gives the rest. Groups of ``by`` are cut at the same
     places, so a task has no more rows than a range, however large a group is. Equal values of the order stay together:
     count them before.
+
+    Cuts, totals and windows each read ``df``, so it is written to the shared folder first; ``once=False`` leaves that out
+    where reading it again is cheap.
     """
     by, key = list(by), F.col(order)
     if ranges is None:
         ranges = min(MOST_RANGES, max(RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     rank = F.lit(0)
+    if once:
+        df = written(df, "counts")
     if ranges > 1:
         at = [i / ranges for i in range(1, ranges)]
         cuts = df.agg(F.percentile_approx(key, at, 4 * ranges).alias("c")).first().c

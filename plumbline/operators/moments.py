@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from ..functions.vectors import doubles
+from ..functions.vectors import channel_means, doubles
 from .base import parameter_rows
 
 
@@ -100,3 +101,70 @@ def vector_mean(df: DataFrame, vector: Column | str) -> tuple[int, np.ndarray]:
     if not got:
         raise ValueError("no rows to fit")
     return got[0]
+
+
+# ---------------------------------------------------------------- several layers at once
+
+
+def layer_vectors(df: DataFrame, layers: Sequence[str]) -> list[Column]:
+    """One vector a layer: an array of numbers as it is, an array of channels (of positions) as the mean of each channel."""
+    out = []
+    for layer in layers:
+        kind = df.schema[layer].dataType
+        nested = isinstance(kind, ArrayType) and isinstance(kind.elementType, ArrayType)
+        out.append((channel_means(layer) if nested else F.col(layer)).cast("array<double>"))
+    return out
+
+
+def layered_moments(df: DataFrame, layers: Sequence[str], key: str) -> list[tuple[list[int], np.ndarray, int, np.ndarray]]:
+    """Per layer (classes, class means, rows, scatter about them): two passes in all, whatever the number of layers.
+
+    A row whose layer is null is left out of that layer. Partials carry the number of the layer in their key.
+    """
+    many = len(layers)
+    names = [f"v{i}" for i in range(many)]
+    d = df.select(F.col(key).cast("bigint").alias("key"), *[v.alias(n) for v, n in zip(layer_vectors(df, layers), names)]).where("key IS NOT NULL")
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for f in frames:
+            for i, name in enumerate(names):
+                ok = f[name].notna().to_numpy()
+                if ok.any():
+                    yield i, f["key"].to_numpy()[ok], stacked(f[name][ok])
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: dict[int, int] = {}
+        total: dict[int, np.ndarray] = {}
+        for i, keys, z in each(frames):
+            for k in np.unique(keys).tolist():
+                own = z[keys == k]
+                n[k * many + i] = n.get(k * many + i, 0) + len(own)
+                total[k * many + i] = total.get(k * many + i, 0) + own.sum(axis=0)
+        if n:
+            yield pd.DataFrame({"key": list(n), "n": list(n.values()), "v": [total[k] for k in n]})
+
+    schema = "key bigint, n bigint, v array<double>"
+    means: list[dict[int, np.ndarray]] = [{} for _ in layers]
+    for k, (n, x) in _keyed(_merged(d.mapInPandas(sums, schema))).items():
+        means[k % many][k // many] = x / n
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total = [0] * many, [None] * many
+        for i, keys, z in each(frames):
+            kinds, inverse = np.unique(keys, return_inverse=True)
+            c = z - np.stack([means[i][int(k)] for k in kinds])[inverse]
+            n[i] += len(z)
+            total[i] = c.T @ c if total[i] is None else total[i] + c.T @ c
+        has = [i for i in range(many) if n[i]]
+        if has:
+            yield pd.DataFrame({"key": has, "n": [n[i] for i in has], "v": [total[i].ravel() for i in has]})
+
+    scatters = _keyed(_merged(d.mapInPandas(products, schema)))
+    out = []
+    for i, layer in enumerate(layers):
+        if i not in scatters:
+            raise ValueError(f"no rows with known labels in {layer}")
+        n, x = scatters[i]
+        classes = sorted(means[i])
+        out.append((classes, np.stack([means[i][k] for k in classes]), n, x.reshape(int(np.sqrt(len(x))), -1)))
+    return out

@@ -26,7 +26,8 @@ class OpenSetSplit:
 
     Known classes (kkc) and known unknown classes (kuc) are cut at ``floor(n * ratio)`` rows of a hashed order within
     each class; unknown unknown classes (uuc) go to val or test whole. Ranks come from range totals a class, so a class
-    that holds most rows is no bottleneck. Rows with null labels are left out.
+    that holds most rows is no bottleneck. Rows with null labels are left out. Columns are carried in a struct; only ``role`` and
+    ``stage`` of the input are replaced.
     """
 
     def __init__(self, df: DataFrame, *, label: str = "label", row_id: str = "id", kuc: int = 0, uuc_val: int = 0, uuc_test: int = 0, train: float = 0.8, val: float = 0.1, seed: int | None = 0, order: Column | None = None) -> None:
@@ -39,13 +40,15 @@ class OpenSetSplit:
         self.roles = class_roles(sorted(classes), kuc, uuc_val, uuc_test, seed)
         order = F.xxhash64(F.lit(seed or 0), F.col(row_id)).cast("double") if order is None else order
         role = F.try_element_at(F.create_map(*[F.lit(x) for kv in self.roles.items() for x in kv]), F.col(label)) if self.roles else F.lit(None)
-        d = df.where(F.col(label).isNotNull()).withColumn("role", role).withColumn("_order", order).withColumn("_one", F.lit(1).cast("bigint"))
-        d = running_totals(d, "_order", ["_one"], by=[label], ranges=16, descending=False, ties=[row_id])
-        n, rank = F.col("all__one"), F.col("cum__one")
+        known = df.where(F.col(label).isNotNull())
+        d = known.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(label).alias("class"), F.col(row_id).alias("tie"), role.alias("role"), order.alias("order"), F.lit(1).cast("bigint").alias("one"))
+        d = running_totals(d, "order", ["one"], by=["class"], ranges=16, descending=False, ties=["tie"], once=False)
+        n, rank = F.col("all_one"), F.col("cum_one")
         n_train, n_val = F.floor(n * F.lit(float(train))), F.floor(n * F.lit(float(val)))
         stage = F.when(rank <= n_train, "train").when(rank <= n_train + n_val, "val").otherwise("test")
         stage = F.when(F.col("role") == "uuc_val", "val").when(F.col("role") == "uuc_test", "test").otherwise(stage)
-        self.rows = d.withColumn("stage", stage).withColumn("role", F.regexp_replace("role", "_.*", "")).drop("_order", "_one", "cum__one", "all__one")
+        own = [F.col(f"row.`{c}`").alias(c) for c in df.columns if c not in ("role", "stage")]
+        self.rows = d.select(*own, F.regexp_replace("role", "_.*", "").alias("role"), stage.alias("stage"))
 
     def classes_of(self, role: str) -> list[int]:
         return sorted(k for k, r in self.roles.items() if r.split("_")[0] == role)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.labels import dense_labels
+from .arrays import array_rows
 from .fixed_values import CIFAR_C, FSDD_SPEAKERS, IMAGENET_C, MNIST_C
 
 
@@ -87,7 +88,8 @@ def tiny_imagenet(spark: SparkSession, root: str, split: str = "train") -> DataF
 
 def including(df: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
     """Only files whose name is on the list (a semi-join; lists of any size)."""
-    return df.withColumn("_file", base_name()).join(names.select(F.col(name).alias("_file")), "_file", "left_semi").drop("_file")
+    listed = names.select(F.col(name).alias("listed"))
+    return df.join(listed, base_name(df["path"]) == listed["listed"], "left_semi")
 
 
 def excluding(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -120,7 +122,11 @@ def spoken_digits(spark: SparkSession, root: str) -> DataFrame:
 
 
 def npy_rows(files: DataFrame, member: str | None = None) -> DataFrame:
-    """(path, pos, values): one row for each first-axis entry of the .npy files (or of a member of .npz archives)."""
+    """(path, pos, values): one row for each first-axis entry of the .npy files (or of a member of .npz archives).
+
+    For small files in stores that only Spark opens: a file is one binary row of one task. Others are read by ranges, see
+    :func:`arrays.array_rows`.
+    """
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -139,18 +145,20 @@ def corrupted_arrays(spark: SparkSession, root: str, subset: str = "all", *, sub
     if subset != "all" and subset not in subsets:
         raise ValueError(f"subset must be all or one of {tuple(subsets)}")
     names = list(subsets) if subset == "all" else [subset]
-    files = spark.read.format("binaryFile").load([f"{root}/{n}.npy" for n in names])
-    rows = npy_rows(files).select(F.regexp_replace(base_name(), r"\.npy$", "").alias("subset"), "pos", "values")
-    labels = npy_rows(spark.read.format("binaryFile").load(f"{root}/labels.npy")).select("pos", F.col("values")[0].cast("int").alias("label"))
-    return rows.join(labels, "pos")
+    rows = array_rows(spark, [f"{root}/{n}.npy" for n in names]).select(F.regexp_replace(base_name(), r"\.npy$", "").alias("subset"), "pos", "values")
+    return rows.join(_array_labels(spark, f"{root}/labels.npy"), "pos")
+
+
+def _array_labels(spark: SparkSession, path: str) -> DataFrame:
+    return array_rows(spark, path, schema="pos bigint, values array<int>").select("pos", F.col("values")[0].alias("label"))
 
 
 def mnist_c(spark: SparkSession, root: str, subset: str, split: str = "test") -> DataFrame:
     if subset not in MNIST_C:
         raise ValueError(f"subset must be one of {MNIST_C}")
-    files = lambda kind: npy_rows(spark.read.format("binaryFile").load(f"{root}/{subset}/{split}_{kind}.npy"))
-    labels = files("labels").select("pos", F.col("values")[0].cast("int").alias("label"))
-    return files("images").select("pos", "values").join(labels, "pos").withColumn("subset", F.lit(subset))
+    file = lambda kind: f"{root}/{subset}/{split}_{kind}.npy"
+    rows = array_rows(spark, file("images"), schema="pos bigint, values array<double>")
+    return rows.join(_array_labels(spark, file("labels")), "pos").withColumn("subset", F.lit(subset))
 
 
 def cifar_records(spark: SparkSession, root: str, train: bool = True, *, classes: int = 10) -> DataFrame:
@@ -175,21 +183,31 @@ def idx_images(spark: SparkSession, root: str, train: bool = True) -> DataFrame:
 def _records(spark: SparkSession, root: str, pattern: str, header: int, size: int, picture: int) -> DataFrame:
     """Records of ``size`` bytes after a header: the last ``picture`` bytes are content, the byte before them the label."""
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for path, raw in zip(f["path"], f["content"]):
-                for at in range(header, len(raw) - size + 1, size * 1000):
-                    rows = [raw[k : k + size] for k in range(at, min(at + size * 1000, len(raw) - size + 1), size)]
-                    first = (at - header) // size
-                    yield pd.DataFrame({"path": path, "pos": range(first, first + len(rows)), "content": [r[size - picture :] for r in rows], "label": [r[size - picture - 1] if size > picture else -1 for r in rows]})
-
-    return file_tree(spark, root, pattern).select("path", "content").mapInPandas(parse, "path string, pos bigint, content binary, label int")
+    raw = F.col("values")
+    label = F.expr(f"CAST(conv(hex(substring(values, {size - picture}, 1)), 16, 10) AS INT)") if size > picture else F.lit(-1)
+    d = array_rows(spark, root, kind="records", pattern=pattern, header=header, record=size, schema="path string, pos bigint, values binary")
+    return d.select("path", "pos", F.substring(raw, size - picture + 1, picture).alias("content"), label.alias("label"))
 
 
 def fixed_records(spark: SparkSession, path: str, size: int = 3072) -> DataFrame:
-    """(pos, content): files of fixed-size records, split at record borders; the position is the record's number."""
-    rows = spark.sparkContext.binaryRecords(path, size).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
-    return spark.createDataFrame(rows, "pos bigint, content binary")
+    """(pos, content): files of fixed-size records, split at record borders; the position is the record's number in its file."""
+    return array_rows(spark, path, kind="records", record=size, schema="pos bigint, values binary").withColumnRenamed("values", "content")
+
+
+def tiny_images(spark: SparkSession, path: str, *, excluded: str | None = None, draws: int | None = None, seed: int = 0, size: int = 3072, **options) -> DataFrame:
+    """(pos, content, label -1): pictures of 3 x 32 x 32 bytes in one file of records.
+
+    ``excluded`` names a file of record numbers (from 1, a line each) that are in a known set. With it, or with ``draws``, that many
+    records (default: all others) come in a shuffled order of ``seed``: none excluded, none twice, the same on any partitioning.
+    """
+    draws = -1 if draws is None and excluded else draws
+    d = array_rows(spark, path, kind="records", record=size, schema="pos bigint, values binary", draws=draws, excluded=excluded, seed=seed, **options)
+    return d.select("pos", F.col("values").alias("content"), F.lit(-1).alias("label"))
+
+
+def outlier_array(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, values, label -1): the pictures of one .npy file, such as the 300,000 cleaned ones or generated ones."""
+    return array_rows(spark, path, schema="pos bigint, values array<double>").withColumn("label", F.lit(-1))
 
 
 # ---------------------------------------------------------------- masks and derived keys
@@ -302,7 +320,7 @@ def summed_digits(spark: SparkSession, root: str, split: str = "train", *, membe
     """(pos, values, target): pictures of four digits with :func:`sum_digits` of their boxes and digits."""
     if split not in ("train", "test"):
         raise ValueError("split must be train or test")
-    rows = lambda kind: npy_rows(spark.read.format("binaryFile").load(f"{root}/{kind}-{split}.npz"), member)
+    rows = lambda kind: array_rows(spark, f"{root}/{kind}-{split}.npz", kind="npz", member=member)
     quads = F.transform(F.sequence(F.lit(0), (F.size("values") / 4).cast("int") - 1), lambda k: F.slice("values", k * 4 + 1, 4))
     boxes = rows("b").select("pos", quads.alias("boxes"))
     digits = rows("y").select("pos", F.col("values").alias("digits"))

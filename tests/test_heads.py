@@ -12,7 +12,7 @@ from plumbline.functions import vectors as V
 from plumbline.operators.centers import ClassCenters
 from plumbline.operators.classwise import KNN, SHE, KLMatching, OpenMax
 from plumbline.operators.detectors import ASH, DICE, MCD, ODIN, MaxSoftmax, ReAct
-from plumbline.operators.gaussian import RMD, Mahalanobis, ViM
+from plumbline.operators.gaussian import RMD, Mahalanobis, MultiMahalanobis, ViM
 
 SCHEMA = "id long, features array<double>, label int"
 
@@ -198,3 +198,24 @@ def test_null_vectors(spark):
     d = df.withColumnRenamed("features", "logits")
     assert len(scores(OpenMax(tailsize=5, alpha=3).fit_features(d).predict_features(d))) == 30
     assert len(scores(MaxSoftmax().predict_features(d))) == 30
+
+
+def test_feature_maps_of_several_layers(spark):
+    """Maps of 3 channels of 16 x 16 and of 5 channels, beside a vector, in two passes for all: as separate fits of channel means."""
+    r = np.random.default_rng(11)
+    maps, deep, flat, y = r.normal(size=(60, 3, 256)), r.normal(size=(60, 5, 4)), r.normal(size=(60, 4)), np.arange(60) % 3
+    rows = [(k, maps[k].tolist(), deep[k].tolist(), flat[k].tolist(), int(y[k])) for k in range(60)] + [(60, None, deep[0].tolist(), flat[0].tolist(), -1)]
+    df = spark.createDataFrame(rows, "id long, a array<array<double>>, b array<array<float>>, c array<double>, label int").repartition(3)
+    det = MultiMahalanobis(layers=["a", "b", "c"], alpha=[1.0, 0.5, 2.0])
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("maps", "maps")
+    det.fit_features(df)
+    assert len(jobs.getJobIdsForGroup("maps")) <= 6  # two aggregates, adaptive stages included
+    spark.sparkContext.setJobGroup("", "")
+    want = np.zeros(60)
+    for x, alpha in ((maps.mean(2), 1.0), (deep.astype(np.float32).astype(float).mean(2), 0.5), (flat, 2.0)):
+        plain = Mahalanobis().fit_features(rows_of(spark, x, y).where("features IS NOT NULL"))
+        want += alpha * np.array([s.score for s in plain.predict_features(rows_of(spark, x, y)).orderBy("id").collect()][:60])
+    assert scores(det.predict_features(df)) == pytest.approx(want, rel=1e-9)
+    with pytest.raises(ValueError):
+        det.fit_features(df.where("label = 7"))
