@@ -132,6 +132,24 @@ def _answers(rows: pd.DataFrame) -> list[pd.DataFrame]:
     return found
 
 
+def _borders(rows: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    return (rows[columns] != rows[columns].shift()).any(axis=1).to_numpy()
+
+
+def _pieces(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows of one automaton: groups of one direction together, but each block of a cut group by itself.
+
+    A word of a cut group may also be in another group with it, and would be found once more from there.
+    """
+    edge = _borders(rows, ["back", "big"]) | (rows["big"].to_numpy() & _borders(rows, _GROUP))
+    at = np.flatnonzero(edge)
+    for low, high in zip(at, np.r_[at[1:], len(rows)]):
+        yield rows[low:high]
+
+
+_GROUP = ["back", "half", "sub"]
+
+
 def _matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by direction, half and block, stored ones first: answers chunks of whole groups.
 
@@ -140,22 +158,18 @@ def _matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held = None
     for f in frames:
         held = f if held is None else pd.concat([held, f], ignore_index=True)
-        while len(held) > CHUNK:
-            key = held[["back", "half", "sub"]]
-            border = np.flatnonzero((key != key.shift()).any(axis=1).to_numpy())
-            turn = np.flatnonzero(held["back"].ne(held["back"].shift()).to_numpy())
-            cut = int(turn[1]) if len(turn) > 1 else int(border[-1])
-            if cut:
-                yield from _answers(held[:cut])
-                held = held[cut:].reset_index(drop=True)
-            elif not held["stored"].iloc[-1]:
-                yield from _answers(held)
-                held = held[held["stored"]].assign(asked=False)
-                break
-            else:
-                break
+        if len(held) <= CHUNK:
+            continue
+        cut = int(np.flatnonzero(_borders(held, _GROUP))[-1])
+        if cut:
+            for rows in _pieces(held[:cut]):
+                yield from _answers(rows)
+            held = held[cut:].reset_index(drop=True)
+        elif not held["stored"].iloc[-1]:
+            yield from _answers(held)
+            held = held[held["stored"]].assign(asked=False)
     if held is not None and len(held):
-        for _, rows in held.groupby("back", sort=False):
+        for rows in _pieces(held):
             yield from _answers(rows)
 
 
@@ -181,7 +195,7 @@ def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:
     d = entries.join(blocks, ["back", "half"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("word"), F.col("blocks").cast("bigint")).cast("int")
     d = d.withColumn("own", own).withColumn("sub", F.explode(F.when(F.col("asked"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
-    d = d.select("back", "half", "sub", "word", "n", "asked", (F.col("sub") == F.col("own")).alias("stored"))
+    d = d.select("back", "half", "sub", "word", "n", "asked", (F.col("sub") == F.col("own")).alias("stored"), (F.col("blocks") > 1).alias("big"))
     d = d.repartition("back", "half", "sub").sortWithinPartitions("back", "half", "sub", F.desc("stored"), "word")
     found = d.mapInPandas(_matched, "word string, near long, best_n long, best string")
     best = F.min(F.struct((-F.col("best_n")).alias("m"), F.col("best").alias("w")))
