@@ -29,6 +29,12 @@ _BLOCK = frozenset(
 _BOILERPLATE = frozenset("aside button dialog fieldset footer form header label menu nav".split())
 _MAIN = frozenset(("article", "main"))
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Headings of reader comments, with or without a count; what follows up to the next heading of their level goes with them.
+_COMMENTS = re.compile(
+    r"(?:\d+\s+)?(?:(?:user|reader|readers'|your|latest|recent|all)\s+)?(?:comments?|replies|responses|discussion|kommentare?|commentaires?|comentarios?)(?:\s*[:(]?\s*\d*\s*\)?)"
+    r"|(?:leave|write|post|add)\s+(?:a|your)\s+(?:comment|reply)",
+    re.I,
+)
 #: Names of parts that are not the article: alone, or with a word before or after that says whose or what kind of part it is.
 _PART = (
     r"(?:ads?|advert\w*|sponsor\w*|promos?|promotions?|banners?|breadcrumbs?|comments?|discussion|disqus|repl(?:y|ies)|respond|cookies?|consent|gdpr|notices?|notifications?"
@@ -59,13 +65,13 @@ def _marked(name: str, attrs: str, main: bool) -> bool:
 
 
 class Line(NamedTuple):
-    """A stripped line: its text, how many of its characters are inside links, and what the tags around it say."""
+    """A stripped line: its text, how many of its characters are inside links, and what the tags around it say; ``heading`` is a level or 0."""
 
     text: str
     linked: int
     junk: bool
     main: bool
-    heading: bool
+    heading: int
 
 
 def lines_of(page: str) -> list[Line]:
@@ -77,7 +83,7 @@ def lines_of(page: str) -> list[Line]:
     out: list[Line] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []
-    junk = main = links = linked = headings = 0
+    junk = main = links = linked = headings = level = 0
 
     def add(text: str) -> None:
         nonlocal linked
@@ -90,7 +96,7 @@ def lines_of(page: str) -> list[Line]:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                out.append(Line(text, min(linked, len(text)), junk > 0, main > 0, headings > 0))
+                out.append(Line(text, min(linked, len(text)), junk > 0, main > 0, level if headings else 0))
         linked = 0
 
     def left(entry: tuple[str, bool, bool]) -> None:
@@ -140,37 +146,44 @@ def lines_of(page: str) -> list[Line]:
             junk += is_junk
             main += is_main
             links += name == "a"
-            headings += name in _HEADING
+            if name in _HEADING:
+                headings, level = headings + 1, int(name[1])
     if at < len(page):
         add(page[at:])
     end_line()
     return out
 
 
+def readable(lines: list[Line]) -> list[Line]:
+    """The lines without those in elements of other parts, and without reader comments under a heading that says so."""
+    out, comments, was_main = [], 0, False
+    for x in lines:
+        if x.junk:
+            continue
+        if comments and (was_main != x.main or 0 < x.heading <= comments):
+            comments = 0
+        if x.heading and _COMMENTS.fullmatch(x.text):
+            comments, was_main = x.heading, x.main
+        if not comments:
+            out.append(x)
+    return out
+
+
 def masses(lines: list[Line]) -> list[int]:
-    """What each line adds to the distribution: tags weigh the length of its text.
+    """What each line adds to the distribution: the length of its text, against which characters inside links count twice.
 
-    Text counts with its length and characters inside links count against it, so menus and link lists have none or less.
-    Lines in elements that name themselves something else, or outside of the page's article element where it has one,
-    count as less than nothing. Each line inside an article element gets SURGE on top, however short or linked it is.
+    So menus and link lists have none or less. A line inside an article element gets SURGE on top, however short or linked.
     """
-    has_main = any(x.main and not x.junk for x in lines)
-    out = []
-    for x in lines:
-        n = len(x.text)
-        if x.junk or (has_main and not x.main):
-            out.append(-n)
-        else:
-            out.append(n + SURGE if x.main else n - 2 * x.linked)
-    return out
+    return [len(x.text) - 2 * x.linked + SURGE * x.main for x in lines]
 
 
 def ranges_of(m: list[int]) -> list[tuple[int, int]]:
     """Line-block distribution: ranges of lines from a surge to the dive that follows.
 
     The rise at a line is the sum of the run of positive masses that begins there, over WINDOW lines at most. A surge is a
-    rise of SURGE or more, or of SHARE of the page's largest rise if that is less, so that a short article surges too. A
-    dive is the first line after it that has no mass of its own and begins a window whose whole sum isn't positive.
+    rise of SURGE or more, or of SHARE of the page's largest rise if that is less, so that a short article surges too; its foot
+    reaches back over the lines right before it that have a mass, as titles do. A dive is the first line after it that has no
+    mass of its own and begins a window whose whole sum isn't positive.
     """
     n = len(m)
     rise = [0] * n
@@ -185,10 +198,12 @@ def ranges_of(m: list[int]) -> list[tuple[int, int]]:
         if m[i] <= 0 or rise[i] < surge:
             i += 1
             continue
-        end = i + 1
+        foot, end, last = i, i + 1, found[-1][1] if found else 0
+        while foot > last and m[foot - 1] > 0:
+            foot -= 1
         while end < n and (m[end] > 0 or sum(m[end : end + WINDOW]) > 0):
             end += 1
-        found.append((i, end))
+        found.append((foot, end))
         i = end
     return found
 
@@ -196,17 +211,24 @@ def ranges_of(m: list[int]) -> list[tuple[int, int]]:
 def main_text(page: str | None) -> str:
     """Article text of one page: blocks joined by newlines, empty if there is none.
 
-    The lines between surge and dive points stay (see :func:`ranges_of`). Within a range, lines are left out that are in
-    elements of other parts; at its end, headings outside of an article element go, since they head what the dive leaves.
+    Lengths and links of the lines choose ranges from surge to dive points (see :func:`ranges_of`); at the end of a range,
+    headings outside of an article element go, since they head what the dive leaves. Where a page has article elements, they
+    weigh their text and SURGE: a run of a range outside of them stays only if its mass is more than that, as that of a long
+    text beside a teaser is.
     """
-    lines = lines_of(page or "")
+    lines = readable(lines_of(page or ""))
     m = masses(lines)
-    has_main = any(x.main and not x.junk for x in lines)
+    inside = [len(x.text) for x in lines if x.main]
+    bar = sum(inside) + SURGE if inside else 0
     kept = []
     for begin, end in ranges_of(m):
         while end > begin + 1 and (m[end - 1] <= 0 or (lines[end - 1].heading and not lines[end - 1].main)):
             end -= 1
-        kept += [x.text for x in lines[begin:end] if not x.junk and (x.main or not has_main)]
+        while begin < end:
+            turn = next((k for k in range(begin + 1, end) if lines[k].main != lines[begin].main), end)
+            if lines[begin].main or sum(m[begin:turn]) > bar:
+                kept += [x.text for x in lines[begin:turn]]
+            begin = turn
     return "\n".join(kept)
 
 
