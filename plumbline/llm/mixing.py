@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, parts
+from .common import BROADCAST_ROWS, parts, small
 
 #: Production weights: the hot source is held to two parts, every other source gets one.
 TARGET_WEIGHTS = {"src0": 2.0}
@@ -64,7 +64,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight
     order, without a sample pass over the rows.
 
     * null source: a source of its own; null or empty text: one byte, so that it has a size;
-    * null doc_id: the hash of the text takes its place; rows that repeat an id share its count;
+    * null doc_id: the hash of the text takes its place;
+    * rows that share an id (or, without ids, a text) are told apart by where they are read, so each has a count and places of
+      its own and their mean is still the rate; ``docs`` should then be a table or a scan, which is read the same way again;
     * a very long text is as long in each copy; empty table: no rows;
     * columns of the input that clash with ``copy``, ``copies``, ``rate`` or ``shuffle_key`` are replaced.
 
@@ -76,6 +78,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight
     rates = source_rates(docs, weights, default_weight, size, total)
     table = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.when(F.col("rate") > 0, poisson_table(F.greatest(F.col("rate"), F.lit(1e-300)))).alias("_cdf"))
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col("source").alias("_s"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("_id"))
+    twins = d.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_id").alias("_twin"))
+    if not twins.isEmpty():
+        d = d.withColumn("_read", F.monotonically_increasing_id()).join(small(twins), F.col("_id") == F.col("_twin"), "left")
+        d = d.withColumn("_id", F.when(F.col("_twin").isNull(), F.col("_id")).otherwise(F.concat_ws(":", "_id", "_read"))).drop("_read", "_twin")
     if table.limit(BROADCAST_ROWS // 100 + 1).count() <= BROADCAST_ROWS // 100:
         d = d.join(F.broadcast(table), F.col("_s").eqNullSafe(F.col("_source")))
     else:

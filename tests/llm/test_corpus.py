@@ -285,10 +285,15 @@ def test_poisson_counts_are_the_inverse(spark, docs, rows, empty):
     weight = {s: mixing.TARGET_WEIGHTS.get(s, 1.0) for s in size}
     copies = {(r.doc_id, r.text): r.copies for r in got}
     import hashlib
+    from collections import Counter
 
+    key_of = lambda r: str(r.doc_id) if r.doc_id is not None else hashlib.md5((r.text or "").encode()).hexdigest()
+    times = Counter(map(key_of, rows))
     for r in rows:
         rate = weight[r.source] * sum(size.values()) / sum(weight.values()) / size[r.source]
-        key = str(r.doc_id) if r.doc_id is not None else hashlib.md5((r.text or "").encode()).hexdigest()
+        key = key_of(r)
+        if times[key] > 1:
+            continue
         u = (int(hashlib.md5(f"{mixing.SEED}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
         k, c = 0, math.exp(-rate)
         while c < u:
@@ -300,6 +305,19 @@ def test_poisson_counts_are_the_inverse(spark, docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [6, 7, None])
+def test_repeated_ids_reach_the_rate_and_spread(spark, doc_id):
+    """Rows that all share one id (or have none and one text) have counts and places of their own."""
+    n = 20_000
+    rows = spark.range(n, numPartitions=6).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.lit("a").alias("source"))
+    got = mixing.mix(rows, {"a": 1.0}, total=2.0)
+    total = got.count()
+    assert abs(total - 2 * n) < 6 * math.sqrt(2 * n)
+    sizes = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.1 * total / 4
+    assert {r.copies for r in got.select("copies").distinct().collect()} >= {1, 2, 3, 4}
+
+
 # ---------------------------------------------------------------- 10 shards
 
 

@@ -96,12 +96,12 @@ def test_scores_match_brute_force_and_not_the_partitioning(spark, monkeypatch):
 
 
 def test_workers_need_no_package(tmp_path):
-    """The package is on the driver's path only: broadcasts must hold nothing that executors import from it."""
+    """The package is on the driver's path only: workers are processes of their own, and must import nothing from it."""
     script = tmp_path / "job.py"
     script.write_text(textwrap.dedent(f"""
         import os, sys
         from pyspark.sql import SparkSession
-        spark = SparkSession.builder.master("local-cluster[1,2,1024]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+        spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
         spark.sparkContext.setLogLevel("ERROR")
         sys.path.insert(0, {REPO!r})
         from plumbline.llm import queries
