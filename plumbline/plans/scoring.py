@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import heads as H
 from ..functions import labels as L
 from ..functions import scores as S
 from ..functions import vectors as V
@@ -227,9 +228,73 @@ bc AS (SELECT any_value(mx) AS mx, any_value(my) AS my, sum((z[1] - mx) * (z[1]
        sum((z[1] - mx) * (z[2] - my)) AS c FROM lt, bm)
 SELECT id AS vec_id, lg.y, round(d2 - ((z[1] - mx) * (z[1] - mx) * b + (z[2] - my) * (z[2] - my) * a - 2 * (z[1] - mx) * (z[2] - my) * c) / (a * b - c * c), 6) AS score
 FROM lg JOIN gd USING (id), bc""")
-_register("multi_mahalanobis", _layers)
-_detector("mahalanobis", lambda s: gaussian.Mahalanobis(**COLUMNS))
-_detector("rmd", lambda s: gaussian.RMD(**COLUMNS))
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def gauss_sql(name: str, dim: int, source: str = "lt", vector: str = "z", *, background: bool = False) -> str:
+    """CTEs ``<name>m`` (class k, mean mu) and ``<name>`` (row i and its entries p of the inverse): the pooled covariance of ``source`` plus the ridge.
+
+    The inverse is by Gauss and Jordan, a recursion step for each pivot. With ``background`` there is one mean, and the scatter isn't
+    divided by the number of rows.
+    """
+    k = "0" if background else "y"
+    over = "" if background else " / (any_value(n) - 1)"
+    return f""",
+{name}v AS (SELECT {k} AS k, {vector} AS v FROM {source}),
+{name}m AS (SELECT k, list(a ORDER BY i) AS mu FROM (SELECT k, i, avg(v[i]) AS a FROM {name}v, (SELECT unnest(range(1, {dim + 1})) AS i) GROUP BY k, i) GROUP BY k),
+{name}r AS (SELECT [v[i] - mu[i] for i in range(1, {dim + 1})] AS d, count(*) OVER () AS n FROM {name}v JOIN {name}m USING (k)),
+{name}c AS (SELECT i, j, sum(d[i] * d[j]){over} + CASE WHEN i = j THEN 1e-6::DOUBLE ELSE 0 END AS v
+       FROM {name}r, (SELECT unnest(range(1, {dim + 1})) AS i), (SELECT unnest(range(1, {dim + 1})) AS j) GROUP BY i, j),
+{name}g AS (SELECT 1 AS k, i, list(v ORDER BY j) || [CASE WHEN q = i THEN 1::DOUBLE ELSE 0 END for q in range(1, {dim + 1})] AS r FROM {name}c GROUP BY i
+       UNION ALL SELECT k + 1, i, CASE WHEN i = k THEN list_transform(r, lambda x: x / h) ELSE list_transform(list_zip(r, t), lambda x: x[1] - f / h * x[2]) END
+       FROM (SELECT *, r[k] AS f, t[k] AS h FROM (SELECT *, any_value(CASE WHEN i = k THEN r END) OVER () AS t FROM {name}g WHERE k <= {dim}))),
+{name} AS (SELECT i, r[{dim + 1}:] AS p FROM {name}g WHERE k = {dim + 1})"""
+
+
+def gauss_distance(name: str, dim: int, source: str = "lg", vector: str = "z", keys: str = "id, y") -> str:
+    """CTE ``<name>d``: the smallest squared distance d2 of each row to a mean of :func:`gauss_sql`."""
+    return f""",
+{name}x AS (SELECT {keys}, {name}m.k AS c, [{vector}[i] - mu[i] for i in range(1, {dim + 1})] AS d FROM {source}, {name}m),
+{name}s AS (SELECT {keys}, c, sum(d[i] * list_inner_product(p, d)) AS d2 FROM {name}x, {name} GROUP BY {keys}, c),
+{name}d AS (SELECT {keys}, min(d2) AS d2 FROM {name}s GROUP BY {keys})"""
+
+
+_register("multi_mahalanobis", _layers, _recursive(f"""{SQL},
+ha AS (SELECT id, y, z[1:32] AS a, z[33:64] AS b FROM lg), hl AS (SELECT * FROM ha WHERE id % 2 = 0 AND y >= 0)
+{gauss_sql("fa", 32, "hl", "a")}{gauss_sql("fb", 32, "hl", "b")}{gauss_distance("fa", 32, "ha", "a")}{gauss_distance("fb", 32, "ha", "b")}
+SELECT id AS vec_id, fad.y, round(fad.d2 / 2 + 0.5::DOUBLE * fbd.d2 / 2, 6) AS score FROM fad JOIN fbd USING (id)"""))
+_detector("mahalanobis", lambda s: gaussian.Mahalanobis(**COLUMNS), _recursive(f"{SQL}{gauss_sql('f', 64)}{gauss_distance('f', 64)}\nSELECT id AS vec_id, y, round(d2 / 2, 6) AS score FROM fd"))
+_detector("rmd", lambda s: gaussian.RMD(**COLUMNS), _recursive(f"""{SQL}{gauss_sql("f", 64)}{gauss_sql("b", 64, background=True)}{gauss_distance("f", 64)}{gauss_distance("b", 64)}
+SELECT id AS vec_id, fd.y, round(fd.d2 - bd.d2, 6) AS score FROM fd JOIN bd USING (id)"""))
+
+
+def _maps(spark, d):
+    """Feature maps: the features as 4 channels of 16 positions and as 8 of 8, whose channel means count."""
+    s = setup(spark, d)
+    channels = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.slice("z", k * (64 // n) + 1, 64 // n))
+    cut = lambda df: df.select("id", "y", channels(4).alias("a"), channels(8).alias("b"))
+    det = gaussian.MultiMahalanobis(layers=["a", "b"], label="y")
+    return _scores(det.fit_features(cut(s.train)).predict_features(cut(s.e)))
+
+
+_register("multi_mahalanobis_maps", _maps, _recursive(f"""{SQL},
+ha AS (SELECT id, y, [list_avg(z[16 * k + 1 : 16 * k + 16]) for k in range(0, 4)] AS a, [list_avg(z[8 * k + 1 : 8 * k + 8]) for k in range(0, 8)] AS b FROM lg),
+hl AS (SELECT * FROM ha WHERE id % 2 = 0 AND y >= 0)
+{gauss_sql("fa", 4, "hl", "a")}{gauss_sql("fb", 8, "hl", "b")}{gauss_distance("fa", 4, "ha", "a")}{gauss_distance("fb", 8, "ha", "b")}
+SELECT id AS vec_id, fad.y, round(fad.d2 / 2 + fbd.d2 / 2, 6) AS score FROM fad JOIN fbd USING (id)"""))
+
+
+def _plane_head(s):
+    """A linear layer that picks the first two features: the fit and the scores are on its outputs."""
+    return gaussian.Mahalanobis(head=H.Head([H.Linear(np.eye(2, 64), np.zeros(2))]), **COLUMNS)
+
+
+_detector("mahalanobis_layers", _plane_head, ORACLES["mahalanobis_2d"])
+_detector("odin_layers", lambda s: detectors.ODIN(head=H.linear_head(s.w, s.b), eps=0.05, **COLUMNS), ORACLES["odin_linear"])
+_detector("mcd_layers", lambda s: detectors.MCD(head=H.Head([H.Tanh(), H.Dropout(0.3), *H.linear_head(s.w, s.b).layers]), samples=10, **COLUMNS))
 _detector("vim", lambda s: gaussian.ViM(d=16, weights=s.w, bias=s.b, **COLUMNS))
 _detector("openmax", lambda s: classwise.OpenMax(**COLUMNS))
 _detector("temperature_scaling", lambda s: detectors.TemperatureScaling(**COLUMNS))

@@ -11,7 +11,7 @@ from ..operators import centers as C
 from ..operators import classwise, detectors, metrics, splits
 from ..sources import augment, files, text
 from ..sources.fixed_values import STOP_WORDS
-from .scoring import COLUMNS, _metric_sql, _rounded
+from .scoring import COLUMNS, _metric_sql, _rounded, gauss_distance, gauss_sql
 from .setup import SQL, setup, table
 
 QUERIES = {}
@@ -187,4 +187,8 @@ def _line_mahalanobis(s, d):
     return det.predict_features(li).select("l_orderkey", "l_linenumber", F.round("score", 5).alias("score"))
 
 
-_register("lineitem_mahalanobis", _line_mahalanobis)
+_GAUSS_Z = f"[{', '.join(f'CAST({c} AS DOUBLE)' for c in _LINE)}]"
+_register("lineitem_mahalanobis", _line_mahalanobis, f"""WITH RECURSIVE li AS (SELECT row_number() OVER () AS at_row, l_orderkey, l_linenumber, {_GAUSS_Z} AS z, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN -1 ELSE 1 END AS y FROM lineitem),
+lt AS (SELECT * FROM li WHERE y >= 0)
+{gauss_sql("f", len(_LINE))}{gauss_distance("f", len(_LINE), "li", keys="at_row, l_orderkey, l_linenumber")}
+SELECT l_orderkey, l_linenumber, round(d2 / 2, 5) AS score FROM fd""")
