@@ -14,8 +14,9 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from ..functions import heads as H
 from ..functions import scores as S
 from ..functions import vectors as V
+from ..scratch import written
 from .base import Detector, known_classes, parameter_rows
-from .moments import class_means, stacked
+from .moments import class_means, scatter, stacked, vector_mean
 
 #: Numbers of a bank of vectors up to which it is sent to every executor whole; larger banks are dealt to cells and blocks.
 BANK_NUMBERS = 16_000_000
@@ -259,71 +260,159 @@ class OpenMax(Detector):
 
 # ---------------------------------------------------------------- nearest neighbour
 
+METRICS = ("euclidean", "cosine", "l1")
+#: Coordinates in a row's first bound, and the share of pairs left from which on pairs are followed one by one.
+PREFIX, FEW = 8, 0.05
 
-def nearest(z: np.ndarray, bank: np.ndarray) -> np.ndarray:
-    """Exact distance to the nearest row of ``bank``: products find it, a direct difference gives the value."""
-    best, at = np.full(len(z), np.inf), np.zeros(len(z), np.int64)
-    for lo in range(0, len(bank), BLOCK):
-        b = bank[lo : lo + BLOCK]
-        d = (b * b).sum(1) - 2 * z @ b.T
-        k = d.argmin(1)
-        low = d[np.arange(len(z)), k]
-        at, best = np.where(low < best, k + lo, at), np.minimum(best, low)
-    return np.linalg.norm(z - bank[at], axis=1)
+
+class Searcher:
+    """Exact distances to the nearest of a bank's rows, most of which are ruled out by their first coordinates.
+
+    Vectors are moved and turned to the principal axes of the bank, which keeps their Euclidean distances and puts most of them
+    into the first coordinates. (Turns don't keep L1 distances: there coordinates are put in order of their variance.) The
+    distance over a prefix of the coordinates is a lower bound; rows whose bound is above the best distance so far are left
+    out. Prefixes are doubled for whole blocks until few pairs are left, and these get the remaining coordinates one by one; where
+    no bound helps, as in isotropic data, that ends as one product of both blocks. Cosine distances are half the squared
+    Euclidean ones of unit vectors. ``work`` counts the coordinates that were compared.
+    """
+
+    def __init__(self, mean: np.ndarray, axes: np.ndarray, metric: str = "euclidean") -> None:
+        if metric not in METRICS:
+            raise ValueError(f"metric must be one of {METRICS}")
+        self.mean, self.axes, self.metric, self.work = mean, axes, metric, 0
+
+    @classmethod
+    def about(cls, mean: np.ndarray, covariance: np.ndarray, metric: str = "euclidean") -> Searcher:
+        values, axes = np.linalg.eigh(covariance) if metric != "l1" else (np.diag(covariance), np.eye(len(covariance)))
+        return cls(mean, axes[:, np.argsort(-values, kind="stable")], metric)
+
+    def turned(self, x: np.ndarray) -> np.ndarray:
+        return (self.unit(x) - self.mean) @ self.axes
+
+    def unit(self, x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if self.metric == "cosine" else x
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distances of turned rows, pair by pair, by direct differences."""
+        self.work += a.size
+        return np.abs(a - b).sum(axis=1) if self.metric == "l1" else np.linalg.norm(a - b, axis=1)
+
+    def _all_pairs(self, z: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What some coordinates add to the bounds of all pairs: squares, or amounts for L1."""
+        self.work += len(b) * z.size
+        if self.metric != "l1":
+            return (z * z).sum(1)[:, None] + (b * b).sum(1) - 2 * z @ b.T
+        out = np.zeros((len(z), len(b)))
+        for k in range(z.shape[1]):
+            out += np.abs(z[:, k, None] - b[:, k])
+        return out
+
+    def nearest(self, z: np.ndarray, bank: np.ndarray, best: np.ndarray | None = None) -> np.ndarray:
+        """Smallest distance (Euclidean also for cosine) of each turned row to the turned rows of ``bank``, or ``best`` if that is less."""
+        best = np.full(len(z), np.inf) if best is None else best.copy()
+        for lo in range(0, len(bank), BLOCK):
+            for at in range(0, len(z), 512):
+                best[at : at + 512] = self._block(z[at : at + 512], bank[lo : lo + BLOCK], best[at : at + 512])
+        return best
+
+    def _block(self, z: np.ndarray, b: np.ndarray, best: np.ndarray) -> np.ndarray:
+        dim, done, end, bound = z.shape[1], 0, min(PREFIX, z.shape[1]), 0.0
+        # what the rounding of products may take from a bound
+        slack = 0.0 if self.metric == "l1" else 1e-11 * ((z * z).sum(1) + (b * b).sum(1).max(initial=0))[:, None]
+        over = lambda d: (d if self.metric == "l1" else d * d)[:, None] * (1 + 1e-12) + slack
+        while True:
+            bound, done = bound + self._all_pairs(z[:, done:end], b[:, done:end]), end
+            best = np.minimum(best, self.between(z, b[bound.argmin(axis=1)]))
+            row, col = np.nonzero(bound <= over(best))
+            if done == dim or len(row) <= FEW * bound.size:
+                break
+            end = min(dim, 2 * done)
+        if done < dim:
+            self.work += len(row) * (dim - done)
+            d = z[row, done:] - b[col, done:]
+            low = bound[row, col] + (np.abs(d) if self.metric == "l1" else d * d).sum(axis=1)
+            keep = low <= over(best)[row, 0]
+            row, col = row[keep], col[keep]
+        for k in range(0, len(row), 1 << 16):
+            r = row[k : k + (1 << 16)]
+            np.minimum.at(best, r, self.between(z[r], b[col[k : k + (1 << 16)]]))
+        return best
+
+    def result(self, d: np.ndarray) -> np.ndarray:
+        return d * d / 2 if self.metric == "cosine" else d
 
 
 def _to_pivots(z: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """All distances of rows to pivots, by direct differences, so that they are exact to rounding."""
+    """All Euclidean distances of rows to pivots, by direct differences, so that they are exact to rounding."""
     return np.stack([np.linalg.norm(z - p, axis=1) for p in pivots], axis=1)
 
 
-def _compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by block, bank rows (side 0) first: holds one block of the bank, queries stream past it."""
-    block, parts, bank = None, [], None
-    for f in frames:
-        for key, g in f.groupby(["cell", "sub"], sort=False):
-            if key != block:
-                block, parts, bank = key, [], None
-            mine, asked = g[g["side"] == 0], g[g["side"] == 1]
-            if len(mine):
-                parts.append(stacked(mine["v"]))
-            if len(asked) and parts:
-                bank = np.concatenate(parts) if bank is None else bank
-                yield pd.DataFrame({"asker": asked["asker"], "d": nearest(stacked(asked["v"]), bank)})
+def _compared(searcher: Searcher):
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by block, bank rows (side 0) first: holds one block of the bank, queries stream past it."""
+        block, parts, bank = None, [], None
+        for f in frames:
+            for key, g in f.groupby(["cell", "sub"], sort=False):
+                if key != block:
+                    block, parts, bank = key, [], None
+                mine, asked = g[g["side"] == 0], g[g["side"] == 1]
+                if len(mine):
+                    parts.append(stacked(mine["v"]))
+                if len(asked) and parts:
+                    bank = np.concatenate(parts) if bank is None else bank
+                    yield pd.DataFrame({"asker": asked["asker"], "d": searcher.nearest(stacked(asked["v"]), bank, asked["d"].fillna(np.inf).to_numpy(np.float64))})
+
+    return work
 
 
 class KNN(Detector):
-    """Distance to the nearest known training row, exact.
+    """Distance to the nearest known training row, exact: ``metric`` euclidean, cosine or l1.
 
-    A bank up to BANK_NUMBERS numbers goes to every executor. A larger one is dealt to the cells of PIVOTS of its rows, and
-    large cells to blocks of about BLOCK rows. A query is first compared with the cell of its nearest pivot; then with each
-    other cell that can hold a nearer row, by the cell's radius and by the plane between both pivots. Rows of ``df`` must
-    have ids of their own in ``row_id``.
+    Rows are turned to the bank's principal axes, where prefixes of coordinates rule out most pairs (see :class:`Searcher`). A
+    bank up to BANK_NUMBERS numbers goes to every executor. A larger one is dealt to the cells of PIVOTS of its rows, and large
+    cells to blocks of about BLOCK rows, copies of a row to different ones. A query is first compared with the cell of its
+    nearest pivot; then with each other cell that can hold a nearer row, by the cell's radius and by the plane between both
+    pivots. Rows of ``df`` must have ids of their own in ``row_id``. Null features give a null score.
     """
 
     needs_fit = True
 
-    def __init__(self, model=None, *, row_id: str = "id", **columns) -> None:
+    def __init__(self, model=None, *, row_id: str = "id", metric: str = "euclidean", **columns) -> None:
         super().__init__(model, **columns)
-        self.row_id = row_id
+        if metric not in METRICS:
+            raise ValueError(f"metric must be one of {METRICS}")
+        self.row_id, self.metric = row_id, metric
 
     def fit_features(self, df: DataFrame) -> KNN:
-        self.bank = self._known(df).select(V.doubles(self.features).alias("v")).where("v IS NOT NULL")
-        size = self.bank.agg(F.sum(F.size("v")).alias("n"), F.count("*").alias("rows")).first()
+        raw = self._known(df).select(V.doubles(self.features).alias("v")).where("v IS NOT NULL")
+        if self.metric == "cosine":
+            raw = raw.select(H.batched("array<double>", lambda z: z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300))("v").alias("v"))
+        size = raw.agg(F.sum(F.size("v")).alias("n"), F.count("*").alias("rows")).first()
         if not size.n:
             raise ValueError("no rows with known labels")
+        _, mean = vector_mean(raw, "v")
+        n, products = scatter(raw, "v", {"mean": mean})["mean"]
+        self.searcher = Searcher.about(mean, products / n, self.metric)
+        self.bank = raw.select(self._turned()("v").alias("v"))
         self.matrix = None
         if size.n <= BANK_NUMBERS:
             self.matrix = np.stack([np.asarray(v) for v in self.bank.toArrow()["v"].to_numpy(zero_copy_only=False)])
         else:
-            n = min(PIVOTS, max(1, size.rows // BLOCK))
-            chosen = self.bank.distinct().orderBy(F.xxhash64("v")).limit(n).toArrow()["v"].to_numpy(zero_copy_only=False)
+            many = min(PIVOTS, max(1, size.rows // BLOCK))
+            share = min(1.0, 64 * many / size.rows)  # a sample by hash, large enough for as many different rows
+            some = self.bank.where(V.unit_hash(F.col("v"), "pivot") <= F.lit(share)).distinct().orderBy(F.xxhash64("v")).limit(many)
+            chosen = some.toArrow()["v"].to_numpy(zero_copy_only=False)
+            if not len(chosen):
+                chosen = self.bank.limit(1).toArrow()["v"].to_numpy(zero_copy_only=False)
             self.pivots = np.stack([np.asarray(v) for v in chosen])
             cells = self.bank.select(self._cell()("v").alias("at")).select("at.*").groupBy("cell").agg(F.max("r").alias("r"), F.count("*").alias("n")).collect()
             self.cells = {c.cell: (c.r, -(-c.n // BLOCK)) for c in cells}
         self.fitted = True
         return self
 
+    def _turned(self):
+        return H.batched("array<double>", self.searcher.turned)
+
     def _cell(self):
         pivots = self.pivots
 
@@ -352,27 +441,30 @@ class KNN(Detector):
         return others
 
     def _asked(self, queries: DataFrame) -> DataFrame:
-        """(asker, d): the smallest distance of each query (asker, v, cell) to the rows of its cells."""
+        """(asker, d): the smallest distance of each query (asker, v, cell, d: the best so far) to the rows of its cells."""
         subs = F.create_map(*[F.lit(x) for k, (_, n) in sorted(self.cells.items()) for x in (int(k), int(n))])
         of = lambda c: F.try_element_at(subs, c)
         cell = F.col("at.cell")
         bank = self.bank.select("v", self._cell()("v").alias("at"))
-        bank = bank.select(F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("asker"), "v", cell.alias("cell"), F.pmod(F.xxhash64("v"), of(cell)).cast("int").alias("sub"))
+        sub = F.pmod(F.xxhash64("v", F.spark_partition_id()), of(cell).cast("bigint")).cast("int")
+        bank = bank.select(F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("asker"), "v", F.lit(None).cast("double").alias("d"), cell.alias("cell"), sub.alias("sub"))
         spread = queries.withColumn("sub", F.explode(F.sequence(F.lit(0), of(F.col("cell")) - 1)))
-        both = bank.unionByName(spread.select(F.lit(1).alias("side"), "asker", "v", "cell", "sub")).repartition("cell", "sub").sortWithinPartitions("cell", "sub", "side")
-        return both.mapInPandas(_compared, "asker bigint, d double").groupBy("asker").agg(F.min("d").alias("d"))
+        both = bank.unionByName(spread.select(F.lit(1).alias("side"), "asker", "v", "d", "cell", "sub")).repartition("cell", "sub").sortWithinPartitions("cell", "sub", "side")
+        return both.mapInPandas(_compared(self.searcher), "asker bigint, d double").groupBy("asker").agg(F.min("d").alias("d"))
 
     def predict_features(self, df: DataFrame) -> DataFrame:
         self._check_fitted()
+        searcher = self.searcher
         if self.matrix is not None:
             bank = self.matrix
-            return df.withColumn(self.score, H.batched("double", lambda z: nearest(z, bank))(V.doubles(self.features)))
+            return df.withColumn(self.score, H.batched("double", lambda z: searcher.result(searcher.nearest(searcher.turned(z), bank)))(V.doubles(self.features)))
         own = [c for c in df.columns if c != self.score]
-        asked = df.select(F.col(f"`{self.row_id}`").cast("bigint").alias("asker"), V.doubles(self.features).alias("v")).where("v IS NOT NULL")
-        first = asked.withColumn("at", self._cell()("v")).select("asker", "v", F.col("at.cell").alias("cell"))
-        near = first.join(self._asked(first), "asker")
-        more = near.select("asker", "v", F.explode(self._others()("v", "cell", "d")).alias("cell"))
+        asked = df.select(F.col(f"`{self.row_id}`").cast("bigint").alias("asker"), self._turned()(V.doubles(self.features)).alias("v")).where("v IS NOT NULL")
+        first = asked.withColumn("at", self._cell()("v")).select("asker", "v", F.col("at.cell").alias("cell"), F.lit(None).cast("double").alias("d"))
+        near = written(first.drop("d").join(self._asked(first), "asker"), "near")
+        more = near.select("asker", "v", "d", F.explode(self._others()("v", "cell", "d")).alias("cell"))
         low = near.select("asker", "d").unionByName(self._asked(more)).groupBy("asker").agg(F.min("d").alias("d"))
         rows = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
         joined = rows.join(low, F.col(f"row.`{self.row_id}`").cast("bigint") == F.col("asker"), "left")
-        return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in own], F.col("d").alias(self.score))
+        score = F.col("d") * F.col("d") / 2 if self.metric == "cosine" else F.col("d")
+        return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in own], score.alias(self.score))

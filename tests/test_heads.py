@@ -219,3 +219,54 @@ def test_feature_maps_of_several_layers(spark):
     assert scores(det.predict_features(df)) == pytest.approx(want, rel=1e-9)
     with pytest.raises(ValueError):
         det.fit_features(df.where("label = 7"))
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "l1"])
+@pytest.mark.parametrize("large", [False, True])
+def test_nearest_rows_in_many_dimensions(spark, monkeypatch, metric, large):
+    """Exact for every metric, in one bank and in cells; half of the bank are copies of one row."""
+    from plumbline.operators import classwise
+
+    monkeypatch.setattr(classwise, "BANK_NUMBERS", 10 if large else 10**9)
+    monkeypatch.setattr(classwise, "BLOCK", 40)
+    r = np.random.default_rng(6)
+    x = r.normal(size=(240, 24)) @ np.diag(0.7 ** np.arange(24)) @ np.linalg.qr(r.normal(size=(24, 24)))[0] + 3
+    x[120:200] = x[0]
+    y = np.r_[np.zeros(200, int), np.full(40, -1)]
+    df = rows_of(spark, x, y).repartition(5)
+    got = scores(KNN(metric=metric).fit_features(df).predict_features(df))
+    bank = x[:200]
+    if metric == "cosine":
+        u = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+        want = (1 - u(x) @ u(bank).T).min(1)
+    else:
+        want = np.linalg.norm(x[:, None] - bank, ord=1 if metric == "l1" else 2, axis=2).min(1)
+    assert got == pytest.approx(want, rel=1e-7, abs=1e-7)
+    with pytest.raises(ValueError):
+        KNN(metric="hamming")
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "l1"])
+def test_most_coordinates_are_ruled_out(metric):
+    """64 dimensions whose variances fall off, as those of trained features do: a part of the coordinates of all pairs is compared.
+
+    Isotropic rows, the worst case, cost little more than all pairs.
+    """
+    from plumbline.operators.classwise import Searcher
+
+    r = np.random.default_rng(9)
+    falling = r.normal(size=(3000, 64)) * 0.9 ** np.arange(64)
+    turn = np.eye(64) if metric == "l1" else np.linalg.qr(r.normal(size=(64, 64)))[0]
+    for z, most in ((falling @ turn + 1, 0.45), (r.normal(size=(3000, 64)), 1.2)):
+        bank, asked = z[:2500], z[2500:]
+        unit = Searcher(np.zeros(64), np.eye(64), metric).unit(bank)
+        s = Searcher.about(unit.mean(0), np.cov(unit.T), metric)
+        found = s.result(s.nearest(s.turned(asked), s.turned(bank)))
+        a, b = s.unit(asked), unit
+        if metric == "l1":
+            want = np.array([np.abs(b - x).sum(1).min() for x in a])
+        else:
+            d2 = np.array([((b - x) ** 2).sum(1).min() for x in a])
+            want = d2 / 2 if metric == "cosine" else np.sqrt(d2)
+        assert found == pytest.approx(want, rel=1e-9)
+        assert s.work < most * len(asked) * len(bank) * 64, s.work / (len(asked) * len(bank) * 64)
