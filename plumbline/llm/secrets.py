@@ -244,11 +244,33 @@ def compile_rules(rules=RULES) -> Automaton:
 # ---------------------------------------------------------------- scanning
 
 
+def _run(auto: Automaton, classes: np.ndarray, at: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lanes, positions, rules as bits) of the hits in lanes of ``size`` bytes from ``at`` on, and the states in which they end.
+
+    All lanes step through the automaton together, the longest first; ``state`` is where each of them begins.
+    """
+    order = np.argsort(-size, kind="stable")
+    begin, left, now = at[order], size[order], state[order].copy()
+    active = np.searchsorted(-left, -np.arange(left[0] if len(left) else 0), side="left")  # how many are longer than t
+    lanes, where, what = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for t, n in enumerate(active.tolist()):
+        here = now[:n] = auto.move[now[:n] + classes[begin[:n] + t]]
+        hit = np.flatnonzero(here >= auto.first_flag)
+        if len(hit):
+            lanes.append(order[hit])
+            where.append(begin[hit] + t)
+            what.append(auto.flags[here[hit] // auto.n_classes])
+    last = np.empty_like(now)
+    last[order] = now
+    return np.concatenate(lanes), np.concatenate(where), np.concatenate(what), last
+
+
 def hits_of(auto: Automaton, data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, rules as bits), ascending: the bytes at which a rule's head and first byte of its run end.
 
-    One pass over all bytes. Segments begin at a document's start or after a byte that brings every state back to the
-    start, so no head crosses their borders. All segments of a batch step through the automaton together.
+    One pass over all bytes, in lanes. A lane begins at a document's start or after a byte that brings every state back to the
+    start, so no head crosses its border. Where no such byte comes for long, lanes are cut anyway and begin at a guess, the
+    start state; those whose forerunner ends in another state run again from there, until all guesses are right.
     """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -258,23 +280,24 @@ def hits_of(auto: Automaton, data: np.ndarray, lens: np.ndarray) -> tuple[np.nda
     after = np.flatnonzero(is_reset[data]) + 1
     picks = np.searchsorted(after, np.arange(0, len(data), SEGMENT))
     cuts = after[picks[picks < len(after)]]
-    starts = np.unique(np.concatenate([begins[lens > 0], cuts[cuts < len(data)]]))
-    stops = np.append(starts[1:], len(data))
-    order = np.argsort(starts - stops, kind="stable")  # longest first
-    at, size = starts[order], (stops - starts)[order]
+    sure = np.unique(np.concatenate([begins[lens > 0], cuts[cuts < len(data)]]))
+    pieces = -(-np.diff(np.append(sure, len(data))) // (2 * SEGMENT))
+    starts = np.repeat(sure, pieces) + 2 * SEGMENT * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    guessed = ~np.isin(starts, sure)
+    size = np.diff(np.append(starts, len(data)))
     classes = auto.byte_class[data]
-    state = np.zeros(len(at), np.int64)
-    active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # how many are longer than t
-    where, what = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for t in range(int(size[0])):
-        n = int(active[t])
-        now = state[:n] = auto.move[state[:n] + classes[at[:n] + t]]
-        hit = np.flatnonzero(now >= auto.first_flag)
-        if len(hit):
-            where.append(at[hit] + t)
-            what.append(auto.flags[now[hit] // auto.n_classes])
-    position, bits = np.concatenate(where), np.concatenate(what)
-    order = np.argsort(position)
+    begun = np.zeros(len(starts), np.int64)
+    lane, position, bits, ended = _run(auto, classes, starts, size, begun)
+    while True:
+        before = np.where(guessed, np.concatenate([[0], ended[:-1]]), 0)
+        wrong = np.flatnonzero(before != begun)
+        if not len(wrong):
+            break
+        begun[wrong] = before[wrong]
+        stay = ~np.isin(lane, wrong)
+        again, at, what, ended[wrong] = _run(auto, classes, starts[wrong], size[wrong], before[wrong])
+        lane, position, bits = np.concatenate([lane[stay], wrong[again]]), np.concatenate([position[stay], at]), np.concatenate([bits[stay], what])
+    order = np.argsort(position, kind="stable")
     return position[order], bits[order]
 
 

@@ -52,3 +52,23 @@ def test_long_runs_take_linear_time():
     text = "0123456789abcdef" * 20_000 + " token=" + "a" * 200_000 + " xoxb-" * 20_000
     spans = secrets.spans_of(secrets.compile_rules(), [text])[0]
     assert [s for s in spans if s[1] == 2][0] == (0, 2, 320_000)
+
+
+def test_long_texts_without_resets_are_cut_into_lanes(monkeypatch):
+    """A megabyte of words and spaces is scanned in lanes, and lanes that begin with a wrong guess run again: equal results for any length."""
+    import random
+    import time
+
+    r = random.Random(3)
+    auto = secrets.compile_rules()
+    prose = " ".join(r.choice(["password", "is", "the", "AKIA", "token", "ab12", "of"]) for _ in range(180_000))
+    began = time.monotonic()
+    secrets.spans_of(auto, [prose])
+    assert time.monotonic() - began < 2
+    pieces = ["password", " ", " " * 40, "=", ":", '"', "AKIA", "0123456789abcdef", "token", "zzzzzzzzzzzz", ".", "\n", "é", "A" * 20]
+    for _ in range(60):
+        texts = ["".join(r.choice(pieces) for _ in range(r.randint(1, 200))) for _ in range(3)]
+        monkeypatch.setattr(secrets, "SEGMENT", 512)
+        want = secrets.spans_of(auto, texts)
+        monkeypatch.setattr(secrets, "SEGMENT", r.randint(1, 9))
+        assert secrets.spans_of(auto, texts) == want
