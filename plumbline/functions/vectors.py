@@ -38,7 +38,7 @@ def rank_among(cuts: Sequence[float], key: Column) -> Column:
     """How many of the ascending ``cuts`` are below ``key``, by halving: its cost grows with the logarithm of their number."""
     if not len(cuts):
         return F.lit(0)
-    table = literal(cuts)
+    table = F.split(F.lit(",".join(repr(float(c)) for c in cuts)), ",").cast("array<double>")  # folds to one literal
     steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
     halve = lambda at, step: at + F.when(F.get(table, at + step - 1) < key, step).otherwise(0)
     return F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), halve)

@@ -128,13 +128,14 @@ def running_means(df: DataFrame, value: str, key: str, batch: str) -> DataFrame:
 
 
 def last_rows(df: DataFrame, key: str, sequence: str, n: int, *, salt: int = 32) -> DataFrame:
-    """The last ``n`` rows of each key by ``sequence``. A hot key is cut down in ``salt`` parts first.
+    """The last ``n`` rows of each key by ``sequence``. A hot key is cut down in ``salt`` parts first, by where rows are read, so that
+    rows of one sequence value are spread too.
 
     Columns are carried in a struct, so their names never clash.
     """
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     group, latest = F.col(f"row.`{key}`"), F.col(f"row.`{sequence}`").desc()
-    d = rows.withColumn("part", F.pmod(F.hash(f"row.`{sequence}`"), F.lit(salt)))
+    d = rows.withColumn("part", F.pmod(F.hash(f"row.`{sequence}`", F.spark_partition_id()), F.lit(salt)))
     d = d.withColumn("rank", F.row_number().over(Window.partitionBy(group, "part").orderBy(latest))).where(F.col("rank") <= n)
     d = d.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(latest))).where(F.col("rank") <= n)
     return d.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])

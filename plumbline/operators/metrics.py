@@ -14,7 +14,7 @@ from ..scratch import written
 METRICS = ("AUROC", "AUPR-IN", "AUPR-OUT", "FPR95TPR")
 #: Least and largest number of ranges that a global order is cut into, so that no single task orders all rows; between
 #: them it follows from the number of shuffle partitions.
-RANGES, MOST_RANGES = 64, 1024
+RANGES, MOST_RANGES = 64, 8192
 #: Rows up to which a table of range totals is broadcast.
 BROADCAST_ROWS = 100_000
 

@@ -88,7 +88,7 @@ def listed(paths: Sequence[str], pattern: str) -> list[tuple[str, int]]:
             continue
         below = store.get_file_info(pafs.FileSelector(inner, recursive=True))
         prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
-        found += sorted((prefix + f.path, f.size) for f in below if f.is_file and not f.base_name.startswith(".") and fnmatch.fnmatch(f.base_name, pattern))
+        found += sorted((prefix + f.path, f.size) for f in below if f.is_file and not f.base_name.startswith(".") and fits(f.base_name, pattern))
     return found
 
 
@@ -230,7 +230,9 @@ class RangedReader(DataSourceReader):
                     size = n * layout.row_bytes
                     yield at, (stream.read(size) if stream else f.read_at(size, layout.offset + int(at[0]) * layout.row_bytes)) if wanted else None
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # Spark's stand-in where there are no partitions
+            return
         fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in self.schema.fields]
         for at, raw in self._chunks(part):
             n, made = len(at), []

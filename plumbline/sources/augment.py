@@ -99,9 +99,11 @@ def paste_objects(df: DataFrame, objects: DataFrame, *, object_size: tuple[int,
     Position, scale (0.28 to 0.70 of the image) and flip come from the row's id. Every pasted object is marked, not only
     the last.
     """
-    bank = [(p.reshape(3, *object_size), m.reshape(object_size)) for p, m in _bank(objects, "pixels", "mask")]
+    cut_outs = [(p.reshape(3, *object_size), m.reshape(object_size)) for p, m in _bank(objects, "pixels", "mask")]
+    shared = df.sparkSession.sparkContext.broadcast(cut_outs)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bank = shared.value
         for f in frames:
             pixels, masks = [], []
             for key, h, w, p, m in zip(f[row_id], f["height"], f["width"], f["pixels"], f["mask"]):
@@ -145,10 +147,10 @@ def multiplicative(p: np.ndarray, q: np.ndarray, s: float, t: float) -> np.ndarr
 
 
 def coefficients(rng: np.random.Generator, beta: float) -> tuple[float, float]:
-    """Half of the time both from 0 to 1, s near 1 and t near 0; else s beyond 1 and t below 0 by as little."""
-    inside = rng.random() < 0.5
-    near_one, near_zero = 1 - rng.beta(1, beta), rng.beta(1, beta)
-    return (near_one, near_zero) if inside else (2 - near_one, -near_zero)
+    """The paper's draws: half of the time s from Beta(beta, 1) and t from Beta(1, beta), else s from 1 + Beta(1, beta) and t from -Beta(1, beta)."""
+    if rng.random() < 0.5:
+        return rng.beta(beta, 1), rng.beta(1, beta)
+    return 1 + rng.beta(1, beta), -rng.beta(1, beta)
 
 
 def equalised(x: np.ndarray) -> np.ndarray:
@@ -207,13 +209,15 @@ def pixmix(df: DataFrame, mixing: DataFrame, *, shape: tuple[int, int, int], row
     half of the time. With ``mean`` and ``std`` the result is normalised by channel. All choices of a row come from its
     id, so the result is the same on every partitioning.
     """
-    bank = [p.reshape(shape) for (p,) in _bank(mixing, "pixels")]
-    if not bank:
+    pictures = [p.reshape(shape) for (p,) in _bank(mixing, "pixels")]
+    if not pictures:
         raise ValueError("no pictures to mix with")
     middle = np.zeros(shape[0]) if mean is None else np.asarray(mean, np.float64)
     spread = np.ones(shape[0]) if std is None else np.asarray(std, np.float64)
+    shared = df.sparkSession.sparkContext.broadcast(pictures)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bank = shared.value
         for f in frames:
             out = []
             for key, p in zip(f[row_id], f["pixels"]):
