@@ -33,6 +33,7 @@ ORACLES = {
     "op1_spaced_seed_leaks": decontaminate.ORACLE,
     "op3_lsm_exact_dedup": exact_dedup.ORACLE,
     "op9_poisson_mix": mixing.ORACLE,
+    "op10_prefix_sum_shards": sharding.ORACLE,
     "op11_spelling_variants": spelling.ORACLE,
     "op12_line_bitmaps": line_dedup.ORACLE,
     "op13_phrase_growth": collocation.ORACLE,

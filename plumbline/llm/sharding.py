@@ -127,3 +127,22 @@ def shard_digest(docs: DataFrame, n_shards: int = 40) -> DataFrame:
 
 def op10_prefix_sum_shards(spark, sf_dir: str) -> DataFrame:
     return shard_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Ids are distinct in the table, so their order alone places each row; crc32 by a table of 256 entries, which the first two
+#: queries make, over the UTF-8 bytes of each text.
+ORACLE = r"""
+WITH RECURSIVE bits AS (SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS step FROM range(256) t(i)
+     UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM bits WHERE step < 8),
+     crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE step = 8),
+     points AS (SELECT doc_id, list_transform(string_split(text, ''), lambda x: unicode(x)::BIGINT) AS u FROM documents WHERE text <> ''),
+     bytes AS (SELECT doc_id, flatten(list_transform(u, lambda x: CASE WHEN x < 128 THEN [x] WHEN x < 2048 THEN [192 + (x >> 6), 128 + (x & 63)]
+                      WHEN x < 65536 THEN [224 + (x >> 12), 128 + ((x >> 6) & 63), 128 + (x & 63)]
+                      ELSE [240 + (x >> 18), 128 + ((x >> 12) & 63), 128 + ((x >> 6) & 63), 128 + (x & 63)] END)) AS b FROM points),
+     hashed AS (SELECT doc_id, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM bytes, crc),
+     sized AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 16 AS BIGINT) AS size FROM documents),
+     placed AS (SELECT doc_id, size, CAST(sum(size) OVER (ORDER BY doc_id) AS BIGINT) AS upto, CAST(sum(size) OVER () AS BIGINT) AS total FROM sized),
+     dealt AS (SELECT doc_id, size, CAST((2 * upto - size) * 40 // (2 * total) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, coalesce(h, 0) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard FROM dealt LEFT JOIN hashed USING (doc_id)
+"""

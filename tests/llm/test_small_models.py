@@ -123,3 +123,63 @@ def test_url_table_repeats_and_long_rows(spark):
     got = url_filter.judge_urls(d, model).collect()
     assert [r.verdict for r in got if r.page_id == 1] == ["block"] * 2 and [r.verdict for r in got if r.page_id == 2] == ["allow"]
     assert len(pd.DataFrame(got)) == 3
+
+
+def test_whole_url_query_by_brute_force(spark):
+    """Labels, samples, both models with dictionaries, the threshold and every verdict of a small table."""
+    import re
+
+    import xxhash
+
+    U = url_filter
+    rows = [(r.page_id, r.url) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url").collect()]
+    rows += [(9001, None), (9002, "no host"), (9003, "https://CASINO-x.Example.com/De/x?y"), (9004, "http://a.example.net/en/1#z"), (9005, "ftp://org/fr/"), (9006, "http://free-pills.net"), (9007, "x://spam.example.org/a/b")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r for r in U.judge_urls(df, U.fit_url_model(df, U.named(U.host_of(df["url"])))).collect()}
+
+    lower = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
+    parts = {i: (re.match(r"(?s).*?://([^/?#]*)([^?#]*)(.*)", u or "") or re.match("()()()", "")).groups() for i, u in rows}
+    terms = re.compile("|".join(U.REJECTED_TERMS), re.I)
+    text = {i: terms.sub("", lower(h) + p + q) for i, (h, p, q) in parts.items()}
+    bad = {i: bool(re.search("|".join(U.REJECTED_TERMS), lower(h))) for i, (h, _, _) in parts.items()}
+    order = lambda t: (int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64)), t)
+    sides = [sorted({text[i] for i in text if text[i] and bad[i] is b}, key=order) for b in (False, True)]
+    learned = [[t for k, t in enumerate(s) if k % U.HELD] for s in sides]
+
+    def counts(urls):
+        n = {}
+        for t in urls:
+            s = bytes([U._BEGIN]) * U.ORDER + t.encode() + bytes([U._END])
+            for at in range(U.ORDER, len(s)):
+                for k in range(U.ORDER + 1):
+                    seen = n.setdefault(s[at - k : at], {})
+                    seen[s[at]] = seen.get(s[at], 0) + 1
+        return n
+
+    models = [counts(s) for s in learned]
+
+    def score(t):
+        s, total = bytes([U._BEGIN]) * U.ORDER + t.encode() + bytes([U._END]), 0.0
+        for at in range(U.ORDER, len(s)):
+            for sign, n in zip((1, -1), models):
+                p = 1 / 256
+                for k in range(U.ORDER + 1):
+                    seen = n.get(s[at - k : at])
+                    if seen:
+                        p = (seen.get(s[at], 0) + len(seen) * p) / (sum(seen.values()) + len(seen))
+                total += sign * math.log(p)
+        return total / (len(s) - U.ORDER)
+
+    held = [np.array([score(t) for t in s[:: U.HELD]]) for s in sides]
+    threshold = U.calibrated(*held)[0]
+    for i, (h, p, _) in parts.items():
+        h, best = lower(h), None
+        for kind, rule in U.RULES:
+            name, _, rest = rule.partition("/")
+            if (h == name or h.endswith("." + name)) and p.startswith("/" + rest) and (best is None or len(rule) > len(best[1])):
+                best = (kind, rule)
+        value = score(text[i]) if text[i] else 0.0
+        r = got[i]
+        assert (r.host, r.path, r.rule) == (h, p, best and best[1]) and abs(r.score - value) < 1e-9
+        assert r.verdict == (best[0] if best else "block" if text[i] and value < threshold else "allow"), r.url
+    assert {r.verdict for r in got.values()} == {"allow", "block"} and len(held[1]) > 1
