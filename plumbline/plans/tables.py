@@ -12,7 +12,7 @@ from ..operators import classwise, detectors, metrics, splits
 from ..sources import augment, files, text
 from ..sources.fixed_values import STOP_WORDS
 from .scoring import COLUMNS, _metric_sql, _rounded, gauss_distance, gauss_sql
-from .setup import SQL, setup, table
+from .setup import SQL, embeddings, setup, table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -67,8 +67,8 @@ _register(
     """SELECT event_id, CAST(px AS INTEGER) AS px, CASE WHEN (px % 4) * 3 + px // 4 >= event_id % 7 AND (px % 4) * 3 + px // 4 < event_id % 7 + 3 THEN 1 ELSE 0 END AS v
 FROM events, (SELECT unnest(range(0, 12)) AS px)""",
 )
-_register("noise_uniform", lambda s, d: files.uniform_noise(s, 20, 64).select("id", F.posexplode("pixels").alias("px", "v"), "label"))
-_register("noise_gaussian", lambda s, d: files.gaussian_noise(s, 20, 64).select("id", F.posexplode("pixels").alias("px", "v"), "label"))
+_register("noise_uniform", lambda s, d: files.uniform_noise(s, embeddings(s, d), 64).select("id", F.posexplode("pixels").alias("px", "v"), "label"))
+_register("noise_gaussian", lambda s, d: files.gaussian_noise(s, embeddings(s, d), 64).select("id", F.posexplode("pixels").alias("px", "v"), "label"))
 
 
 def _annotations(s, d) -> augment.Annotations:

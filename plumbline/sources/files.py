@@ -339,15 +339,22 @@ def sum_digits(boxes: Column, digits: Column) -> Column:
 # ---------------------------------------------------------------- generated
 
 
-def uniform_noise(spark: SparkSession, n: int, size: int = 3 * 224 * 224, *, seed: int = 123) -> DataFrame:
-    """(id, pixels, label -1): bytes 0-255 from the row's own hash, equal on every partitioning."""
+def _noise_ids(spark: SparkSession, n: int | DataFrame) -> DataFrame:
+    return spark.range(n) if isinstance(n, int) else n.select(F.col("id").cast("bigint").alias("id"))
+
+
+def uniform_noise(spark: SparkSession, n: int | DataFrame, size: int = 3 * 224 * 224, *, seed: int = 123) -> DataFrame:
+    """(id, pixels, label -1): bytes 0-255 from the row's own hash, equal on every partitioning.
+
+    ``n`` is a number of pictures, or a table whose ids get one each, as outliers beside its rows.
+    """
     pixel = lambda i: F.floor(V.unit_hash(F.col("id"), i, seed) * 255).cast("int")
-    return spark.range(n).select("id", F.transform(F.sequence(F.lit(1), F.lit(size)), pixel).alias("pixels"), F.lit(-1).alias("label"))
+    return _noise_ids(spark, n).select("id", F.transform(F.sequence(F.lit(1), F.lit(size)), pixel).alias("pixels"), F.lit(-1).alias("label"))
 
 
-def gaussian_noise(spark: SparkSession, n: int, size: int = 3 * 224 * 224, *, loc: float = 128.0, scale: float = 128.0, seed: int = 123) -> DataFrame:
+def gaussian_noise(spark: SparkSession, n: int | DataFrame, size: int = 3 * 224 * 224, *, loc: float = 128.0, scale: float = 128.0, seed: int = 123) -> DataFrame:
     def pixel(i: Column) -> Column:
         v = V.normal_hash(F.col("id"), i, seed) * F.lit(scale) + F.lit(loc)
         return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), v))).cast("int")
 
-    return spark.range(n).select("id", F.transform(F.sequence(F.lit(1), F.lit(size)), pixel).alias("pixels"), F.lit(-1).alias("label"))
+    return _noise_ids(spark, n).select("id", F.transform(F.sequence(F.lit(1), F.lit(size)), pixel).alias("pixels"), F.lit(-1).alias("label"))
