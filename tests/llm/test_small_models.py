@@ -139,7 +139,7 @@ def test_whole_url_query_by_brute_force(spark):
 
     lower = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
     parts = {i: (re.match(r"(?s).*?://([^/?#]*)([^?#]*)(.*)", u or "") or re.match("()()()", "")).groups() for i, u in rows}
-    terms = re.compile("|".join(U.REJECTED_TERMS), re.I)
+    terms = re.compile("-?(?:" + "|".join(U.REJECTED_TERMS) + ")-?", re.I)
     text = {i: terms.sub("", lower(h) + p + q) for i, (h, p, q) in parts.items()}
     bad = {i: bool(re.search("|".join(U.REJECTED_TERMS), lower(h))) for i, (h, _, _) in parts.items()}
     order = lambda t: (int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64)), t)
@@ -183,3 +183,15 @@ def test_whole_url_query_by_brute_force(spark):
         assert (r.host, r.path, r.rule) == (h, p, best and best[1]) and abs(r.score - value) < 1e-9
         assert r.verdict == (best[0] if best else "block" if text[i] and value < threshold else "allow"), r.url
     assert {r.verdict for r in got.values()} == {"allow", "block"} and len(held[1]) > 1
+
+
+def test_errors_by_host(spark):
+    """Models that never saw a host: most accepted hosts stay, and not all rejected ones are found (figures in the README)."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = url_filter.errors_by_host(pages, url_filter.named(url_filter.host_of(F.col("url")))).collect()
+    share = {b: sum(r.wrong for r in got if r.bad is b) / sum(r.n for r in got if r.bad is b) for b in (False, True)}
+    hosts = [(r.host, r.n, r.wrong) for r in got if r.bad]
+    print(share, hosts)
+    assert len(hosts) == 6 and all(0 <= r.wrong <= r.n for r in got)
+    assert share[False] < 0.1
+    assert url_filter.errors_by_host(pages.limit(0), F.lit(False)).count() == 0
