@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType
 
 from ..functions import heads as H
 from ..functions import vectors as V
@@ -30,28 +31,37 @@ def _rowwise(score, *matrices):
         out = np.full(len(vectors), np.nan)
         ok = vectors.notna().to_numpy()
         if ok.any():
-            out[ok] = score(stacked(vectors[ok]), *matrices)
+            out[ok] = score(_matrix(vectors[ok]), *matrices)
         return pd.Series(out).where(pd.Series(ok), None)
 
     return scored
 
 
-def _layered(means: np.ndarray, precision: np.ndarray):
-    """Scores of one layer, from vectors or feature maps."""
+def _matrix(rows: pd.Series) -> np.ndarray:
+    """Vectors as a matrix; of feature maps (channels of positions) each channel's mean."""
+    first = rows.iloc[0]
+    if not (len(first) and isinstance(first[0], np.ndarray)):
+        return stacked(rows)
+    even = lambda row: np.concatenate(row).reshape(len(row), -1).mean(axis=1, dtype=np.float64)
+    return np.stack([even(row) if len({len(c) for c in row}) == 1 else np.array([c.mean(dtype=np.float64) for c in row]) for row in rows])
 
-    @pandas_udf("double")
-    def scored(layer: pd.Series) -> pd.Series:
-        out, ok = np.full(len(layer), np.nan), layer.notna().to_numpy()
-        if ok.any():
-            first = layer[ok].iloc[0]
-            if len(first) and isinstance(first[0], np.ndarray):
-                z = np.stack([np.array([c.mean(dtype=np.float64) for c in row]) if len({len(c) for c in row}) > 1 else np.concatenate(row).reshape(len(row), -1).mean(axis=1, dtype=np.float64) for row in layer[ok]])
-            else:
-                z = stacked(layer[ok])
-            out[ok] = nearest_mahalanobis(z.astype(np.float64), means, precision) / 2
-        return pd.Series(out).where(pd.Series(ok), None)
 
-    return scored
+def _channel_means():
+    """:func:`_matrix` as a column function: functions on its result can follow in Python, as they can't on an expression with lambdas."""
+
+    @pandas_udf("array<double>")
+    def means(maps: pd.Series) -> pd.Series:
+        out, at = np.full(len(maps), None, object), np.flatnonzero(maps.notna().to_numpy())
+        for k, row in zip(at, _matrix(maps.iloc[at]) if len(at) else ()):
+            out[k] = row
+        return pd.Series(out)
+
+    return means
+
+
+def _is_map(df: DataFrame, features: str) -> bool:
+    kind = df.schema[features].dataType
+    return isinstance(kind, ArrayType) and isinstance(kind.elementType, ArrayType)
 
 
 def nearest_mahalanobis(z: np.ndarray, means: np.ndarray, precision: np.ndarray) -> np.ndarray:
@@ -79,7 +89,8 @@ class Mahalanobis(Detector):
 
     ``eps`` above 0 first moves the features one signed step along the gradient of that distance. With a ``head`` the feature
     column holds inputs: their embeddings, the head's outputs, are what is fitted and scored, and the step is on the inputs,
-    along the gradient that goes back through the layers.
+    along the gradient that goes back through the layers. Of feature maps (arrays of channels of positions) each channel's mean
+    counts, and the step is on these means.
     """
 
     needs_fit = True
@@ -90,6 +101,8 @@ class Mahalanobis(Detector):
 
     def _embedded(self, df: DataFrame) -> DataFrame:
         d = self._known(df)
+        if _is_map(d, self.features):
+            d = d.withColumn(self.features, _channel_means()(self.features))
         return d.withColumn(self.features, H.batched("array<double>", self.head.forward)(V.doubles(self.features))) if self.head.layers else d
 
     def fit_features(self, df: DataFrame) -> Mahalanobis:
@@ -103,6 +116,13 @@ class Mahalanobis(Detector):
         return len(self.means)
 
     def score_column(self) -> Column:
+        return self._scored(V.doubles(self.features))
+
+    def predict_features(self, df: DataFrame) -> DataFrame:
+        self._check_fitted()
+        return df.withColumn(self.score, self._scored(F.col(self.features) if _is_map(df, self.features) else V.doubles(self.features)))
+
+    def _scored(self, features: Column) -> Column:
         eps, std, head = self.eps, self.norm_std, self.head
 
         def outwards(e, means, precision):
@@ -114,7 +134,7 @@ class Mahalanobis(Detector):
                 z = H.stepped(z, head.gradient(z, lambda e: outwards(e, means, precision)), eps, std)
             return nearest_mahalanobis(head.forward(z), means, precision) / 2
 
-        return _rowwise(score, self.means, self.precision)(V.doubles(self.features))
+        return _rowwise(score, self.means, self.precision)(features)
 
 
 class RMD(Mahalanobis):
@@ -140,7 +160,7 @@ class RMD(Mahalanobis):
         self.fitted = True
         return self
 
-    def score_column(self) -> Column:
+    def _scored(self, features: Column) -> Column:
         head = self.head
 
         def score(z, means, precision, m0, p0):
@@ -148,7 +168,7 @@ class RMD(Mahalanobis):
             d = z - m0
             return nearest_mahalanobis(z, means, precision) - np.einsum("ij,ij->i", d @ p0, d)
 
-        return _rowwise(score, self.means, self.precision, self.background_mean, self.background_precision)(V.doubles(self.features))
+        return _rowwise(score, self.means, self.precision, self.background_mean, self.background_precision)(features)
 
 
 class MultiMahalanobis(Detector):
@@ -179,7 +199,8 @@ class MultiMahalanobis(Detector):
         return len(self.fits[0][0])
 
     def layer_scores(self) -> list[Column]:
-        return [_layered(m, p)(F.col(layer)) for layer, (_, m, p) in zip(self.layers, self.fits)]
+        score = lambda z, m, p: nearest_mahalanobis(z, m, p) / 2
+        return [_rowwise(score, m, p)(F.col(layer)) for layer, (_, m, p) in zip(self.layers, self.fits)]
 
     def score_column(self) -> Column:
         total = F.lit(0.0)

@@ -219,6 +219,14 @@ def test_feature_maps_of_several_layers(spark):
     assert scores(det.predict_features(df)) == pytest.approx(want, rel=1e-9)
     with pytest.raises(ValueError):
         det.fit_features(df.where("label = 7"))
+    for cls in (Mahalanobis, RMD):  # one layer of maps, as its channel means
+        one = cls(features="a", eps=0.1).fit_features(df)
+        flat = cls(eps=0.1).fit_features(rows_of(spark, maps.mean(2), y).where("features IS NOT NULL"))
+        plain = scores(flat.predict_features(rows_of(spark, maps.mean(2), y)))
+        assert scores(one.predict_features(df)) == pytest.approx(plain, rel=1e-9)
+    tanh = Mahalanobis(features="a", head=H.Head([H.Tanh()])).fit_features(df)
+    flat = Mahalanobis().fit_features(rows_of(spark, np.tanh(maps.mean(2)), y).where("features IS NOT NULL"))
+    assert scores(tanh.predict_features(df)) == pytest.approx(scores(flat.predict_features(rows_of(spark, np.tanh(maps.mean(2)), y))), rel=1e-9)
 
 
 @pytest.mark.parametrize("metric", ["euclidean", "cosine", "l1"])
