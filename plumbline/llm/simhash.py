@@ -420,7 +420,28 @@ def _joined_in_block(label: np.ndarray, first: np.ndarray, sketches: list[bytes]
 _DEAL = ["view", "print", "sub"]
 #: View of the buckets in which rows meet by a hash of their prefixes.
 MEET = -1
-_JOINED = "src bigint, dst bigint, a bigint, b bigint"
+_JOINED = "src bigint, dst bigint, a bigint, b bigint, dense boolean"
+#: Undecided pairs a text of a block up to which each pair is passed on; with more, only a forest of them is.
+PASSED = 4
+
+
+def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Some of the pairs, without circles, that join what all of them join."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    out = []
+    for x, y in pairs:
+        a, b = top(x), top(y)
+        if a != b:
+            up[b] = a
+            out.append((x, y))
+    return out
 
 
 def _joined(similarity: float):
@@ -428,7 +449,8 @@ def _joined(similarity: float):
         """Rows come sorted by block pair; one that runs over the end of a batch is held back.
 
         Returned are links (src, dst) between components, and pairs (a, b) of texts, with their components, that need
-        their whole sets.
+        their whole sets. Where a block has many such pairs for its texts, only a forest of them comes, marked as dense: all
+        texts that it joins are then compared, so the pairs that go out grow with the texts and not with their square.
         """
         kept: pd.DataFrame | None = None
 
@@ -438,17 +460,18 @@ def _joined(similarity: float):
             label, first, digest = (frame[c].to_numpy() for c in ("label", "first", "digest"))
             sketch, prefix = frame["sketch"].tolist(), frame["prefix"].tolist()
             links: set[tuple[int, int]] = set()
-            pairs: dict[tuple[int, int], tuple[int, int]] = {}
+            pairs: dict[tuple[int, int], tuple[int, int, bool]] = {}
             for i, j in zip(at, np.r_[at[1:], len(keys)]):
                 if j - i > 1 and (label[i:j] != label[i]).any():
                     met = prefix[i:j] if keys[i, 0] == MEET else None
                     found, undecided = _joined_in_block(label[i:j], first[i:j], sketch[i:j], similarity, met, keys[i, 1])
                     links |= {(min(x, y), max(x, y)) for x, y in found}
-                    for x, y in undecided:
+                    dense = len(undecided) > PASSED * len({x for pair in undecided for x in pair})
+                    for x, y in _forest(undecided) if dense else undecided:
                         x, y = (x, y) if digest[i + x] < digest[i + y] else (y, x)
-                        pairs[digest[i + x], digest[i + y]] = (label[i + x], label[i + y])
-            rows = [(x, y, None, None) for x, y in links] + [(*pairs[p], *p) for p in pairs]
-            return pd.DataFrame(rows, columns=["src", "dst", "a", "b"]).astype("Int64")
+                        pairs[digest[i + x], digest[i + y]] = (label[i + x], label[i + y], dense)
+            rows = [(x, y, None, None, None) for x, y in links] + [(x, y, *p, dense) for p, (x, y, dense) in pairs.items()]
+            return pd.DataFrame(rows, columns=["src", "dst", "a", "b", "dense"]).astype({c: "Int64" for c in ("src", "dst", "a", "b")} | {"dense": "boolean"})
 
         for frame in frames:
             if kept is not None:
@@ -536,22 +559,24 @@ def _packed():
 
 
 def _labelled(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are in different components, with these (at_a, at_b); written."""
+    """The pairs (a, b) that are in different components, with these (at_a, at_b); written. Dense pairs all stay: they stand for others."""
     for end in ("a", "b"):
         at = small(groups.select(F.col("node").alias(end), F.col("component").alias(f"at_{end}")))
         pairs = pairs.join(at, end, "left").withColumn(f"at_{end}", F.coalesce(f"at_{end}", end))
-    return materialize(pairs.where("at_a <> at_b"), "near")
+    return materialize(pairs.where("at_a <> at_b OR dense" if "dense" in pairs.columns else "at_a <> at_b"), "near")
 
 
 def _dense(pairs: DataFrame) -> DataFrame | None:
     """(digest, cluster, label) of the clusters of undecided pairs that are cheaper to compare in blocks than one by one.
 
-    A cluster of n texts sends n (n / BLOCK + 1) sets in blocks, and two for each of its pairs otherwise.
+    A cluster of n texts sends n (n / BLOCK + 1) sets in blocks, and two for each of its pairs otherwise. Clusters with a dense
+    pair are always compared in blocks, since not all of their pairs are listed.
     """
     clusters = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("digest"), F.col("at_a").alias("label")), F.struct(F.col("b").alias("digest"), F.col("at_b").alias("label")))).alias("e")).select("e.*")
-    texts = ends.groupBy("digest", "label").agg(F.count("*").alias("pairs")).join(small(clusters), F.col("digest") == F.col("node"))
-    size = texts.groupBy("component").agg(F.count("*").alias("n"), F.sum("pairs").alias("sent")).where(F.col("n") * (F.col("n") / BLOCK + 1) < F.col("sent"))
+    dense = F.col("dense") if "dense" in pairs.columns else F.lit(False)
+    ends = pairs.select(dense.alias("dense"), F.explode(F.array(F.struct(F.col("a").alias("digest"), F.col("at_a").alias("label")), F.struct(F.col("b").alias("digest"), F.col("at_b").alias("label")))).alias("e")).select("dense", "e.*")
+    texts = ends.groupBy("digest", "label").agg(F.count("*").alias("pairs"), F.max("dense").alias("dense")).join(small(clusters), F.col("digest") == F.col("node"))
+    size = texts.groupBy("component").agg(F.count("*").alias("n"), F.sum("pairs").alias("sent"), F.max("dense").alias("dense")).where(F.col("dense") | (F.col("n") * (F.col("n") / BLOCK + 1) < F.col("sent")))
     out = materialize(texts.join(small(size.select("component")), "component").select("digest", F.col("component").alias("cluster"), "label"), "dense")
     return None if out.isEmpty() else out
 
@@ -704,22 +729,34 @@ def similar_components(nodes: DataFrame, similarity: float, whole_sets: Callable
     )
     hubs = materialize(hubs.where("n > 1").select("view", "print", "hubs"), "hubs")
     buckets = materialize(buckets.join(small(hubs), ["view", "print"]), "buckets")
-    met = buckets.select(F.col("digest").alias("a"), F.explode("hubs").alias("b"))
-    pairs = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
     left = nodes.select(F.col("digest").alias("a"), F.col("sketch").alias("sketch_a"))
     right = nodes.select(F.col("digest").alias("b"), F.col("sketch").alias("sketch_b"))
-    judged = pairs.join(left, "a").join(right, "b").select("a", "b", _verdict(similarity)("sketch_a", "sketch_b").alias("verdict"))
-    judged = materialize(judged.where("verdict <> 0"), "judged", texts=True)
-    labels = connected_components(judged.where("verdict = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    labels = _decided(labels, judged.where("verdict = -1").select("a", "b"), whole_sets, similarity)
+    labels, unsure, used = None, None, []
+    for turn in (F.slice("hubs", 1, 1), F.slice("hubs", 2, 3)):  # the first hub joins most, the others meet what is left
+        met = buckets.select(F.col("digest").alias("a"), F.explode(turn).alias("b"))
+        pairs = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+        if labels is not None:
+            pairs = _labelled(pairs, labels).select("a", "b")
+        judged = pairs.join(left, "a").join(right, "b").select("a", "b", _verdict(similarity)("sketch_a", "sketch_b").alias("verdict"))
+        judged = materialize(judged.where("verdict <> 0"), "judged", texts=True)
+        near = judged.where("verdict = 1").select("a", "b")
+        if labels is None:
+            labels = connected_components(near.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        else:
+            labels = _regrouped(labels, _labelled(near, labels).select(F.col("at_a").alias("src"), F.col("at_b").alias("dst")).distinct())
+        more = judged.where("verdict = -1").select("a", "b")
+        unsure = more if unsure is None else unsure.unionByName(more)
+        used += [pairs, judged]
+    labels = _decided(labels, unsure.distinct(), whole_sets, similarity)
 
     dealt = _open_blocks(buckets.drop("hubs"), labels, nodes, similarity).repartition(*_DEAL).sortWithinPartitions(*_DEAL)
     met = materialize(dealt.mapInPandas(_joined(similarity), _JOINED), "met", texts=True)
     groups = _regrouped(labels, met.where("a IS NULL").select("src", "dst").distinct())
-    groups = _decided(groups, met.where("a IS NOT NULL").select("a", "b").distinct(), whole_sets, similarity)
-    for used in (close, hubs, buckets, pairs, judged, labels, met):
-        if used is not groups:
-            discard(used)
+    unsure = met.where("a IS NOT NULL").groupBy("a", "b").agg(F.max("dense").alias("dense"))
+    groups = _decided(groups, unsure, whole_sets, similarity)
+    for table in (close, hubs, buckets, *used, labels, met):
+        if table is not groups:
+            discard(table)
     return groups
 
 

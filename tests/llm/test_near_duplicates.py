@@ -113,6 +113,40 @@ def test_dense_clusters_near_the_bar_are_decided_in_blocks(spark, monkeypatch):
     assert any(d is not None for d in found)
 
 
+@pytest.mark.parametrize("passed", [0, 4])
+def test_dense_blocks_pass_a_forest(spark, monkeypatch, passed):
+    """Many undecided pairs in a block: a forest of them goes out, no more than its texts, and every pair is still decided."""
+    monkeypatch.setattr(simhash, "PASSED", passed)
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    common = [f"c{j}" for j in range(420)]
+    texts = []
+    for i in range(40):
+        own = [f"f{i // 2 if i < 20 else i}w{j}" for j in range(100)]
+        texts.append(" ".join(common + own[:80] + [f"z{i}v{j}" for j in range(20)]))
+    nodes, wholes, at = nodes_of(spark, texts, 7, [7])
+    buckets = nodes.selectExpr("digest", "0 AS view", "CAST(7 AS BIGINT) AS print")
+    labels = spark.createDataFrame([], "node bigint, component bigint")
+    dealt = simhash._open_blocks(buckets, labels, nodes, 0.8).repartition(*simhash._DEAL).sortWithinPartitions(*simhash._DEAL)
+    met = dealt.mapInPandas(simhash._joined(0.8), simhash._JOINED).where("a IS NOT NULL").collect()
+    assert len(met) < 40 and all(r.dense for r in met)
+    assert groups_of(simhash.similar_components(nodes, 0.8, wholes), at) == [[2 * i, 2 * i + 1] for i in range(10)]
+
+
+def test_a_forest_joins_what_its_pairs_join():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        pairs = [tuple(int(v) for v in p) for p in rng.integers(0, 30, (int(rng.integers(0, 80)), 2))]
+        forest = simhash._forest(pairs)
+
+        def parts(edges):
+            of = list(range(30))
+            for a, b in edges:
+                of = [of[a] if x == of[b] else x for x in of]
+            return [[x == y for x in of] for y in of]
+
+        assert parts(forest) == parts(pairs) and len(forest) < 30 and set(forest) <= set(pairs)
+
+
 @pytest.mark.parametrize("batch", [1, 3, 1000])
 def test_streamed_sides_of_a_block_pair(batch):
     """Held sets against streamed ones and, once, against each other; links give the components of all similar pairs."""
