@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, exact_dedup, html_text, language, lm_score, mixing, secrets, sharding, simhash, url_filter
+from plumbline.llm import collocation, decontaminate, exact_dedup, html_text, language, line_dedup, lm_score, mixing, secrets, sharding, simhash, spelling, url_filter
 
 SF = "/root/testdata/sf0.001"
 CORPUS = Path(decontaminate.__file__).parent
@@ -35,6 +35,9 @@ DOCS = {
     "scores": lambda s, d: lm_score.score_documents(d),
     "mixing": lambda s, d: mixing.mix(d),
     "shards": lambda s, d: sharding.with_shards(d, 4),
+    "lines": lambda s, d: line_dedup.without_repeated_lines(d),
+    "spelling": lambda s, d: spelling.spelling_variants(d),
+    "phrases": lambda s, d: collocation.collocations(d, fewest=5),
 }
 
 
@@ -47,7 +50,7 @@ def test_documents(spark, name):
         return
     plain = DOCS[name](spark, docs)
     assert plain.count() == wide.count()
-    if not {"leaks", "exact"} & {name}:
+    if not {"leaks", "exact", "spelling", "phrases"} & {name}:
         new = set(plain.columns) - set(docs.columns)
         kept = [n for n in inner_names() if n not in new]
         assert set(kept) <= set(wide.columns)
