@@ -252,7 +252,9 @@ VIEWS, VIEW_SIZE, SKETCH = 8, 2, 128
 RISK = 1e-6
 #: Rows of a block, of which two are compared at a time. Buckets of more rows are split by the sketches' rarest hashes.
 BLOCK = 256
-#: Bytes of whole sets that count as one row of a block, so that a block of whole sets has about 4 MB.
+#: Blocks of this many times as many rows meet in pairs, so that a row of a large group is sent to few of them.
+WIDE = 4
+#: Bytes of whole sets that count as one row of a block, so that the held side of whole sets has about 16 MB.
 SET_BYTES = 16 << 10
 #: Shares of the undecided pairs that are decided in one go; the last one is all that are still in different components.
 ROUNDS = (1 / 16, 1.0)
@@ -512,9 +514,10 @@ def _dealt(rows: DataFrame, mixed: DataFrame) -> DataFrame:
     """Rows (view, print, sub, first, digest, label) such that all pairs of a bucket across its components meet.
 
     A bucket's largest component needs no comparison within itself. Its rows and the others are dealt to blocks of
-    about BLOCK rows, and every block of the others meets each later block.
+    about WIDE * BLOCK rows, and every block of the others meets each later block.
     """
-    counts = mixed.select("view", "print", "main", F.ceil((F.col("n") - F.col("top")) / BLOCK).cast("int").alias("rest"), F.ceil(F.col("top") / BLOCK).cast("int").alias("mains"))
+    size = WIDE * BLOCK
+    counts = mixed.select("view", "print", "main", F.ceil((F.col("n") - F.col("top")) / size).cast("int").alias("rest"), F.ceil(F.col("top") / size).cast("int").alias("mains"))
     at = F.when(F.col("label") == F.col("main"), F.col("rest") + F.pmod(F.hash("digest"), F.col("mains"))).otherwise(F.pmod(F.hash("digest"), F.col("rest")))
     met = F.when(F.col("at") < F.col("rest"), F.sequence(F.lit(0), F.col("rest") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") - 1))
     d = rows.join(small(counts), ["view", "print"]).withColumn("at", at).withColumn("with", F.explode(met)).where("at <> with")
@@ -569,14 +572,14 @@ def _labelled(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 def _dense(pairs: DataFrame) -> DataFrame | None:
     """(digest, cluster, label) of the clusters of undecided pairs that are cheaper to compare in blocks than one by one.
 
-    A cluster of n texts sends n (n / BLOCK + 1) sets in blocks, and two for each of its pairs otherwise. Clusters with a dense
+    A cluster of n texts sends n (n / (WIDE BLOCK) + 1) sets in blocks, and two for each of its pairs otherwise. Clusters with a dense
     pair are always compared in blocks, since not all of their pairs are listed.
     """
     clusters = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     dense = F.col("dense") if "dense" in pairs.columns else F.lit(False)
     ends = pairs.select(dense.alias("dense"), F.explode(F.array(F.struct(F.col("a").alias("digest"), F.col("at_a").alias("label")), F.struct(F.col("b").alias("digest"), F.col("at_b").alias("label")))).alias("e")).select("dense", "e.*")
     texts = ends.groupBy("digest", "label").agg(F.count("*").alias("pairs"), F.max("dense").alias("dense")).join(small(clusters), F.col("digest") == F.col("node"))
-    size = texts.groupBy("component").agg(F.count("*").alias("n"), F.sum("pairs").alias("sent"), F.max("dense").alias("dense")).where(F.col("dense") | (F.col("n") * (F.col("n") / BLOCK + 1) < F.col("sent")))
+    size = texts.groupBy("component").agg(F.count("*").alias("n"), F.sum("pairs").alias("sent"), F.max("dense").alias("dense")).where(F.col("dense") | (F.col("n") * (F.col("n") / (WIDE * BLOCK) + 1) < F.col("sent")))
     out = materialize(texts.join(small(size.select("component")), "component").select("digest", F.col("component").alias("cluster"), "label"), "dense")
     return None if out.isEmpty() else out
 
@@ -637,7 +640,7 @@ def _exact_in_blocks(similarity: float):
     def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by block pair, the first side in front, with their whole sets; returned are links (src, dst).
 
-        One side is held, about BLOCK * SET_BYTES of it, and the other streams past.
+        One side is held, about WIDE * BLOCK * SET_BYTES of it, and the other streams past.
         """
         key, held, labels, sets = None, None, [], []
 
