@@ -254,6 +254,8 @@ RISK = 1e-6
 BLOCK = 256
 #: Blocks of this many times as many rows meet in pairs, so that a row of a large group is sent to few of them.
 WIDE = 4
+#: Counters of the hashes of large buckets' sketches, by a hash's low bits: at most 16 MB that pass the driver.
+COUNTERS = 1 << 20
 #: Bytes of whole sets that count as one row of a block, so that the held side of whole sets has about 16 MB.
 SET_BYTES = 16 << 10
 #: Shares of the undecided pairs that are decided in one go; the last one is all that are still in different components.
@@ -339,15 +341,36 @@ def prefix_size(size: int, similarity: float) -> int:
     return size - min(size, common) + 1 if size else 0
 
 
-def _sketch_hashes(similarity: float):
-    def hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(slot, n): how many hashes of a task's sketches fall on each counter that has any."""
+    total = np.zeros(COUNTERS, np.int64)
+    for f in frames:
+        total += np.bincount(np.frombuffer(b"".join(f["sketch"]), "<u4") & (COUNTERS - 1), minlength=COUNTERS)
+    slot = np.flatnonzero(total)
+    yield pd.DataFrame({"slot": slot, "n": total[slot]})
+
+
+def _counters(wide: DataFrame) -> np.ndarray:
+    """Counters of the hashes of all sketches; 1 stands for at most one, so that hash is in no other sketch."""
+    sums = wide.select("sketch").mapInPandas(_counted, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    out = np.ones(COUNTERS, np.int64)
+    out[sums["slot"].to_numpy()] = sums["n"].to_numpy()
+    return out
+
+
+def _prefixes(similarity: float, counters):
+    def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Adds each sketch's prefix, by counter and hash, as ``heads`` and packed; hashes that no other sketch has are left out."""
         for f in frames:
-            parts = [np.frombuffer(x, "<u4").astype(np.int64) for x in f["sketch"]]
-            sizes = np.array([len(p) for p in parts], np.int64)
-            take = np.array([prefix_size(int(n), similarity) for n in sizes], np.int64)
-            yield pd.DataFrame({"digest": np.repeat(f["digest"].to_numpy(), sizes), "hash": np.concatenate([*parts, np.zeros(0, np.int64)]), "take": np.repeat(take, sizes)})
+            heads = []
+            for x in f["sketch"]:
+                own = np.frombuffer(x, "<u4")
+                times = counters.value[own & (COUNTERS - 1)]
+                first = np.lexsort((own, times))[: prefix_size(len(own), similarity)]
+                heads.append(own[first[times[first] > 1]])
+            yield f.assign(heads=[h.astype(np.int64) for h in heads], prefix=[h.tobytes() for h in heads])
 
-    return hashes
+    return prefixes
 
 
 def _coded(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -526,39 +549,28 @@ def _dealt(rows: DataFrame, mixed: DataFrame) -> DataFrame:
 
 
 def _open_blocks(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Rows (view, print, sub, first, digest, label, sketch) in which all similar candidates of different components meet.
+    """Rows (view, print, sub, first, digest, label, sketch, prefix) in which all similar candidates of different components meet.
 
     Buckets of up to BLOCK rows are compared as they are. Texts of larger ones share something that many have, a passage
     for instance, so they meet by their rarest hashes instead: each is dealt to the hashes of its prefix (see
-    :func:`prefix_size`), in an order by how many of these texts have a hash. Similar texts share one of those, while
-    texts that have but a passage in common don't, since its hashes are the frequent ones. Nothing is left out by that.
+    :func:`prefix_size`), in an order by a counter of how many of these texts have a hash. Similar texts share one of those,
+    while texts that have but a passage in common don't, since its hashes are the frequent ones. Nothing is left out by that:
+    hashes that share a counter change the order only, and one that is alone on its counter is in no other text.
     """
     labelled = buckets.join(small(labels), F.col("digest") == F.col("node"), "left").select("view", "print", "digest", F.coalesce("component", "digest").alias("label"))
     mixed = _mixed(labelled)
-    direct = _dealt(labelled, mixed.where(F.col("n") <= BLOCK))
+    direct = _dealt(labelled, mixed.where(F.col("n") <= BLOCK)).join(nodes.select("digest", "sketch"), "digest").withColumn("prefix", F.lit(None).cast("binary"))
     large = mixed.where(F.col("n") > BLOCK).select("view", "print")
     if not large.isEmpty():
-        wide = materialize(labelled.join(small(large), ["view", "print"], "left_semi").select("digest", "label").distinct(), "wide")
-        each = wide.select("digest").join(nodes.select("digest", "sketch"), "digest").mapInPandas(_sketch_hashes(similarity), "digest bigint, hash bigint, take int")
-        each = materialize(each, "hashes", texts=True)
-        times = each.groupBy("hash").agg(F.count("*").alias("times"))
-        ranked = each.join(times, "hash").groupBy("digest").agg(F.max("take").alias("take"), F.sort_array(F.collect_list(F.struct("times", "hash"))).alias("all"))
-        ranked = materialize(ranked.select("digest", F.transform(F.slice("all", F.lit(1), F.col("take")), lambda e: e["hash"]).alias("heads")), "heads")
-        rare = ranked.select("digest", F.explode("heads").alias("print")).join(wide, "digest").select(F.lit(MEET).alias("view"), "print", "digest", "label")
-        rare = materialize(rare, "rare")
-        met = _dealt(rare, _mixed(rare)).join(ranked.select("digest", _packed()("heads").alias("prefix")), "digest")
-        direct = direct.withColumn("prefix", F.lit(None).cast("binary")).unionByName(met)
-    else:
-        direct = direct.withColumn("prefix", F.lit(None).cast("binary"))
-    return direct.join(nodes.select("digest", "sketch"), "digest")
-
-
-def _packed():
-    @pandas_udf("binary")
-    def packed(hashes: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(h, "<u4").tobytes() for h in hashes])
-
-    return packed
+        wide = labelled.join(small(large), ["view", "print"], "left_semi").select("digest", "label").distinct()
+        wide = materialize(wide.join(nodes.select("digest", "sketch"), "digest"), "wide")
+        counters = wide.sparkSession.sparkContext.broadcast(_counters(wide))
+        heads = wide.mapInPandas(_prefixes(similarity, counters), "digest bigint, label bigint, sketch binary, heads array<bigint>, prefix binary")
+        heads = materialize(heads, "heads")
+        rare = materialize(heads.select(F.lit(MEET).alias("view"), F.explode("heads").alias("print"), "digest", "label"), "rare")
+        met = _dealt(rare, _mixed(rare)).join(heads.select("digest", "sketch", "prefix"), "digest")
+        direct = direct.unionByName(met)
+    return direct
 
 
 def _labelled(pairs: DataFrame, groups: DataFrame) -> DataFrame:

@@ -66,6 +66,28 @@ def test_a_shared_passage_makes_no_block_of_all(spark, monkeypatch):
     assert groups_of(simhash.similar_components(nodes, 0.8, wholes), at) == [[2 * i, 2 * i + 1] for i in range(60)]
 
 
+def test_hashes_of_one_text_make_no_rows(spark, monkeypatch):
+    """Texts that have but a passage in common: rows for the few hashes of prefixes that two texts have, not for all."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    passage, texts = [f"s{j}" for j in range(150)], []
+    for i in range(30):
+        own = [f"t{i}w{j}" for j in range(250)]
+        texts += [" ".join(passage + own), " ".join(passage + [f"u{i}x{j}" for j in range(250)])]
+    nodes, wholes, at = nodes_of(spark, texts, 7, [7])
+    rows, written = {}, simhash.materialize
+
+    def counted(df, label, **how):
+        out = written(df, label, **how)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    buckets = nodes.selectExpr("digest", "0 AS view", "CAST(7 AS BIGINT) AS print")
+    simhash._open_blocks(buckets, spark.createDataFrame([], "node bigint, component bigint"), nodes, 0.8).count()
+    assert rows["wide"] == len(texts) and "hashes" not in rows
+    assert rows["rare"] < 5 * len(texts)  # 50 a text before
+
+
 @pytest.mark.parametrize("similarity", [0.6, 0.8, 0.9])
 def test_prefixes_share_a_hash_of_similar_sketches(similarity):
     rng = np.random.default_rng(1)
