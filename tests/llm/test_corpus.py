@@ -72,6 +72,42 @@ def test_seeds_joined_by_shuffle_give_the_same_leaks(spark, monkeypatch):
     assert want and sorted(map(str, decontaminate.contaminated(*tables).collect())) == want
 
 
+@pytest.fixture
+def little_broadcast(spark):
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1536k")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_seeds_joined_by_shuffle_are_not_broadcast(spark, monkeypatch, little_broadcast, tmp_path):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").write.parquet(str(tmp_path / "b"))  # few bytes, as the planner sees it
+    bench = spark.read.parquet(str(tmp_path / "b"))
+    want = sorted(map(str, decontaminate.contaminated(d, bench).collect()))
+    monkeypatch.setattr(decontaminate, "SEED_ROWS", 5)
+    assert want and sorted(map(str, decontaminate.contaminated(d, bench).collect())) == want
+
+
+def test_copies_of_items_are_looked_for_once(spark, little_broadcast):
+    d, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    want = {tuple(r) for r in decontaminate.contaminated(d, bench).collect()}
+    copies = bench.crossJoin(spark.range(60)).select((F.col("item_id") + 1000 * F.col("id")).alias("item_id"), "text")
+    got = decontaminate.contaminated(d, copies).collect()
+    assert want and {tuple(r) for r in got} == {(a, b, i + 1000 * k, n) for a, b, i, n in want for k in range(60)} and len(got) == 60 * len(want)
+    same_id = bench.select(F.lit(7).alias("item_id"), "text")
+    assert {tuple(r) for r in decontaminate.contaminated(d, same_id).collect()} == {(a, b, 7, max(n for x, y, _, n in want if (x, y) == (a, b))) for a, b, _, _ in want}
+
+
+def test_a_filter_of_keys_loses_none(spark, monkeypatch):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("_k"))
+    rows = spark.range(100_000)
+    got = [r.id for r in decontaminate._possible(rows, F.xxhash64("id"), keys).collect()]
+    assert set(range(3000)) <= set(got) and len(got) < 3000 + 97_000 / 20
+    assert decontaminate._possible(rows, F.xxhash64("id"), keys.limit(0)).count() == 0
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 16)
+    assert set(range(3000)) <= {r.id for r in decontaminate._possible(rows, F.xxhash64("id"), keys).collect()}
+
+
 # ---------------------------------------------------------------- 2 URLs
 
 
