@@ -98,6 +98,16 @@ def test_copies_of_items_are_looked_for_once(spark, little_broadcast):
     assert {tuple(r) for r in decontaminate.contaminated(d, same_id).collect()} == {(a, b, 7, max(n for x, y, _, n in want if (x, y) == (a, b))) for a, b, _, _ in want}
 
 
+def test_stage_with_many_items_broadcasts_little(spark, monkeypatch, little_broadcast, tmp_path):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").write.parquet(str(tmp_path / "b"))
+    bench = spark.read.parquet(str(tmp_path / "b"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "17m")  # a table of two keys counts as 16 MB at least
+    want = sorted(r.doc_id for r in decontaminate.without_benchmark(d, bench).collect())
+    monkeypatch.setattr(decontaminate, "SEED_ROWS", 5)
+    assert 0 < len(want) < d.count() and sorted(r.doc_id for r in decontaminate.without_benchmark(d, bench.crossJoin(spark.range(60)).drop("id")).collect()) == want
+
+
 def test_a_filter_of_keys_loses_none(spark, monkeypatch):
     keys = spark.range(3000).select(F.xxhash64("id").alias("_k"))
     rows = spark.range(100_000)
